@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blinkframe.llm import byte_bpe, exact_dedup, packing, suffix_dedup
+from blinkframe.llm import byte_bpe, exact_dedup, near_dedup, packing, suffix_dedup
 from blinkframe.llm.frames import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their 4-word shingles."""
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), size=4)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that lie in 50 bytes of a document with a smaller id."""
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
@@ -36,6 +41,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
