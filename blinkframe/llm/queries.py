@@ -5,13 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blinkframe.llm import byte_bpe, exact_dedup, near_dedup, packing, suffix_dedup
+from blinkframe.llm import byte_bpe, exact_dedup, near_dedup, packing, quality_rules, suffix_dedup, url_filter
 from blinkframe.llm.frames import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Domain rules of the production query.
+DOMAIN_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+URL_RULES = [*(url_filter.domain_rule(*r) for r in DOMAIN_RULES), *url_filter.PATTERNS]
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
@@ -22,6 +32,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -38,14 +53,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_url_filter": op5_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_quality_rules": quality_rules.duckdb_sql(),
+    "op5_url_filter": url_filter.duckdb_sql(URL_RULES),
     "op7_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,

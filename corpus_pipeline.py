@@ -1,35 +1,61 @@
-"""Corpus pipeline over ``documents``: each stage is one operator, written as Parquet and read again by the next."""
+"""Corpus pipeline over ``documents``: each stage is one operator, written as Parquet and read again by the next.
+
+All stages but the last return the columns of ``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from blinkframe.llm import exact_dedup, packing
+from blinkframe.llm import exact_dedup, near_dedup, packing, quality_rules, suffix_dedup
 from blinkframe.llm.frames import table
 from blinkframe.llm.queries import WORD_TOKENIZER
 
+#: Bytes of a passage that must repeat in another document to be cut; 50 words of running text have more.
+PASSAGE_BYTES = 150
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, measured against the languages of ``docs`` itself."""
+    return quality_rules.keep_good(docs)
+
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of equal texts stays: the one with the largest doc_id."""
     return exact_dedup.exact_dedup(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group that shares four fifths of its five-word shingles stays: the one with the least doc_id."""
+    return near_dedup.near_dedup(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller doc_id has too are cut out of texts; n_chars follows."""
+    kept = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
     return packing.pack_documents(docs, WORD_TOKENIZER)
 
 
 STAGES = [
+    ("quality rules", good_quality),
     ("exact dedup", exact_copies),
+    ("MinHash near-dedup", near_copies),
+    ("suffix-array dedup", repeated_passages),
     ("best-fit packing", packed),
 ]
 
-#: Tokenization has no SQL form; tests hold the pipeline against brute force.
+#: Neither near-duplicate components nor tokenization have a practical SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the documents table."""
+    """All stages over the documents table, in one plan."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
