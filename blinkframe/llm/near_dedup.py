@@ -111,15 +111,23 @@ def _near(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").filter(bits <= most).select("u", "v")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of (u, v) with 100 * intersection >= percent * union of their complete shingle sets."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+def _complete(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Complete shingle sets and larger odd sketches of the documents with these ids: doc_id, shingles, fine."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.tobytes() for s in shingle_sets(batch["text"], size)], pa.binary())], ["doc_id", "shingles"])
+            found, samples = [], np.zeros((len(batch), FINE.count), np.uint32)
+            for row, own in enumerate(shingle_sets(batch["text"], size)):
+                found.append(own.tobytes())
+                samples[row] = FINE.of(own)
+            sketch = FINE.sketches(samples)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary()), _lists(sketch.ravel(), np.full(len(found), sketch.shape[1]))], ["doc_id", "shingles", "fine"])
+
+    return docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(work, "doc_id long, shingles binary, fine array<long>")
 
-    known = docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
+
+def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of (u, v) with 100 * intersection >= percent * union of their complete shingle sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,25 +147,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
-def _fine(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """Larger odd sketches of the documents with these ids: doc_id, fine."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [FINE.of(s) for s in shingle_sets(batch["text"], size)]
-            sketch = FINE.sketches(np.array(found, np.uint32).reshape(len(found), FINE.count))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], _lists(sketch.ravel(), np.full(len(found), sketch.shape[1]))], ["doc_id", "fine"])
-
-    return docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(work, "doc_id long, fine array<long>")
-
-
-def _across(buckets: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(buckets: DataFrame, reps: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket but different components that pass both sketch tests and the size test, each once."""
     named = buckets.join(labels, buckets["doc_id"] == labels["id"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed_up = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    named = checkpoint(named.join(mixed_up, "band").select("band", "doc_id", "component"))
-    fine = _fine(docs, named.select("doc_id").distinct(), size)
-    members = named.join(reps.join(fine, "doc_id"), "doc_id").select("band", "doc_id", "component", "n_shingles", "sketch", "fine", "bands")
+    named = named.join(mixed_up, "band").select("band", "doc_id", "component")
+    members = named.join(reps.join(known.select("doc_id", "fine"), "doc_id"), "doc_id").select("band", "doc_id", "component", "n_shingles", "sketch", "fine", "bands")
     members = members.repartition("band").sortWithinPartitions("band", "n_shingles", "doc_id")
     limits = COARSE.farthest(percent / 100), FINE.farthest(percent / 100)
 
@@ -223,12 +218,13 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     buckets = reps.select("doc_id", F.explode("bands").alias("band"))
     several = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
     buckets = checkpoint(buckets.join(several, "band").select("band", "first", "doc_id"))
+    known = checkpoint(_complete(docs, buckets.select("doc_id").distinct(), size))
     stars = buckets.filter("first < doc_id").select(F.col("first").alias("u"), F.col("doc_id").alias("v")).distinct()
     tested = checkpoint(_near(stars, reps, COARSE.farthest(percent / 100)))
-    links = checkpoint(_confirmed(tested, docs, size, percent))
+    links = checkpoint(_confirmed(tested, known, percent))
     labels = components(links)
-    more = checkpoint(_across(buckets, reps, labels, docs, size, percent).join(tested, ["u", "v"], "left_anti"))
-    links = links.union(_confirmed(more, docs, size, percent))
+    more = checkpoint(_across(buckets, reps, labels, known, percent).join(tested, ["u", "v"], "left_anti"))
+    links = links.union(_confirmed(more, known, percent))
     # Members of a class are linked by their equal sets.
     labels = components(links).withColumnRenamed("id", "rep")
     found = members.join(labels, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

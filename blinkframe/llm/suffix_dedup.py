@@ -111,14 +111,16 @@ def _packed_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int)
             keep = chosen[a + row]
             found.append((a + row[keep], anchors[keep]))
         row, anchors = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        if not len(row):
+            continue
         part, rest = _codes(anchors, parts)
         order = np.lexsort((row, part))
         part, rest, row = part[order], rest[order], row[order]
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(part)], strict=True):
             own, index = np.unique(row[a:b], return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part[a]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (uids[own], index.astype("<u4"), rest[a:b]))],
+                [pa.array([part[a]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (uids[own], index.astype("<u2" if len(own) <= 1 << 16 else "<u4"), rest[a:b]))],
                 ["part", "uids", "at", "rest"],
             )
 
@@ -128,7 +130,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[p
     uids, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for batch in batches:
         for part, own, at, rest in zip(*(batch[n].to_pylist() for n in ("part", "uids", "at", "rest")), strict=True):
-            uids.append(np.frombuffer(own, np.int64)[np.frombuffer(at, "<u4")])
+            uids.append(np.frombuffer(own, np.int64)[np.frombuffer(at, "<u2" if len(own) <= 8 << 16 else "<u4")])
             codes.append(np.frombuffer(rest, np.uint32).astype(np.uint64) * np.uint64(parts) + np.uint64(part))
     uid, code = np.concatenate(uids), np.concatenate(codes)
     order = np.lexsort((uid, code))
@@ -148,10 +150,14 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[p
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows whose anchor other texts have too: anchor, doc_id, uid, start, content."""
+    """Runs of windows whose anchor other texts have too: anchor, doc_id, uid, start, size, content.
+
+    A run that a smaller document of the same batch has as well is a repeat whatever else there is; it has no content.
+    """
     for batch in batches:
         data, bounds = text_bytes(batch["text"])
         ids, uids, codes = batch["doc_id"].to_numpy(), batch["uid"].to_numpy(), batch["codes"]
+        found: list[tuple] = []
         for a, b in slices(bounds, SLICE_BYTES):
             base = bounds[a]
             piece = data[base : bounds[b]]
@@ -169,10 +175,21 @@ def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
             sizes = count + length - 1
             ends = np.cumsum(sizes)
             gathered = piece[np.repeat(start - (ends - sizes), sizes) + np.arange(ends[-1])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors.view(np.int64)), pa.array(ids[a + row]), pa.array(uids[a + row]), pa.array(start - (bounds[a + row] - base)), _binary(gathered, ends - sizes)],
-                ["anchor", "doc_id", "uid", "start", "content"],
-            )
+            found.append((anchors.view(np.int64), a + row, start - (bounds[a + row] - base), sizes, _binary(gathered, ends - sizes)))
+        if not found:
+            continue
+        anchors, row, start, sizes = (np.concatenate([f[i] for f in found]) for i in range(4))
+        content = pa.chunked_array([f[4] for f in found]).combine_chunks()
+        if isinstance(content, pa.ChunkedArray):
+            content = content.chunk(0)
+        code = content.dictionary_encode().indices.to_numpy()
+        least = np.full(code.max() + 1, LAST, np.int64)
+        np.minimum.at(least, code, ids[row])
+        content = pa.compute.if_else(pa.array(ids[row] > least[code]), pa.scalar(None, content.type), content)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchors), pa.array(ids[row]), pa.array(uids[row]), pa.array(start.astype(np.int32)), pa.array(sizes.astype(np.int32)), content],
+            ["anchor", "doc_id", "uid", "start", "size", "content"],
+        )
 
 
 def equal_groups(buffer: np.ndarray, suffixes: np.ndarray, group: np.ndarray, depth: int, still: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -267,15 +284,25 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     def work(fresh: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal carried
         table = pa.Table.from_batches(fresh)
+        known = pa.compute.is_null(table["content"])
+        told = table.filter(known)
+        table = table.filter(pa.compute.invert(known))
         old = 0
         if carried is not None:
             old = len(carried)
             table = pa.concat_tables([carried, table])
-        table = table.combine_chunks()
-        anchor, doc, uid, start = (table[n].to_numpy() for n in ("anchor", "doc_id", "uid", "start"))
-        row, begin, end, first = _repeats(anchor, doc, table["content"].combine_chunks() if isinstance(table["content"], pa.ChunkedArray) else table["content"], length)
-        # What later rows of the last anchor have to be compared with.
-        carried = table.take(pa.array(np.sort(first[anchor[first] == anchor[-1]])))
+        # Runs that are known as repeats follow the others; no row is compared with them.
+        plain = len(table)
+        both = pa.concat_tables([table, told])
+        anchor, doc, uid, start, size = (both[n].to_numpy() for n in ("anchor", "doc_id", "uid", "start", "size"))
+        row, begin, end = (np.zeros(0, np.int64),) * 3
+        if plain:
+            content = pa.concat_arrays(table["content"].chunks)
+            row, begin, end, first = _repeats(anchor[:plain], doc[:plain], content, length)
+            # What later rows of the last anchor have to be compared with.
+            carried = table.take(pa.array(np.sort(first[anchor[first] == anchor[plain - 1]])))
+        row = np.r_[row, np.arange(plain, len(both))]
+        begin, end = np.r_[begin, np.zeros(len(told), np.int64)], np.r_[end, size[plain:]]
         mine = row >= old
         row, begin, end = row[mine], begin[mine] + start[row[mine]], end[mine] + start[row[mine]]
         if not len(row):
@@ -322,11 +349,12 @@ def _with_spans(docs: DataFrame, key: str, text: str, length: int, payload) -> D
     hits = shared.groupBy("uid").agg(F.collect_list("codes").alias("codes"))
     hits = hits.join(status.filter("of = first_id").select("uid").distinct(), "uid", "left_semi")
     texts = known.select("doc_id", "uid", "text", "payload")
-    found = texts.join(hits, "uid").select("doc_id", "uid", "text", "codes").mapInArrow(lambda it: _shared_runs(it, length, parts), "anchor long, doc_id long, uid long, start long, content binary")
+    # Both joins deal the same columns by uid, so that the texts are shuffled once.
+    found = texts.join(hits, "uid").select("doc_id", "uid", "text", "payload", "codes").mapInArrow(lambda it: _shared_runs(it, length, parts), "anchor long, doc_id long, uid long, start int, size int, content binary")
     spans = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(lambda it: _sorted_runs(it, length), "uid long, doc_id long, spans binary")
     lost = spans.groupBy("uid").agg(F.collect_list(F.struct("doc_id", "spans")).alias("lost"))
     marks = status.join(lost, "uid", "left")
-    return texts.join(marks, (texts["uid"] == marks["uid"]) & (texts["doc_id"] == marks["of"])).select(texts["doc_id"], "text", "payload", "first_id", "lost")
+    return texts.join(marks, "uid").filter("doc_id = of").select("doc_id", "uid", "text", "payload", "first_id", "lost")
 
 
 def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -353,7 +381,7 @@ def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, key, text, length, F.lit(0)).mapInArrow(work, schema)
+    return _with_spans(docs, key, text, length, F.lit(0).cast("byte")).mapInArrow(work, schema)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
