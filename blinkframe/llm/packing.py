@@ -194,6 +194,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, pi
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = BestFit(length, open_bins), TaskContext.get().partitionId() << SPREAD
         for batch in batches:
+            # A batch is looked at as a whole: its longest pieces choose first.
+            batch = batch.take(pa.array(np.argsort(-batch["length"].to_numpy(), kind="stable")))
             placed = [bins.place(need) for need in batch["length"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([first + number for number, _ in placed], pa.int64()), pa.array([offset for _, offset in placed], pa.int64())],

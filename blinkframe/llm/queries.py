@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blinkframe.llm import byte_bpe, chat_format, exact_dedup, html_render, near_dedup, packing, quality_rules, suffix_dedup, url_filter
+from blinkframe.llm import byte_bpe, chat_format, exact_dedup, html_render, near_dedup, packing, quality_rules, suffix_dedup, toxicity, url_filter
 from blinkframe.llm.frames import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,6 +55,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled rows that are not held out."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share four fifths of their 4-word shingles."""
     return near_dedup.near_components(table(spark, sf_dir, "documents"), size=4)
@@ -73,6 +78,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

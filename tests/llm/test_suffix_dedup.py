@@ -68,7 +68,7 @@ def test_streamed_in_small_chunks(monkeypatch):
     rng = random.Random(5)
     base = [[bytes(rng.choice(letters) for _ in range(70)) for _ in range(4)] for letters in (b"abcd", b"efgh", b"ijkl")]
     rows = sorted((anchor, rng.randint(0, 40), base[anchor][rng.randint(0, 3)][rng.randint(0, 9) :]) for anchor in range(3) for _ in range(60))
-    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([d]), pa.array([d]), pa.array([0]), pa.array([c], pa.binary())], ["anchor", "doc_id", "uid", "start", "content"]) for a, d, c in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([d]), pa.array([d]), pa.array([0], pa.int32()), pa.array([len(c)], pa.int32()), pa.array([c], pa.binary())], ["anchor", "doc_id", "uid", "start", "size", "content"]) for a, d, c in rows]
 
     def lost(at_once):
         monkeypatch.setattr(suffix_dedup, "RUNS_AT_ONCE", at_once)
