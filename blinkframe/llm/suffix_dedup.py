@@ -29,7 +29,7 @@ from blinkframe.llm.frames import slices, text_bytes
 
 LENGTH = 50
 SLICE_BYTES = 1 << 20
-RUNS_AT_ONCE = 100_000
+RUNS_AT_ONCE = 40_000
 LAST = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,8 +125,44 @@ def _packed_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int)
             )
 
 
+def _packs(uid: np.ndarray, values: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``values`` (64-bit, one for each uid given) packed by bucket of their uid: bucket, uids, counts, rows."""
+    if not len(uid):
+        return
+    bucket = (_mixed(uid.view(np.uint64) * MIX) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((uid, bucket))
+    uid, values, bucket = uid[order], values[order], bucket[order]
+    edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(uid)]
+    columns: list[list] = [[], [], [], []]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own, counts = np.unique(uid[a:b], return_counts=True)
+        for column, value in zip(columns, (int(bucket[a]), own.tobytes(), counts.astype("<u4").tobytes(), values[a:b].tobytes()), strict=True):
+            column.append(value)
+    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "uids", "counts", "rows"])
+
+
+PACKS = "bucket long, uids binary, counts binary, rows binary"
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """One row for each uid with all its values: uid, rows."""
+    uids, values = [np.zeros(0, np.int64)], [np.zeros((0, width), np.int64)]
+    for batch in batches:
+        for own, counts, rows in zip(*(batch[n].to_pylist() for n in ("uids", "counts", "rows")), strict=True):
+            uids.append(np.repeat(np.frombuffer(own, np.int64), np.frombuffer(counts, "<u4")))
+            values.append(np.frombuffer(rows, np.int64).reshape(-1, width))
+    uid, value = np.concatenate(uids), np.concatenate(values)
+    order = np.argsort(uid, kind="stable")
+    uid, value = uid[order], value[order]
+    starts = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]]) if len(uid) else np.zeros(0, np.int64)
+    edges = np.r_[starts, len(uid)]
+    for at in range(0, len(starts), 2000):
+        some = edges[at : at + 2001]
+        yield pa.RecordBatch.from_arrays([pa.array(uid[some[:-1]]), _binary(value[some[0] : some[-1]].ravel(), (some[:-1] - some[0]) * width)], ["uid", "rows"])
+
+
 def _shared_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Anchors that two texts or more have, by text: uid, codes."""
+    """Anchors that two texts or more have, packed by text."""
     uids, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for batch in batches:
         for part, own, at, rest in zip(*(batch[n].to_pylist() for n in ("part", "uids", "at", "rest")), strict=True):
@@ -139,24 +175,29 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[p
     uid, code = uid[fresh], code[fresh]
     same = code[1:] == code[:-1]
     shared = np.r_[same, False] | np.r_[False, same] if len(code) else np.zeros(0, bool)
-    uid, code = uid[shared], code[shared]
-    order = np.argsort(uid, kind="stable")
-    uid, code = uid[order], code[order]
-    starts = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]]) if len(uid) else np.zeros(0, np.int64)
-    for some in np.array_split(starts, max(1, len(starts) // 5000)):
-        if len(some):
-            end = starts[np.searchsorted(starts, some[-1]) + 1] if some[-1] != starts[-1] else len(uid)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[some]), _binary(code[some[0] : end], some - some[0])], ["uid", "codes"])
+    yield from _packs(uid[shared], code[shared].view(np.int64), parts)
+
+
+def _spans_of(uid: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans with those of one document joined where they touch: uid, rows of (doc, begin, end)."""
+    order = np.lexsort((begin, doc, uid))
+    uid, doc, begin, end = uid[order], doc[order], begin[order], end[order]
+    new = np.r_[True, (uid[1:] != uid[:-1]) | (doc[1:] != doc[:-1])][: len(uid)]
+    # Shifted apart by document, spans of different documents never touch.
+    apart = np.cumsum(new) * (int(end.max(initial=0)) + 2)
+    low, high = merged(begin + apart, end + apart)
+    first = np.searchsorted(begin + apart, low)
+    return uid[first], np.stack([doc[first], low - apart[first], high - apart[first]], 1)
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows whose anchor other texts have too: anchor, doc_id, uid, start, size, content.
+    """Runs of windows whose anchor other texts have too.
 
-    A run that a smaller document of the same batch has as well is a repeat whatever else there is; it has no content.
+    A run that a smaller document of the same batch has as well is a repeat whatever else there is, and is not compared.
     """
     for batch in batches:
         data, bounds = text_bytes(batch["text"])
-        ids, uids, codes = batch["doc_id"].to_numpy(), batch["uid"].to_numpy(), batch["codes"]
+        ids, uids, codes = batch["doc_id"].to_numpy(), batch["uid"].to_numpy(), batch["rows"]
         found: list[tuple] = []
         for a, b in slices(bounds, SLICE_BYTES):
             base = bounds[a]
@@ -167,7 +208,7 @@ def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
             edges = np.searchsorted(row, np.arange(b - a + 1))
             keep = np.zeros(len(row), bool)
             for r in range(b - a):
-                own = np.frombuffer(b"".join(codes[a + r].as_py()), np.uint64)
+                own = np.frombuffer(codes[a + r].as_py(), np.uint64)
                 keep[edges[r] : edges[r + 1]] = np.isin(code[edges[r] : edges[r + 1]], own)
             row, start, count, anchors = row[keep], start[keep], count[keep], anchors[keep]
             if not len(row):
@@ -176,20 +217,34 @@ def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
             ends = np.cumsum(sizes)
             gathered = piece[np.repeat(start - (ends - sizes), sizes) + np.arange(ends[-1])]
             found.append((anchors.view(np.int64), a + row, start - (bounds[a + row] - base), sizes, _binary(gathered, ends - sizes)))
-        if not found:
-            continue
-        anchors, row, start, sizes = (np.concatenate([f[i] for f in found]) for i in range(4))
-        content = pa.chunked_array([f[4] for f in found]).combine_chunks()
-        if isinstance(content, pa.ChunkedArray):
-            content = content.chunk(0)
-        code = content.dictionary_encode().indices.to_numpy()
-        least = np.full(code.max() + 1, LAST, np.int64)
-        np.minimum.at(least, code, ids[row])
-        content = pa.compute.if_else(pa.array(ids[row] > least[code]), pa.scalar(None, content.type), content)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(anchors), pa.array(ids[row]), pa.array(uids[row]), pa.array(start.astype(np.int32)), pa.array(sizes.astype(np.int32)), content],
-            ["anchor", "doc_id", "uid", "start", "size", "content"],
-        )
+            if sum(len(f[4]) for f in found) >= RUNS_AT_ONCE:
+                yield from _sent(found, ids, uids, parts)
+                found = []
+        yield from _sent(found, ids, uids, parts)
+
+
+RUNS = "anchor long, doc_id long, uid long, start int, content binary, uids binary, counts binary"
+
+
+def _sent(found: list[tuple], ids: np.ndarray, uids: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Runs to compare; what is a repeat already goes along as packs, whose rows stand in ``content``."""
+    if not found:
+        return
+    anchors, row, start, sizes = (np.concatenate([f[i] for f in found]) for i in range(4))
+    content = pa.concat_arrays([f[4] for f in found])
+    code = content.dictionary_encode().indices.to_numpy()
+    least = np.full(code.max() + 1, LAST, np.int64)
+    np.minimum.at(least, code, ids[row])
+    known = ids[row] > least[code]
+    names = ["anchor", "doc_id", "uid", "start", "content", "uids", "counts"]
+    open_ = np.flatnonzero(~known)
+    none = pa.nulls(len(open_), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(anchors[open_]), pa.array(ids[row[open_]]), pa.array(uids[row[open_]]), pa.array(start[open_].astype(np.int32)), content.take(pa.array(open_)), none, none], names)
+    own = row[known]
+    if len(own):
+        for pack in _packs(*_spans_of(uids[own], ids[own], start[known], start[known] + sizes[known]), parts):
+            n = len(pack)
+            yield pa.RecordBatch.from_arrays([pack["bucket"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pack["rows"], pack["uids"], pack["counts"]], names)
 
 
 def equal_groups(buffer: np.ndarray, suffixes: np.ndarray, group: np.ndarray, depth: int, still: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -276,50 +331,39 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[np.r_[new[1:], True]]
 
 
-def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeats in runs that come sorted by anchor and doc_id: uid, doc_id, spans (pairs of longs)."""
+def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Repeats in runs that come sorted by anchor and doc_id, packed by text; packs pass through."""
     carried: pa.Table | None = None
     held: list[pa.RecordBatch] = []
 
-    def work(fresh: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work() -> Iterator[pa.RecordBatch]:
         nonlocal carried
-        table = pa.Table.from_batches(fresh)
-        known = pa.compute.is_null(table["content"])
-        told = table.filter(known)
-        table = table.filter(pa.compute.invert(known))
+        table = pa.Table.from_batches(held)
         old = 0
         if carried is not None:
             old = len(carried)
             table = pa.concat_tables([carried, table])
-        # Runs that are known as repeats follow the others; no row is compared with them.
-        plain = len(table)
-        both = pa.concat_tables([table, told])
-        anchor, doc, uid, start, size = (both[n].to_numpy() for n in ("anchor", "doc_id", "uid", "start", "size"))
-        row, begin, end = (np.zeros(0, np.int64),) * 3
-        if plain:
-            content = pa.concat_arrays(table["content"].chunks)
-            row, begin, end, first = _repeats(anchor[:plain], doc[:plain], content, length)
-            # What later rows of the last anchor have to be compared with.
-            carried = table.take(pa.array(np.sort(first[anchor[first] == anchor[plain - 1]])))
-        row = np.r_[row, np.arange(plain, len(both))]
-        begin, end = np.r_[begin, np.zeros(len(told), np.int64)], np.r_[end, size[plain:]]
+        anchor, doc, uid, start = (table[n].to_numpy() for n in ("anchor", "doc_id", "uid", "start"))
+        row, begin, end, first = _repeats(anchor, doc, pa.concat_arrays(table["content"].chunks), length)
+        # What later rows of the last anchor have to be compared with.
+        carried = table.take(pa.array(np.sort(first[anchor[first] == anchor[-1]])))
         mine = row >= old
-        row, begin, end = row[mine], begin[mine] + start[row[mine]], end[mine] + start[row[mine]]
-        if not len(row):
-            return
-        order = np.lexsort((begin, doc[row], uid[row]))
-        row, pairs = row[order], np.stack([begin[order], end[order]], 1)
-        starts = np.flatnonzero(np.r_[True, (uid[row][1:] != uid[row][:-1]) | (doc[row][1:] != doc[row][:-1])])
-        spans = [np.stack(merged(p[:, 0], p[:, 1]), 1).astype("<i8").tobytes() for p in np.split(pairs, starts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(uid[row][starts]), pa.array(doc[row][starts]), pa.array(spans, pa.binary())], ["uid", "doc_id", "spans"])
+        row, begin, end = row[mine], begin[mine], end[mine]
+        yield from _packs(*_spans_of(uid[row], doc[row], begin + start[row], end + start[row]), parts)
 
     for batch in batches:
-        held.append(batch)
+        packed = pa.compute.is_valid(batch["uids"])
+        packs = batch.filter(packed)
+        if len(packs):
+            yield pa.RecordBatch.from_arrays([packs["anchor"], packs["uids"], packs["counts"], packs["content"]], ["bucket", "uids", "counts", "rows"])
+        plain = batch.filter(pa.compute.invert(packed)).select(["anchor", "doc_id", "uid", "start", "content"])
+        if len(plain):
+            held.append(plain)
         if sum(map(len, held)) >= RUNS_AT_ONCE:
-            yield from work(held)
+            yield from work()
             held = []
-    if sum(map(len, held)):
-        yield from work(held)
+    if held:
+        yield from work()
 
 
 def _removed(row: dict, length: int) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -327,9 +371,9 @@ def _removed(row: dict, length: int) -> tuple[bytes, np.ndarray, np.ndarray]:
     data = (row["text"] or "").encode()
     if row["first_id"] < row["doc_id"]:
         return data, *(np.array(x, np.int64) for x in (([0], [len(data)]) if len(data) >= length else ([], [])))
-    own = [np.frombuffer(s["spans"], "<i8").reshape(-1, 2) for s in row["lost"] or [] if s["doc_id"] == row["doc_id"]]
-    pairs = np.concatenate(own) if own else np.zeros((0, 2), np.int64)
-    return data, *merged(pairs[:, 0], pairs[:, 1])
+    own = np.frombuffer(row["lost"] or b"", np.int64).reshape(-1, 3)
+    own = own[own[:, 0] == row["doc_id"]]
+    return data, *merged(own[:, 1], own[:, 2])
 
 
 def _with_spans(docs: DataFrame, key: str, text: str, length: int, payload) -> DataFrame:
@@ -345,16 +389,18 @@ def _with_spans(docs: DataFrame, key: str, text: str, length: int, payload) -> D
     status = digests.join(firsts, "digest").select("uid", F.col("doc_id").alias("of"), "first_id").distinct()
 
     packed = plain.mapInArrow(lambda it: _packed_anchors(it, length, parts), "part long, uids binary, at binary, rest binary")
-    shared = packed.repartition(parts, "part").mapInArrow(lambda it: _shared_anchors(it, parts), "uid long, codes binary")
-    hits = shared.groupBy("uid").agg(F.collect_list("codes").alias("codes"))
+    shared = packed.repartition(parts, "part").mapInArrow(lambda it: _shared_anchors(it, parts), PACKS)
+    hits = shared.repartition(parts, "bucket").mapInArrow(lambda it: _unpacked(it, 1), "uid long, rows binary")
     hits = hits.join(status.filter("of = first_id").select("uid").distinct(), "uid", "left_semi")
     texts = known.select("doc_id", "uid", "text", "payload")
     # Both joins deal the same columns by uid, so that the texts are shuffled once.
-    found = texts.join(hits, "uid").select("doc_id", "uid", "text", "payload", "codes").mapInArrow(lambda it: _shared_runs(it, length, parts), "anchor long, doc_id long, uid long, start int, size int, content binary")
-    spans = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(lambda it: _sorted_runs(it, length), "uid long, doc_id long, spans binary")
-    lost = spans.groupBy("uid").agg(F.collect_list(F.struct("doc_id", "spans")).alias("lost"))
+    found = texts.join(hits, "uid").select("doc_id", "uid", "text", "payload", "rows").mapInArrow(lambda it: _shared_runs(it, length, parts), RUNS)
+    sorted_runs = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id")
+    spans = sorted_runs.mapInArrow(lambda it: _sorted_runs(it, length, parts), PACKS)
+    lost = spans.repartition(parts, "bucket").mapInArrow(lambda it: _unpacked(it, 3), "uid long, rows binary").withColumnRenamed("rows", "lost")
     marks = status.join(lost, "uid", "left")
-    return texts.join(marks, "uid").filter("doc_id = of").select("doc_id", "uid", "text", "payload", "first_id", "lost")
+    # Texts with one uid but other ids are told apart behind the join: as a key the id would ask for another shuffle.
+    return texts.join(marks, "uid").filter("doc_id - of = 0").select("doc_id", "uid", "text", "payload", "first_id", "lost")
 
 
 def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -68,15 +68,15 @@ def test_streamed_in_small_chunks(monkeypatch):
     rng = random.Random(5)
     base = [[bytes(rng.choice(letters) for _ in range(70)) for _ in range(4)] for letters in (b"abcd", b"efgh", b"ijkl")]
     rows = sorted((anchor, rng.randint(0, 40), base[anchor][rng.randint(0, 3)][rng.randint(0, 9) :]) for anchor in range(3) for _ in range(60))
-    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([d]), pa.array([d]), pa.array([0], pa.int32()), pa.array([len(c)], pa.int32()), pa.array([c], pa.binary())], ["anchor", "doc_id", "uid", "start", "size", "content"]) for a, d, c in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([d]), pa.array([d]), pa.array([0], pa.int32()), pa.array([c], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], ["anchor", "doc_id", "uid", "start", "content", "uids", "counts"]) for a, d, c in rows]
 
     def lost(at_once):
         monkeypatch.setattr(suffix_dedup, "RUNS_AT_ONCE", at_once)
         found = {}
-        for batch in suffix_dedup._sorted_runs(iter(batches), 50):
+        for batch in suffix_dedup._unpacked(suffix_dedup._sorted_runs(iter(batches), 50, 5), 3):
             for r in batch.to_pylist():
-                gone = found.setdefault(r["doc_id"], np.zeros(80, bool))
-                for a, b in np.frombuffer(r["spans"], "<i8").reshape(-1, 2):
+                gone = found.setdefault(r["uid"], np.zeros(80, bool))
+                for _, a, b in np.frombuffer(r["rows"], np.int64).reshape(-1, 3):
                     gone[a:b] = True
         return {d: g.tobytes() for d, g in found.items()}
 
