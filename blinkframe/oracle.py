@@ -158,19 +158,19 @@ def drift(window: int, most: int = 8) -> str:
     return f"""
     mov AS (SELECT frame, round(x)::BIGINT AS x, round(y)::BIGINT AS y, count(*) AS n FROM loc GROUP BY ALL),
     ref AS (SELECT frame + k AS frame, round(x)::BIGINT AS x, round(y)::BIGINT AS y, count(*) AS n FROM loc, (SELECT range + 1 AS k FROM range({window})) GROUP BY ALL),
-    both AS (SELECT DISTINCT frame FROM mov WHERE frame IN (SELECT frame FROM ref)),
+    shared AS (SELECT DISTINCT frame FROM mov WHERE frame IN (SELECT frame FROM ref)),
     sc AS (
       SELECT m.frame, r.x - m.x AS sx, r.y - m.y AS sy, sum(r.n * m.n) AS v FROM mov m JOIN ref r ON r.frame = m.frame
       WHERE abs(r.x - m.x) <= {most + 1} AND abs(r.y - m.y) <= {most + 1} GROUP BY ALL
     ), ranked AS (
       SELECT f.frame, x.s AS sx, y.s AS sy, coalesce(sc.v, 0) AS v, row_number() OVER (PARTITION BY f.frame ORDER BY coalesce(sc.v, 0) DESC, y.s, x.s) AS k
-      FROM both f CROSS JOIN {inner} x CROSS JOIN {inner} y LEFT JOIN sc ON sc.frame = f.frame AND sc.sx = x.s AND sc.sy = y.s
+      FROM shared f CROSS JOIN {inner} x CROSS JOIN {inner} y LEFT JOIN sc ON sc.frame = f.frame AND sc.sx = x.s AND sc.sy = y.s
     ), top AS (
       SELECT b.frame, b.sx, b.sy, b.v, b.v::DOUBLE AS c, {at(-1, 0)}::DOUBLE AS w, {at(1, 0)}::DOUBLE AS e, {at(0, -1)}::DOUBLE AS n, {at(0, 1)}::DOUBLE AS s
       FROM ranked b LEFT JOIN sc s ON s.frame = b.frame WHERE b.k = 1 GROUP BY ALL
     ), shifts AS (
       SELECT frame, sx + {vertex('w', 'e')} AS shift_x, sy + {vertex('n', 's')} AS shift_y, v::BIGINT AS overlap FROM top
-      UNION ALL SELECT DISTINCT frame, 0.0, 0.0, 0 FROM mov WHERE frame NOT IN (SELECT frame FROM both)
+      UNION ALL SELECT DISTINCT frame, 0.0, 0.0, 0 FROM mov WHERE frame NOT IN (SELECT frame FROM shared)
     )"""
 
 

@@ -138,7 +138,7 @@ def _(spark, sf):
     return images.above_threshold(images.counted_image(events.scattered(spark, sf)), 2)
 
 
-@register("downsample", O.query(O.EV, "b AS (SELECT frame, x // 6 AS bx, y // 5 AS by, count(*) AS n FROM ev GROUP BY ALL)", "SELECT frame, bx, by, round(n / ((least((bx + 1) * 6, 128) - bx * 6) * (least((by + 1) * 5, 96) - by * 5)), 6) AS value FROM b"))
+@register("downsample", O.query(O.EV, "b AS (SELECT frame, x // 6 AS bx, y // 5 AS b_y, count(*) AS n FROM ev GROUP BY ALL)", "SELECT frame, bx, b_y AS \"by\", round(n / ((least((bx + 1) * 6, 128) - bx * 6) * (least((b_y + 1) * 5, 96) - b_y * 5)), 6) AS value FROM b"))
 def _(spark, sf):
     return rounded(images.downsampled(images.counted_image(events.scattered(spark, sf)), 22))
 
