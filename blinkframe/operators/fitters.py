@@ -40,7 +40,9 @@ def phasor(pixels: DataFrame) -> DataFrame:
     ).filter("n > 0")
 
     def place(c: str, i: str, start: str, size: str):
-        return F.col(start) + wrapped(F.atan2(F.col(i), F.col(c)) * F.col(size) / (2 * math.pi), F.col(size).cast("double"))
+        # Without amplitude there is no phase but rounding; it is taken as zero.
+        phase = F.when(F.sqrt(F.col(c) * F.col(c) + F.col(i) * F.col(i)) <= 1e-9 * F.col("n"), 0.0).otherwise(F.atan2(F.col(i), F.col(c)))
+        return F.col(start) + wrapped(phase * F.col(size) / (2 * math.pi), F.col(size).cast("double"))
 
     def ratio(c: str, i: str):
         return F.least(F.sqrt(F.col(c) * F.col(c) + F.col(i) * F.col(i)) / F.col("n"), F.lit(1.0))

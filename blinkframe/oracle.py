@@ -103,8 +103,8 @@ PHASOR = f"""
       FROM hist JOIN box USING (frame, cluster_id) GROUP BY ALL
     ), fit AS (
       SELECT frame, cluster_id,
-             CASE WHEN w < 2 OR h < 2 THEN sx / n ELSE x0 + ((atan2(ix, cx) * w / ({_TURN})) % w + w) % w END AS x,
-             CASE WHEN w < 2 OR h < 2 THEN sy / n ELSE y0 + ((atan2(iy, cy) * h / ({_TURN})) % h + h) % h END AS y,
+             CASE WHEN w < 2 OR h < 2 THEN sx / n ELSE x0 + ((CASE WHEN sqrt(cx * cx + ix * ix) <= 1e-9 * n THEN 0.0 ELSE atan2(ix, cx) END * w / ({_TURN})) % w + w) % w END AS x,
+             CASE WHEN w < 2 OR h < 2 THEN sy / n ELSE y0 + ((CASE WHEN sqrt(cy * cy + iy * iy) <= 1e-9 * n THEN 0.0 ELSE atan2(iy, cy) END * h / ({_TURN})) % h + h) % h END AS y,
              0.0 AS sigma_x, 0.0 AS sigma_y,
              CASE WHEN w < 2 OR h < 2 THEN 0.0 ELSE 1 - 0.5 * (least(sqrt(cx * cx + ix * ix) / n, 1.0) + least(sqrt(cy * cy + iy * iy) / n, 1.0)) END AS residual
       FROM wave
