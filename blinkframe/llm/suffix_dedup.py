@@ -31,6 +31,8 @@ LENGTH = 50
 SLICE_BYTES = 1 << 20
 RUNS_AT_ONCE = 40_000
 LAST = (1 << 63) - 1
+#: Texts are found again by 32 bits of their uid: those that share them get each other's anchors too, which changes nothing.
+SHORT_UID = 0xFFFFFFFF
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,7 +96,7 @@ def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def _packed_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of the texts of each batch: part, uids, index into them, rest of the hash; equal texts once."""
+    """Anchors of the texts of each batch: part, short uids, index into them, rest of the hash; equal texts once."""
     for batch in batches:
         data, bounds = text_bytes(batch["text"])
         ids, uids = batch["doc_id"].to_numpy(), batch["uid"].to_numpy()
@@ -114,14 +116,16 @@ def _packed_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int)
         if not len(row):
             continue
         part, rest = _codes(anchors, parts)
-        order = np.lexsort((row, part))
+        order = np.lexsort((rest, row, part))
         part, rest, row = part[order], rest[order], row[order]
+        fresh = np.r_[True, (part[1:] != part[:-1]) | (row[1:] != row[:-1]) | (rest[1:] != rest[:-1])]
+        part, rest, row = part[fresh], rest[fresh], row[fresh]
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(part)], strict=True):
             own, index = np.unique(row[a:b], return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part[a]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (uids[own], index.astype("<u2" if len(own) <= 1 << 16 else "<u4"), rest[a:b]))],
-                ["part", "uids", "at", "rest"],
+                [pa.array([part[a]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in ((uids[own] & SHORT_UID).astype("<u4"), index.astype("<u2" if len(own) <= 1 << 16 else "<u4"), rest[a:b]))],
+                ["part", "shorts", "at", "rest"],
             )
 
 
@@ -162,20 +166,18 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Anchors that two texts or more have, packed by text."""
-    uids, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    """Anchors that two texts or more have, packed by short uid. Each text comes once, with its anchors told apart."""
+    shorts, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for batch in batches:
-        for part, own, at, rest in zip(*(batch[n].to_pylist() for n in ("part", "uids", "at", "rest")), strict=True):
-            uids.append(np.frombuffer(own, np.int64)[np.frombuffer(at, "<u2" if len(own) <= 8 << 16 else "<u4")])
+        for part, own, at, rest in zip(*(batch[n].to_pylist() for n in ("part", "shorts", "at", "rest")), strict=True):
+            shorts.append(np.frombuffer(own, "<u4")[np.frombuffer(at, "<u2" if len(own) <= 4 << 16 else "<u4")].astype(np.int64))
             codes.append(np.frombuffer(rest, np.uint32).astype(np.uint64) * np.uint64(parts) + np.uint64(part))
-    uid, code = np.concatenate(uids), np.concatenate(codes)
-    order = np.lexsort((uid, code))
-    uid, code = uid[order], code[order]
-    fresh = np.r_[True, (code[1:] != code[:-1]) | (uid[1:] != uid[:-1])][: len(code)]
-    uid, code = uid[fresh], code[fresh]
+    short, code = np.concatenate(shorts), np.concatenate(codes)
+    order = np.argsort(code, kind="stable")
+    short, code = short[order], code[order]
     same = code[1:] == code[:-1]
     shared = np.r_[same, False] | np.r_[False, same] if len(code) else np.zeros(0, bool)
-    yield from _packs(uid[shared], code[shared].view(np.int64), parts)
+    yield from _packs(short[shared], code[shared].view(np.int64), parts)
 
 
 def _spans_of(uid: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -384,16 +386,18 @@ def _with_spans(docs: DataFrame, key: str, text: str, length: int, payload) -> D
     known = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), payload.alias("payload"))
     known = known.withColumn("uid", F.xxhash64("doc_id", "text"))
     plain = known.select("doc_id", "uid", "text")
-    digests = plain.select("doc_id", "uid", F.sha2("text", 256).alias("digest"))
+    digests = plain.select("doc_id", "uid", F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     status = digests.join(firsts, "digest").select("uid", F.col("doc_id").alias("of"), "first_id").distinct()
 
-    packed = plain.mapInArrow(lambda it: _packed_anchors(it, length, parts), "part long, uids binary, at binary, rest binary")
+    # All joins with texts deal the same columns by uid, so that the texts are shuffled once.
+    texts = known.select("doc_id", "uid", "text", "payload")
+    firsts_only = status.filter("of = first_id").select("uid").distinct()
+    own = texts.join(firsts_only, "uid").select("doc_id", "uid", "text", "payload")
+    packed = own.mapInArrow(lambda it: _packed_anchors(it, length, parts), "part long, shorts binary, at binary, rest binary")
     shared = packed.repartition(parts, "part").mapInArrow(lambda it: _shared_anchors(it, parts), PACKS)
     hits = shared.repartition(parts, "bucket").mapInArrow(lambda it: _unpacked(it, 1), "uid long, rows binary")
-    hits = hits.join(status.filter("of = first_id").select("uid").distinct(), "uid", "left_semi")
-    texts = known.select("doc_id", "uid", "text", "payload")
-    # Both joins deal the same columns by uid, so that the texts are shuffled once.
+    hits = firsts_only.join(hits.withColumnRenamed("uid", "short"), F.col("uid").bitwiseAND(F.lit(SHORT_UID)) == F.col("short")).select("uid", "rows")
     found = texts.join(hits, "uid").select("doc_id", "uid", "text", "payload", "rows").mapInArrow(lambda it: _shared_runs(it, length, parts), RUNS)
     sorted_runs = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id")
     spans = sorted_runs.mapInArrow(lambda it: _sorted_runs(it, length, parts), PACKS)
