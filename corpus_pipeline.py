@@ -5,11 +5,13 @@ All stages but the last return the columns of ``documents``; the last returns pa
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blinkframe.llm import exact_dedup, near_dedup, packing, quality_rules, suffix_dedup
-from blinkframe.llm.frames import table
+from blinkframe.llm.frames import shared_folder, table
 from blinkframe.llm.queries import WORD_TOKENIZER
 
 #: Bytes of a passage that must repeat in another document to be cut; 50 words of running text have more.
@@ -55,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, in one plan."""
+    """All stages over the documents table; what each but the last returns is written in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    *stages, (_, last) = STAGES
+    for number, (_, stage) in enumerate(stages):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return last(spark, docs, sf_dir)
