@@ -121,8 +121,13 @@ def _judged(rows: DataFrame, known: DataFrame) -> DataFrame:
         "q_word_distance": F.when((F.col("q_n_words") >= MIN_WORDS) & (F.size("q_common") > 0), distance("q_common_shares", "r_fit")),
     })
     # A language without a text of sufficient length has no reference; its rows are never measured against one.
-    near = (F.coalesce("q_class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("q_word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return rows.withColumn("q_kept", ~F.col("q_base_failed") & near)
+    # One comparison: a conjunction would be split, and its part without references pushed into the measures and expanded there.
+    over = F.greatest(
+        F.coalesce("q_class_distance", F.lit(0.0)) - MAX_CLASS_DISTANCE,
+        F.coalesce("q_word_distance", F.lit(0.0)) - MAX_WORD_DISTANCE,
+        F.when(F.col("q_base_failed"), 1.0).otherwise(-1.0),
+    )
+    return rows.withColumn("q_kept", over <= 0)
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
