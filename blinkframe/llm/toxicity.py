@@ -3,8 +3,9 @@
 A word's vector is the sum of two hashed embeddings, of the word and of its first bytes. Filters of several widths run over
 the words, the largest activation of each filter is kept, and a logistic layer gives the score. The model is trained in
 numpy on a bounded sample of labelled rows; it starts from embeddings that hold each bucket's log-odds in the sample.
-A threshold is then chosen for each language, told from the text's own words, and the logit is shifted so that every
-language's threshold is a score of one half.
+A threshold is then chosen for each language, told from the text's own words, from counts over all labelled rows that are
+not held out, and the logit is shifted so that every language's threshold is a score of one half. The sample's share of
+toxic rows adds a constant to all logits; it leaves with the shift, so neither score nor verdict depends on it.
 
 Scoring needs no matrix products: a filter's response to a bucket at each offset is one table, made when the model is.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blinkframe.llm.frames import slices, text_bytes
+from blinkframe.llm.frames import checkpoint, slices, text_bytes
 from blinkframe.llm.shingles import mixed, word_bounds, word_hashes
 
 #: At most so many labelled rows are learnt from, a third of them of label 1 if there are as many.
@@ -32,6 +33,9 @@ PREFIX_BYTES = 4
 EPOCHS = 6
 FOLDS = 5
 SLICE_BYTES = 1 << 19
+#: Thresholds are chosen from counts of logits in bins of 1 / BINS, within MOST_LOGIT.
+BINS = 128
+MOST_LOGIT = 30
 
 #: Words by which a text's language is told.
 TELLING = {
@@ -190,26 +194,33 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
                         embedding[words.begin[a + at + o]] -= grown
     model = Model(_folded(embedding, filters), bias.astype(np.float32), out.astype(np.float32), base, np.zeros(len(LANGUAGES)))
     logits = [model.logits(w) for w in words_in(pa.array([t or "" for t in texts], pa.large_string()))]
-    return model._replace(shift=_thresholds(np.concatenate(logits) if logits else np.zeros(0), words.lang, labels))
+    bins = _binned(np.concatenate(logits) if logits else np.zeros(0))
+    return model._replace(shift=_thresholds(words.lang, labels, bins, np.ones(len(bins), np.int64)))
 
 
-def _thresholds(logits: np.ndarray, lang: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Logit of each language's threshold: the cut with the best F1, midway between its neighbours; few examples share one."""
+def _binned(logits: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(logits, -MOST_LOGIT, MOST_LOGIT) * BINS).astype(np.int32)
 
-    def cut(z: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(-z, kind="stable")
-        hits = np.cumsum(y[order])
-        f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
+
+def _thresholds(lang: np.ndarray, label: np.ndarray, bins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logit of each language's threshold, from counts ``n``: the cut with the best F1, midway between its neighbours; few examples share one."""
+
+    def cut(own: np.ndarray) -> float:
+        at, where = np.unique(-bins[own], return_inverse=True)
+        hits = np.cumsum(np.bincount(where, n[own] * label[own], len(at)))
+        f1 = 2 * hits / (np.cumsum(np.bincount(where, n[own], len(at))) + hits[-1])
         best = int(f1.argmax())
-        low = z[order[best + 1]] if best + 1 < len(z) else z[order[best]] - 1
-        return float((z[order[best]] + low) / 2)
+        z = (0.5 - at) / BINS  # the middle of each bin, falling
+        low = z[best + 1] if best + 1 < len(z) else z[best] - 1
+        # Bins are half open, so between neighbouring bins the cut is their edge.
+        return float((z[best] + low) / 2)
 
-    every = cut(logits, labels) if len(labels) and labels.any() else 0.0
+    every = cut(np.ones(len(bins), bool)) if (n * label).any() else 0.0
     shift = np.full(len(LANGUAGES), every)
     for code in range(len(LANGUAGES)):
         own = lang == code
-        if labels[own].sum() >= 20 and (1 - labels[own]).sum() >= 20:
-            shift[code] = cut(logits[own], labels[own])
+        if (n * label)[own].sum() >= 20 and (n * (1 - label))[own].sum() >= 20:
+            shift[code] = cut(own)
     return shift
 
 
@@ -218,10 +229,15 @@ def fold(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % FOLDS, F.lit(0))
 
 
+def learnt(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """Ids and labels (k, y) that are not held out; of an id's labels the largest counts."""
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y is not null")
+    return known.filter(fold(F.col("k")) != 0).groupBy("k").agg(F.max("y").alias("y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], np.ndarray]:
     """Bounded training sample from rows that are not held out, in the order of a hash of their ids."""
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y is not null")
-    rows = known.filter(fold(F.col("k")) != 0).groupBy("k").agg(F.max("y").alias("y"))
+    rows = learnt(labels, key, label)
     order = F.xxhash64("k")
     chosen = rows.filter("y = 1").orderBy(order, "k").limit(most // 3).unionByName(rows.filter("y = 0").orderBy(order, "k").limit(most - most // 3))
     # Texts are cut neither here nor in scoring; a sample of at most ``most`` rows goes to the driver.
@@ -230,11 +246,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, key: str =
     return picked["text"].tolist(), picked["y"].to_numpy()
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted.
-
-    Null and empty texts are scored like any text without words. Rows that repeat give equal rows; other columns are ignored.
-    """
+def raw(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, held_out, lang (a code), logit with the model's own shift, and its bin."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size, whatever the corpus
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), (fold(F.col(f"`{key}`")) == 0).alias("held_out"))
@@ -242,14 +255,33 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.logits(words) for words in words_in(batch["text"])]
-            z = np.clip(np.concatenate(found), -30, 30).astype(np.float64) if found else np.zeros(0)
-            p = 1 / (1 + np.exp(-z))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            found = [(words.lang, own.logits(words)) for words in words_in(batch["text"])]
+            lang, z = (np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0))
+            columns = [pa.array(lang.astype(np.int32)), pa.array(z.astype(np.float64)), pa.array(_binned(z))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], *columns], ["doc_id", "held_out", "lang", "logit", "bin"])
+
+    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang int, logit double, bin int")
+
+
+def _scored(rows: DataFrame, shift: np.ndarray) -> DataFrame:
+    own = F.element_at(F.array(*[F.lit(float(s)) for s in shift]), F.col("lang") + 1)
+    z = F.greatest(F.least(F.col("logit") - own, F.lit(30.0)), F.lit(-30.0))
+    return rows.select("doc_id", "held_out", (1 / (1 + F.exp(-z))).alias("score"), (z >= 0).cast("int").alias("predicted"))
+
 
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted.
+
+    Null and empty texts are scored like any text without words. Rows that repeat give equal rows; other columns are ignored.
+    """
+    return _scored(raw(docs, model, key, text), np.zeros(len(LANGUAGES)))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on the labelled rows that are not held out, then score every document."""
-    return score(docs, train(*sample(docs, labels)))
+    """Train on a sample of the labelled rows that are not held out, choose thresholds on all of them, score every document."""
+    model = train(*sample(docs, labels))._replace(shift=np.zeros(len(LANGUAGES)))
+    # Texts are read once more here; what is kept is some 30 bytes a row.
+    rows = checkpoint(raw(docs, model))
+    known = rows.join(learnt(labels).withColumn("k", F.col("k").cast("long")), F.col("doc_id") == F.col("k"))
+    counts = known.groupBy("lang", "y", "bin").agg(F.count("*").alias("n")).toPandas()  # bounded by the number of bins
+    return _scored(rows, _thresholds(*(counts[c].to_numpy() for c in ("lang", "y", "bin", "n"))))

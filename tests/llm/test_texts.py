@@ -200,6 +200,15 @@ def test_toxicity_edges(spark):
     assert toxicity.train([], np.zeros(0)).logits(toxicity.words_of(*_buffer(["x"]))).shape == (1,)
 
 
+def test_toxicity_thresholds_come_from_all_labelled_rows(spark):
+    # One row in 13 is toxic and half of these say so; a fifth of the clean rows share the other half's word.
+    word = "CASE WHEN id % 13 = 0 THEN IF(id % 2 = 0, 'vile awful', 'vile') WHEN id % 5 = 0 THEN 'vile' ELSE 'fine' END"
+    docs = spark.range(40_000).selectExpr("id AS doc_id", f"concat('the day was ', {word}) AS text")
+    labels = spark.range(40_000).selectExpr("id AS doc_id", "int(id % 13 = 0) AS toxic")
+    got = toxicity.classify(docs, labels).join(docs, "doc_id").groupBy("text").agg(F.min("predicted").alias("low"), F.max("predicted").alias("high")).collect()
+    assert {r.text.removeprefix("the day was "): (r.low, r.high) for r in got} == {"vile awful": (1, 1), "vile": (0, 0), "fine": (0, 0)}
+
+
 def _buffer(texts):
     data = "".join(texts).encode()
     return np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
