@@ -24,7 +24,7 @@ from blinkframe.llm.frames import checkpoint, slices, text_bytes
 from blinkframe.llm.shingles import mixed, word_bounds, word_hashes
 
 #: At most so many labelled rows are learnt from, a third of them of label 1 if there are as many.
-MOST_ROWS = 4000
+MOST_ROWS = 6000
 BUCKETS = 1 << 15
 WIDTH = 8
 WIDTHS = (1, 2, 3)

@@ -209,6 +209,12 @@ def test_toxicity_thresholds_come_from_all_labelled_rows(spark):
     assert {r.text.removeprefix("the day was "): (r.low, r.high) for r in got} == {"vile awful": (1, 1), "vile": (0, 0), "fine": (0, 0)}
 
 
+def test_toxicity_learns_from_six_thousand_rows(spark):
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "'a' AS text")
+    texts, y = toxicity.sample(docs, spark.range(12_000).selectExpr("id AS doc_id", "int(id % 2) AS toxic"))
+    assert (len(texts), y.sum()) == (6000, 2000)
+
+
 def _buffer(texts):
     data = "".join(texts).encode()
     return np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
