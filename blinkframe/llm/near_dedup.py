@@ -8,17 +8,20 @@
    count of their XOR estimates high similarities closely. The others are confirmed on complete shingle sets.
 4. Members of one bucket that are still in different components meet block by block, by the same sketch and by one of
    1,024 samples that is made for them alone; what passes is confirmed too. So no link hangs on a bucket's first member.
+   A task holds two blocks, however large the bucket. Large buckets get more first members before, as long as these link
+   many, and blocks meet themselves before they meet others: buckets that are one component by then are left out.
 
 With 40 bands of 4, a pair at similarity 0.8 shares no band once in 10^9; the sketches lose one such pair in 10^7.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blinkframe.llm.components import components
@@ -147,54 +150,101 @@ def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
-def _across(buckets: DataFrame, reps: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket but different components that pass both sketch tests and the size test, each once."""
+def _mixed_up(buckets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: band, doc_id, component, n_shingles."""
     named = buckets.join(labels, buckets["doc_id"] == labels["id"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed_up = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    named = named.join(mixed_up, "band").select("band", "doc_id", "component")
-    members = named.join(reps.join(known.select("doc_id", "fine"), "doc_id"), "doc_id").select("band", "doc_id", "component", "n_shingles", "sketch", "fine", "bands")
-    members = members.repartition("band").sortWithinPartitions("band", "n_shingles", "doc_id")
+    several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    return checkpoint(named.join(several, "band").join(reps.select("doc_id", "n_shingles"), "doc_id").select("band", "doc_id", "component", "n_shingles"))
+
+
+def _largest(named: DataFrame) -> int:
+    """Members of the largest bucket."""
+    return named.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+
+
+def _stars(named: DataFrame, nth: int) -> DataFrame:
+    """Pairs (u, v) of one member of each bucket of more than BLOCK and all its members of other components."""
+    order = F.struct(F.xxhash64("doc_id", F.lit(nth)), F.col("doc_id").alias("hub"), F.col("component").alias("own"))
+    hubs = named.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("least")).filter(F.col("n") > BLOCK)
+    pairs = named.join(hubs.select("band", "least.hub", "least.own"), "band").filter("component <> own")
+    return pairs.select(F.least("hub", "doc_id").alias("u"), F.greatest("hub", "doc_id").alias("v")).distinct()
+
+
+def _meetings(named: DataFrame, percent: int, same: bool) -> DataFrame:
+    """Members of each pair of blocks (band, i, j) whose sizes allow the similarity, those of i with side 0, of j with 1.
+
+    A bucket's members are numbered by size, those of equal size by hash, and cut into blocks of about BLOCK. ``same``
+    gives each block with itself (side 0 alone), else each pair of different blocks.
+    """
+    sizes = named.groupBy("band", "n_shingles").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("band").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1))  # a row for each size
+    sizes = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
+    nth = F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("n"))
+    placed = named.join(sizes, ["band", "n_shingles"]).select("band", "doc_id", "component", "n_shingles", F.floor(nth / BLOCK).alias("block"))
+    if same:
+        return placed.select("band", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", "component")
+    placed = checkpoint(placed)
+    spans = placed.groupBy("band", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    a = spans.select("band", F.col("block").alias("i"), F.col("high").alias("most"))
+    b = spans.select("band", F.col("block").alias("j"), F.col("low").alias("least"))
+    pairs = a.join(b, "band").filter((F.col("i") < F.col("j")) & (100 * F.col("most") >= percent * F.col("least"))).select("band", "i", "j")
+    sides = [placed.withColumnRenamed("block", name).join(pairs, ["band", name]).select("band", "i", "j", F.lit(side).alias("side"), "doc_id", "component") for side, name in enumerate("ij")]
+    return sides[0].unionByName(sides[1])
+
+
+def _across(named: DataFrame, reps: DataFrame, known: DataFrame, percent: int, same: bool) -> DataFrame:
+    """Pairs of one bucket but different components that pass both sketch tests and the size test, each once.
+
+    Blocks meet themselves (``same``) or others; every pair of blocks is a group of its own.
+    """
+    keys = ["band", "i", "j"]
+    members = _meetings(named, percent, same).join(reps.join(known.select("doc_id", "fine"), "doc_id"), "doc_id").select(*keys, "side", "doc_id", "component", "n_shingles", "sketch", "fine", "bands")
+    members = members.repartition(*keys).sortWithinPartitions(*keys, "side", "n_shingles", "doc_id")
     limits = COARSE.farthest(percent / 100), FINE.farthest(percent / 100)
 
-    def bucket(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
-        doc, part, count = (table[n].to_numpy() for n in ("doc_id", "component", "n_shingles"))
+        doc, part, count, side = (table[n].to_numpy() for n in ("doc_id", "component", "n_shingles", "side"))
         sketch, fine, bands = (table[n].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(doc), -1) for n in ("sketch", "fine", "bands"))
         band = np.int64(table["band"][0].as_py()).view(np.uint64)
-        reach = np.searchsorted(count, count * 100 // percent, "right")
-        for a in range(0, len(doc), BLOCK):
-            top = int(reach[min(a + BLOCK, len(doc)) - 1])
-            for b in range(a, top, BLOCK):
-                x, y = slice(a, a + BLOCK), slice(b, min(b + BLOCK, top))
-                bits = np.zeros((len(doc[x]), len(doc[y])), np.uint16)
-                for w in range(sketch.shape[1]):
-                    bits += np.bitwise_count(sketch[x, w][:, None] ^ sketch[y, w][None, :])
-                i, j = np.nonzero((bits <= limits[0]) & (part[x][:, None] != part[y][None, :]))
-                i, j = i + a, j + b
-                near = np.ones(len(i), bool)
-                for at in range(0, len(i), BLOCK * 8):
-                    some = slice(at, at + BLOCK * 8)
-                    near[some] = np.bitwise_count(fine[i[some]] ^ fine[j[some]]).sum(1, np.int64) <= limits[1]
-                i, j = i[near], j[near]
+        cut = int((side == 0).sum())
+        first = 0 if same else cut
+        y = slice(first, len(doc))
+        for a in range(0, cut, BLOCK):
+            x = slice(a, min(a + BLOCK, cut))
+            bits = np.zeros((len(doc[x]), len(doc[y])), np.uint16)
+            for w in range(sketch.shape[1]):
+                bits += np.bitwise_count(sketch[x, w][:, None] ^ sketch[y, w][None, :])
+            i, j = np.nonzero((bits <= limits[0]) & (part[x][:, None] != part[y][None, :]))
+            i, j = i + a, j + first
+            for at in range(0, len(i), BLOCK * 8):
+                u, v = i[at : at + BLOCK * 8], j[at : at + BLOCK * 8]
+                near = np.bitwise_count(fine[u] ^ fine[v]).sum(1, np.int64) <= limits[1]
+                u, v = u[near], v[near]
                 # A pair belongs to the first band that it shares.
-                shared = bands[i] == bands[j]
-                own = (i < j) & (bands[i, shared.argmax(1)] == band) & (100 * count[i] >= percent * count[j])
-                u, v = doc[i[own]], doc[j[own]]
+                shared = bands[u] == bands[v]
+                own = (u < v) & (bands[u, shared.argmax(1)] == band) & (100 * count[u] >= percent * count[v])
+                u, v = doc[u[own]], doc[v[own]]
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last: tuple | None = None
         for batch in batches:
-            band = batch["band"].to_numpy()
-            cuts = np.r_[0, np.flatnonzero(band[1:] != band[:-1]) + 1, len(band)]
+            key = np.stack([batch[n].to_numpy() for n in keys])
+            cuts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, len(batch)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[-1]["band"][0].as_py() != band[a]:
-                    yield from bucket(held)
+                if a == b:
+                    continue
+                now = tuple(key[:, a])
+                if held and last != now:
+                    yield from meet(held)
                     held = []
+                last = now
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from bucket(held)
+            yield from meet(held)
 
     return members.mapInArrow(work, "u long, v long").distinct()
 
@@ -223,10 +273,31 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     tested = checkpoint(_near(stars, reps, COARSE.farthest(percent / 100)))
     links = checkpoint(_confirmed(tested, known, percent))
     labels = components(links)
-    more = checkpoint(_across(buckets, reps, labels, known, percent).join(tested, ["u", "v"], "left_anti"))
-    links = links.union(_confirmed(more, known, percent))
+    named = _mixed_up(buckets, reps, labels)
+    largest = _largest(named)
+    for nth in itertools.count():  # saves comparisons of large buckets; links are the same without it
+        if largest <= BLOCK:
+            break
+        more = checkpoint(_near(_stars(named, nth).join(tested, ["u", "v"], "left_anti"), reps, COARSE.farthest(percent / 100)))
+        found = checkpoint(_confirmed(more, known, percent))
+        tested, links = checkpoint(tested.union(more)), checkpoint(links.union(found))
+        some = found.count()
+        if some:
+            labels = components(links)
+            named = _mixed_up(buckets, reps, labels)
+            largest = _largest(named)
+        if some * 20 < more.count() or not some:
+            break
+    more = checkpoint(_across(named, reps, known, percent, True).join(tested, ["u", "v"], "left_anti"))
+    links = checkpoint(links.union(_confirmed(more, known, percent)))
+    labels = components(links)
+    if largest > BLOCK:
+        named = _mixed_up(buckets, reps, labels)
+        more = checkpoint(_across(named, reps, known, percent, False).join(tested, ["u", "v"], "left_anti"))
+        links = links.union(_confirmed(more, known, percent))
+        labels = components(links)
     # Members of a class are linked by their equal sets.
-    labels = components(links).withColumnRenamed("id", "rep")
+    labels = labels.withColumnRenamed("id", "rep")
     found = members.join(labels, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

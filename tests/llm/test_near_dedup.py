@@ -61,6 +61,27 @@ def test_against_brute_force(spark):
     assert got == want
 
 
+def test_large_buckets_meet_by_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    named = spark.range(200).selectExpr("id % 2 AS band", "id AS doc_id", "id AS component", "50 + id % 10 AS n_shingles")
+    met = set()
+    for same in (True, False):
+        sides = {}
+        for r in near_dedup._meetings(named, 80, same).collect():
+            sides.setdefault((r.band, r.i, r.j), ([], []))[r.side].append(r.doc_id)
+        assert max(len(d) for own in sides.values() for d in own) <= 24
+        met |= {(min(u, v), max(u, v)) for own, other in sides.values() for u in own for v in (own if same else other) if u != v}
+    assert met == {(u, v) for u in range(200) for v in range(u + 2, 200, 2)}
+    # A template family: all share most of their words, few are near each other.
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(80)]
+    rows = []
+    for group in range(12):
+        base = common + [f"g{group}x{i}" for i in range(24)]
+        rows += [(len(rows) + i, " ".join([*base, *(f"u{group}y{i}z{k}" for k in range(rng.randint(0, 9)))])) for i in range(3)]
+    assert found(spark, rows, 4, 80) == brute(rows, 4, 80)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
