@@ -4,8 +4,8 @@ A template is any function from turns to text. Successive prefixes of a conversa
 next prefix adds is the turn's span, and a probe in place of the turn's text shows where in the span that text stands. A
 template that changes what it had written before is detected; it has no valid spans, so such turns carry no loss.
 
-Conversations are streamed in turn order and never held whole: a prefix goes back ``window`` turns at most (a template
-that looks further back needs a larger window; shorter conversations are always rendered from their first turn).
+Conversations are streamed in turn order. A template with a true attribute ``local`` writes each turn by itself: of its
+prefixes the last ``window`` turns at most are held and rendered. Any other template is given true prefixes, whole.
 """
 
 from __future__ import annotations
@@ -45,6 +45,9 @@ def marked_turns(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape(role).replace(chr(10), LINE)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+marked_turns.local = True
+
+
 def read_turn(piece: str) -> Turn:
     """Role and text of a turn as :func:`marked_turns` wrote it."""
     role, _, text = piece.removeprefix(START).partition("\n")
@@ -64,12 +67,13 @@ class Renderer:
     """Spans of one conversation's turns, as they come."""
 
     def __init__(self, template: Template, window: int) -> None:
-        self.template, self.window = template, window
+        self.template, self.window = template, window if getattr(template, "local", False) else None
         self.turns: list[Turn] = []
-        self.before, self.written = template([]), 0
+        self.before = template([])
+        self.written = len(self.before)
 
     def add(self, turn: Turn) -> Span:
-        if len(self.turns) >= self.window:
+        if self.window is not None and len(self.turns) >= self.window:
             self.turns = self.turns[self.window // 2 :]
             self.before = self.template(self.turns)
         now = self.template([*self.turns, turn])

@@ -140,6 +140,17 @@ def test_chat_template_that_rewrites_history():
     assert [renderer.add(("assistant", t)).rewrites for t in ("one", "two", "three")] == [False, True, True]
 
 
+def test_chat_long_conversations_get_true_prefixes():
+    turns = [("assistant", f"t{i}") for i in range(150)]
+    numbered = lambda turns: "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(turns, 1))
+    renderer = chat_format.Renderer(numbered, 64)
+    assert "".join(renderer.add(t).piece for t in turns) == numbered(turns)
+    header = lambda turns: f"<{len(turns) // 100}>" + "".join(t for _, t in turns)
+    renderer = chat_format.Renderer(header, 64)
+    spans = [renderer.add(t) for t in turns]
+    assert [i for i, s in enumerate(spans) if s.rewrites] == [99] and spans[99].start == 1 and spans[-1].end == len(header(turns))
+
+
 def test_chat_rows(spark):
     df = spark.createDataFrame([(1, 1, "assistant", "b", 0), (1, 0, "user", None, 0), (2, None, None, "x", 0), (None, 0, "assistant", "y", 0)], "conv_id long, turn long, role string, text string, start int")
     got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(df)).collect()}
