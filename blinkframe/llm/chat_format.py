@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 64
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
-PROBES = ("\ue000", "\ue001")
+#: Private-use characters.
+PROBES = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
 TURNS_AT_ONCE = 1000
 
 Turn = tuple[str, str]
@@ -89,14 +90,15 @@ class Renderer:
 
     def _text(self, turn: Turn, now: str, same: int) -> tuple[int, int] | None:
         """Where the turn's text stands in ``now``: what stays around a probe in its place."""
-        for probe in PROBES:
-            if probe in turn[0] or turn[1][:1] == probe or turn[1][-1:] == probe:
-                continue
-            other = self.template([*self.turns, (turn[0], probe)])
-            at = other.find(probe, same)
-            behind = len(other) - at - len(probe)
-            if at >= 0 and at + behind <= len(now) and now[:at] == other[:at] and now[len(now) - behind :] == other[at + len(probe) :]:
-                return at, len(now) - behind
+        used = {*turn[0], *turn[1]}
+        probe = next((chr(c) for some in PROBES for c in some if chr(c) not in used), None)
+        if probe is None:
+            return None
+        other = self.template([*self.turns, (turn[0], probe)])
+        at = other.find(probe, same)
+        behind = len(other) - at - len(probe)
+        if at >= 0 and at + behind <= len(now) and now[:at] == other[:at] and now[len(now) - behind :] == other[at + len(probe) :]:
+            return at, len(now) - behind
         return None
 
 

@@ -151,6 +151,12 @@ def test_chat_long_conversations_get_true_prefixes():
     assert [i for i, s in enumerate(spans) if s.rewrites] == [99] and spans[99].start == 1 and spans[-1].end == len(header(turns))
 
 
+def test_chat_text_of_private_use_characters_is_located():
+    text = "\ue000 said \ue001"
+    span = chat_format.Renderer(chat_format.marked_turns, 64).add(("assistant", text))
+    assert span.piece[span.text_start : span.text_end] == text
+
+
 def test_chat_rows(spark):
     df = spark.createDataFrame([(1, 1, "assistant", "b", 0), (1, 0, "user", None, 0), (2, None, None, "x", 0), (None, 0, "assistant", "y", 0)], "conv_id long, turn long, role string, text string, start int")
     got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(df)).collect()}
