@@ -2,14 +2,18 @@
 
 1. Every text gets MinHash samples in bands, an odd sketch of them (a parity bitmap: each sample flips one bit) and a
    fingerprint of its whole shingle set. Texts with one set are one class; only a representative goes on.
-2. A bucket is all representatives that share a band. Each member is compared with the bucket's first member and with the
-   one before it: links for a group of copies grow with its size, not with its square.
+2. A bucket is all representatives that share a band. Each member is compared with the bucket's first member: links for a
+   group of copies grow with its size, not with its square. A first member travels once to every thousand or so others.
 3. Pairs whose sketches differ in more bits than a pair at the threshold plausibly would are dropped: the population
    count of their XOR estimates high similarities closely. The others are confirmed on complete shingle sets.
-4. Members of one bucket that are still in different components meet block by block, by the same sketch and by one of
-   1,024 samples that is made for them alone; what passes is confirmed too. So no link hangs on a bucket's first member.
-   A task holds two blocks, however large the bucket. Large buckets get more first members before, as long as these link
-   many, and blocks meet themselves before they meet others: buckets that are one component by then are left out.
+4. Members of one bucket that are still in different components meet block by block, each pair of blocks a group of its
+   own. First the sketch and one of 1,024 samples, made for them alone, tell which members may have a link there; their
+   complete sets then meet, are confirmed on the spot, and only a spanning forest of the links between components is given
+   out. So no link hangs on a bucket's first member, and what is given out grows with the members, not with their pairs.
+
+A task holds two blocks, which are bounded by their shingles, however large the bucket. Large buckets get more first
+members before, as long as these link many, and blocks meet themselves before they meet others: buckets that are one
+component by then are left out. Comparisons grow with the square of what is left of a bucket.
 
 With 40 bands of 4, a pair at similarity 0.8 shares no band once in 10^9; the sketches lose one such pair in 10^7.
 """
@@ -17,7 +21,7 @@ With 40 bands of 4, a pair at similarity 0.8 shares no band once in 10^9; the sk
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,11 @@ from blinkframe.llm.shingles import mixed, shingle_sets
 BANDS = 40
 ROWS = 4
 SIMILARITY = 80
-BLOCK = 2048
+#: Shingles of a block, each member counted as MEMBER more: at most 2,048 members and 16 MB of sets, a longer text alone.
+BLOCK = 1 << 21
+MEMBER = 1024
+#: Members to which a first member travels at once.
+FOLLOWERS = 1024
 
 
 class Samples:
@@ -105,13 +113,75 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, SIGNATURES)
 
 
-def _near(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
-    """Pairs (u, v) whose sketches differ in at most ``most`` bits and whose set sizes allow the similarity."""
-    own = reps.select("doc_id", "n_shingles", "sketch")
-    a = own.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n_u"), F.col("sketch").alias("s_u"))
-    b = own.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n_v"), F.col("sketch").alias("s_v"))
-    bits = F.aggregate(F.zip_with("s_u", "s_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return pairs.join(a, "u").join(b, "v").filter(bits <= most).select("u", "v")
+def _with_first(pairs: DataFrame, own: DataFrame, payload: list[str], compare: Callable) -> DataFrame:
+    """Pairs (u, v) that ``compare`` accepts, from rows (u, v, n); ``own`` has the payload of each doc_id.
+
+    The v of one u are dealt into about n / FOLLOWERS groups; u's payload is sent to each group once, ahead of theirs.
+    compare(batch, at, first) tells of rows ``at`` of a batch whether they go with row ``first`` of it.
+    """
+    pairs = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / FOLLOWERS)).alias("part"))
+    keys = ["u", "part", "side"]
+    first = pairs.select("u", "part").distinct().join(own, F.col("u") == F.col("doc_id")).select("u", "part", F.lit(0).alias("side"), "doc_id", *payload)
+    rest = pairs.join(own, F.col("v") == F.col("doc_id")).select("u", "part", F.lit(1).alias("side"), "doc_id", *payload)
+    rows = first.unionByName(rest).repartition("u", "part").sortWithinPartitions(*keys)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        for batch in batches:
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            side, u, doc = (batch[n].to_numpy() for n in ("side", "u", "doc_id"))
+            lead = np.maximum.accumulate(np.where(side == 0, np.arange(len(side)), 0))
+            at = np.flatnonzero(side == 1)
+            hit = at[compare(batch, at, lead[at])] if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(u[hit]), pa.array(doc[hit])], ["u", "v"])
+            if len(lead):
+                last = batch.slice(int(lead[-1]), 1)
+
+    return rows.mapInArrow(work, "u long, v long")
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
+
+
+def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of (u, v, n) whose sketches and set sizes allow the similarity, with n."""
+    most = COARSE.farthest(percent / 100)
+
+    def compare(batch: pa.RecordBatch, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        sketch, count = _sketches(batch["sketch"]), batch["n_shingles"].to_numpy()
+        bits = np.bitwise_count(sketch[at] ^ sketch[first]).sum(1, np.int64)
+        return (bits <= most) & (100 * np.minimum(count[at], count[first]) >= percent * np.maximum(count[at], count[first]))
+
+    return _with_first(pairs, reps.select("doc_id", "n_shingles", "sketch"), ["n_shingles", "sketch"], compare)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Numbers that two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of (u, v, n) with 100 * intersection >= percent * union of their complete shingle sets."""
+
+    def compare(batch: pa.RecordBatch, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        sets = batch["shingles"]
+        hit, now, own = [], -1, None
+        for row, lead in zip(at.tolist(), first.tolist(), strict=True):
+            if lead != now:
+                now, own = lead, np.frombuffer(sets[lead].as_buffer(), np.uint64)
+            other = np.frombuffer(sets[row].as_buffer(), np.uint64)
+            common = _common(own, other)
+            hit.append(100 * common >= percent * (len(own) + len(other) - common))
+        return np.array(hit, bool)
+
+    return _with_first(pairs, known.select("doc_id", "shingles"), ["shingles"], compare)
 
 
 def _complete(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -129,27 +199,6 @@ def _complete(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(work, "doc_id long, shingles binary, fine array<long>")
 
 
-def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of (u, v) with 100 * intersection >= percent * union of their complete shingle sets."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                hit.append(100 * common >= percent * (len(x) + len(y) - common))
-            mask = pa.array(hit, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["u"].filter(mask), batch["v"].filter(mask)], ["u", "v"])
-
-    a = known.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    b = known.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
-
-
 def _mixed_up(buckets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold several components: band, doc_id, component, n_shingles."""
     named = buckets.join(labels, buckets["doc_id"] == labels["id"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -158,29 +207,31 @@ def _mixed_up(buckets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFra
 
 
 def _largest(named: DataFrame) -> int:
-    """Members of the largest bucket."""
-    return named.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+    """Size of the largest bucket, in what BLOCK counts."""
+    return named.groupBy("band").agg(F.sum(F.col("n_shingles") + MEMBER).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def _stars(named: DataFrame, nth: int) -> DataFrame:
-    """Pairs (u, v) of one member of each bucket of more than BLOCK and all its members of other components."""
+    """Pairs (u, v, n) of one member of each bucket of several blocks and all its n members of other components."""
     order = F.struct(F.xxhash64("doc_id", F.lit(nth)), F.col("doc_id").alias("hub"), F.col("component").alias("own"))
-    hubs = named.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("least")).filter(F.col("n") > BLOCK)
-    pairs = named.join(hubs.select("band", "least.hub", "least.own"), "band").filter("component <> own")
-    return pairs.select(F.least("hub", "doc_id").alias("u"), F.greatest("hub", "doc_id").alias("v")).distinct()
+    size = F.sum(F.col("n_shingles") + MEMBER)
+    hubs = named.groupBy("band").agg(F.count("*").alias("n"), size.alias("size"), F.min(order).alias("least")).filter(F.col("size") > BLOCK)
+    pairs = named.join(hubs.select("band", "n", "least.hub", "least.own"), "band").filter("component <> own")
+    return pairs.groupBy(F.col("hub").alias("u"), F.col("doc_id").alias("v")).agg(F.max("n").alias("n"))
 
 
 def _meetings(named: DataFrame, percent: int, same: bool) -> DataFrame:
     """Members of each pair of blocks (band, i, j) whose sizes allow the similarity, those of i with side 0, of j with 1.
 
-    A bucket's members are numbered by size, those of equal size by hash, and cut into blocks of about BLOCK. ``same``
+    A bucket's members stand by size, those of equal size by hash, and are cut into blocks of about BLOCK. ``same``
     gives each block with itself (side 0 alone), else each pair of different blocks.
     """
+    weight = F.col("n_shingles") + MEMBER
     sizes = named.groupBy("band", "n_shingles").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("band").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1))  # a row for each size
+    before = F.sum(F.col("n") * weight).over(Window.partitionBy("band").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1))  # a row for each size
     sizes = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
-    nth = F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("n"))
-    placed = named.join(sizes, ["band", "n_shingles"]).select("band", "doc_id", "component", "n_shingles", F.floor(nth / BLOCK).alias("block"))
+    at = F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("n")) * weight
+    placed = named.join(sizes, ["band", "n_shingles"]).select("band", "doc_id", "component", "n_shingles", F.floor(at / BLOCK).alias("block"))
     if same:
         return placed.select("band", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", "component")
     placed = checkpoint(placed)
@@ -192,61 +243,163 @@ def _meetings(named: DataFrame, percent: int, same: bool) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def _across(named: DataFrame, reps: DataFrame, known: DataFrame, percent: int, same: bool) -> DataFrame:
-    """Pairs of one bucket but different components that pass both sketch tests and the size test, each once.
+MEETING = ["band", "i", "j"]
 
-    Blocks meet themselves (``same``) or others; every pair of blocks is a group of its own.
-    """
-    keys = ["band", "i", "j"]
-    members = _meetings(named, percent, same).join(reps.join(known.select("doc_id", "fine"), "doc_id"), "doc_id").select(*keys, "side", "doc_id", "component", "n_shingles", "sketch", "fine", "bands")
-    members = members.repartition(*keys).sortWithinPartitions(*keys, "side", "n_shingles", "doc_id")
-    limits = COARSE.farthest(percent / 100), FINE.farthest(percent / 100)
 
-    def meet(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        doc, part, count, side = (table[n].to_numpy() for n in ("doc_id", "component", "n_shingles", "side"))
-        sketch, fine, bands = (table[n].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(doc), -1) for n in ("sketch", "fine", "bands"))
-        band = np.int64(table["band"][0].as_py()).view(np.uint64)
-        cut = int((side == 0).sum())
-        first = 0 if same else cut
-        y = slice(first, len(doc))
-        for a in range(0, cut, BLOCK):
-            x = slice(a, min(a + BLOCK, cut))
-            bits = np.zeros((len(doc[x]), len(doc[y])), np.uint16)
-            for w in range(sketch.shape[1]):
-                bits += np.bitwise_count(sketch[x, w][:, None] ^ sketch[y, w][None, :])
-            i, j = np.nonzero((bits <= limits[0]) & (part[x][:, None] != part[y][None, :]))
-            i, j = i + a, j + first
-            for at in range(0, len(i), BLOCK * 8):
-                u, v = i[at : at + BLOCK * 8], j[at : at + BLOCK * 8]
-                near = np.bitwise_count(fine[u] ^ fine[v]).sum(1, np.int64) <= limits[1]
-                u, v = u[near], v[near]
-                # A pair belongs to the first band that it shares.
-                shared = bands[u] == bands[v]
-                own = (u < v) & (bands[u, shared.argmax(1)] == band) & (100 * count[u] >= percent * count[v])
-                u, v = doc[u[own]], doc[v[own]]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+def _by_meeting(rows: DataFrame, meet: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``meet`` gives for the rows of each pair of blocks, those of side 0 first."""
+    rows = rows.repartition(*MEETING).sortWithinPartitions(*MEETING, "side", "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last: tuple | None = None
         for batch in batches:
-            key = np.stack([batch[n].to_numpy() for n in keys])
+            key = np.stack([batch[n].to_numpy() for n in MEETING])
             cuts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, len(batch)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
                 now = tuple(key[:, a])
                 if held and last != now:
-                    yield from meet(held)
+                    yield from meet(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 last = now
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from meet(held)
+            yield from meet(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.mapInArrow(work, schema)
+
+
+def _plausible(members: DataFrame, reps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``members`` that pass both sketch tests and the size test with one of another component they meet."""
+    rows = members.join(reps.join(known.select("doc_id", "fine"), "doc_id"), "doc_id").select(*MEETING, "side", "doc_id", "component", "n_shingles", "sketch", "fine", "bands")
+    limits = COARSE.farthest(percent / 100), FINE.farthest(percent / 100)
+    names = [*MEETING, "side", "doc_id", "component"]
+
+    def meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        part, count, side = (table[n].to_numpy() for n in ("component", "n_shingles", "side"))
+        if (part == part[0]).all():
+            return
+        sketch, fine, bands = (_sketches(table[n].combine_chunks()) for n in ("sketch", "fine", "bands"))
+        band = np.int64(table["band"][0].as_py()).view(np.uint64)
+        cut = int((side == 0).sum())
+        first = 0 if cut == len(side) else cut
+        found = np.zeros(len(side), bool)
+        for a in range(0, cut, 256):
+            x, y = slice(a, min(a + 256, cut)), slice(first, None)
+            bits = np.zeros((len(part[x]), len(part[y])), np.uint16)
+            for w in range(sketch.shape[1]):
+                bits += np.bitwise_count(sketch[x, w][:, None] ^ sketch[y, w][None, :])
+            u, v = np.nonzero((bits <= limits[0]) & (part[x][:, None] != part[y][None, :]))
+            u, v = u + a, v + first
+            for at in range(0, len(u), 16384):
+                i, j = u[at : at + 16384], v[at : at + 16384]
+                near = np.bitwise_count(fine[i] ^ fine[j]).sum(1, np.int64) <= limits[1]
+                i, j = i[near], j[near]
+                # A pair belongs to the first band that it shares.
+                shared = bands[i] == bands[j]
+                own = (bands[i, shared.argmax(1)] == band) & (100 * np.minimum(count[i], count[j]) >= percent * np.maximum(count[i], count[j]))
+                found[i[own]] = found[j[own]] = True
+        if found.any():
+            yield table.select(names).filter(pa.array(found)).combine_chunks().to_batches()[0]
+
+    return _by_meeting(rows, meet, "band long, i long, j long, side int, doc_id long, component long")
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``; sets are arrays of distinct numbers.
+
+    Numbers that many sets hold are counted by products of 0/1 matrices, a slice of them at a time, the others pair by pair.
+    """
+    rows, columns = len(x), len(y)
+    found = np.zeros((rows, columns), np.float32)
+    codes, code = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    owner = np.repeat(np.arange(rows + columns), [len(s) for s in (*x, *y)])
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    left = owner < rows
+    a, b = np.bincount(code[left], minlength=len(codes)), np.bincount(code[~left], minlength=len(codes))
+    many = (a * b).astype(np.float64) > max(64.0, rows * columns / 256)
+    starts = np.r_[0, np.cumsum(a + b)]
+    flat = found.reshape(-1)
+    # Owners of a number are in rising order: those of x come first.
+    rare = np.flatnonzero((a * b > 0) & ~many)
+    pairs = np.cumsum(a[rare] * b[rare])
+    for low, high in _spans(pairs, 1 << 20):
+        some = rare[low:high]
+        times = a[some] * b[some]
+        of = np.repeat(np.arange(len(some)), times)
+        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        i = owner[starts[some][of] + inner // b[some][of]]
+        j = owner[starts[some][of] + a[some][of] + inner % b[some][of]] - rows
+        flat += np.bincount(i * columns + j, minlength=rows * columns).astype(np.float32) if len(i) * 8 > rows * columns else _added(i * columns + j, rows * columns)
+    frequent = np.flatnonzero(many)
+    for at in range(0, len(frequent), 2048):
+        some = frequent[at : at + 2048]
+        place = np.full(len(codes), -1)
+        place[some] = np.arange(len(some))
+        of = place[code]
+        chosen = of >= 0
+        table = np.zeros((rows + columns, len(some)), np.float32)
+        table[owner[chosen], of[chosen]] = 1
+        found += table[:rows] @ table[rows:].T
+    return found
+
+
+def _added(at: np.ndarray, size: int) -> np.ndarray:
+    found = np.zeros(size, np.float32)
+    np.add.at(found, at, 1)
+    return found
+
+
+def _spans(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cut rows with these running totals into runs of about ``most``."""
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield low, high
+        low = high
+
+
+def _spanning(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) between components of the members that meet: a spanning forest for each pair of blocks."""
+    rows = members.join(known.select("doc_id", "shingles"), "doc_id").select(*MEETING, "side", "doc_id", "component", "shingles")
+
+    def meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc, part, side = (table[n].to_numpy() for n in ("doc_id", "component", "side"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for chunk in table["shingles"].chunks for s in chunk]
+        sizes = np.array([len(s) for s in sets], np.float32)
+        cut = int((side == 0).sum())
+        first = 0 if cut == len(side) else cut
+        y = sets[first:]
+        label = np.unique(part, return_inverse=True)[1]
+        links = []
+        for a in range(0, cut, 512):
+            x = slice(a, min(a + 512, cut))
+            common = common_counts(sets[x], y)
+            near = 100 * common >= percent * (sizes[x][:, None] + sizes[first:][None, :] - common)
+            for row in range(len(near)):
+                at = first + np.flatnonzero(near[row])
+                other, index = np.unique(label[at], return_index=True)
+                fresh = other != label[a + row]
+                links += [(doc[a + row], doc[j]) for j in at[index[fresh]]]
+                if fresh.any():
+                    label[np.isin(label, other[fresh])] = label[a + row]
+        if links:
+            u, v = np.array(links).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return _by_meeting(rows, meet, "u long, v long")
 
-    return members.mapInArrow(work, "u long, v long").distinct()
+
+def _across(named: DataFrame, reps: DataFrame, known: DataFrame, percent: int, same: bool) -> DataFrame:
+    """Links (u, v) that join the components within buckets: at most a row for each member and pair of blocks.
+
+    Blocks meet themselves (``same``) or others; every pair of blocks is a group of its own.
+    """
+    return _spanning(checkpoint(_plausible(_meetings(named, percent, same), reps, known, percent)), known, percent)
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = SIMILARITY) -> DataFrame:
@@ -267,35 +420,36 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     buckets = reps.select("doc_id", F.explode("bands").alias("band"))
     several = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-    buckets = checkpoint(buckets.join(several, "band").select("band", "first", "doc_id"))
+    buckets = checkpoint(buckets.join(several, "band").select("band", "first", "doc_id", "n"))
     known = checkpoint(_complete(docs, buckets.select("doc_id").distinct(), size))
-    stars = buckets.filter("first < doc_id").select(F.col("first").alias("u"), F.col("doc_id").alias("v")).distinct()
-    tested = checkpoint(_near(stars, reps, COARSE.farthest(percent / 100)))
-    links = checkpoint(_confirmed(tested, known, percent))
+    stars = buckets.filter("first < doc_id").groupBy(F.col("first").alias("u"), F.col("doc_id").alias("v")).agg(F.max("n").alias("n"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        near = _near(pairs, reps, percent)
+        return checkpoint(_confirmed(near.join(pairs, ["u", "v"]), known, percent))
+
+    links = confirmed(checkpoint(stars))
     labels = components(links)
     named = _mixed_up(buckets, reps, labels)
     largest = _largest(named)
     for nth in itertools.count():  # saves comparisons of large buckets; links are the same without it
         if largest <= BLOCK:
             break
-        more = checkpoint(_near(_stars(named, nth).join(tested, ["u", "v"], "left_anti"), reps, COARSE.farthest(percent / 100)))
-        found = checkpoint(_confirmed(more, known, percent))
-        tested, links = checkpoint(tested.union(more)), checkpoint(links.union(found))
+        more = checkpoint(_stars(named, nth))
+        found = confirmed(more)
         some = found.count()
         if some:
+            links = checkpoint(links.union(found))
             labels = components(links)
             named = _mixed_up(buckets, reps, labels)
             largest = _largest(named)
         if some * 20 < more.count() or not some:
             break
-    more = checkpoint(_across(named, reps, known, percent, True).join(tested, ["u", "v"], "left_anti"))
-    links = checkpoint(links.union(_confirmed(more, known, percent)))
+    links = checkpoint(links.union(_across(named, reps, known, percent, True)))
     labels = components(links)
     if largest > BLOCK:
         named = _mixed_up(buckets, reps, labels)
-        more = checkpoint(_across(named, reps, known, percent, False).join(tested, ["u", "v"], "left_anti"))
-        links = links.union(_confirmed(more, known, percent))
-        labels = components(links)
+        labels = components(links.union(_across(named, reps, known, percent, False)))
     # Members of a class are linked by their equal sets.
     labels = labels.withColumnRenamed("id", "rep")
     found = members.join(labels, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
@@ -304,5 +458,6 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = SIMILARITY) -> DataFrame:
     """Rows of ``docs`` whose id is the least of its component, as in :func:`near_components`; all columns are kept."""
-    kept = near_components(docs, key, text, size, percent).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    own = "kept_id" + "_" * max(map(len, docs.columns))
+    kept = near_components(docs, key, text, size, percent).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col(own)), "left_semi")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from blinkframe.llm import near_dedup
@@ -62,7 +63,7 @@ def test_against_brute_force(spark):
 
 
 def test_large_buckets_meet_by_pairs_of_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8 * (near_dedup.MEMBER + 55))
     named = spark.range(200).selectExpr("id % 2 AS band", "id AS doc_id", "id AS component", "50 + id % 10 AS n_shingles")
     met = set()
     for same in (True, False):
@@ -82,6 +83,47 @@ def test_large_buckets_meet_by_pairs_of_blocks(spark, monkeypatch):
     assert found(spark, rows, 4, 80) == brute(rows, 4, 80)
 
 
+def family(n, words=400, changed=7, seed=3):
+    """Texts that are alike to about 0.75, some of them nearer."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(words), changed if i % 10 else 3):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_links_of_a_family_grow_with_its_size(spark, monkeypatch):
+    given = []
+    plain = near_dedup._across
+    monkeypatch.setattr(near_dedup, "_across", lambda *a: given.append(plain(*a).cache()) or given[-1])
+    for n in (150, 300):
+        given.clear()
+        rows = family(n)
+        assert found(spark, rows, 4, 80) == brute(rows, 4, 80)
+        assert sum(d.count() for d in given) <= 40 * n
+    # Cut into many blocks, with more first members and blocks that meet others, the components are the same.
+    monkeypatch.setattr(near_dedup, "BLOCK", 20 * (near_dedup.MEMBER + 400))
+    monkeypatch.setattr(near_dedup, "FOLLOWERS", 16)
+    assert found(spark, rows, 4, 80) == brute(rows, 4, 80)
+
+
+def test_common_counts():
+    rng = np.random.default_rng(1)
+    for m, n, values, most in ((3, 5, 50, 20), (40, 70, 300, 100), (120, 90, 40_000, 200), (1, 1, 10, 4)):
+        x, y = ([rng.choice(values, rng.integers(0, most), replace=False).astype(np.uint64) for _ in range(k)] for k in (m, n))
+        assert (near_dedup.common_counts(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
+
+
+def test_clashing_columns_and_long_texts(spark):
+    text = " ".join(f"word{i % 5000}x{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, text, 1, 0), (2, text + " end", 2, 0), (3, "short text", 3, 0)], "doc_id long, text string, _kept_id int, component_id int")
+    assert sorted(r._kept_id for r in near_dedup.near_dedup(df).collect()) == [1, 3]
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
