@@ -451,7 +451,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             for row in batch.to_pylist():
                 data, begin, end = _removed(row, length)
                 cuts = np.r_[0, np.stack([begin, end], 1).ravel(), len(data)].tolist()
-                kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)).decode(errors="ignore")
+                # Piece by piece: halves of characters on both sides of a cut must not make up another one.
+                kept = "".join(data[a:b].decode(errors="ignore") for a, b in zip(cuts[::2], cuts[1::2], strict=True))
                 own = row["payload"]
                 out.append({name: own[f"c{n}"] for n, name in enumerate(carried)} | {text: None if own["empty"] else kept})
             yield pa.RecordBatch.from_pylist(out, to_arrow_schema(schema))

@@ -83,6 +83,35 @@ def test_streamed_in_small_chunks(monkeypatch):
     assert lost(10**6) == lost(7) == lost(1)
 
 
+def whole_characters(rows, length):
+    """Texts without every character that loses a byte."""
+    first = {}
+    for doc_id, text in rows:
+        data = text.encode()
+        for i in range(len(data) - length + 1):
+            first[data[i : i + length]] = min(first.get(data[i : i + length], doc_id), doc_id)
+    out = {}
+    for doc_id, text in rows:
+        data = text.encode()
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - length + 1):
+            if first[data[i : i + length]] < doc_id:
+                gone[i : i + length] = True
+        ends = np.cumsum([len(c.encode()) for c in text]).tolist()
+        out[doc_id] = "".join(c for c, a, b in zip(text, [0, *ends], ends, strict=False) if not gone[a:b].any())
+    return out
+
+
+def test_no_character_is_made_up_where_bytes_are_cut(spark):
+    rng = random.Random(4)
+    same = "p" * 60
+    rows = [(1, "é" + same + "é"), (2, "©" + same + "ê"), (3, "中" + same + "丮"), (4, "丁" + same + "也")]
+    passages = ["".join(rng.choice("éê©ªæ中丮也a") for _ in range(40)) for _ in range(4)]
+    rows += [(i, "".join(rng.choice("éê©ª中丮") + rng.choice(passages)[rng.randint(0, 6) :] for _ in range(3))) for i in range(5, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in suffix_dedup.remove_repeats(df).collect()} == whole_characters(rows, 50)
+
+
 def test_rows_with_extra_columns_and_empty_table(spark):
     passage = "a passage of more than fifty bytes that two of the documents share in full "
     df = spark.createDataFrame([(1, passage + "one", "x", 1), (2, "two " + passage, "y", 2), (3, None, None, 3)], "doc_id long, text string, payload string, lost int")
