@@ -1,8 +1,9 @@
 """Quality rules by distribution divergence, in DataFrame functions alone.
 
 A text's histogram of character classes and its histogram of common words are compared with those of its language by
-Jensen-Shannon distance. A language's reference is the mean of the shares of all its texts that are long enough, summed as
-whole millionths, so it is the same in whatever order rows come. Texts that are too short for a histogram pass its rule.
+Jensen-Shannon distance. A language's reference is the mean of the shares of all its texts that pass the base rules and are
+long enough, summed as whole millionths, so it is the same in whatever order rows come. Texts that are too short for a
+histogram pass its rule.
 References are one row for each language with a word list and one for all others: that bounds what is broadcast.
 """
 
@@ -16,14 +17,14 @@ from blinkframe.llm.frames import checkpoint
 MIN_CHARS = 200
 MIN_WORDS = 100
 MAX_CLASS_DISTANCE = 0.3
-MAX_WORD_DISTANCE = 0.27
+MAX_WORD_DISTANCE = 0.29
 
 #: Frequent function words by language.
 COMMON_WORDS = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "was", "for", "on", "are", "as", "with", "be"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es", "an", "er", "so"],
+    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "was", "for", "on", "are", "as", "with", "be", "by", "at", "this", "from", "or", "have", "an", "not"],
+    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como", "o", "pero"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "sur", "pas", "plus", "au", "ne", "se", "ce", "il"],
 }
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -65,19 +66,19 @@ def _histograms(docs: DataFrame, text: str, lang: str) -> DataFrame:
     clean = clean.withColumn("q_named", F.array(*named, F.col("q_n_chars") - F.col("q_word_chars")))
     clean = clean.withColumn("q_classes", F.concat("q_named", F.array(F.col("q_n_chars") - _sum("q_named"))))
     clean = clean.withColumn("q_listed", F.coalesce(lists[F.col("q_lang")], F.array().cast("array<string>")))
-    clean = clean.withColumn("q_at", F.transform("q_words", lambda w: F.array_position("q_listed", w)))
+    clean = clean.withColumn("q_at", F.array_remove(F.transform("q_words", lambda w: F.array_position("q_listed", w)), F.lit(0).cast("long")))
     longest = max(map(len, COMMON_WORDS.values()))
     hits = [(F.size("q_at") - F.size(F.array_remove("q_at", F.lit(i + 1).cast("long")))).cast("long") for i in range(longest)]
     clean = clean.withColumn("q_hits", F.slice(F.array(*hits), 1, F.size("q_listed")))
-    common = F.when(F.size("q_hits") > 0, F.concat("q_hits", F.array(F.size("q_words") - _sum("q_hits")))).otherwise(F.array().cast("array<long>"))
+    common = F.when(F.size("q_hits") > 0, F.concat("q_hits", F.array((F.size("q_words") - F.size("q_at")).cast("long")))).otherwise(F.array().cast("array<long>"))
     return clean.withColumn("q_common", common)
 
 
 def references(found: DataFrame) -> DataFrame:
-    """Reference shares from rows with histograms, a row for each language: r_lang, r_classes, r_common."""
+    """Reference shares from rows with histograms that pass the base rules, a row for each language: r_lang, r_classes, r_common."""
     bins = len(CLASSES) + 2
     words = max(map(len, COMMON_WORDS.values())) + 1
-    shares = found.select(
+    shares = found.filter("not q_base_failed").select(
         F.col("q_lang").alias("r_lang"),
         F.when(F.col("q_n_chars") >= MIN_CHARS, _millionths(F.col("q_classes"))).alias("c"),
         F.when((F.col("q_n_words") >= MIN_WORDS) & (F.size("q_common") > 0), _millionths(F.col("q_common"))).alias("w"),
@@ -130,6 +131,9 @@ def _judged(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("q_kept", over <= 0)
 
 
+MEASURES = ["q_lang", "q_n_chars", "q_n_words", "q_word_chars", "q_classes", "q_common", "q_n_symbols", "q_n_dup_lines", "q_repeated", "q_base_failed"]
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the distances.
 
@@ -138,8 +142,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     Texts are read once: their measures are checkpointed, references come from those.
     """
     own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    measures = ["doc_id", "q_lang", "q_n_chars", "q_n_words", "q_word_chars", "q_classes", "q_common", "q_n_symbols", "q_n_dup_lines", "q_repeated", "q_base_failed"]
-    rows = checkpoint(_base(_histograms(own, "text", "lang")).select(*measures))
+    rows = checkpoint(_base(_histograms(own, "text", "lang")).select("doc_id", *MEASURES))
     return _judged(rows, references(rows)).select(
         "doc_id", F.col("q_n_words").alias("n_words"), F.col("q_word_chars").alias("word_chars"), F.col("q_n_symbols").alias("n_symbols"),
         F.col("q_n_dup_lines").alias("n_dup_lines"), F.col("q_repeated").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"),
@@ -148,10 +151,14 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows of ``docs`` that pass, with all their columns; texts are read twice and never shuffled."""
+    """Rows of ``docs`` that pass, with all their columns.
+
+    Texts are measured once and never shuffled: rows are checkpointed with their measures.
+    """
     own = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)]).alias("q_row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    rows = _histograms(own, "text", "lang")
-    kept = _judged(_base(rows), references(rows)).filter("q_kept")
+    # Not filtered before: a condition would be pushed below the measures, which then are expanded in it.
+    rows = checkpoint(_base(_histograms(own, "text", "lang")).select("q_row", *MEASURES))
+    kept = _judged(rows, references(rows)).filter("q_kept")
     return kept.select(*[F.col(f"q_row.c{n}").alias(c) for n, c in enumerate(docs.columns)])
 
 
@@ -185,28 +192,30 @@ def duckdb_sql() -> str:
       FROM b
     ), d AS (
       SELECT *, CASE WHEN len(hits) > 0 THEN list_append(hits, len(w) - list_sum(hits)::BIGINT) ELSE [] END AS common FROM c
+    ), v AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+    g AS (SELECT doc_id, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL) WHERE n > 1),
+    rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1), (2)) AS k(o) GROUP BY doc_id),
+    e AS (
+      SELECT d.*, len(w)::BIGINT AS n_words, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed
+      FROM d LEFT JOIN rep USING (doc_id)
     ), s AS (
       SELECT l, {sums("c", bins)} AS r_classes, {sums("w", words)} AS r_common FROM (
         SELECT l, CASE WHEN length(t) >= {MIN_CHARS} THEN {share("classes")} END AS c,
-               CASE WHEN len(w) >= {MIN_WORDS} AND len(common) > 0 THEN {share("common")} END AS w FROM d) GROUP BY l
+               CASE WHEN len(w) >= {MIN_WORDS} AND len(common) > 0 THEN {share("common")} END AS w FROM e WHERE NOT base_failed) GROUP BY l
     ), r AS (
       SELECT l, list_transform(r_classes, lambda x: x / list_sum(r_classes)) AS r_classes, list_transform(r_common, lambda x: x / list_sum(r_common)) AS r_common FROM s
-    ), v AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
-    g AS (SELECT doc_id, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-    twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL) WHERE n > 1),
-    rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1), (2)) AS k(o) GROUP BY doc_id),
-    m AS (
-      SELECT d.doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, classes[{list(CLASSES).index("symbol") + 1}]::BIGINT AS n_symbols,
+    ), m AS (
+      SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, classes[{list(CLASSES).index("symbol") + 1}]::BIGINT AS n_symbols,
              (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
               - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
-             coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+             n_repeat_words, base_failed,
              coalesce(CASE WHEN length(t) >= {MIN_CHARS} THEN {far("classes", "r_classes")} END, 0.0) AS c_far,
              coalesce(CASE WHEN len(w) >= {MIN_WORDS} AND len(common) > 0 THEN {far("common", "r_common")} END, 0.0) AS w_far
-      FROM d JOIN r USING (l) LEFT JOIN rep ON rep.doc_id = d.doc_id
+      FROM e LEFT JOIN r USING (l)
     )
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND c_far <= {MAX_CLASS_DISTANCE} AND w_far <= {MAX_WORD_DISTANCE} AS kept,
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND c_far <= {MAX_CLASS_DISTANCE} AND w_far <= {MAX_WORD_DISTANCE} AS kept,
            round(c_far, 4) AS class_distance, round(w_far, 4) AS word_distance
     FROM m
     """
