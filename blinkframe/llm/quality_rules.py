@@ -90,10 +90,12 @@ def references(found: DataFrame) -> DataFrame:
 
 def _repeated(docs: DataFrame) -> DataFrame:
     """q_repeated: words in 3-word windows that occur twice or more in the text."""
-    windows = F.when(F.size("q_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("q_words") - 3), lambda i: F.concat_ws(" ", F.get("q_words", i), F.get("q_words", i + 1), F.get("q_words", i + 2))))
-    docs = docs.withColumn("q_windows", windows)
-    several = F.size(F.array_distinct("q_windows")) < F.size("q_windows")
-    docs = docs.withColumn("q_sorted", F.when(several, F.sort_array(F.transform("q_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
+    # Equal windows have equal hashes: only texts with some of these get their windows as strings.
+    starts = F.sequence(F.lit(0), F.size("q_words") - 3)
+    window = lambda i: [F.get("q_words", i + k) for k in range(3)]
+    docs = docs.withColumn("q_hashes", F.when(F.size("q_words") >= 3, F.transform(starts, lambda i: F.xxhash64(*window(i)))))
+    several = F.size(F.array_distinct("q_hashes")) < F.size("q_hashes")
+    docs = docs.withColumn("q_sorted", F.when(several, F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("w"), i.alias("i"))))))
     before, behind = (lambda j: F.get("q_sorted", j - 1)["w"]), (lambda j: F.get("q_sorted", j + 1)["w"])
     twice = F.filter("q_sorted", lambda x, j: x["w"].eqNullSafe(before(j)) | x["w"].eqNullSafe(behind(j)))
     docs = docs.withColumn("q_starts", F.sort_array(F.transform(twice, lambda x: x["i"])))

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from blinkframe.llm.frames import slices, text_bytes
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
 _BASE = np.uint64(_BASE)

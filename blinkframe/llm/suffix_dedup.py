@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from blinkframe.llm.frames import slices, text_bytes
 
 LENGTH = 50
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 RUNS_AT_ONCE = 40_000
 LAST = (1 << 63) - 1
 #: Texts are found again by 32 bits of their uid: those that share them get each other's anchors too, which changes nothing.
