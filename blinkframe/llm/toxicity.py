@@ -2,10 +2,10 @@
 
 A word's vector is the sum of two hashed embeddings, of the word and of its first bytes. Filters of several widths run over
 the words, the largest activation of each filter is kept, and a logistic layer gives the score. The model is trained in
-numpy on a bounded sample of labelled rows; it starts from embeddings that hold each bucket's log-odds in the sample.
-A threshold is then chosen for each language, told from the text's own words, from counts over all labelled rows that are
-not held out, and the logit is shifted so that every language's threshold is a score of one half. The sample's share of
-toxic rows adds a constant to all logits; it leaves with the shift, so neither score nor verdict depends on it.
+numpy, from random weights, on a bounded sample of labelled rows. A threshold is then chosen for each language, told from
+the text's own words, from counts over all labelled rows of a fold that training doesn't see, and the logit is shifted so
+that every language's threshold is a score of one half. The sample's share of toxic rows adds a constant to all logits; it
+leaves with the shift, so neither score nor verdict depends on it.
 
 Scoring needs no matrix products: a filter's response to a bucket at each offset is one table, made when the model is.
 """
@@ -17,21 +17,27 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blinkframe.llm.frames import checkpoint, slices, text_bytes
 from blinkframe.llm.shingles import mixed, word_bounds, word_hashes
 
-#: At most so many labelled rows are learnt from, a third of them of label 1 if there are as many.
+#: At most so many labelled rows are learnt from, a third of them of label 1 if there are as many, and so many bytes of text.
 MOST_ROWS = 6000
+MOST_BYTES = 64 << 20
 BUCKETS = 1 << 15
 WIDTH = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 6
 PREFIX_BYTES = 4
-EPOCHS = 6
+EPOCHS = 8
+RATE = 0.1
+#: Share of words left out at random whenever a text is learnt from.
+DROPPED = 0.1
 FOLDS = 5
+#: Fold of the rows that thresholds are chosen on; fold 0 is held out, the others are learnt from.
+TUNED = 1
 SLICE_BYTES = 1 << 19
 #: Thresholds are chosen from counts of logits in bins of 1 / BINS, within MOST_LOGIT.
 BINS = 128
@@ -138,37 +144,27 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     rows = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
     prior = float(np.clip(labels.mean() if len(labels) else 0.0, 0.001, 0.999))
 
-    # Log-odds of a bucket by the number of texts of each label that have it.
-    odds = np.zeros(2 * BUCKETS)
-    for ids in (words.word, words.begin):
-        pairs = np.unique(ids.astype(np.int64) * max(1, len(texts)) + rows)
-        bucket, row = pairs // max(1, len(texts)), pairs % max(1, len(texts))
-        toxic = np.bincount(bucket, labels[row], 2 * BUCKETS)
-        total = np.bincount(bucket, minlength=2 * BUCKETS)
-        odds += np.where(total > 0, np.log((toxic + 0.5 * prior) / (prior * (total + 0.5))), 0.0)
-    seen = np.zeros(2 * BUCKETS)
-    for ids in (words.word, words.begin):
-        seen += np.bincount(ids, minlength=2 * BUCKETS) > 0
-    embedding = rng.normal(0, 0.01, (2 * BUCKETS, WIDTH))
-    embedding[:, 0] += np.clip(odds, -2, 4) * seen
-    filters = [rng.normal(0, 0.05, (size, WIDTH, FILTERS)) for size in WIDTHS]
-    for f in filters:
-        f[:, 0, : FILTERS // 2] += 1.0 / len(f)
-    bias = np.full(len(WIDTHS) * FILTERS, -1.0)
-    out = np.where(np.arange(len(bias)) % FILTERS < FILTERS // 2, 0.5, 0.05)
+    kinds = len(WIDTHS) * FILTERS
+    embedding = rng.normal(0, 0.1, (2 * BUCKETS, WIDTH))
+    filters = [rng.normal(0, 0.3, (size, WIDTH, FILTERS)) for size in WIDTHS]
+    bias, out = np.zeros(kinds), rng.uniform(0.2, 0.6, kinds)
     base = float(np.log(prior / (1 - prior)))
+    # Squares of past gradients: each weight's rate falls by its own.
+    past_embedding, past_filters = np.full(2 * BUCKETS, 0.01), [np.full(f.shape, 0.01) for f in filters]
+    past_bias, past_out, past_base = np.full(kinds, 0.01), np.full(kinds, 0.01), 0.01
+    weight = np.where(labels == 1, min(8.0, (1 - prior) / prior) ** 0.5, 1.0)
 
     # One text's gradient reaches only the windows that won its pooling.
-    rate = 0.05
     starts = words.bounds
-    for epoch in range(EPOCHS if 0 < labels.sum() < len(labels) else 0):
+    for _ in range(EPOCHS if 0 < labels.sum() < len(labels) else 0):
         for t in rng.permutation(len(texts)):
             a, b = starts[t], starts[t + 1]
             if a == b:
                 continue
-            x = embedding[words.word[a:b]] + embedding[words.begin[a:b]]
+            word, begin = words.word[a:b], words.begin[a:b]
+            x = (embedding[word] + embedding[begin]) * (rng.random(b - a) >= DROPPED)[:, None]
             padded = np.concatenate([x, np.zeros((max(WIDTHS) - 1, WIDTH))])
-            best, tops = np.empty(len(bias)), []
+            best, tops = np.empty(kinds), []
             for w, f in enumerate(filters):
                 reply = sum(padded[o : o + len(x)] @ f[o] for o in range(len(f)))
                 top = reply.argmax(0)
@@ -176,22 +172,26 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
                 best[w * FILTERS : (w + 1) * FILTERS] = reply[top, np.arange(FILTERS)]
             active = np.maximum(best + bias, 0)
             score = 1 / (1 + np.exp(-np.clip(active @ out + base, -30, 30)))
-            error = score - labels[t]
+            error = (score - labels[t]) * weight[t]
             if abs(error) < 0.02:
                 continue
-            step = rate * error / (1 + 0.5 * epoch)
-            back = np.where(active > 0, out, 0.0)
-            out = out - step * active
-            base -= step
-            bias = bias - step * back
-            for w, f in enumerate(filters):
+            back = np.where(active > 0, out, 0.0) * error
+            past_out += (error * active) ** 2
+            out = out - RATE * error * active / np.sqrt(past_out)
+            past_base += error**2
+            base -= RATE * error / past_base**0.5
+            past_bias += back**2
+            bias = bias - RATE * back / np.sqrt(past_bias)
+            for w, (f, past) in enumerate(zip(filters, past_filters, strict=True)):
                 for j in np.flatnonzero(back[w * FILTERS : (w + 1) * FILTERS]):
-                    pull, at = step * back[w * FILTERS + j], tops[w][j]
+                    pull, at = back[w * FILTERS + j], tops[w][j]
                     for o in range(min(len(f), len(x) - at)):
-                        grown = pull * f[o, :, j]
-                        f[o, :, j] -= pull * padded[at + o]
-                        embedding[words.word[a + at + o]] -= grown
-                        embedding[words.begin[a + at + o]] -= grown
+                        to_word, to_filter = pull * f[o, :, j], pull * padded[at + o]
+                        past[o, :, j] += to_filter**2
+                        f[o, :, j] -= RATE * to_filter / np.sqrt(past[o, :, j])
+                        for bucket in (word[at + o], begin[at + o]):
+                            past_embedding[bucket] += (to_word**2).mean()
+                            embedding[bucket] -= RATE * to_word / past_embedding[bucket] ** 0.5
     model = Model(_folded(embedding, filters), bias.astype(np.float32), out.astype(np.float32), base, np.zeros(len(LANGUAGES)))
     logits = [model.logits(w) for w in words_in(pa.array([t or "" for t in texts], pa.large_string()))]
     bins = _binned(np.concatenate(logits) if logits else np.zeros(0))
@@ -229,20 +229,23 @@ def fold(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % FOLDS, F.lit(0))
 
 
-def learnt(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """Ids and labels (k, y) that are not held out; of an id's labels the largest counts."""
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y is not null")
-    return known.filter(fold(F.col("k")) != 0).groupBy("k").agg(F.max("y").alias("y"))
+def learnt(labels: DataFrame, key: str = "doc_id", label: str = "toxic", tuned: bool = False) -> DataFrame:
+    """Ids and labels (k, y) that training sees, or those of the fold ``tuned``; of an id's labels the largest counts."""
+    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).filter("y is not null and k is not null")
+    own = fold(F.col("k")) == TUNED if tuned else ~fold(F.col("k")).isin(0, TUNED)
+    return known.filter(own).groupBy("k").agg(F.max("y").alias("y"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], np.ndarray]:
-    """Bounded training sample from rows that are not held out, in the order of a hash of their ids."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic", most_bytes: int = MOST_BYTES) -> tuple[list[str], np.ndarray]:
+    """Training sample of at most ``most`` rows and ``most_bytes``, in the order of a hash of their ids; an id's first text counts."""
     rows = learnt(labels, key, label)
     order = F.xxhash64("k")
     chosen = rows.filter("y = 1").orderBy(order, "k").limit(most // 3).unionByName(rows.filter("y = 0").orderBy(order, "k").limit(most - most // 3))
-    # Texts are cut neither here nor in scoring; a sample of at most ``most`` rows goes to the driver.
-    picked = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("k", "text", "y").toPandas()
-    picked = picked.sort_values(["k", "text"], kind="stable").drop_duplicates("k")
+    # Texts are cut neither here nor in scoring.
+    own = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    picked = own.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("text").alias("text"))
+    picked = picked.withColumn("until", F.sum(F.octet_length("text")).over(Window.orderBy(order, "k")))  # at most ``most`` rows
+    picked = picked.filter(F.col("until") <= most_bytes).toPandas().sort_values("k")
     return picked["text"].tolist(), picked["y"].to_numpy()
 
 
@@ -278,10 +281,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on a sample of the labelled rows that are not held out, choose thresholds on all of them, score every document."""
+    """Train on a sample of labelled rows, choose thresholds on all those of a fold of their own, score every document."""
     model = train(*sample(docs, labels))._replace(shift=np.zeros(len(LANGUAGES)))
     # Texts are read once more here; what is kept is some 30 bytes a row.
     rows = checkpoint(raw(docs, model))
-    known = rows.join(learnt(labels).withColumn("k", F.col("k").cast("long")), F.col("doc_id") == F.col("k"))
+    known = rows.join(learnt(labels, tuned=True).withColumn("k", F.col("k").cast("long")), F.col("doc_id") == F.col("k"))
     counts = known.groupBy("lang", "y", "bin").agg(F.count("*").alias("n")).toPandas()  # bounded by the number of bins
     return _scored(rows, _thresholds(*(counts[c].to_numpy() for c in ("lang", "y", "bin", "n"))))
