@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ class Codec:
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         self.decimal = [str(i).encode() for i in range(size)]
         self.matches = regex.compile(pattern).findall
+        self.spaced = pattern == PATTERN
         self.parts = WordCache(self._merged, limit)
         self.words = WordCache(self._split, limit)
 
@@ -60,7 +62,7 @@ class Codec:
         """Ids of words, by their matches."""
         matches = {}
         for word in words:
-            if word[0] == " " and word[1:].isalpha():
+            if not self.spaced or (word[0] == " " and word[1:].isalpha()):
                 matches[word] = (word,)
             elif word[0] == " " and word[-1] in ENDS and word[1:-1].isalpha():
                 matches[word] = (word[:-1], word[-1])
@@ -74,8 +76,10 @@ class Codec:
 
         Where no two white-space characters meet, the pattern never matches across the start of a space: the
         words with their leading space are such pieces. Otherwise the text is cut only at spaces between two
-        other characters, which the same holds for.
+        other characters, which the same holds for. Of any other pattern than PATTERN the pieces are the matches.
         """
+        if not self.spaced:
+            return self.matches(text)
         first, *rest = SINGLE.split(text) if DOUBLED.search(text) else text.split(" ")
         return ([first] if first else []) + [" " + w for w in rest]
 

@@ -115,6 +115,13 @@ def test_byte_bpe_query_against_the_library(spark):
     assert {tuple(r) for r in queries.op3_byte_bpe(spark, "/root/testdata/sf0.001").collect()} == want
 
 
+@pytest.mark.parametrize("pattern", [r"\S+|\s+", r"[a-m ]+|[^a-m ]+", r"."])
+def test_byte_bpe_by_other_patterns(library, pattern):
+    text = "the cat, a dog: it's\n  nice, 12 of the  mice."
+    other = tiktoken.Encoding("other", pat_str=pattern + r"|\n", mergeable_ranks=library._mergeable_ranks, special_tokens={})
+    assert next(byte_bpe.codec(queries.BYTE_RANKS, pattern + r"|\n").encode_batch([text])).tolist() == other.encode_ordinary(text)
+
+
 def test_a_megabyte_without_a_space(spark):
     text = "abcdé" * 200_000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
