@@ -168,6 +168,9 @@ class WordCache:
 
     def __init__(self, learn: Callable[[set], dict], limit: int, longest: int = 40) -> None:
         self.learn, self.limit, self.longest = learn, limit, longest
+        self.clear()
+
+    def clear(self) -> None:
         self.now: dict = {}
         self.older: dict = {}
 

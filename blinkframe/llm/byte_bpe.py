@@ -96,6 +96,11 @@ class Codec:
             for words in group:
                 yield np.frombuffer(b"".join(map(ids, words)), "<u4")
 
+    def forget(self) -> None:
+        """Drop the caches: workers outlive their tasks, and the next may be another operator's."""
+        self.parts.clear()
+        self.words.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -120,6 +125,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             found = pa.array((x.tolist() for x in own.encode_batch([t or "" for t in batch[text].to_pylist()])), pa.list_(pa.int32()))
             kept = [name for name in batch.schema.names if name != ids]
             yield pa.RecordBatch.from_arrays([*(batch[name] for name in kept), found], [*kept, ids])
+        own.forget()
 
     return docs.mapInArrow(work, schema)
 
@@ -154,5 +160,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 told.append(hashlib.sha256(b" ".join(map(own.decimal.__getitem__, ids))).hexdigest())
                 back.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(told, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

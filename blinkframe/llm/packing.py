@@ -110,6 +110,11 @@ class WordEncoder:
             for words in group:
                 yield b"".join(map(ids, words))
 
+    def forget(self) -> None:
+        """Drop the caches: workers outlive their tasks, and the next may be another operator's."""
+        self.parts.clear()
+        self.words.clear()
+
 
 def byte_letters() -> list[str]:
     """The printable letter that byte-level vocabularies write for each byte."""
@@ -147,6 +152,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
                     part = ids[4 * start : 4 * (start + length)]
                     rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+        encoder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
