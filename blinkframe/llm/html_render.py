@@ -2,7 +2,9 @@
 
 A page is scanned once. A stack of open elements is the tree as far as it is needed: tags that HTML implies are closed or
 opened on the way, and hidden elements keep their text off the output. Blocks keep their distance, list items their marks
-and depth, and the cells of a table are padded to columns.
+and depth, and the cells of a table are padded to columns; cells of a row that holds paragraphs or lists follow each other
+as blocks. Time and output are linear in the page: of each name, the open elements are known by position, a cell is padded
+to at most PADDED characters and spans at most SPANS columns and rows.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Names of HTML elements by what they do to layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
-UNSEEN = frozenset("script style title noscript template iframe noframes head datalist audio video canvas svg math object".split())
+UNSEEN = frozenset("script style title noscript template iframe noframes head datalist audio video canvas object desc metadata annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd tr caption hr legend details summary figcaption option optgroup menu dir center thead tbody tfoot td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -34,7 +37,9 @@ WALLS = frozenset("table td th caption html template".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDES = re.compile(r"display\s*:\s*none", re.I)
+_SIGHT = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+PADDED, SPANS = 40, 32
 
 
 def _tokens(page: str) -> Iterator[tuple]:
@@ -85,22 +90,22 @@ class _Lines:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []  # of the line that is open
         self.prefix = ""
-        self.blank = self.gap = False
+        self.blank = self.gap = self.inked = self.structured = False
 
     def text(self, text: str, kept: bool) -> None:
         if kept:
             first, *rest = text.replace("\r\n", "\n").split("\n")
             self._add(first)
             for line in rest:
-                self.lines.append(self.line)
-                self.line = ""
+                self.lines.append("".join(self.parts))
+                self.drop()
                 self._add(line)
             return
         words = _SPACE.sub(" ", text)
         if words.startswith(" "):
-            self.gap = bool(self.line.strip()) and not self.line.endswith(" ")
+            self.gap = self.inked and not self.parts[-1].endswith(" ")
             words = words[1:]
         if words:
             tail = words.endswith(" ")
@@ -113,20 +118,27 @@ class _Lines:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        if not self.line:
+        if not self.parts:
             # A list item's mark stands before its first line only.
-            self.line, self.prefix = self.prefix, " " * len(self.prefix)
-        self.line += (" " if self.gap else "") + text
+            self.parts.append(self.prefix)
+            self.inked = bool(self.prefix.strip())
+            self.prefix = " " * len(self.prefix)
+        self.parts.append((" " if self.gap else "") + text)
+        self.inked = self.inked or bool(text.strip())
         self.gap = False
 
+    def drop(self) -> None:
+        self.parts, self.inked = [], False
+
     def end_line(self, blank: bool = False) -> None:
-        if self.line.strip():
-            self.lines.append(self.line.rstrip())
-        self.line, self.gap = "", False
+        if self.inked:
+            self.lines.append("".join(self.parts).rstrip())
+        self.drop()
+        self.gap = False
         self.blank = self.blank or (blank and bool(self.lines))
 
     def force_break(self) -> None:
-        if self.line.strip():
+        if self.inked:
             self.end_line()
         elif self.lines and self.lines[-1]:
             self.blank = True
@@ -141,26 +153,64 @@ class _Lines:
 class _Table:
     def __init__(self) -> None:
         self.rows: list[list[str]] = []
+        self.blocks: dict[int, list[list[str]]] = {}  # cells of rows that hold blocks, by row
+        self.below: dict[int, int] = {}  # rows that a cell above still takes, by column
         self.caption = ""
 
-    def cell(self, text: list[str], span: int) -> None:
+    def row(self) -> None:
+        if self.rows:
+            for column in [c for c in self.below if c >= len(self.rows[-1])]:
+                self._used(column)
+        self.rows.append([])
+
+    def _used(self, column: int) -> None:
+        self.below[column] -= 1
+        if not self.below[column]:
+            del self.below[column]
+
+    def cell(self, lines: list[str], columns: int, rows: int, structured: bool) -> None:
         if not self.rows:
-            self.rows.append([])
-        self.rows[-1].append(" ".join(filter(None, (line.strip() for line in text))))
-        self.rows[-1].extend([""] * (span - 1))
+            self.row()
+        row = self.rows[-1]
+        while len(row) in self.below:
+            self._used(len(row))
+            row.append("")
+        at = len(row)
+        row.append(" ".join(filter(None, (line.strip() for line in lines))))
+        row.extend([""] * (columns - 1))
+        if rows > 1:
+            self.below |= {c: rows - 1 for c in range(at, at + columns)}
+        nth = len(self.rows) - 1
+        if structured and len(lines) > 1 and nth not in self.blocks:
+            self.blocks[nth] = [[c] for c in row[:at] if c]
+        if nth in self.blocks and any(lines):
+            self.blocks[nth].append(lines)
 
     def done(self) -> list[str]:
-        rows = [row for row in self.rows if any(row)]
-        widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-        lines = [" | ".join(c.ljust(w) for c, w in zip(row, widths, strict=False)).rstrip() for row in rows]
-        return [self.caption, *lines] if self.caption else lines
+        """Lines of the table; an empty one asks for a blank line."""
+        plain = [row for n, row in enumerate(self.rows) if any(row) and n not in self.blocks]
+        widths = [0] * max(map(len, plain), default=0)
+        for row in plain:
+            for i, c in enumerate(row):
+                widths[i] = max(widths[i], len(c))
+        out = [self.caption] if self.caption else []
+        for n, row in enumerate(self.rows):
+            if n in self.blocks:
+                for lines in self.blocks[n]:
+                    out += ["", *lines, ""]
+            elif any(row):
+                last = max(i for i, c in enumerate(row) if c)
+                out.append(" | ".join(c.ljust(min(w, PADDED)) for c, w in zip(row[: last + 1], widths, strict=False) if w).rstrip())
+        return out
 
 
 class Page:
     """Visible text of one page."""
 
     def __init__(self) -> None:
-        self.open: list[tuple] = []  # (name, hidden, what to undo)
+        self.open: list[tuple] = []  # (name, hidden, what was seen before, what to undo)
+        self.at: dict[str, list[int]] = {}  # positions in ``open`` by name
+        self.seen = True
         self.out = [_Lines()]
         self.tables: list[_Table] = []
         self.lists: list[list] = []
@@ -169,7 +219,7 @@ class Page:
     def render(self, page: str) -> str:
         for kind, value, attributes in _tokens(page):
             if kind == "text":
-                if not self.hidden:
+                if self.seen and not self.hidden:
                     self.out[-1].text(html.unescape(value), self.kept > 0)
             elif kind == "start":
                 self.start(value, attributes)
@@ -189,12 +239,17 @@ class Page:
             self.out[-1].end_line(True)
         if name in VOID:
             return
-        hidden = name in UNSEEN or "hidden" in attributes or bool(_HIDES.search(attributes.get("style", "")))
+        style = attributes.get("style", "")
+        hidden = name in UNSEEN or "hidden" in attributes or bool(_HIDES.search(style))
         self.hidden += hidden
+        before = self.seen
+        if sight := _SIGHT.findall(style):
+            self.seen = sight[-1].lower() == "visible"
         undo = None
         if not self.hidden:
             undo = self._enter(name, attributes)
-        self.open.append((name, hidden, undo))
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, hidden, before, undo))
 
     def _imply(self, name: str) -> None:
         """Close and open what the start tag implies."""
@@ -202,38 +257,34 @@ class Page:
             self.end("p")
         walls = CLOSED_WITHIN.get(name, {"table"})
         ends = ENDS.get(name, ())
-        while ends and any(o[0] in ends for o in self._until(walls)):
+        while ends and self._last(ends) > self._last(walls):
             self.pop()
         if name in ("td", "th") and not self._within("tr", {"table"}) and self._within("table", ()):
             self.start("tr", {})
 
-    def _until(self, walls) -> Iterator[tuple]:
-        for element in reversed(self.open):
-            if element[0] in walls:
-                return
-            yield element
+    def _last(self, names) -> int:
+        """Position of the innermost open element of these names; -1 without one."""
+        return max((own[-1] for n in names if (own := self.at.get(n))), default=-1)
 
     def _within(self, name: str, walls) -> bool:
-        for element in reversed(self.open):
-            if element[0] == name:
-                return True
-            if element[0] in walls:
-                return False
-        return False
+        own = self._last((name,))
+        return own >= 0 and own >= self._last(walls)
 
     def _enter(self, name: str, attributes: dict[str, str]):
         out = self.out[-1]
+        if name == "li" or (name in SPACED and name != "table"):
+            out.structured = True
         if name == "table":
             out.end_line(True)
             self.tables.append(_Table())
             return "table"
         if name == "tr" and self.tables:
-            self.tables[-1].rows.append([])
+            self.tables[-1].row()
             return None
         if name in ("td", "th", "caption") and self.tables:
-            span = attributes.get("colspan", "1")
+            columns, rows = (min(int(n[:4]), SPANS) if re.fullmatch("[0-9]*[1-9][0-9]*", n) else 1 for n in (attributes.get(a, "1").strip() for a in ("colspan", "rowspan")))
             self.out.append(_Lines())
-            return ("cell", name, min(int(span), 1000) if span.isdecimal() and int(span) else 1, self.lists, self.kept)
+            return ("cell", name, max(columns, 1), max(rows, 1), self.lists, self.kept)
         if name in BLOCK:
             nested = name in ("ul", "ol", "menu", "dir") and bool(self.lists)
             out.end_line(name in SPACED and not nested)
@@ -249,7 +300,7 @@ class Page:
                 self.lists[-1][1] += 1
             undo = ("li", out.prefix)
             out.prefix = "  " * depth + mark
-            out.line = ""
+            out.drop()
             return undo
         if name == "pre":
             self.kept += 1
@@ -263,30 +314,35 @@ class Page:
             self.start("p", {})
         walls = () if name in ("table", "html", "body") else WALLS - {name}
         if name in HEADINGS and not self._within(name, walls):
-            name = next((o[0] for o in self._until(walls) if o[0] in HEADINGS), name)
+            at = self._last(HEADINGS)
+            name = self.open[at][0] if at > self._last(walls) else name
         if self._within(name, walls):
             while self.pop() != name:
                 pass
 
     def pop(self) -> str:
-        name, hidden, undo = self.open.pop()
+        name, hidden, self.seen, undo = self.open.pop()
+        self.at[name].pop()
         seen = not self.hidden
         self.hidden -= hidden
         if not seen:
             return name
         if undo == "table":
             out, table = self.out[-1], self.tables.pop()
+            out.structured = out.structured or len(table.rows) > 1
             for line in table.done():
-                out.text(line, True)
-                out.end_line()
+                if line:
+                    out.text(line, True)
+                out.end_line(not line)
             out.end_line(True)
         elif undo and undo[0] == "cell":
-            _, kind, span, self.lists, self.kept = undo
-            lines = self.out.pop().done()
+            _, kind, columns, rows, self.lists, self.kept = undo
+            own = self.out.pop()
+            lines = own.done()
             if kind == "caption":
                 self.tables[-1].caption = " ".join(lines)
             else:
-                self.tables[-1].cell(lines, span)
+                self.tables[-1].cell(lines, columns, rows, own.structured)
         elif undo == "list":
             self.lists.pop()
             self.out[-1].end_line(not self.lists)
@@ -304,10 +360,10 @@ class Page:
 def extract(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
     """One row per input row: key, text, n_chars, n_lines.
 
-    Null pages have empty text. Broken markup never fails: unclosed elements end with the page, stray end tags are dropped,
+    Null pages have empty text. A span wider than SPANS counts as SPANS. Broken markup never fails: unclosed elements end with the page, stray end tags are dropped,
     an unfinished tag at the end is no text. Rows that repeat give equal rows; other columns are ignored.
     """
-    rows = pages.select(key, source)
+    rows = pages.select(F.col(f"`{key}`"), F.col(f"`{source}`"))
     kind = pages.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

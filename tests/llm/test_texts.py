@@ -225,12 +225,34 @@ def test_chat_rows(spark):
         ("text<a href='", "text"),
         ("<select><option>x<option>y</select>", "x\ny"),
         ("", ""),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>", "a |   | b\nc | d | e"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<svg><title>no</title><text>label</text></svg><math><mi>x</mi><annotation>no</annotation></math>", "labelx"),
+        ("<table><tr><td><h1>Title</h1><p>one<p>two<ul><li>a<li>b</ul><td>side<tr><td>x<td>y</table>", "Title\n\none\n\ntwo\n\n- a\n- b\n\nside\n\nx | y"),
+        ("<table><tr><td>a<br>b<td>c</table>", "a b | c"),
     ],
 )
 def test_html(page, text):
     assert html_render.Page().render(page) == text
 
 
+def test_html_is_linear_in_time_and_output():
+    import time
+
+    began = time.process_time()
+    assert html_render.Page().render("<div>" * 300_000 + "deep") == "deep"
+    assert html_render.Page().render("<b>x</b>" * 300_000) == "x" * 300_000
+    assert html_render.Page().render("<table><tr><td>" * 20_000 + "deep") == "deep"
+    assert time.process_time() - began < 30
+    for page in (
+        "<table><tr><td>" + "w" * 100_000 + "<td>z" + "<tr><td>a<td>b" * 300 + "</table>",
+        "<table>" + "<tr><td colspan=1000>a<td>b" * 1000 + "</table>",
+        "<table><tr>" + "<td rowspan=9999>a" * 1000 + "<tr><td>x" * 1000 + "</table>",
+    ):
+        assert len(html_render.Page().render(page)) < 60 * len(page)
+
+
 @settings(max_examples=300, deadline=None)
 @given(page=st.text(alphabet="<>/tablerdhpu li!-'\"=&;x\n", max_size=80))
 def test_html_never_fails(page):
