@@ -49,10 +49,22 @@ def marked_turns(turns: list[Turn]) -> str:
 marked_turns.local = True
 
 
-def read_turn(piece: str) -> Turn:
-    """Role and text of a turn as :func:`marked_turns` wrote it."""
-    role, _, text = piece.removeprefix(START).partition("\n")
-    return unescape(role.replace(LINE, "\n")), unescape(text.removesuffix("\n").removesuffix(END))
+class Reader:
+    """Reads turns back from the output of :func:`marked_turns`, by its marks alone, as parts of it come in."""
+
+    def __init__(self) -> None:
+        self.rest = ""
+
+    def add(self, part: str) -> Iterator[Turn]:
+        """Role and text of the turns that end in this part; ValueError where there is no turn."""
+        searched = max(0, len(self.rest) - len(END))
+        self.rest += part
+        while (at := self.rest.find(END + "\n", searched)) >= 0:
+            role, line, text = self.rest[:at].partition("\n")
+            if not role.startswith(START) or not line:
+                raise ValueError("no turn: " + role[:80])
+            yield unescape(role[len(START) :].replace(LINE, "\n")), unescape(text)
+            self.rest, searched = self.rest[at + len(END) + 1 :], 0
 
 
 class Span(NamedTuple):
@@ -138,10 +150,11 @@ def format_turns(conversations: DataFrame, template: Template = marked_turns, wi
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digest of each conversation as read back from rows of :func:`format_turns` with the default template.
+    """Digest of each conversation as read back from its output, that is the pieces of :func:`format_turns` one after another.
 
-    conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars, loss_sha256 (text under the
-    mask, unescaped), formatted_chars. Pieces are folded as they stream by.
+    conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars, loss_sha256 (what stands under
+    the mask in the output, unescaped), formatted_chars. Turns are found by the default template's marks, whatever the
+    pieces. Output that isn't turns, and assistant text that isn't under the mask, are errors.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +163,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
         state: list | None = None
 
         def told() -> tuple:
-            conv, n, turns, chars, loss, end = state
+            conv, n, turns, chars, loss, end, reader, said = state
+            if reader.rest or chars != said:
+                raise ValueError(f"conversation {conv}: its output has {len(reader.rest)} characters beyond its turns, and {chars} of {said} of loss")
             return conv, n, turns.hexdigest(), chars, loss.hexdigest(), end
 
         for batch in batches:
@@ -158,10 +173,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 if conv != last or state is None:
                     if state is not None:
                         done.append(told())
-                    state, last = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], conv
-                role, text = read_turn(piece)
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
+                    state, last = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, Reader(), 0], conv
+                for role, text in state[6].add(piece):
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode())
+                    state[7] += len(text) if role == "assistant" else 0
                 if in_loss:
                     own = unescape(piece[a - start : b - start])
                     state[3] += len(own)

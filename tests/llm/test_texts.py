@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -172,9 +174,17 @@ def test_chat_spans(turns, window):
     assert "".join(s.piece for s in spans) == whole
     for (role, text), s in zip(turns, spans, strict=True):
         assert whole[s.start : s.end] == s.piece and not s.rewrites
-        assert chat_format.read_turn(s.piece) == (role, text)
+        assert list(chat_format.Reader().add(s.piece)) == [(role, text)]
         if s.text_start is not None:
             assert chat_format.unescape(whole[s.text_start : s.text_end]) == text
+    # Turns come back whatever the parts in which the output comes.
+    reader = chat_format.Reader()
+    assert [t for at in range(0, len(whole), window) for t in reader.add(whole[at : at + window])] == turns and not reader.rest
+
+
+def test_chat_output_that_is_no_turn_fails():
+    with pytest.raises(ValueError, match="no turn"):
+        list(chat_format.Reader().add("x<|im_start|>user\nhi<|im_end|>\n"))
 
 
 def test_chat_template_that_rewrites_history():
@@ -259,6 +269,39 @@ def test_html_never_fails(page):
     html_render.Page().render(page)
 
 
+class Words(HTMLParser):
+    """Text outside of elements that are never seen, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.text = [], []
+
+    def handle_starttag(self, tag, attrs):
+        style = dict(attrs).get("style") or ""
+        if tag not in html_render.VOID and (self.hidden or tag in html_render.UNSEEN or "hidden" in dict(attrs) or re.search(r"display\s*:\s*none", style)):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        while tag in self.hidden and self.hidden.pop() != tag:
+            pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text.append(data)
+
+
+def test_html_query_keeps_every_visible_word(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    rows = queries.op6_html_text(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(pages)
+    letters = lambda t: "".join(re.findall(r"\w+", re.sub(r"(?m)^ *\d+\. ", "", t)))
+    for r in rows:
+        known = Words()
+        known.feed(pages[r.page_id] or "")
+        known.close()
+        assert letters(r.text) == letters(" ".join(known.text))
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "t"), (2, None, "t"), (3, "<div>" * 20_000 + "deep", "t")], "page_id long, html string, text string")
     assert {r.page_id: r.text for r in html_render.extract(df).collect()} == {1: "a", 2: "", 3: "deep"}
