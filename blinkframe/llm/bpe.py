@@ -7,6 +7,7 @@ above them. Strings of up to SHORT symbols are merged many at a time, their tree
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -168,10 +169,12 @@ class WordCache:
 
     def __init__(self, learn: Callable[[set], dict], limit: int, longest: int = 40) -> None:
         self.learn, self.limit, self.longest = learn, limit, longest
+        self.now: dict = {}
         self.clear()
 
-    def clear(self) -> None:
-        self.now: dict = {}
+    def clear(self, kept: int = 0) -> None:
+        """Drop all words but ``kept``: those met first, so mostly frequent ones."""
+        self.now = dict(itertools.islice(self.now.items(), kept))
         self.older: dict = {}
 
     def holding(self, words: set) -> dict:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from blinkframe.llm.bpe import Merges, WordCache, merge_all
 
 CACHED = 200_000
+KEPT_WORDS = 50_000
 CHARS_AT_ONCE = 2 << 20
 ENDS = frozenset(".,;:!?")
 SINGLE = regex.compile(r"(?<=\S) (?=\S)")
@@ -97,9 +98,9 @@ class Codec:
                 yield np.frombuffer(b"".join(map(ids, words)), "<u4")
 
     def forget(self) -> None:
-        """Drop the caches: workers outlive their tasks, and the next may be another operator's."""
-        self.parts.clear()
-        self.words.clear()
+        """Drop most of the caches: workers outlive their tasks, and the next may be another operator's."""
+        self.parts.clear(KEPT_WORDS)
+        self.words.clear(KEPT_WORDS)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

@@ -31,6 +31,7 @@ OPEN_BINS = 1024
 PIECES_A_TASK = 100_000
 PIECES_A_GROUP = 8192
 CACHED_WORDS = 250_000
+KEPT_WORDS = 50_000
 ENDS = frozenset(".,;:!?")
 #: Characters that need the tokenizer itself: beyond Latin-1, or white space to Python alone.
 BEYOND = re.compile("[\x1c-\x1f\x85\xa0\u0100-\U0010ffff]").search
@@ -111,9 +112,9 @@ class WordEncoder:
                 yield b"".join(map(ids, words))
 
     def forget(self) -> None:
-        """Drop the caches: workers outlive their tasks, and the next may be another operator's."""
-        self.parts.clear()
-        self.words.clear()
+        """Drop most of the caches: workers outlive their tasks, and the next may be another operator's."""
+        self.parts.clear(KEPT_WORDS)
+        self.words.clear(KEPT_WORDS)
 
 
 def byte_letters() -> list[str]:
