@@ -171,9 +171,10 @@ class ThresholdSettings(Settings):
 
 @dataclass(frozen=True)
 class GlobalSettings:
-    """Calibration of the host; where it is given it goes before a stage's own."""
+    """Calibration and geometry of the host; the calibration goes before a stage's own where it is given."""
 
     nm_per_pixel: float | None = None
+    frame_us: int = 10_000
     sensor_width: int = 1280
     sensor_height: int = 720
 

@@ -32,9 +32,10 @@ def timed(rows: DataFrame, events: DataFrame | None, radius: float, frame_us: in
     if events is None:
         return rows.withColumn("timestamp_us", middle)
     own = rows.select("frame", "rank", "x", "y")
-    near = within(own, events.select("frame", "x", "y", "timestamp_us"), radius)
+    # Localizations go to the cells around them: they are fewer than events.
+    near = within(events.select("frame", "x", "y", "timestamp_us"), own, radius)
     w = 1 / (1 + F.col("d2"))
-    times = near.groupBy("frame", "rank").agg(F.round(F.sum(F.col("r_timestamp_us") * w) / F.sum(w)).cast("long").alias("t"))
+    times = near.groupBy("frame", F.col("r_rank").alias("rank")).agg(F.round(F.sum(F.col("timestamp_us") * w) / F.sum(w)).cast("long").alias("t"))
     return rows.join(times, ["frame", "rank"], "left").withColumn("timestamp_us", F.coalesce("t", middle)).drop("t")
 
 

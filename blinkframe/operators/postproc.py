@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from blinkframe.config import PostprocSettings
 from blinkframe.functions.numeric import at_most, fraction
+from blinkframe.sources.shared import checkpoint
 
 MAX_SHIFT = 8
 LINK_RADIUS = 1.5
@@ -142,42 +143,68 @@ class Tracks:
         return ended
 
 
-def _by_frame(rows: pd.DataFrame, order: list[str]) -> Iterator[tuple[int, pd.DataFrame]]:
-    rows = rows.sort_values(["frame", *order], kind="stable")
-    yield from rows.groupby("frame", sort=True)
+def _linked(rows: DataFrame, session: str, order: str, radius: float) -> DataFrame:
+    """(session, frame, nth, before): the localization of the frame before that each one continues, if any.
 
-
-def track_lengths(rows: DataFrame, frames: DataFrame, session: str = "session", order: str = "cluster_id") -> DataFrame:
-    """Lengths of all tracks of each session, ended and active: session, length.
-
-    Greedy assignment depends on order, so a session is one sequential fold; sessions run side by side. Frames without
-    localizations end tracks as well.
+    Greedy assignment goes by the order of a frame's localizations and sees only the frame before, so each pair of
+    neighbouring frames is a group of its own.
     """
-    own = rows.select(session, "frame", "x", "y", F.col(order).alias("nth"))
-    every = rows.select(session).distinct().join(F.broadcast(frames.select("frame")), how="cross") if frames is not None else own.select(session, "frame").distinct()
-    table = every.join(own, [session, "frame"], "left")
+    own = rows.select(F.col(session).alias("session"), "frame", F.col(order).alias("nth"), "x", "y")
+    both = own.withColumn("old", F.lit(False)).unionByName(own.withColumns({"frame": F.col("frame") + 1, "old": F.lit(True)}))
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
-        tracks, out = Tracks(), []
-        for _, frame in _by_frame(part, ["nth"]):
-            some = frame.dropna(subset=["x"])
-            out += tracks.step(list(zip(some["x"], some["y"], strict=True)))
-        out += [length for *_, length in tracks.active]
-        return pd.DataFrame({session: part[session].iloc[0], "length": np.array(out, np.int64)})
+        part = part.sort_values("nth", kind="stable")
+        old, new = part[part["old"]], part[~part["old"]]
+        xy = old[["x", "y"]].to_numpy(float)
+        free = np.ones(len(xy), bool)
+        before: list[int | None] = []
+        for x, y in new[["x", "y"]].itertuples(index=False):
+            d2 = np.where(free, (xy[:, 0] - x) ** 2 + (xy[:, 1] - y) ** 2, math.inf)
+            least = d2.min(initial=math.inf)
+            if least <= radius**2:
+                at = int(np.flatnonzero(d2 == least)[-1])  # the later of equals
+                free[at] = False
+                before.append(int(old["nth"].iloc[at]))
+            else:
+                before.append(None)
+        return pd.DataFrame({"session": new["session"], "frame": new["frame"], "nth": new["nth"], "before": pd.array(before, "Int64")})
+
+    kind = own.schema["session"].dataType.simpleString()
+    return both.groupBy("session", "frame").applyInPandas(work, f"session {kind}, frame long, nth long, before long")
 
-    kind = rows.schema[session].dataType.simpleString()
-    return table.groupBy(session).applyInPandas(work, f"{session} {kind}, length long")
+
+def track_lengths(rows: DataFrame, session: str = "session", order: str = "cluster_id", radius: float = LINK_RADIUS) -> DataFrame:
+    """Lengths of all tracks of each session, ended and active: session, length.
+
+    ``order`` numbers the localizations of a frame. A frame without any ends all tracks. Links are found between neighbouring
+    frames, then every localization finds its track's first one by pointer doubling: rounds grow with the logarithm of the
+    longest track.
+    """
+    links = checkpoint(_linked(rows, session, order, radius))
+    node = F.struct("frame", "nth")
+    ups = links.select("session", node.alias("node"), F.when(F.col("before").isNotNull(), F.struct((F.col("frame") - 1).alias("frame"), F.col("before").alias("nth"))).alias("up"))
+    ups = ups.select("session", "node", F.coalesce("up", "node").alias("top"))
+    moving = 1
+    while moving:
+        far = ups.select("session", F.col("node").alias("top"), F.col("top").alias("higher"))
+        ups = checkpoint(ups.join(far, ["session", "top"]).select("session", "node", F.col("higher").alias("top"), (F.col("higher") != F.col("top")).alias("moved")))
+        moving = ups.filter("moved").limit(1).count()
+        ups = ups.drop("moved")
+    found = ups.groupBy("session", "top").agg(F.count("*").alias("length"))
+    return found.select(F.col("session").alias(session), "length")
 
 
 def on_time(lengths: DataFrame, session: str = "session") -> DataFrame:
-    """Tracks by length."""
-    return lengths.groupBy(session, "length").agg(F.count("*").alias("n"))
+    """Tracks by length, short ones first."""
+    return lengths.groupBy(session, "length").agg(F.count("*").alias("n")).orderBy(session, "length")
 
 
 def drift_fold(rows: DataFrame, window: int = 50, session: str = "session", order: str = "cluster_id", physical: bool = False) -> DataFrame:
-    """Drift correction with feedback: a frame's reference is the last ``window`` corrected frames.
+    """Drift correction with feedback: a frame's reference is the corrected points of the ``window`` frames before it.
 
-    Each frame needs the corrected ones before it, so a session is one sequential fold of bounded state.
+    Frames without rows count as frames. Each frame needs the corrected ones before it, so a session is one sequential
+    fold: its points stream by in order of their frames, ``window`` frames of them are held, and a shift is told for each
+    frame. Shifts are then joined to the rows.
     """
     def score(reference: np.ndarray, moving: np.ndarray) -> tuple[float, float]:
         if not len(reference) or not len(moving):
@@ -203,16 +230,37 @@ def drift_fold(rows: DataFrame, window: int = 50, session: str = "session", orde
 
     sign = 1 if physical else -1
 
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        held: list[np.ndarray] = []
-        out = []
-        for _, frame in _by_frame(part, [order]):
-            points = frame[["x", "y"]].to_numpy(float)
-            sx, sy = score(np.concatenate(held) if held else np.zeros((0, 2)), points)
-            points = points + sign * np.array([sx, sy])
-            held = [*held, points][-window:]
-            out.append(frame.assign(x=points[:, 0], y=points[:, 1], shift_x=sx, shift_y=sy))
-        return pd.concat(out)[[*part.columns, "shift_x", "shift_y"]]
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(session).applyInPandas(work, f"{fields}, shift_x double, shift_y double")
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[int, np.ndarray]] = []
+        now: tuple | None = None
+        points: list[np.ndarray] = []
+
+        def closed() -> tuple:
+            nonlocal held
+            moving = np.concatenate(points)
+            held = [(f, p) for f, p in held if f >= now[1] - window]
+            found = score(np.concatenate([p for _, p in held]) if held else np.zeros((0, 2)), moving)
+            held.append((now[1], moving + sign * np.array(found)))
+            return (*now, *found)
+
+        names = ["session", "frame", "shift_x", "shift_y"]
+        for batch in batches:
+            out = []
+            for key, part in batch.groupby(["session", "frame"], sort=False, dropna=False):
+                if key != now:
+                    if now is not None:
+                        out.append(closed())
+                        if key[0] != now[0]:
+                            held = []
+                    now, points = key, []
+                points.append(part[["x", "y"]].to_numpy(float))
+            yield pd.DataFrame(out, columns=names)
+        if now is not None:
+            yield pd.DataFrame([closed()], columns=names)
+
+    own = rows.select(F.col(session).alias("session"), "frame", F.col(order).alias("nth"), F.col("x").cast("double"), F.col("y").cast("double"))
+    kind = own.schema["session"].dataType.simpleString()
+    sorted_rows = own.repartition("session").sortWithinPartitions("session", "frame", "nth")
+    found = sorted_rows.mapInPandas(work, f"session {kind}, frame long, shift_x double, shift_y double").withColumnRenamed("session", session)
+    out = rows.join(found, [session, "frame"])
+    return out.withColumns({"x": F.col("x") + sign * F.col("shift_x"), "y": F.col("y") + sign * F.col("shift_y")}).select(*rows.columns, "shift_x", "shift_y")

@@ -31,7 +31,7 @@ def image(signed: bool) -> str:
     return f"img AS (SELECT frame, x, y, sum({value}) AS value FROM ev WHERE x BETWEEN 0 AND {WIDTH - 1} AND y BETWEEN 0 AND {HEIGHT - 1} GROUP BY ALL)"
 
 
-GRID = f"""grid AS (
+GRID = f"""grid AS MATERIALIZED (
       SELECT f.frame, x.x, y.y, coalesce(i.value, 0.0) AS v
       FROM (SELECT DISTINCT frame FROM img) f, (SELECT range AS x FROM range({WIDTH})) x, (SELECT range AS y FROM range({HEIGHT})) y
       LEFT JOIN img i ON i.frame = f.frame AND i.x = x.x AND i.y = y.y
@@ -43,7 +43,7 @@ def _pass(made: str, source: str, across: str, along: str, step: int) -> str:
     whole = f"OVER (PARTITION BY frame, {across} ORDER BY {along} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     low = lambda k: f"coalesce(lag(v, {k * step}) {w}, first_value(v) {whole})"
     high = lambda k: f"coalesce(lead(v, {k * step}) {w}, last_value(v) {whole})"
-    return f"{made} AS (SELECT frame, x, y, ({low(2)} + 4 * {low(1)} + 6 * v + 4 * {high(1)} + {high(2)}) / 16 AS v FROM {source})"
+    return f"{made} AS MATERIALIZED (SELECT frame, x, y, ({low(2)} + 4 * {low(1)} + 6 * v + 4 * {high(1)} + {high(2)}) / 16 AS v FROM {source})"
 
 
 WAVELET = ",\n    ".join([

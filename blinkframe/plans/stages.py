@@ -35,9 +35,14 @@ class Stage:
 
 
 def _localized(have: dict[str, DataFrame], s: LocalizationSettings, g: GlobalSettings) -> DataFrame:
-    image = images.analysis_image(have["events"], True)
-    found = fitters.window_fits(image, images.spots(image, s.threshold_factor), s.fit_radius_px, s.initial_sigma_px)
-    return localize.timed(localize.credible(found, s, g.nm(s.nm_per_pixel)), have["events"], float(s.fit_radius_px))
+    sensor = {"width": g.sensor_width, "height": g.sensor_height}
+    image = images.analysis_image(have["events"], True, g.frame_us, **sensor)
+    found = fitters.window_fits(image, images.spots(image, s.threshold_factor, **sensor), s.fit_radius_px, s.initial_sigma_px, **sensor)
+    return localize.timed(localize.credible(found, s, g.nm(s.nm_per_pixel)), have["events"], float(s.fit_radius_px), g.frame_us)
+
+
+def _counted(have: dict[str, DataFrame], g: GlobalSettings) -> DataFrame:
+    return images.counted_image(have["events"], g.sensor_width, g.sensor_height)
 
 
 def _fitted(have: dict[str, DataFrame], s: FittingSettings, g: GlobalSettings) -> DataFrame:
@@ -51,7 +56,8 @@ def _processed(have: dict[str, DataFrame], s: PostprocSettings, g: GlobalSetting
     kept = postproc.passing(have["fits"], s)
     if not s.drift_correction_enabled:
         return kept
-    return postproc.drift_fold(kept.withColumn("session", F.lit("all")), s.drift_window_frames).drop("session")
+    # A run is one session; its frames stream by, with the window alone held.
+    return postproc.drift_fold(kept.withColumn("session", F.lit("run")), s.drift_window_frames).drop("session")
 
 
 def _table(have: dict[str, DataFrame], s: ReconstructionSettings, g: GlobalSettings) -> DataFrame:
@@ -64,15 +70,15 @@ def _focused(have: dict[str, DataFrame], s: FocusSettings, g: GlobalSettings) ->
     metrics = {
         "MEAN_SIGMA": lambda: focus.mean_sigma(rows, s.sigma_min_nm, s.sigma_max_nm, g.nm(s.nm_per_pixel)),
         "ASTIGMATISM": lambda: focus.astigmatism(rows, s.sigma_min_nm, s.sigma_max_nm, g.nm(s.nm_per_pixel)),
-        "FFT": lambda: images.spectral_focus(images.counted_image(have["events"])),
+        "FFT": lambda: images.spectral_focus(_counted(have, g), width=g.sensor_width, height=g.sensor_height),
     }[s.method.name]()
     return focus.trend(focus.quality(metrics, s.method, s.history_depth), s.method, s.history_depth)
 
 
 STAGES = [
-    Stage("threshold", "Bright pixels", "frames", (), ThresholdSettings(threshold=2), lambda have, s, g: images.above_threshold(images.counted_image(have["events"]), s.threshold)),
+    Stage("threshold", "Bright pixels", "frames", (), ThresholdSettings(threshold=2), lambda have, s, g: images.above_threshold(_counted(have, g), s.threshold)),
     Stage("localization", "Image localization", "events", (), LocalizationSettings(), _localized),
-    Stage("candidates", "Event clusters", "events", (), CandidateSettings(), lambda have, s, g: clusters.candidates(have["events"], s)),
+    Stage("candidates", "Event clusters", "events", (), CandidateSettings(), lambda have, s, g: clusters.candidates(have["events"], s, g.frame_us, g.sensor_width, g.sensor_height)),
     Stage("fits", "Cluster fits", "derived", ("candidates",), FittingSettings(), _fitted),
     Stage("postproc", "Limits and drift", "derived", ("fits",), PostprocSettings(), _processed),
     Stage("accumulated", "Accumulated table", "derived", ("fits",), ReconstructionSettings(), _table),

@@ -15,6 +15,7 @@ from blinkframe.config import CandidateSettings, Finding, Fit, FittingSettings,
 from blinkframe.operators import clusters, fitters, focus, images, localize, postproc
 from blinkframe.operators.rangejoin import within
 from blinkframe.sources import events
+from blinkframe.sources.shared import checkpoint
 
 SCATTERED = {"eps": 2.0, "least": 4}
 EMITTERS = {"eps": 2.0, "least": 5}
@@ -50,10 +51,10 @@ def fits(spark: SparkSession, sf_dir: str, method: Fit = Fit.LOG_GAUSSIAN) -> Da
 
 
 def localizations(spark: SparkSession, sf_dir: str, settings: FittingSettings = LOOSE) -> DataFrame:
-    """Accepted, timed log-Gaussian fits of the emitters."""
-    own = members(spark, sf_dir)
+    """Accepted, timed log-Gaussian fits of the emitters; clusters and fits are found once, whatever is made of them."""
+    own = checkpoint(members(spark, sf_dir))
     found = fitters.fit_clusters(clusters.histogram(own), Fit.LOG_GAUSSIAN)
-    return fitters.timed(fitters.accepted(found, Fit.LOG_GAUSSIAN, settings), own, clusters.measured(own))
+    return checkpoint(fitters.timed(fitters.accepted(found, Fit.LOG_GAUSSIAN, settings), own, clusters.measured(own)))
 
 
 _MEM = O.dbscan(**EMITTERS)
@@ -319,7 +320,7 @@ def _(spark, sf):
 @register("tracks")
 def _(spark, sf):
     own = localizations(spark, sf).withColumn("session", F.lit("all"))
-    return postproc.track_lengths(own, events.frames(events.emitters(spark, sf)))
+    return postproc.track_lengths(own)
 
 
 @register("on_time")

@@ -246,8 +246,76 @@ def test_tracks(spark):
     tie = postproc.Tracks(active=[(0.0, 0.0, 5), (2.0, 0.0, 9)])
     assert tie.step([(1.0, 0.0)]) == [5]  # the later of equals goes on
     rows = spark.createDataFrame([("a", 0, 0, 1.0, 1.0), ("a", 1, 0, 1.0, 1.0), ("a", 3, 0, 1.0, 1.0)], "session string, frame long, cluster_id long, x double, y double")
-    frames = spark.createDataFrame([(i,) for i in range(4)], "frame long")
-    assert sorted(r.length for r in postproc.track_lengths(rows, frames).collect()) == [1, 2]  # the gap ends it
+    assert sorted(r.length for r in postproc.track_lengths(rows).collect()) == [1, 2]  # the gap ends it
+
+
+def moving_points(sessions=3, frames=14, seed=2):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for s in range(sessions):
+        at = rng.uniform(0, 14, (12, 2))
+        for f in sorted(rng.choice(frames + 4, frames, replace=False).tolist()):
+            at = at + rng.normal(0.2, 0.6, at.shape)
+            rows += [(f"s{s}", int(f), i, float(x), float(y)) for i, (x, y) in enumerate(at[: rng.integers(3, 13)])]
+    return rows
+
+
+LOCATED = "session string, frame long, cluster_id long, x double, y double"
+
+
+def test_tracks_against_a_plain_loop(spark):
+    rows = moving_points()
+    want = []
+    for session in sorted({r[0] for r in rows}):
+        own = {}
+        for _, f, i, x, y in (r for r in rows if r[0] == session):
+            own.setdefault(f, []).append((i, x, y))
+        tracks = postproc.Tracks()
+        for f in range(min(own), max(own) + 1):
+            want += [(session, n) for n in tracks.step([(x, y) for _, x, y in sorted(own.get(f, []))])]
+        want += [(session, n) for *_, n in tracks.active]
+    found = postproc.track_lengths(spark.createDataFrame(rows, LOCATED).repartition(5))
+    assert sorted((r.session, r.length) for r in found.collect()) == sorted(want) and max(n for _, n in want) > 3
+    histogram = postproc.on_time(found).collect()
+    assert [(r.session, r.length) for r in histogram] == sorted({*want}) and sum(r.n for r in histogram) == len(want)
+    assert postproc.track_lengths(spark.createDataFrame([], LOCATED)).count() == 0
+
+
+def test_drift_with_gaps_against_a_plain_loop(spark):
+    rows = moving_points(seed=5)
+    window, reach = 3, postproc.MAX_SHIFT
+    away = lambda v: int(math.copysign(math.floor(abs(v) + 0.5), v))
+    for session in sorted({r[0] for r in rows}):
+        own = {}
+        for _, f, _, x, y in (r for r in rows if r[0] == session):
+            own.setdefault(f, []).append((x, y))
+        corrected, want = {}, {}
+        for f in sorted(own):
+            reference = [(away(x), away(y)) for g in range(f - window, f) for x, y in corrected.get(g, [])]
+            score = {}
+            for x, y in own[f]:
+                for u, v in reference:
+                    key = (v - away(y), u - away(x))
+                    score[key] = score.get(key, 0) + 1
+            dy, dx = max(((sy, sx) for sy in range(-reach, reach + 1) for sx in range(-reach, reach + 1)), key=lambda s: (score.get(s, 0), -s[0], -s[1])) if reference else (0, 0)
+
+            def vertex(a, b, c):
+                return 0.0 if abs(a - 2 * b + c) < 1e-9 else min(max(0.5 * (a - c) / (a - 2 * b + c), -0.5), 0.5)
+
+            at = lambda y, x: score.get((y, x), 0)
+            sx, sy = (dx + vertex(at(dy, dx - 1), at(dy, dx), at(dy, dx + 1)), dy + vertex(at(dy - 1, dx), at(dy, dx), at(dy + 1, dx))) if reference else (0.0, 0.0)
+            want[f] = (round(sx, 9), round(sy, 9))
+            corrected[f] = [(x - sx, y - sy) for x, y in own[f]]
+        some = [r for r in rows if r[0] == session]
+        found = postproc.drift_fold(spark.createDataFrame(some, LOCATED).repartition(3), window).select("frame", "shift_x", "shift_y").distinct().collect()
+        assert {r.frame: (round(r.shift_x, 9), round(r.shift_y, 9)) for r in found} == want
+
+
+def test_stages_take_the_sensor_from_the_host(spark):
+    own = stream(spark, [(500, 400)] * 60)
+    bright = stages.run(own, known=GlobalSettings()).results["threshold"].collect()
+    assert [(r.x, r.y) for r in bright] == [(500, 400)]
+    assert stages.run(own, known=GlobalSettings(sensor_width=128, sensor_height=96)).results["threshold"].count() == 0
 
 
 def metric_rows(spark, values):
@@ -320,7 +388,7 @@ def test_settings_errors_and_pairs():
 
 def test_stages_and_views(spark):
     own = events.emitters(spark, "/root/testdata/sf0.001")
-    done = stages.run(own)
+    done = stages.run(own, known=GlobalSettings(frame_us=events.FRAME_US))
     assert set(done.results) == {"events", *(s.name for s in stages.STAGES)} and not done.said
     done.publish("t_")
     assert spark.table("t_fits").count() == done.results["fits"].count() and done.generation["fits"] == 1
