@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from blinkframe.sources.shared import checkpoint, shared_folder
+
+__all__ = ["checkpoint", "shared_folder", "slices", "table", "text_bytes"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="blinkframe-checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column in one buffer, and its n + 1 offsets; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

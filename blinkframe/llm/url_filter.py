@@ -34,23 +34,55 @@ def domain_rule(name: str, action: str) -> Rule:
     return Rule(name, action, f"^(?:[^/]*[.])?{literal}", whole, True)
 
 
-def pattern_rule(name: str, pattern: str, tokens: list[str]) -> Rule:
-    """Rule that blocks; ``tokens`` are lower-case runs of letters and digits that every match holds in full."""
-    return Rule(name, "block", pattern, tokens, False)
+_PARTS = re.compile(r"\\(.)|\[\^?\]?[^]]*\]|([?*+]|\{[0-9,]*\})[?+]?|(.)", re.S)
+
+
+def literal_tokens(pattern: str) -> list[str]:
+    """Runs of letters and digits that every match of a pattern holds in full, lower-cased; none where that is uncertain.
+
+    A run counts if it stands outside of groups, classes and repeats, with a word boundary, an anchor or punctuation on
+    both sides. Alternatives outside of groups leave no run certain.
+    """
+    seen: list[str] = []  # a letter or digit, " " for what is neither, "?" for what isn't known
+    depth = 0
+    for part in _PARTS.finditer(pattern):
+        escaped, repeat, plain = part[1], part[2], part[3]
+        if plain in ("(", ")"):
+            depth += 1 if plain == "(" else -1
+            seen.append("?")
+        elif depth:
+            continue
+        elif repeat:
+            seen[-1:] = ["?"]
+        elif plain == "|":
+            return []
+        elif escaped:
+            seen.append(" " if escaped == "b" or not escaped.isalnum() else "?")
+        elif plain:
+            seen.append("?" if plain == "." else plain if plain.isalnum() else " ")
+        else:  # a class: known if it holds punctuation alone
+            inner = part[0][1:-1]
+            seen.append("?" if inner.startswith("^") or "\\" in inner or any(c.isalnum() or c == "-" for c in inner) else " ")
+    return [t.lower() for t in re.findall(r"(?<= )[A-Za-z0-9]+(?= )", "".join(seen))]
+
+
+def pattern_rule(name: str, pattern: str) -> Rule:
+    """Rule that blocks where its pattern is found, A-Z lower-cased; its tokens are taken from the pattern."""
+    return Rule(name, "block", pattern, literal_tokens(pattern), False)
 
 
 #: Hosts that sell, spam or show what a training corpus has no use for.
 PATTERNS = [
-    pattern_rule("spam farms", r"^[^/]*\bspam-farm\b", ["spam", "farm"]),
-    pattern_rule("pills", r"^[^/]*\bcheap-pills\b", ["cheap", "pills"]),
-    pattern_rule("casinos", r"^[^/]*\bcasino\b", ["casino"]),
-    pattern_rule("adult", r"^[^/]*\badult-x\b", ["adult"]),
-    pattern_rule("xxx", r"^[^/]*\bxxx\b", ["xxx"]),
-    pattern_rule("porn", r"^[^/]*\bporn\b", ["porn"]),
-    pattern_rule("viagra", r"\bviagra\b", ["viagra"]),
-    pattern_rule("payday loans", r"\bpayday-loans?\b", ["payday"]),
-    pattern_rule("warez", r"^[^/]*\bwarez\b", ["warez"]),
-    pattern_rule("ad servers", r"^(?:[^/]*[.])?adserver[.]", ["adserver"]),
+    pattern_rule("spam farms", r"^[^/]*\bspam-farm\b"),
+    pattern_rule("pills", r"^[^/]*\bcheap-pills\b"),
+    pattern_rule("casinos", r"^[^/]*\bcasino\b"),
+    pattern_rule("adult", r"^[^/]*\badult-x\b"),
+    pattern_rule("xxx", r"^[^/]*\bxxx\b"),
+    pattern_rule("porn", r"^[^/]*\bporn\b"),
+    pattern_rule("viagra", r"\bviagra\b"),
+    pattern_rule("payday loans", r"\bpayday-loans?\b"),
+    pattern_rule("warez", r"^[^/]*\bwarez\b"),
+    pattern_rule("ad servers", r"^(?:[^/]*[.])?\badserver[.]"),
 ]
 
 
@@ -66,30 +98,34 @@ def _tokens(target) -> F.Column:
     return F.array_distinct(F.concat(F.split(F.translate(target, UPPER, LOWER), "[^a-z0-9]+", -1), F.array(F.lit(""))))
 
 
-def rule_index(spark: SparkSession, targets: DataFrame, rules: list[Rule]) -> DataFrame:
+def rule_index(spark: SparkSession, targets: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
     """Rules with the token that fewest rows of ``targets`` (target) have: token, name, action, pattern, domain."""
-    own = spark.createDataFrame([tuple(r) for r in rules], "name string, action string, pattern string, tokens array<string>, domain boolean")
-    small = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda x: x)
+    own = rules if isinstance(rules, DataFrame) else spark.createDataFrame([tuple(r) for r in rules], "name string, action string, pattern string, tokens array<string>, domain boolean")
+    small = F.broadcast if _few(rules) else (lambda x: x)
     listed = own.select("name", F.explode_outer("tokens").alias("token")).withColumn("token", F.coalesce("token", F.lit("")))
     seen = targets.select(F.explode(_tokens(F.col("target"))).alias("token")).join(small(listed.select("token").distinct()), "token", "left_semi").groupBy("token").count()
     rarest = listed.join(seen, "token", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "token")).alias("best"))
     return own.join(rarest, "name").select(F.col("best.token").alias("token"), "name", "action", "pattern", "domain")
 
 
-def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:
+def _few(rules: list[Rule] | DataFrame) -> bool:
+    return (rules.limit(BROADCAST_RULES + 1).count() if isinstance(rules, DataFrame) else len(rules)) <= BROADCAST_RULES
+
+
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """One row per input row: key, host, path, rule (the longest domain rule that fits, or null), verdict.
 
     The verdict is the domain rule's; without one it is block if a pattern rule matches, else allow. Null and malformed
-    URLs are allowed. Rows that repeat give equal rows; other columns are ignored.
+    URLs are allowed. ``rules`` is a list or a table with the fields of Rule, which need not fit the driver. Rows that repeat give equal rows; other columns are ignored.
     """
     spark = pages.sparkSession
     parsed = parse(pages.select(F.col(f"`{key}`").alias(key), F.col(f"`{url}`").alias("url"))).select(key, "host", "path")
     targets = parsed.select("host", "path").distinct().withColumn("target", F.concat("host", "path"))
     index = rule_index(spark, targets, rules)
-    if len(rules) <= BROADCAST_RULES:
+    if _few(rules):
         index = F.broadcast(index)
     fetched = targets.withColumn("token", F.explode(_tokens(F.col("target")))).join(index, "token")
-    hits = fetched.filter(F.expr("target rlike pattern"))
+    hits = fetched.withColumn("tried", F.when(F.col("domain"), F.col("target")).otherwise(F.translate("target", UPPER, LOWER))).filter(F.expr("tried rlike pattern"))
     longest = F.max(F.when(F.col("domain"), F.struct(F.length("name"), "name", "action"))).alias("best")
     found = hits.groupBy("host", "path").agg(longest, F.bool_or(~F.col("domain") & (F.col("action") == "block")).alias("blocked"))
     out = parsed.join(found, ["host", "path"], "left")
@@ -110,7 +146,7 @@ def duckdb_sql(rules: list[Rule]) -> str:
     ), best AS (
       SELECT n, max_by(name, length(name)) FILTER (domain) AS rule, max_by(action, length(name)) FILTER (domain) AS action,
              bool_or(NOT domain AND action = 'block') AS blocked
-      FROM parsed, rules WHERE regexp_matches(host || path, pattern) GROUP BY n
+      FROM parsed, rules WHERE regexp_matches(CASE WHEN domain THEN host || path ELSE translate(host || path, '{UPPER}', '{LOWER}') END, pattern) GROUP BY n
     )
     SELECT page_id, host, path, rule, coalesce(action, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
     FROM parsed LEFT JOIN best USING (n)

@@ -77,3 +77,18 @@ def test_rule_without_token_and_index(spark):
     assert rows_of(url_filter.judge(df, rules), ["page_id", "rule", "verdict"]) == [(1, None, "block"), (2, "b.a/", "allow"), (3, None, "allow")]
     targets = url_filter.parse(df).withColumn("target", F.concat("host", "path"))
     assert dict(url_filter.rule_index(spark, targets, rules).select("name", "token").collect()) == {"dots": "", "b.a/": "b"}
+
+
+def test_tokens_are_taken_from_patterns():
+    assert {r.name: r.tokens for r in url_filter.PATTERNS} == {
+        "spam farms": ["spam", "farm"], "pills": ["cheap", "pills"], "casinos": ["casino"], "adult": ["adult", "x"], "xxx": ["xxx"], "porn": ["porn"],
+        "viagra": ["viagra"], "payday loans": ["payday"], "warez": ["warez"], "ad servers": ["adserver"],
+    }
+    for pattern, tokens in {r"casino": [], r"\bab?\b": [], r"\bab\b|\bcd\b": [], r"^Ab[.]c[a-z]": ["ab"], r"\b(?:x|y)-z\b": ["z"], r"[-.]a[.]": [], r"\bx{2}-\dy-\bq$": ["q"], "": []}.items():
+        assert url_filter.literal_tokens(pattern) == tokens, pattern
+
+
+def test_rules_from_a_table_and_capitals_in_paths(spark):
+    rules = spark.createDataFrame([tuple(r) for r in queries.URL_RULES], "name string, action string, pattern string, tokens array<string>, domain boolean")
+    df = spark.createDataFrame([(1, "http://x.org/en/Viagra"), (2, "http://x.org/EN/fine"), (3, "http://x.org/fr/1")], "page_id long, url string")
+    assert rows_of(url_filter.judge(df, rules), ["page_id", "rule", "verdict"]) == [(1, None, "block"), (2, None, "allow"), (3, "org/fr/", "allow")]
