@@ -82,19 +82,24 @@ class WordEncoder:
 
     def _split(self, words: set) -> dict:
         """Ids of words: lower-case text of Latin letters, or else the bytes of any word."""
-        found, parts = {}, {}
+        found: dict = {}
+        whole, ended, others = [], [], {}
         for word in words:
-            if isinstance(word, bytes):
+            if word.__class__ is bytes:
                 found[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             elif word.isalpha():
-                parts[word] = (word,)
+                whole.append(word)
             elif word[-1] in ENDS and word[:-1].isalpha():
-                parts[word] = (word[:-1], word[-1])
+                ended.append(word)
             else:
-                parts[word] = self.parts_of(word)
-        ids = self.parts.holding({p for ps in parts.values() for p in ps})
-        for word, ps in parts.items():
-            found[word] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
+                others[word] = self.parts_of(word)
+        needed = set(whole).union(ENDS, [word[:-1] for word in ended], *others.values())
+        ids = self.parts.holding(needed)
+        found |= zip(whole, map(ids.__getitem__, whole), strict=True)
+        for word in ended:
+            found[word] = ids[word[:-1]] + ids[word[-1]]
+        for word, parts in others.items():
+            found[word] = b"".join([ids[p] for p in parts])
         return found
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
