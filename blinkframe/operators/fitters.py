@@ -1,7 +1,7 @@
 """Sub-pixel fits of clusters and of image windows.
 
-Centroid and phase fits are aggregates and stay in the JVM. The others work on a batch of clusters of one bucket at a time;
-clusters are dealt by their own key, so no task holds a frame.
+Centroid and phase fits are aggregates and stay in the JVM. The others take all clusters of an Arrow batch at once: sums by
+cluster and stacks of small systems. Clusters are dealt by their own key, so no task holds a frame.
 """
 
 from __future__ import annotations
@@ -58,128 +58,155 @@ def phasor(pixels: DataFrame) -> DataFrame:
     )
 
 
-def log_gaussian_fit(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple | None:
+def _sizes(first: np.ndarray, total: int) -> np.ndarray:
+    return np.diff(np.r_[first, total])
+
+
+def _solved(matrix: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of a stack of systems by elimination with row exchange, and which have one: no best pivot below 1e-9."""
+    table = np.concatenate([matrix, right[:, :, None]], 2)
+    each, good = np.arange(len(table)), np.ones(len(table), bool)
+    for at in range(right.shape[1]):
+        best = at + np.abs(table[:, at:, at]).argmax(1)
+        top = table[each, best]
+        good &= np.abs(top[:, at]) >= 1e-9
+        table[each, best] = table[:, at]
+        table[:, at] = top / np.where(good, top[:, at], 1.0)[:, None]
+        factor = table[:, :, at].copy()
+        factor[:, at] = 0.0
+        table -= factor[:, :, None] * table[:, None, at]
+    return table[:, :, -1], good
+
+
+def log_gaussian_fits(x: np.ndarray, y: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted least squares of a parabola through log counts; coordinates from the box's corner keep it well posed."""
-    if len(n) < 5:
-        return None
-    x0, y0 = x.min(), y.min()
-    u, v, z = x - x0, y - y0, np.log(n)
+    sizes = _sizes(first, len(x))
+    of = np.repeat(np.arange(len(first)), sizes)
+    x0, y0 = np.minimum.reduceat(x, first), np.minimum.reduceat(y, first)
+    u, v, z = x - x0[of], y - y0[of], np.log(n)
     design = np.stack([np.ones_like(z), u, v, u * u, v * v], 1)
-    try:
-        theta = np.linalg.solve(design.T @ (design * n[:, None]), design.T @ (n * z))
-    except np.linalg.LinAlgError:
-        return None
-    _, b, c, d, e = theta
-    if not np.isfinite(theta).all() or d >= -1e-9 or e >= -1e-9:
-        return None
-    return x0 - b / (2 * d), y0 - c / (2 * e), math.sqrt(-0.5 / d), math.sqrt(-0.5 / e), float(np.sqrt(np.mean((z - design @ theta) ** 2)))
-
-
-def _solved(matrix: np.ndarray, right: np.ndarray) -> np.ndarray | None:
-    """Solution by elimination with row exchange; none once the best pivot is below 1e-9."""
-    table = np.concatenate([matrix, right[:, None]], 1)
-    for at in range(len(right)):
-        best = at + int(np.argmax(np.abs(table[at:, at])))
-        if abs(table[best, at]) < 1e-9:
-            return None
-        table[[at, best]] = table[[best, at]]
-        table[at] /= table[at, at]
-        others = np.arange(len(right)) != at
-        table[others] -= table[others, at, None] * table[at]
-    return table[:, -1]
+    left = np.add.reduceat(design[:, :, None] * (design * n[:, None])[:, None], first)
+    theta, good = _solved(left, np.add.reduceat(design * (n * z)[:, None], first))
+    _, b, c, d, e = theta.T
+    good &= (sizes >= 5) & np.isfinite(theta).all(1) & (d < -1e-9) & (e < -1e-9)
+    with np.errstate(all="ignore"):
+        rest = np.sqrt(np.add.reduceat((z - (design * theta[of]).sum(1)) ** 2, first) / sizes)
+        return good, np.stack([x0 - b / (2 * d), y0 - c / (2 * e), np.sqrt(-0.5 / d), np.sqrt(-0.5 / e), rest], 1)
 
 
-def gaussian_fit(x: np.ndarray, y: np.ndarray, value: np.ndarray, start: np.ndarray, rounds: int, floor: float) -> tuple | None:
-    """Damped least squares of a Gaussian on a background no lower than ``floor``: parameters and root mean square error.
+def gaussian_fits(x: np.ndarray, y: np.ndarray, value: np.ndarray, first: np.ndarray, start: np.ndarray, rounds: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Damped least squares of Gaussians on a background no lower than ``floor``, all fits of a batch at once.
 
-    A step is taken only if it lowers the error; a fit that no step improved isn't one.
+    ``first`` says where the samples of each fit begin, ``start`` holds a row of parameters for each. Returns which fits there
+    are, and their parameters and root mean square errors. A step is taken only if it lowers the error; a fit that no step
+    improved isn't one.
     """
-    params, damping, reached = start.astype(float), 1e-2, math.inf
-
-    def model(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        dx, dy = x - p[0], y - p[1]
-        g = np.exp(-0.5 * (dx * dx / (p[2] * p[2]) + dy * dy / (p[3] * p[3])))
-        return dx, dy, g, value - p[5] - p[4] * g
-
-    for _ in range(rounds):
-        dx, dy, g, rest = model(params)
-        error = float(rest @ rest)
-        if not math.isfinite(error):
-            return None
-        slope = params[4] * g
-        jacobian = np.stack([slope * dx / params[2] ** 2, slope * dy / params[3] ** 2, slope * dx * dx / params[2] ** 3, slope * dy * dy / params[3] ** 3, g, np.ones_like(g)], 1)
-        step = _solved(jacobian.T @ jacobian + damping * np.eye(6), jacobian.T @ rest)
-        if step is None:
-            return None
-        tried = params + step
-        tried[2:4] = np.clip(tried[2:4], 0.5, 6.0)
-        tried[4], tried[5] = max(tried[4], 1e-3), max(tried[5], floor)
-        rest = model(tried)[3]
-        if (new := float(rest @ rest)) < error:
-            params, reached, damping = tried, new, damping * 0.7
-        else:
-            damping *= 2.0
-        if math.sqrt(float(step @ step)) < 1e-3:
-            break
-    return (*params, math.sqrt(reached / len(value))) if math.isfinite(reached) else None
-
-
-def cluster_gaussian_fit(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple | None:
-    if len(n) < 5:
-        return None
-    spread = lambda v: min(max((v.max() - v.min() + 1) / 4, 0.7), 4.0)
-    start = np.array([(x * n).sum() / n.sum(), (y * n).sum() / n.sum(), spread(x), spread(y), max(n.max() - n.min(), 1.0), max(n.min(), 0.0)])
-    found = gaussian_fit(x, y, n, start, 20, 0.0)
-    return found and (*found[:4], found[6])
-
-
-def radial_fit(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple | None:
-    """Point closest to the lines along the gradients of the cluster's smoothed counts."""
-    x0, y0 = int(x.min()), int(y.min())
-    image = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1))
-    image[(y - y0).astype(int), (x - x0).astype(int)] = n
-    if min(image.shape) < 3:
-        return None
-
-    def box(g: np.ndarray) -> np.ndarray:
-        wide = np.pad(g, 1)
-        return sum(wide[i : i + g.shape[0], j : j + g.shape[1]] for i in range(3) for j in range(3)) / 9
-
-    gx = box(0.5 * (image[1:-1, 2:] - image[1:-1, :-2]))
-    gy = box(0.5 * (image[2:, 1:-1] - image[:-2, 1:-1]))
-    weight = gx * gx + gy * gy
-    py, px = np.nonzero(weight > 1e-9)
-    if not len(px):
-        return None
-    w, nx, ny = weight[py, px], -gy[py, px], gx[py, px]
-    dot = nx * (px + 1) + ny * (py + 1)
-    a, b, c = (w * nx * nx).sum(), (w * nx * ny).sum(), (w * ny * ny).sum()
-    det = a * c - b * b
-    if abs(det) < 1e-9:
-        return None
-    r, s = (w * nx * dot).sum(), (w * ny * dot).sum()
-    cx, cy = (r * c - s * b) / det, (a * s - r * b) / det
-    if not (math.isfinite(cx) and math.isfinite(cy)):
-        return None
-    return x0 + cx, y0 + cy, 0.0, 0.0, float(np.sqrt((w * (nx * cx + ny * cy - dot) ** 2).sum() / w.sum()))
+    sizes = _sizes(first, len(x))
+    of = np.repeat(np.arange(len(first)), sizes)
+    params, damping, reached = start.astype(float), np.full(len(first), 1e-2), np.full(len(first), math.inf)
+    fine, going = np.ones(len(first), bool), np.ones(len(first), bool)
+    with np.errstate(all="ignore"):
+        for _ in range(rounds):
+            if not going.any():
+                break
+            now, mine = np.flatnonzero(going), going[of]
+            xs, ys, vs, count = x[mine], y[mine], value[mine], sizes[now]
+            at, edge = np.repeat(np.arange(len(now)), count), np.cumsum(count) - count
+
+            def model(p: np.ndarray) -> tuple[np.ndarray, ...]:
+                px, py, sx, sy, a, b = p[at].T
+                dx, dy = xs - px, ys - py
+                g = np.exp(-0.5 * (dx * dx / (sx * sx) + dy * dy / (sy * sy)))
+                slope = a * g
+                return vs - b - slope, np.stack([slope * dx / sx**2, slope * dy / sy**2, slope * dx * dx / sx**3, slope * dy * dy / sy**3, g, np.ones_like(g)], 1)
+
+            rest, jacobian = model(params[now])
+            error = np.add.reduceat(rest * rest, edge)
+            left = np.add.reduceat(jacobian[:, :, None] * jacobian[:, None], edge) + damping[now, None, None] * np.eye(6)
+            step, solved = _solved(left, np.add.reduceat(jacobian * rest[:, None], edge))
+            solved &= np.isfinite(error)
+            fine[now[~solved]] = False
+            tried = params[now] + step
+            tried[:, 2:4] = np.clip(tried[:, 2:4], 0.5, 6.0)
+            tried[:, 4], tried[:, 5] = np.maximum(tried[:, 4], 1e-3), np.maximum(tried[:, 5], floor)
+            rest = model(tried)[0]
+            new = np.add.reduceat(rest * rest, edge)
+            better = solved & (new < error)
+            params[now[better]], reached[now[better]] = tried[better], new[better]
+            damping[now] *= np.where(better, 0.7, 2.0)
+            going[now] = solved & (np.sqrt((step * step).sum(1)) >= 1e-3)
+        return fine & np.isfinite(reached), np.column_stack([params, np.sqrt(reached / sizes)])
+
+
+def gaussian_fit(x: np.ndarray, y: np.ndarray, value: np.ndarray, start: np.ndarray, rounds: int, floor: float) -> tuple | None:
+    """One fit of :func:`gaussian_fits`."""
+    fine, found = gaussian_fits(x, y, value, np.zeros(1, int), start[None], rounds, floor)
+    return tuple(found[0]) if fine[0] else None
+
+
+def cluster_gaussian_fits(x: np.ndarray, y: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    total = np.add.reduceat(n, first)
+    low, high = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
+    spread = lambda v: np.clip((np.maximum.reduceat(v, first) - np.minimum.reduceat(v, first) + 1) / 4, 0.7, 4.0)
+    start = np.stack([np.add.reduceat(x * n, first) / total, np.add.reduceat(y * n, first) / total, spread(x), spread(y), np.maximum(high - low, 1.0), np.maximum(low, 0.0)], 1)
+    fine, found = gaussian_fits(x, y, n, first, start, 20, 0.0)
+    return fine & (_sizes(first, len(x)) >= 5), found[:, [0, 1, 2, 3, 6]]
+
+
+def radial_fits(x: np.ndarray, y: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Point closest to the lines along the gradients of each cluster's smoothed counts; clusters of one box size go together."""
+    of = np.repeat(np.arange(len(first)), _sizes(first, len(x)))
+    x0, y0 = np.minimum.reduceat(x, first), np.minimum.reduceat(y, first)
+    box = np.stack([np.maximum.reduceat(y, first) - y0 + 1, np.maximum.reduceat(x, first) - x0 + 1], 1).astype(int)
+    fine, found = np.zeros(len(first), bool), np.zeros((len(first), 5))
+
+    def smooth(g: np.ndarray) -> np.ndarray:
+        wide = np.pad(g, ((0, 0), (1, 1), (1, 1)))
+        return sum(wide[:, i : i + g.shape[1], j : j + g.shape[2]] for i in range(3) for j in range(3)) / 9
+
+    for height, width in np.unique(box[(box >= 3).all(1)], axis=0):
+        own = np.flatnonzero((box == (height, width)).all(1))
+        place = np.full(len(first), -1)
+        place[own] = np.arange(len(own))
+        mine = place[of] >= 0
+        at = of[mine]
+        image = np.zeros((len(own), height, width))
+        image[place[at], (y[mine] - y0[at]).astype(int), (x[mine] - x0[at]).astype(int)] = n[mine]
+        gx, gy = smooth(0.5 * (image[:, 1:-1, 2:] - image[:, 1:-1, :-2])), smooth(0.5 * (image[:, 2:, 1:-1] - image[:, :-2, 1:-1]))
+        w = gx * gx + gy * gy
+        w = np.where(w > 1e-9, w, 0.0)
+        py, px = np.mgrid[1 : height - 1, 1 : width - 1]
+        nx, ny = -gy, gx
+        dot = nx * px + ny * py
+        total = lambda v: v.sum((1, 2))  # noqa: B023, E731
+        a, b, c, r, s = (total(w * v) for v in (nx * nx, nx * ny, ny * ny, nx * dot, ny * dot))
+        with np.errstate(all="ignore"):
+            det = a * c - b * b
+            cx, cy = (r * c - s * b) / det, (a * s - r * b) / det
+            rest = np.sqrt(total(w * (nx * cx[:, None, None] + ny * cy[:, None, None] - dot) ** 2) / total(w))
+        fine[own] = (total(w) > 0) & (np.abs(det) >= 1e-9) & np.isfinite(cx) & np.isfinite(cy)
+        found[own, 0], found[own, 1], found[own, 4] = x0[own] + cx, y0[own] + cy, rest
+    return fine, found
+
+
+#: Pixels fitted at once; clusters are kept whole.
+AT_ONCE = 50_000
 
 
 def _each_cluster(pixels: DataFrame, fit: Callable) -> DataFrame:
-    """Run ``fit`` on (x, y, counts) of every cluster, streaming clusters in order of their key."""
-    rows = pixels.select("frame", "cluster_id", "x", "y", (F.col("n_pos") + F.col("n_neg")).cast("double").alias("n"))
+    """Run ``fit`` on the pixels of all clusters of a batch: (x, y, counts, where each cluster begins)."""
+    rows = pixels.select("frame", "cluster_id", "x", "y", (F.col("n_pos") + F.col("n_neg")).cast("double").alias("n")).filter("n > 0")
     rows = rows.groupBy("frame", "cluster_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "n"))).alias("p"))  # at most one cluster's pixels
     rows = rows.select("frame", "cluster_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.n").alias("n"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for frame, cluster, x, y, n in batch.itertuples(index=False):
-                n = np.asarray(n, float)
-                some = n > 0
-                found = fit(np.asarray(x, float)[some], np.asarray(y, float)[some], n[some]) if some.any() else None
-                if found:
-                    out.append((frame, cluster, *found))
-            yield pd.DataFrame(out, columns=["frame", "cluster_id", "x", "y", "sigma_x", "sigma_y", "residual"])
+            for _, part in batch.groupby(batch["n"].map(len).cumsum() // AT_ONCE):
+                x, y, n = (np.concatenate(part[c].tolist()).astype(float) for c in "xyn")
+                sizes = part["n"].map(len).to_numpy()
+                fine, found = fit(x, y, n, np.cumsum(sizes) - sizes)
+                out = part[["frame", "cluster_id"]][fine]
+                yield out.assign(**dict(zip(("x", "y", "sigma_x", "sigma_y", "residual"), found[fine].T, strict=True)))
 
     return rows.mapInPandas(work, FITTED)
 
@@ -190,7 +217,7 @@ def fit_clusters(pixels: DataFrame, method: Fit) -> DataFrame:
         return mean_xy(pixels)
     if method is Fit.PHASOR:
         return phasor(pixels)
-    return _each_cluster(pixels, {Fit.LOG_GAUSSIAN: log_gaussian_fit, Fit.GAUSSIAN: cluster_gaussian_fit, Fit.RADIAL: radial_fit}[method])
+    return _each_cluster(pixels, {Fit.LOG_GAUSSIAN: log_gaussian_fits, Fit.GAUSSIAN: cluster_gaussian_fits, Fit.RADIAL: radial_fits}[method])
 
 
 def accepted(fits: DataFrame, method: Fit, settings: FittingSettings, nm_per_pixel: float | None = None) -> DataFrame:
@@ -223,17 +250,18 @@ def window_fits(image: DataFrame, spots: DataFrame, radius: int = 4, sigma: floa
     schema = "frame long, rank int, x double, y double, sigma_x double, sigma_y double, amplitude double, background double, fit_error double"
 
     def work(pixels: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own):
-            whole = dense(pixels, width, height)
-        for frame, rank, com_x, com_y in own.itertuples(index=False):
-            x0, y0 = math.floor(com_x + 0.5), math.floor(com_y + 0.5)
-            yy, xx = np.mgrid[y0 - radius : y0 + radius + 1, x0 - radius : x0 + radius + 1]
-            value = whole[yy, xx].ravel()
-            start = np.array([com_x, com_y, sigma, sigma, max(value.max() - value.min(), 1.0), value.min()])
-            found = gaussian_fit(xx.ravel().astype(float), yy.ravel().astype(float), value, start, 15, -math.inf)
-            if found:
-                out.append((frame, rank, *found))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+        names = [c.split()[0] for c in schema.split(", ")]
+        if not len(own):
+            return pd.DataFrame(columns=names)
+        side = np.arange(-radius, radius + 1)
+        com = own[["com_x", "com_y"]].to_numpy(float)
+        at = np.floor(com + 0.5).astype(int)
+        shape = (len(own), len(side), len(side))
+        xx, yy = (np.broadcast_to(v, shape).reshape(len(own), -1) for v in (at[:, 0, None, None] + side, at[:, 1, None, None] + side[:, None]))
+        value = dense(pixels, width, height)[yy, xx]
+        low, wide = value.min(1), np.full(len(own), sigma)
+        start = np.stack([*com.T, wide, wide, np.maximum(value.max(1) - low, 1.0), low], 1)
+        fine, found = gaussian_fits(xx.ravel().astype(float), yy.ravel().astype(float), value.ravel(), np.arange(len(own)) * len(side) ** 2, start, 15, -math.inf)
+        return own[["frame", "rank"]][fine].assign(**dict(zip(names[2:], found[fine].T, strict=True)))
 
     return image.groupBy("frame").cogroup(inside.groupBy("frame")).applyInPandas(work, schema)

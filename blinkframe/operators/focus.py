@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blinkframe.config import Focus
+from blinkframe.functions.ordered import rolling
 from blinkframe.operators.localize import in_sigma_range
 
 EPSILON = 2.220446049250313e-16
@@ -22,17 +23,17 @@ def astigmatism(rows: DataFrame, low_nm: float = 100.0, high_nm: float = 190.0,
     return kept.groupBy("frame").agg(F.avg(F.col("sigma_x") / F.col("sigma_y")).alias("metric"))
 
 
-def _last(depth: int, skip: int = 0):
-    return Window.orderBy("frame").rowsBetween(1 - depth, -skip)  # a row for each frame
-
-
 def history(metrics: DataFrame, depth: int = 120) -> DataFrame:
     """Metrics kept at each frame: the last ``depth``, oldest first."""
-    return metrics.withColumn("history", F.collect_list("metric").over(_last(depth)))
+    return rolling(metrics, "frame", depth, lambda last: {"history": F.collect_list("metric").over(last(depth))})
 
 
-def _told(value: Column, down: str, up: str, by: Column) -> Column:
-    return F.when(value < -by, down).when(value > by, up).otherwise("flat")
+def _moved(now: Column, before: Column, method: Focus) -> Column:
+    by = F.greatest(F.abs(before), F.lit(1.0)) * 0.01
+    if method is Focus.ASTIGMATISM:
+        was, is_ = F.abs(before - 1), F.abs(now - 1)
+        return F.when(is_ + by < was, "toward 1.0").when(is_ > was + by, "away from 1.0").otherwise("flat")
+    return F.when(now - before < -by, "down").when(now - before > by, "up").otherwise("flat")
 
 
 def quality(metrics: DataFrame, method: Focus, depth: int = 120) -> DataFrame:
@@ -41,21 +42,21 @@ def quality(metrics: DataFrame, method: Focus, depth: int = 120) -> DataFrame:
     if method is Focus.ASTIGMATISM:
         off = F.abs(m - 1)
         return metrics.withColumn("quality", F.when(off <= 0.05, "Good").when(off <= 0.12, "Fair").otherwise("Poor"))
-    w = _last(depth)
-    low, high = F.min("metric").over(w), F.max("metric").over(w)
-    place = (high - m if method is Focus.MEAN_SIGMA else m - low) / F.greatest(high - low, F.lit(1e-9))
-    graded = F.when(place >= 0.66, "Good").when(place >= 0.33, "Fair").otherwise("Poor")
-    return metrics.withColumn("quality", F.when(F.count("metric").over(w) < 4, "Collecting").otherwise(graded))
+
+    def told(last) -> dict[str, Column]:
+        low, high, n = (f("metric").over(last(depth)) for f in (F.min, F.max, F.count))
+        place = (high - m if method is Focus.MEAN_SIGMA else m - low) / F.greatest(high - low, F.lit(1e-9))
+        graded = F.when(place >= 0.66, "Good").when(place >= 0.33, "Fair").otherwise("Poor")
+        return {"quality": F.when(n < 4, "Collecting").otherwise(graded)}
+
+    return rolling(metrics, "frame", depth, told)
 
 
 def trend(metrics: DataFrame, method: Focus, depth: int = 120) -> DataFrame:
     """Add trend: the last three metrics against the rest of the history, flat below six."""
-    n = F.count("metric").over(_last(depth))
-    now, before = F.avg("metric").over(_last(3)), F.avg("metric").over(_last(depth, 3))
-    by = F.greatest(F.abs(before), F.lit(1.0)) * 0.01
-    if method is Focus.ASTIGMATISM:
-        was, is_ = F.abs(before - 1), F.abs(now - 1)
-        told = F.when(is_ + by < was, "toward 1.0").when(is_ > was + by, "away from 1.0").otherwise("flat")
-    else:
-        told = _told(now - before, "down", "up", by)
-    return metrics.withColumn("trend", F.when(n < 6, "flat").otherwise(told))
+
+    def told(last) -> dict[str, Column]:
+        now, before = F.avg("metric").over(last(3)), F.avg("metric").over(last(depth, 3))
+        return {"trend": F.when(F.count("metric").over(last(depth)) < 6, "flat").otherwise(_moved(now, before, method))}
+
+    return rolling(metrics, "frame", max(depth, 3), told)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blinkframe.config import LocalizationSettings
 from blinkframe.functions.numeric import finite
+from blinkframe.functions.ordered import running
 from blinkframe.operators.rangejoin import within
 from blinkframe.sources.events import FRAME_US
 
@@ -52,7 +53,7 @@ def accumulated(rows: DataFrame, order: list[str], nm: float = 65.0) -> DataFram
     are offset by the running sum of those counts.
     """
     counts = rows.groupBy("frame").agg(F.count("*").alias("n"))
-    before = counts.select("frame", (F.sum("n").over(Window.orderBy("frame")) - F.col("n")).alias("before"))  # a row for each frame
+    before = running(counts, "frame", until="n").select("frame", (F.col("until") - F.col("n")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("frame").orderBy(*order))
     out = rows.withColumn("nth", nth).join(before, "frame")
     return out.select(

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blinkframe.config import PostprocSettings
 from blinkframe.functions.numeric import at_most, fraction
+from blinkframe.functions.ordered import running
 from blinkframe.sources.shared import checkpoint
 
 MAX_SHIFT = 8
@@ -96,9 +97,8 @@ def neighbour_distances(rows: DataFrame, key: str = "cluster_id") -> DataFrame:
 def precision(distances: DataFrame, nm: float = 65.0) -> DataFrame:
     """Rayleigh sigma of all distances up to and including each frame: frame, n, sigma_px, sigma_nm."""
     frames = distances.groupBy("frame").agg(F.sum(F.col("distance") * F.col("distance")).alias("d2"), F.count("*").alias("k"))
-    until = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)  # a row for each frame
-    out = frames.select("frame", F.sum("k").over(until).alias("n"), F.sum("d2").over(until).alias("d2"))
-    sigma = F.sqrt(F.col("d2") / (2 * F.col("n")))
+    out = running(frames, "frame", n="k", total="d2")
+    sigma = F.sqrt(F.col("total") / (2 * F.col("n")))
     return out.select("frame", "n", sigma.alias("sigma_px"), (sigma * nm).alias("sigma_nm"))
 
 
@@ -109,12 +109,18 @@ def recent_distances(distances: DataFrame, key: str = "cluster_id", most: int =
 
 def spread_patch(rows: DataFrame, radius: int = PATCH_RADIUS) -> DataFrame:
     """Mean Gaussian patch of all localizations, about their sub-pixel positions: dx, dy, value."""
-    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for j in range(-radius, radius + 1) for i in range(-radius, radius + 1)]))
-    sx, sy = F.greatest("sigma_x", F.lit(1.0)), F.greatest("sigma_y", F.lit(1.0))
-    out = rows.select(fraction(F.col("x")).alias("fx"), fraction(F.col("y")).alias("fy"), sx.alias("sx"), sy.alias("sy"), offsets.alias("o"))
-    dx, dy = F.col("o.dx") - F.col("fx"), F.col("o.dy") - F.col("fy")
-    value = F.exp(-0.5 * (dx * dx / (F.col("sx") * F.col("sx")) + dy * dy / (F.col("sy") * F.col("sy"))))
-    return out.groupBy(F.col("o.dx").alias("dx"), F.col("o.dy").alias("dy")).agg(F.avg(value).alias("value"))
+    reach = range(-radius, radius + 1)
+
+    def profile(at: str, sigma: str, name: str) -> list:
+        wide = F.greatest(sigma, F.lit(1.0))
+        off = lambda d: F.lit(d) - fraction(F.col(at))
+        return [F.exp(-0.5 * off(d) * off(d) / (wide * wide)).alias(f"{name}{d + radius}") for d in reach]
+
+    sides = rows.select(*profile("x", "sigma_x", "u"), *profile("y", "sigma_y", "v"))
+    cells = [(dx, dy, f"m{dx + radius}_{dy + radius}") for dy in reach for dx in reach]
+    means = sides.agg(*[F.avg(F.col(f"u{dx + radius}") * F.col(f"v{dy + radius}")).alias(name) for dx, dy, name in cells])
+    listed = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.col(name).alias("value")) for dx, dy, name in cells]))
+    return means.select(listed.alias("cell")).select("cell.*").filter("value is not null")
 
 
 class Tracks:
@@ -199,6 +205,30 @@ def on_time(lengths: DataFrame, session: str = "session") -> DataFrame:
     return lengths.groupBy(session, "length").agg(F.count("*").alias("n")).orderBy(session, "length")
 
 
+def best_shift(reference: np.ndarray, moving: np.ndarray) -> tuple[float, float]:
+    """Shift of some points against a reference, as :func:`shifts` tells it; none without points on both sides."""
+    if not len(reference) or not len(moving):
+        return 0.0, 0.0
+    away = lambda v: np.sign(v) * np.floor(np.abs(v) + 0.5)
+    ref, rn = np.unique(away(reference), axis=0, return_counts=True)
+    mov, mn = np.unique(away(moving), axis=0, return_counts=True)
+    size = MAX_SHIFT + 1
+    grid = np.zeros((2 * size + 1, 2 * size + 1))
+    for (x, y), n in zip(mov, mn, strict=True):
+        dx, dy = ref[:, 0] - x, ref[:, 1] - y
+        near = (np.abs(dx) <= size) & (np.abs(dy) <= size)
+        np.add.at(grid, ((dy[near] + size).astype(int), (dx[near] + size).astype(int)), n * rn[near])
+    inner = grid[1:-1, 1:-1]
+    y, x = np.unravel_index(int(inner.argmax()), inner.shape)
+
+    def vertex(a: float, b: float, c: float) -> float:
+        den = a - 2 * b + c
+        return 0.0 if abs(den) < 1e-9 else float(np.clip(0.5 * (a - c) / den, -0.5, 0.5))
+
+    v = grid[y : y + 3, x : x + 3]
+    return x - MAX_SHIFT + vertex(v[1, 0], v[1, 1], v[1, 2]), y - MAX_SHIFT + vertex(v[0, 1], v[1, 1], v[2, 1])
+
+
 def drift_fold(rows: DataFrame, window: int = 50, session: str = "session", order: str = "cluster_id", physical: bool = False) -> DataFrame:
     """Drift correction with feedback: a frame's reference is the corrected points of the ``window`` frames before it.
 
@@ -206,28 +236,6 @@ def drift_fold(rows: DataFrame, window: int = 50, session: str = "session", orde
     fold: its points stream by in order of their frames, ``window`` frames of them are held, and a shift is told for each
     frame. Shifts are then joined to the rows.
     """
-    def score(reference: np.ndarray, moving: np.ndarray) -> tuple[float, float]:
-        if not len(reference) or not len(moving):
-            return 0.0, 0.0
-        away = lambda v: np.sign(v) * np.floor(np.abs(v) + 0.5)
-        ref, rn = np.unique(away(reference), axis=0, return_counts=True)
-        mov, mn = np.unique(away(moving), axis=0, return_counts=True)
-        size = MAX_SHIFT + 1
-        grid = np.zeros((2 * size + 1, 2 * size + 1))
-        for (x, y), n in zip(mov, mn, strict=True):
-            dx, dy = ref[:, 0] - x, ref[:, 1] - y
-            near = (np.abs(dx) <= size) & (np.abs(dy) <= size)
-            np.add.at(grid, ((dy[near] + size).astype(int), (dx[near] + size).astype(int)), n * rn[near])
-        inner = grid[1:-1, 1:-1]
-        y, x = np.unravel_index(int(inner.argmax()), inner.shape)
-
-        def vertex(a: float, b: float, c: float) -> float:
-            den = a - 2 * b + c
-            return 0.0 if abs(den) < 1e-9 else float(np.clip(0.5 * (a - c) / den, -0.5, 0.5))
-
-        v = grid[y : y + 3, x : x + 3]
-        return x - MAX_SHIFT + vertex(v[1, 0], v[1, 1], v[1, 2]), y - MAX_SHIFT + vertex(v[0, 1], v[1, 1], v[2, 1])
-
     sign = 1 if physical else -1
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +247,7 @@ def drift_fold(rows: DataFrame, window: int = 50, session: str = "session", orde
             nonlocal held
             moving = np.concatenate(points)
             held = [(f, p) for f, p in held if f >= now[1] - window]
-            found = score(np.concatenate([p for _, p in held]) if held else np.zeros((0, 2)), moving)
+            found = best_shift(np.concatenate([p for _, p in held]) if held else np.zeros((0, 2)), moving)
             held.append((now[1], moving + sign * np.array(found)))
             return (*now, *found)
 
