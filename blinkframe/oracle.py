@@ -32,23 +32,25 @@ def image(signed: bool) -> str:
 
 
 GRID = f"""grid AS MATERIALIZED (
-      SELECT f.frame, x.x, y.y, coalesce(i.value, 0.0) AS v
-      FROM (SELECT DISTINCT frame FROM img) f, (SELECT range AS x FROM range({WIDTH})) x, (SELECT range AS y FROM range({HEIGHT})) y
-      LEFT JOIN img i ON i.frame = f.frame AND i.x = x.x AND i.y = y.y
+      SELECT frame, x, y, sum(value) AS v FROM (
+        SELECT frame, x, y, value FROM img
+        UNION ALL SELECT f.frame, x.range, y.range, 0.0 FROM (SELECT DISTINCT frame FROM img) f, range({WIDTH}) x, range({HEIGHT}) y
+      ) GROUP BY ALL
     )"""
 
 
-def _pass(made: str, source: str, across: str, along: str, step: int) -> str:
+def _pass(made: str, source: str, across: str, along: str, step: int, kept: str) -> str:
+    """One smoothing along an axis; ``kept`` columns go along, so that no plane has to be joined to another."""
     w = f"OVER (PARTITION BY frame, {across} ORDER BY {along})"
     whole = f"OVER (PARTITION BY frame, {across} ORDER BY {along} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     low = lambda k: f"coalesce(lag(v, {k * step}) {w}, first_value(v) {whole})"
     high = lambda k: f"coalesce(lead(v, {k * step}) {w}, last_value(v) {whole})"
-    return f"{made} AS MATERIALIZED (SELECT frame, x, y, ({low(2)} + 4 * {low(1)} + 6 * v + 4 * {high(1)} + {high(2)}) / 16 AS v FROM {source})"
+    return f"{made} AS MATERIALIZED (SELECT frame, x, y{kept}, ({low(2)} + 4 * {low(1)} + 6 * v + 4 * {high(1)} + {high(2)}) / 16 AS v FROM {source})"
 
 
 WAVELET = ",\n    ".join([
-    GRID, _pass("h1", "grid", "y", "x", 1), _pass("v1", "h1", "x", "y", 1), _pass("h2", "v1", "y", "x", 2), _pass("v2", "h2", "x", "y", 2),
-    "planes AS (SELECT g.frame, g.x, g.y, g.v - a.v AS f1, a.v - b.v AS f2 FROM grid g JOIN v1 a USING (frame, x, y) JOIN v2 b USING (frame, x, y))",
+    GRID, _pass("h1", "grid", "y", "x", 1, ", v AS g"), _pass("v1", "h1", "x", "y", 1, ", g"), _pass("h2", "v1", "y", "x", 2, ", g, v AS a"), _pass("v2", "h2", "x", "y", 2, ", g, a"),
+    "planes AS (SELECT frame, x, y, g - a AS f1, a - v AS f2 FROM v2)",
 ])
 
 
@@ -132,6 +134,157 @@ def log_gaussian() -> str:
     )"""
 
 
+def gaussian(samples: str, seed: str, rounds: int, floor: str) -> str:
+    """Damped least squares as a recursion, a step each round: ``samples`` (frame, id, x, y, v), ``seed`` (frame, id, p0 to p5).
+
+    The matrix is positive definite by its damping, so that the elimination needs no exchange of rows.
+    """
+    p, q = [f"p{i}" for i in range(6)], [f"q{i}" for i in range(6)]
+    state = f"frame, id, it, {', '.join(p)}, damping, reached"
+    slopes = ["p4 * g * dx / p2 ** 2", "p4 * g * dy / p3 ** 2", "p4 * g * dx * dx / p2 ** 3", "p4 * g * dy * dy / p3 ** 3", "g", "1.0"]
+    at = "exp(-0.5 * ((x - {0}0) ** 2 / {0}2 ** 2 + (y - {0}1) ** 2 / {0}3 ** 2))"
+    made = f"SELECT {state}, x, y, v, x - p0 AS dx, y - p1 AS dy, {at.format('p')} AS g FROM gf JOIN {samples} USING (frame, id) WHERE going AND it < {rounds}"
+    made = f"SELECT *, v - p5 - p4 * g AS r, {', '.join(f'{j} AS j{i}' for i, j in enumerate(slopes))} FROM ({made})"
+    cells = [f"sum(j{i} * j{j}){' + damping' if i == j else ''} AS m{i}{j}" for i in range(6) for j in range(6)] + [f"sum(j{i} * r) AS m{i}6" for i in range(6)]
+    made = f"SELECT {state}, sum(r * r) AS error, {', '.join(cells)} FROM ({made}) GROUP BY {state}"
+    for k in range(6):
+        done = [f"m{i}{j} / m{k}{k} AS m{i}{j}" if i == k else f"m{i}{j} - m{i}{k} / m{k}{k} * m{k}{j} AS m{i}{j}" for i in range(6) for j in range(k + 1, 7)]
+        made = f"SELECT {state}, error, {', '.join(done)} FROM ({made})"
+    tried = ["p0 + m06", "p1 + m16", "least(greatest(p2 + m26, 0.5), 6.0)", "least(greatest(p3 + m36, 0.5), 6.0)", "greatest(p4 + m46, 1e-3)", f"greatest(p5 + m56, {floor})"]
+    made = f"SELECT {state}, error, sqrt({' + '.join(f'm{i}6 ** 2' for i in range(6))}) AS step, {', '.join(f'{t} AS q{i}' for i, t in enumerate(tried))} FROM ({made})"
+    made = f"SELECT t.*, sum((s.v - q5 - q4 * {at.format('q')}) ** 2) AS new FROM ({made}) t JOIN {samples} s USING (frame, id) GROUP BY ALL"
+    better = ", ".join(f"CASE WHEN new < error THEN {b} ELSE {a} END" for a, b in zip(p, q, strict=True))
+    return f"""
+    gf AS (
+      SELECT frame, id, 0 AS it, {', '.join(f'{c}::DOUBLE AS {c}' for c in p)}, 1e-2::DOUBLE AS damping, 'inf'::DOUBLE AS reached, true AS going FROM {seed}
+      UNION ALL
+      SELECT frame, id, it + 1, {better}, CASE WHEN new < error THEN damping * 0.7 ELSE damping * 2 END, CASE WHEN new < error THEN new ELSE reached END, step >= 1e-3 FROM ({made})
+    ),
+    gauss AS (
+      SELECT *, sqrt(reached / (SELECT count(*) FROM {samples} s WHERE s.frame = o.frame AND s.id = o.id)) AS rest FROM (
+        SELECT frame, id, unnest(arg_max({{{', '.join(f"'{c}': {c}" for c in (*p, 'reached'))}}}, it)) FROM gf GROUP BY frame, id
+      ) o WHERE reached < 'inf'::DOUBLE
+    )"""
+
+
+def cluster_gaussian() -> str:
+    spread = lambda c: f"least(greatest((max({c}) - min({c}) + 1) / 4, 0.7), 4.0)"
+    return f"""
+    gp AS MATERIALIZED (SELECT frame, cluster_id AS id, x, y, n::DOUBLE AS v FROM hist),
+    gs AS MATERIALIZED (
+      SELECT frame, id, sum(x * v) / sum(v) AS p0, sum(y * v) / sum(v) AS p1, {spread('x')} AS p2, {spread('y')} AS p3, greatest(max(v) - min(v), 1.0) AS p4, greatest(min(v), 0.0) AS p5
+      FROM gp GROUP BY ALL HAVING count(*) >= 5
+    ),
+    {gaussian('gp', 'gs', 20, '0.0')},
+    fit AS (SELECT frame, id AS cluster_id, p0 AS x, p1 AS y, p2 AS sigma_x, p3 AS sigma_y, rest AS residual FROM gauss)"""
+
+
+def window_gaussian(radius: int, sigma: float) -> str:
+    """Fits of image windows around spots, with the limits of localizations and their times."""
+    return f"""
+    inside AS (
+      SELECT frame, rank AS id, com_x, com_y, round(com_x) AS wx, round(com_y) AS wy FROM spots
+      WHERE round(com_x) >= {radius} AND round(com_y) >= {radius} AND round(com_x) + {radius} < {WIDTH} AND round(com_y) + {radius} < {HEIGHT}
+    ),
+    gp AS MATERIALIZED (SELECT i.frame, i.id, g.x, g.y, g.v FROM inside i JOIN grid g ON g.frame = i.frame AND abs(g.x - wx) <= {radius} AND abs(g.y - wy) <= {radius}),
+    gs AS MATERIALIZED (SELECT frame, id, com_x AS p0, com_y AS p1, {sigma} AS p2, {sigma} AS p3, greatest(max(v) - min(v), 1.0) AS p4, min(v) AS p5 FROM inside JOIN gp USING (frame, id) GROUP BY ALL),
+    {gaussian('gp', 'gs', 15, "'-inf'::DOUBLE")}"""
+
+
+def credible(low: float, high: float, most: float, radius: float, nm: float = 65.0) -> str:
+    return f"""
+    good AS (
+      SELECT frame, id AS rank, p0 AS x, p1 AS y, p2 AS sigma_x, p3 AS sigma_y, p4 AS amplitude, p5 AS background, rest AS fit_error FROM gauss
+      WHERE p2 * {nm} BETWEEN {low} AND {high} AND p3 * {nm} BETWEEN {low} AND {high} AND (p2 + p3) / 2 / sqrt(greatest(abs(p4), 1.0)) * {nm} <= {most}
+    ), times AS (
+      SELECT g.frame, g.rank, sum(e.timestamp_us / (1 + (e.x - g.x) ** 2 + (e.y - g.y) ** 2)) / sum(1 / (1 + (e.x - g.x) ** 2 + (e.y - g.y) ** 2)) AS t
+      FROM good g JOIN ev e ON e.frame = g.frame AND (e.x - g.x) ** 2 + (e.y - g.y) ** 2 <= {radius * radius} GROUP BY ALL
+    ), loc AS (SELECT good.*, coalesce(round(t)::BIGINT, frame * {F_US} + {F_US // 2}) AS timestamp_us FROM good LEFT JOIN times USING (frame, rank))"""
+
+
+RADIAL = """
+    box AS (SELECT frame, cluster_id, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM hist GROUP BY ALL HAVING max(x) - min(x) >= 2 AND max(y) - min(y) >= 2),
+    dense AS (
+      SELECT b.frame, b.cluster_id, x0, y0, w, h, i, j, coalesce(n, 0)::DOUBLE AS v FROM (SELECT *, unnest(range(w)) AS i FROM box) b, LATERAL (SELECT unnest(range(b.h)) AS j) r
+      LEFT JOIN hist ON hist.frame = b.frame AND hist.cluster_id = b.cluster_id AND hist.x = x0 + i AND hist.y = y0 + j
+    ),
+    slope AS (
+      SELECT *, 0.5 * (lead(v) OVER a - lag(v) OVER a) AS sx, 0.5 * (lead(v) OVER d - lag(v) OVER d) AS sy FROM dense
+      WINDOW a AS (PARTITION BY frame, cluster_id, j ORDER BY i), d AS (PARTITION BY frame, cluster_id, i ORDER BY j)
+    ),
+    inner_ AS (SELECT * FROM slope WHERE i BETWEEN 1 AND w - 2 AND j BETWEEN 1 AND h - 2),
+    smooth AS (
+      SELECT a.frame, a.cluster_id, a.x0, a.y0, a.i, a.j, sum(b.sx) / 9 AS gx, sum(b.sy) / 9 AS gy
+      FROM inner_ a JOIN inner_ b ON a.frame = b.frame AND a.cluster_id = b.cluster_id AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY ALL
+    ),
+    line AS (SELECT *, gx * gx + gy * gy AS g2, gx * j - gy * i AS dot FROM smooth WHERE gx * gx + gy * gy > 1e-9),
+    eq AS (
+      SELECT frame, cluster_id, x0, y0, sum(g2 * gy * gy) AS a, -sum(g2 * gy * gx) AS b, sum(g2 * gx * gx) AS c, -sum(g2 * gy * dot) AS r, sum(g2 * gx * dot) AS s
+      FROM line GROUP BY ALL HAVING abs(sum(g2 * gy * gy) * sum(g2 * gx * gx) - sum(g2 * gy * gx) ** 2) >= 1e-9
+    ),
+    mid AS (SELECT *, (r * c - s * b) / (a * c - b * b) AS cx, (a * s - r * b) / (a * c - b * b) AS cy FROM eq),
+    fit AS (
+      SELECT m.frame, m.cluster_id, m.x0 + cx AS x, m.y0 + cy AS y, 0.0 AS sigma_x, 0.0 AS sigma_y, sqrt(sum(g2 * (gx * cy - gy * cx - dot) ** 2) / sum(g2)) AS residual
+      FROM mid m JOIN line l ON l.frame = m.frame AND l.cluster_id = m.cluster_id GROUP BY m.frame, m.cluster_id, m.x0, m.y0, cx, cy
+    )"""
+
+#: Separable transform of the counts; what is taken off as the mean has no frequency.
+SPECTRUM = f"""
+    px AS (SELECT frame, x, y, count(*) AS n FROM ev GROUP BY ALL),
+    varied AS (SELECT frame FROM px GROUP BY frame HAVING sum(n * n) - sum(n) ** 2 / {WIDTH * HEIGHT}.0 > 1e-6),
+    across AS (
+      SELECT frame, y, u.range AS u, sum(n * cos(2 * pi() * ((u.range * x) % {WIDTH}) / {WIDTH})) AS re, -sum(n * sin(2 * pi() * ((u.range * x) % {WIDTH}) / {WIDTH})) AS im
+      FROM px, range({WIDTH}) u GROUP BY ALL
+    ),
+    turn AS (SELECT range AS k, cos(2 * pi() * range / {HEIGHT}) AS c, sin(2 * pi() * range / {HEIGHT}) AS s FROM range({HEIGHT})),
+    down AS (SELECT frame, u, v.range AS v, sum(re * c + im * s) AS re, sum(im * c - re * s) AS im FROM across, range({HEIGHT}) v JOIN turn ON k = (v.range * y) % {HEIGHT} GROUP BY ALL),
+    ring AS (SELECT *, sqrt((least(u, {WIDTH} - u) / {WIDTH / 2}) ** 2 + (least(v, {HEIGHT} - v) / {HEIGHT / 2}) ** 2) AS radius FROM down)"""
+
+#: Greedy linking, a localization each step: tracks that are free, those of the current frame, and lengths that ended.
+TRACKS = """
+    nth AS (SELECT row_number() OVER (ORDER BY frame, cluster_id) AS i, frame, x, y FROM loc),
+    walk AS (
+      SELECT 0::BIGINT AS i, -9::BIGINT AS frame, []::STRUCT(x DOUBLE, y DOUBLE, n BIGINT)[] AS free, []::STRUCT(x DOUBLE, y DOUBLE, n BIGINT)[] AS made, []::BIGINT[] AS ended
+      UNION ALL
+      SELECT i, frame, CASE WHEN nearest IS NULL THEN free ELSE list_concat(free[:nearest - 1], free[nearest + 1:]) END,
+             list_append(made, {'x': x, 'y': y, 'n': 1 + coalesce(free[nearest].n, 0)}), ended
+      FROM (
+        SELECT *, CASE WHEN list_min(d) <= 2.25 THEN len(d) - list_position(list_reverse(d), list_min(d)) + 1 END AS nearest FROM (
+          SELECT *, [(t.x - x) ** 2 + (t.y - y) ** 2 for t in free] AS d FROM (
+            SELECT o.i, o.frame, o.x, o.y,
+                   CASE WHEN o.frame = w.frame THEN w.free WHEN o.frame = w.frame + 1 THEN w.made ELSE [] END AS free, CASE WHEN o.frame = w.frame THEN w.made ELSE [] END AS made,
+                   CASE WHEN o.frame = w.frame THEN [] WHEN o.frame = w.frame + 1 THEN [t.n for t in w.free] ELSE list_concat([t.n for t in w.free], [t.n for t in w.made]) END AS ended
+            FROM walk w JOIN nth o ON o.i = w.i + 1)))
+    ),
+    tracks AS (
+      SELECT unnest(ended) AS length FROM walk
+      UNION ALL SELECT unnest(list_concat([t.n for t in free], [t.n for t in made])) FROM walk WHERE i = (SELECT max(i) FROM walk)
+    )"""
+
+
+def feedback(window: int, most: int = 8) -> str:
+    """Drift with feedback, a frame each step; ``held`` are the corrected points so far."""
+    wide, inner = 2 * most + 3, 2 * most + 1
+    vertex = lambda a, b: f"CASE WHEN abs({a} - 2 * {mid} + {b}) < 1e-9 THEN 0.0 ELSE greatest(least(0.5 * ({a} - {b}) / ({a} - 2 * {mid} + {b}), 0.5), -0.5) END"
+    at = lambda dx, dy: f"score[(best // {inner} + {1 + dy}) * {wide} + best % {inner} + {1 + dx} + 1]"
+    mid = at(0, 0)
+    return f"""
+    fr AS (SELECT row_number() OVER (ORDER BY frame) AS i, frame, list({{'x': x, 'y': y}}) AS points FROM loc GROUP BY frame),
+    fold AS (
+      SELECT 0::BIGINT AS i, -1::BIGINT AS frame, 0.0::DOUBLE AS shift_x, 0.0::DOUBLE AS shift_y, []::STRUCT(frame BIGINT, x DOUBLE, y DOUBLE)[] AS held
+      UNION ALL
+      SELECT i, frame, sx, sy, list_concat(ref, [{{'frame': frame, 'x': p.x - sx, 'y': p.y - sy}} for p in points]) FROM (
+        SELECT *, CASE WHEN len(ref) = 0 THEN 0.0 ELSE best % {inner} - {most} + {vertex(at(-1, 0), at(1, 0))} END AS sx,
+               CASE WHEN len(ref) = 0 THEN 0.0 ELSE best // {inner} - {most} + {vertex(at(0, -1), at(0, 1))} END AS sy FROM (
+          SELECT *, list_position(scored, list_max(scored)) - 1 AS best FROM (
+            SELECT *, [score[(k // {inner} + 1) * {wide} + k % {inner} + 2] for k in range({inner * inner})] AS scored FROM (
+              SELECT *, [len([1 for c in pairs if c = k]) for k in range({wide * wide})] AS score FROM (
+                SELECT *, flatten([[CASE WHEN abs(round(r.x) - round(p.x)) <= {most + 1} AND abs(round(r.y) - round(p.y)) <= {most + 1}
+                                    THEN ((round(r.y) - round(p.y) + {most + 1}) * {wide} + round(r.x) - round(p.x) + {most + 1})::BIGINT ELSE -1 END for r in ref] for p in points]) AS pairs FROM (
+                  SELECT f.i, f.frame, f.points, [h for h in held if h.frame >= f.frame - {window}] AS ref FROM fold JOIN fr f ON f.i = fold.i + 1))))))
+    )"""
+
+
 TIMED = """
     loc0 AS (
       SELECT fit.*, cl.n_events, cl.polarity_balance,

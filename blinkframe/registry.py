@@ -1,6 +1,6 @@
 """Queries of the localization engine by name, and their DuckDB SQL.
 
-Doubles are rounded on both sides: sums run in any order. Queries without SQL are iterative fits, spectra and folds.
+Doubles are rounded on both sides: sums run in any order.
 """
 
 from __future__ import annotations
@@ -144,9 +144,9 @@ def _(spark, sf):
     return rounded(images.downsampled(images.counted_image(events.scattered(spark, sf)), 22))
 
 
-@register("focus_fft")
+@register("focus_fft", O.query(O.EV, O.SPECTRUM, "SELECT frame, round(avg(re * re + im * im), 4) AS metric FROM ring JOIN varied USING (frame) WHERE radius BETWEEN 0.25 AND 0.9 GROUP BY frame"))
 def _(spark, sf):
-    return images.spectral_focus(images.counted_image(events.scattered(spark, sf)))
+    return rounded(images.spectral_focus(images.counted_image(events.scattered(spark, sf))), 4)
 
 
 # Clusters.
@@ -220,28 +220,43 @@ def _(spark, sf):
     return rounded(fits(spark, sf), 4)
 
 
-@register("fit_gaussian")
+@register("fit_gaussian", O.query(O.EM, _MEM, O.HIST, O.cluster_gaussian(), _FIT.replace(", 6)", ", 4)"), recursive=True))
 def _(spark, sf):
-    return fits(spark, sf, Fit.GAUSSIAN)
+    return rounded(fits(spark, sf, Fit.GAUSSIAN), 4)
 
 
-@register("fit_radial")
+@register("fit_radial", O.query(O.EM, _MEM, O.HIST, O.RADIAL, _FIT, recursive=True))
 def _(spark, sf):
-    return fits(spark, sf, Fit.RADIAL)
+    return rounded(fits(spark, sf, Fit.RADIAL))
 
 
-@register("localize_roi")
-def _(spark, sf):
-    own = events.emitters(spark, sf)
+def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Localizations of the emitters' images, by the default settings."""
+    own = events.emitters(spark, sf_dir)
     image = images.analysis_image(own, True)
     settings = LocalizationSettings()
     found = fitters.window_fits(image, images.spots(image, settings.threshold_factor), settings.fit_radius_px, settings.initial_sigma_px)
     return localize.timed(localize.credible(found, settings), own, float(settings.fit_radius_px))
 
 
-@register("mean_background")
+_ROI_SET = LocalizationSettings()
+_ROI = [
+    O.EM, O.image(True), O.spots(_ROI_SET.threshold_factor), O.window_gaussian(_ROI_SET.fit_radius_px, _ROI_SET.initial_sigma_px),
+    O.credible(_ROI_SET.sigma_min_nm, _ROI_SET.sigma_max_nm, _ROI_SET.max_xy_uncertainty_nm, _ROI_SET.fit_radius_px),
+]
+#: Amplitudes and errors are sums of microseconds, of nine digits and more: they are compared in milliseconds.
+_ROI_ROW = "SELECT frame, rank::INT AS rank, round(x, 3) AS x, round(y, 3) AS y, round(sigma_x, 3) AS sigma_x, round(sigma_y, 3) AS sigma_y, round(amplitude / 1e3) AS amplitude, round(background / 1e3) AS background, round(fit_error / 1e3) AS fit_error, timestamp_us // 10 * 10 AS timestamp_us FROM loc"
+
+
+@register("localize_roi", O.query(*_ROI, _ROI_ROW, recursive=True))
+def _(spark, sf):
+    whole = [F.round(F.col(c) / 1e3).alias(c) for c in ("amplitude", "background", "fit_error")]
+    return rois(spark, sf).select("frame", "rank", *[F.round(c, 3).alias(c) for c in ("x", "y", "sigma_x", "sigma_y")], *whole, F.expr("timestamp_us div 10 * 10").alias("timestamp_us"))
+
+
+@register("mean_background", O.query(*_ROI, "SELECT frame, round(avg(background) / 1e3) AS mean_background FROM loc GROUP BY frame", recursive=True))
 def _(spark, sf):
-    return localize.mean_background(QUERIES["localize_roi"](spark, sf))
+    return localize.mean_background(rois(spark, sf)).select("frame", F.round(F.col("mean_background") / 1e3).alias("mean_background"))
 
 
 @register("fit_filter", O.query(O.EM, _MEM, O.HIST, O.log_gaussian(), _ACCEPTED.format(r=0.5, a=80.0, b=200.0), "SELECT frame, cluster_id, round(x, 4) AS x, round(residual, 4) AS residual FROM kept", recursive=True))
@@ -290,10 +305,10 @@ def _(spark, sf):
     return rounded(postproc.moved(own, postproc.shifts(postproc.window_reference(points, DRIFT_WINDOW), points)).select("frame", "cluster_id", "x", "y"), 4)
 
 
-@register("drift_feedback")
+@register("drift_feedback", O.query(*_LOC, O.feedback(50), "SELECT 'all' AS session, loc.frame, cluster_id, round(x - shift_x, 4) AS x, round(y - shift_y, 4) AS y, round(shift_x, 4) AS shift_x, round(shift_y, 4) AS shift_y FROM loc JOIN fold ON fold.frame = loc.frame", recursive=True))
 def _(spark, sf):
     own = localizations(spark, sf).select(F.lit("all").alias("session"), "frame", "cluster_id", "x", "y")
-    return postproc.drift_fold(own, 50)
+    return rounded(postproc.drift_fold(own, 50), 4)
 
 
 @register("nn_distance", O.query(*_LOC, O.NEIGHBOURS, "SELECT frame, cluster_id, round(distance, 5) AS distance FROM nn", recursive=True))
@@ -317,13 +332,13 @@ def _(spark, sf):
     return rounded(postproc.spread_patch(localizations(spark, sf)))
 
 
-@register("tracks")
+@register("tracks", O.query(*_LOC, O.TRACKS, "SELECT 'all' AS session, length FROM tracks", recursive=True))
 def _(spark, sf):
     own = localizations(spark, sf).withColumn("session", F.lit("all"))
     return postproc.track_lengths(own)
 
 
-@register("on_time")
+@register("on_time", O.query(*_LOC, O.TRACKS, "SELECT 'all' AS session, length, count(*) AS n FROM tracks GROUP BY length", recursive=True))
 def _(spark, sf):
     return postproc.on_time(QUERIES["tracks"](spark, sf))
 
