@@ -5,7 +5,8 @@ sampling: about one anchor for each half window of text), and equal windows name
 
 1. Anchor hashes, packed by destination, are dealt out; an anchor met in one text only is dropped there.
 2. Texts with other anchors give the runs of windows that share one, with their bytes. Dealing and sorting these runs
-   by anchor is the first, distributed digit of the radix sort.
+   by anchor is the first, distributed digit of the radix sort. An anchor of very many texts would fill one task: the
+   windows of its runs are dealt one by one, with all their bytes as the digit, and repeats within a batch go before.
 3. A task streams its runs in (anchor, doc_id) order. Runs of equal bytes collapse to their first document; where an
    anchor has several distinct runs, their suffixes are ordered by most-significant-digit passes of eight bytes, to the
    depth of the window and no further; groups of one are dropped after every pass. Equal groups are the repeats.
@@ -30,6 +31,9 @@ from blinkframe.llm.frames import slices, text_bytes
 LENGTH = 50
 SLICE_BYTES = 1 << 18
 RUNS_AT_ONCE = 40_000
+#: Texts that share an anchor beyond which its windows are dealt one by one, by all their bytes.
+HOT_TEXTS = 10_000
+HOT = np.uint64(1 << 63)
 LAST = (1 << 63) - 1
 #: Texts are found again by 32 bits of their uid: those that share them get each other's anchors too, which changes nothing.
 SHORT_UID = 0xFFFFFFFF
@@ -165,8 +169,11 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(uid[some[:-1]]), _binary(value[some[0] : some[-1]].ravel(), (some[:-1] - some[0]) * width)], ["uid", "rows"])
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Anchors that two texts or more have, packed by short uid. Each text comes once, with its anchors told apart."""
+def _shared_anchors(batches: Iterator[pa.RecordBatch], parts: int, hot_texts: int) -> Iterator[pa.RecordBatch]:
+    """Anchors that two texts or more have, packed by short uid. Each text comes once, with its anchors told apart.
+
+    Anchors of more than ``hot_texts`` texts are marked.
+    """
     shorts, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for batch in batches:
         for part, own, at, rest in zip(*(batch[n].to_pylist() for n in ("part", "shorts", "at", "rest")), strict=True):
@@ -175,9 +182,11 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[p
     short, code = np.concatenate(shorts), np.concatenate(codes)
     order = np.argsort(code, kind="stable")
     short, code = short[order], code[order]
-    same = code[1:] == code[:-1]
-    shared = np.r_[same, False] | np.r_[False, same] if len(code) else np.zeros(0, bool)
-    yield from _packs(short[shared], code[shared].view(np.int64), parts)
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    texts = np.diff(np.r_[starts, len(code)])
+    texts = np.repeat(texts, texts)
+    code[texts > hot_texts] |= HOT
+    yield from _packs(short[texts > 1], code[texts > 1].view(np.int64), parts)
 
 
 def _spans_of(uid: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,10 +201,20 @@ def _spans_of(uid: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarr
     return uid[first], np.stack([doc[first], low - apart[first], high - apart[first]], 1)
 
 
+def _window_keys(piece: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the windows that begin at ``start``."""
+    words = _words(np.concatenate([piece, np.zeros(8, np.uint8)]))
+    value = np.zeros(len(start), np.uint64)
+    for offset in [*range(0, length - 8, 8), length - 8]:
+        value = _mixed(value * MIX + words[start + offset])
+    return value
+
+
 def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Runs of windows whose anchor other texts have too.
 
     A run that a smaller document of the same batch has as well is a repeat whatever else there is, and is not compared.
+    Runs of marked anchors are cut into their windows, each under a key of its own.
     """
     for batch in batches:
         data, bounds = text_bytes(batch["text"])
@@ -208,14 +227,22 @@ def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
             part, rest = _codes(anchors, parts)
             code = rest.astype(np.uint64) * np.uint64(parts) + part.astype(np.uint64)
             edges = np.searchsorted(row, np.arange(b - a + 1))
-            keep = np.zeros(len(row), bool)
+            keep, hot = np.zeros(len(row), bool), np.zeros(len(row), bool)
             for r in range(b - a):
                 own = np.frombuffer(codes[a + r].as_py(), np.uint64)
-                keep[edges[r] : edges[r + 1]] = np.isin(code[edges[r] : edges[r + 1]], own)
-            row, start, count, anchors = row[keep], start[keep], count[keep], anchors[keep]
+                some = slice(edges[r], edges[r + 1])
+                keep[some] = np.isin(code[some], own & ~HOT)
+                hot[some] = np.isin(code[some], own[own >= HOT] & ~HOT)
+            row, start, count, anchors, hot = row[keep], start[keep], count[keep], anchors[keep], hot[keep]
             if not len(row):
                 continue
             sizes = count + length - 1
+            if hot.any():
+                times = np.where(hot, count, 1)
+                sizes = np.repeat(np.where(hot, length, sizes), times)
+                row, start, anchors, hot, first = (np.repeat(v, times) for v in (row, start, anchors, hot, np.cumsum(times) - times))
+                start = start + np.arange(len(start)) - first
+                anchors[hot] = _window_keys(piece, start[hot], length)
             ends = np.cumsum(sizes)
             gathered = piece[np.repeat(start - (ends - sizes), sizes) + np.arange(ends[-1])]
             found.append((anchors.view(np.int64), a + row, start - (bounds[a + row] - base), sizes, _binary(gathered, ends - sizes)))
@@ -378,7 +405,7 @@ def _removed(row: dict, length: int) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, *merged(own[:, 1], own[:, 2])
 
 
-def _with_spans(docs: DataFrame, key: str, text: str, length: int, payload) -> DataFrame:
+def _with_spans(docs: DataFrame, key: str, text: str, length: int, hot_texts: int, payload) -> DataFrame:
     """doc_id, text, payload, first_id (least id of equal texts) and lost (spans) of every row."""
     if length < 16:
         raise ValueError("windows of 16 bytes or more")
@@ -395,7 +422,7 @@ def _with_spans(docs: DataFrame, key: str, text: str, length: int, payload) -> D
     firsts_only = status.filter("of = first_id").select("uid").distinct()
     own = texts.join(firsts_only, "uid").select("doc_id", "uid", "text", "payload")
     packed = own.mapInArrow(lambda it: _packed_anchors(it, length, parts), "part long, shorts binary, at binary, rest binary")
-    shared = packed.repartition(parts, "part").mapInArrow(lambda it: _shared_anchors(it, parts), PACKS)
+    shared = packed.repartition(parts, "part").mapInArrow(lambda it: _shared_anchors(it, parts, hot_texts), PACKS)
     hits = shared.repartition(parts, "bucket").mapInArrow(lambda it: _unpacked(it, 1), "uid long, rows binary")
     hits = firsts_only.join(hits.withColumnRenamed("uid", "short"), F.col("uid").bitwiseAND(F.lit(SHORT_UID)) == F.col("short")).select("uid", "rows")
     found = texts.join(hits, "uid").select("doc_id", "uid", "text", "payload", "rows").mapInArrow(lambda it: _shared_runs(it, length, parts), RUNS)
@@ -407,12 +434,12 @@ def _with_spans(docs: DataFrame, key: str, text: str, length: int, payload) -> D
     return texts.join(marks, "uid").filter("doc_id - of = 0").select("doc_id", "uid", "text", "payload", "first_id", "lost")
 
 
-def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. Null text
     counts as empty; a null id is above every other, and rows of one id never count against each other. Rows that repeat
-    give equal rows. Other columns are ignored.
+    give equal rows. Other columns are ignored. ``hot_texts`` decides how work is dealt, not what is found.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -431,10 +458,10 @@ def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, key, text, length, F.lit(0).cast("byte")).mapInArrow(work, schema)
+    return _with_spans(docs, key, text, length, hot_texts, F.lit(0).cast("byte")).mapInArrow(work, schema)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """``docs`` with repeated windows cut out of ``text``; other columns are unchanged, null text stays null.
 
     Rules as in :func:`repeat_digests`. A character that loses some of its bytes goes as a whole.
@@ -457,4 +484,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 out.append({name: own[f"c{n}"] for n, name in enumerate(carried)} | {text: None if own["empty"] else kept})
             yield pa.RecordBatch.from_pylist(out, to_arrow_schema(schema))
 
-    return _with_spans(docs, key, text, length, payload).mapInArrow(work, schema)
+    return _with_spans(docs, key, text, length, hot_texts, payload).mapInArrow(work, schema)

@@ -32,9 +32,9 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-def digests(spark, rows, length):
+def digests(spark, rows, length, **other):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    return sorted((tuple(r) for r in suffix_dedup.repeat_digests(df, length=length).collect()), key=str)
+    return sorted((tuple(r) for r in suffix_dedup.repeat_digests(df, length=length, **other).collect()), key=str)
 
 
 def made(seed, n, short):
@@ -55,6 +55,12 @@ def test_against_brute_force(spark, seed, length):
     assert digests(spark, rows, length) == brute(rows, length)
 
 
+@pytest.mark.parametrize(("seed", "length", "hot"), [(4, 50, 2), (5, 21, 3), (6, 16, 0)])
+def test_windows_of_hot_anchors_are_dealt_one_by_one(spark, seed, length, hot):
+    rows = made(seed, 60, 60)
+    assert digests(spark, rows, length, hot_texts=hot) == brute(rows, length)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
