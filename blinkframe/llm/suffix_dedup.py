@@ -252,7 +252,7 @@ def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
         yield from _sent(found, ids, uids, parts)
 
 
-RUNS = "anchor long, doc_id long, uid long, start int, content binary, uids binary, counts binary"
+RUNS = "anchor long, doc_id long, uid long, start int, more binary, content binary, uids binary, counts binary"
 
 
 def _sent(found: list[tuple], ids: np.ndarray, uids: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
@@ -265,15 +265,23 @@ def _sent(found: list[tuple], ids: np.ndarray, uids: np.ndarray, parts: int) ->
     least = np.full(code.max() + 1, LAST, np.int64)
     np.minimum.at(least, code, ids[row])
     known = ids[row] > least[code]
-    names = ["anchor", "doc_id", "uid", "start", "content", "uids", "counts"]
+    names = ["anchor", "doc_id", "uid", "start", "more", "content", "uids", "counts"]
+    # Equal runs of one text, as periodic texts have them by the hundred, are one row: its first start and the others.
     open_ = np.flatnonzero(~known)
+    open_ = open_[np.lexsort((start[open_], row[open_], code[open_]))]
+    new = np.flatnonzero(np.r_[True, (code[open_][1:] != code[open_][:-1]) | (row[open_][1:] != row[open_][:-1])][: len(open_)])
+    others = np.ones(len(open_), bool)
+    others[new] = False
+    edges = np.r_[0, np.cumsum(others)][np.r_[new, len(open_)]] * 4
+    more = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(start[open_][others].astype("<i4"))])
+    open_ = open_[new]
     none = pa.nulls(len(open_), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(anchors[open_]), pa.array(ids[row[open_]]), pa.array(uids[row[open_]]), pa.array(start[open_].astype(np.int32)), content.take(pa.array(open_)), none, none], names)
+    yield pa.RecordBatch.from_arrays([pa.array(anchors[open_]), pa.array(ids[row[open_]]), pa.array(uids[row[open_]]), pa.array(start[open_].astype(np.int32)), more, content.take(pa.array(open_)), none, none], names)
     own = row[known]
     if len(own):
         for pack in _packs(*_spans_of(uids[own], ids[own], start[known], start[known] + sizes[known]), parts):
             n = len(pack)
-            yield pa.RecordBatch.from_arrays([pack["bucket"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pack["rows"], pack["uids"], pack["counts"]], names)
+            yield pa.RecordBatch.from_arrays([pack["bucket"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pack["rows"], pack["uids"], pack["counts"]], names)
 
 
 def equal_groups(buffer: np.ndarray, suffixes: np.ndarray, group: np.ndarray, depth: int, still: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -360,6 +368,19 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[np.r_[new[1:], True]]
 
 
+def _places(row: np.ndarray, start: np.ndarray, more: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Every start of the runs in ``row``: index into ``row``, start."""
+    more = more.fill_null(b"")
+    edges = np.frombuffer(more.buffers()[1], np.int32)[more.offset : more.offset + len(more) + 1] // 4
+    data = more.buffers()[2]
+    other = np.frombuffer(data, "<i4") if data is not None and data.size else np.zeros(1, "<i4")
+    times = 1 + np.diff(edges)[row]
+    which = np.repeat(np.arange(len(row)), times)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+    place = np.minimum(edges[row[which]] + np.maximum(nth - 1, 0), len(other) - 1)
+    return which, np.where(nth == 0, start[row[which]], other[place])
+
+
 def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Repeats in runs that come sorted by anchor and doc_id, packed by text; packs pass through."""
     carried: pa.Table | None = None
@@ -378,14 +399,16 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
         carried = table.take(pa.array(np.sort(first[anchor[first] == anchor[-1]])))
         mine = row >= old
         row, begin, end = row[mine], begin[mine], end[mine]
-        yield from _packs(*_spans_of(uid[row], doc[row], begin + start[row], end + start[row]), parts)
+        which, at = _places(row, start, pa.concat_arrays(table["more"].chunks))
+        row = row[which]
+        yield from _packs(*_spans_of(uid[row], doc[row], begin[which] + at, end[which] + at), parts)
 
     for batch in batches:
         packed = pa.compute.is_valid(batch["uids"])
         packs = batch.filter(packed)
         if len(packs):
             yield pa.RecordBatch.from_arrays([packs["anchor"], packs["uids"], packs["counts"], packs["content"]], ["bucket", "uids", "counts", "rows"])
-        plain = batch.filter(pa.compute.invert(packed)).select(["anchor", "doc_id", "uid", "start", "content"])
+        plain = batch.filter(pa.compute.invert(packed)).select(["anchor", "doc_id", "uid", "start", "more", "content"])
         if len(plain):
             held.append(plain)
         if sum(map(len, held)) >= RUNS_AT_ONCE:

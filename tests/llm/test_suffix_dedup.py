@@ -61,6 +61,13 @@ def test_windows_of_hot_anchors_are_dealt_one_by_one(spark, seed, length, hot):
     assert digests(spark, rows, length, hot_texts=hot) == brute(rows, length)
 
 
+def test_periodic_texts(spark):
+    line = "Is on he. "
+    rows = [(i, "x" * (i % 3) + line * (4 + i % 9) + f"own words of {i} " * 5 + line * 7) for i in range(30)] + [(40, "ab" * 90), (41, "c" + "ab" * 60 + "d" * 60)]
+    for hot in (2, 1000):
+        assert digests(spark, rows, 50, hot_texts=hot) == brute(rows, 50)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
@@ -74,7 +81,7 @@ def test_streamed_in_small_chunks(monkeypatch):
     rng = random.Random(5)
     base = [[bytes(rng.choice(letters) for _ in range(70)) for _ in range(4)] for letters in (b"abcd", b"efgh", b"ijkl")]
     rows = sorted((anchor, rng.randint(0, 40), base[anchor][rng.randint(0, 3)][rng.randint(0, 9) :]) for anchor in range(3) for _ in range(60))
-    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([d]), pa.array([d]), pa.array([0], pa.int32()), pa.array([c], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], ["anchor", "doc_id", "uid", "start", "content", "uids", "counts"]) for a, d, c in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([d]), pa.array([d]), pa.array([0], pa.int32()), pa.nulls(1, pa.binary()), pa.array([c], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], ["anchor", "doc_id", "uid", "start", "more", "content", "uids", "counts"]) for a, d, c in rows]
 
     def lost(at_once):
         monkeypatch.setattr(suffix_dedup, "RUNS_AT_ONCE", at_once)
