@@ -60,3 +60,15 @@ def trend(metrics: DataFrame, method: Focus, depth: int = 120) -> DataFrame:
         return {"trend": F.when(F.count("metric").over(last(depth)) < 6, "flat").otherwise(_moved(now, before, method))}
 
     return rolling(metrics, "frame", max(depth, 3), told)
+
+
+def labelled(metrics: DataFrame, method: Focus) -> DataFrame:
+    """Add label, the current metric as text; exponents are written without plus and leading zeros."""
+    m = F.col("metric")
+    power = F.regexp_replace(F.regexp_replace(F.format_string("%.3e", m), r"e\+0*(\d)", "e$1"), r"e-0*(\d)", "e-$1")
+    text = {
+        Focus.MEAN_SIGMA: F.format_string("Current mean sigma: %.2f nm", m),
+        Focus.FFT: F.concat(F.lit("Current FFT metric: "), power),
+        Focus.ASTIGMATISM: F.format_string("Current sigma_x/sigma_y ratio: %.3f", m),
+    }[method]
+    return metrics.withColumn("label", F.when(m.isNull(), "Current metric: n/a").otherwise(text))

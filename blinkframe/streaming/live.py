@@ -1,4 +1,4 @@
-"""Structured Streaming forms: frame images with a watermark, tracks and precision as keyed state, an append-only table."""
+"""Structured Streaming forms: frame images with a watermark, tracks, precision and focus as keyed state, an append-only table."""
 
 from __future__ import annotations
 
@@ -58,6 +58,32 @@ def evaluated(stream: DataFrame) -> DataFrame:
     return stream.groupBy("session").applyInPandasWithState(step, TOLD, STATE, "append", "NoTimeout")
 
 
+FOCUSED = "session string, frame long, metric double, history array<double>, missing boolean"
+
+
+def focused(stream: DataFrame, depth: int = 120) -> DataFrame:
+    """Focus history of a stream of (session, frame, kind, metric), a row for each frame.
+
+    ``kind`` is value, missing (no localizations came: the last metric and the history stay, and the row says so) or reset,
+    which clears the session. A value that is null leaves the history alone as well. State is the history and the last metric.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        history, last = state.get if state.exists else ([], None)
+        history, out = list(history), []
+        for frame, kind, metric in pd.concat(list(batches)).sort_values("frame", kind="stable")[["frame", "kind", "metric"]].itertuples(index=False):
+            if kind == "reset":
+                history, last = [], None
+            elif kind == "value" and not pd.isna(metric):
+                last = float(metric)
+                history = [*history, last][-depth:]
+            out.append((key[0], frame, last, list(history), kind == "missing"))
+        state.update((history, last))
+        yield pd.DataFrame(out, columns=["session", "frame", "metric", "history", "missing"]).astype({"metric": "float64"})
+
+    return stream.groupBy("session").applyInPandasWithState(step, FOCUSED, "history array<double>, last double", "append", "NoTimeout")
+
+
 def append_table(stream: DataFrame, path: str, checkpoint: str):
     """Write accumulated rows to Parquet as they come, each with the generation (batch) that brought it."""
 

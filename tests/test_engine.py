@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blinkframe.config import CandidateSettings, Finding, Fit, FittingSettings, Focus, FocusSettings, GlobalSettings, LocalizationSettings, PostprocSettings, ReconstructionSettings, ThresholdSettings
+from blinkframe.functions import ordered
 from blinkframe.operators import clusters, fitters, focus, images, localize, postproc
 from blinkframe.operators.rangejoin import within
 from blinkframe.plans import stages
@@ -332,6 +333,25 @@ def test_quality_and_trend(spark):
     assert len(focus.history(rows, 4).orderBy(F.desc("frame")).first().history) == 4
 
 
+def test_running_and_rolling_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK", 4)
+    at = [f * 3 - 20 for f in range(23) if f % 5]
+    rows = spark.createDataFrame([(f, float(f % 7)) for f in at], "frame long, metric double").repartition(3)
+    assert {r.frame: r.total for r in ordered.running(rows, "frame", total="metric").collect()} == {f: sum(g % 7 for g in at[: i + 1]) for i, f in enumerate(at)}
+    for depth in (1, 3, 4, 6, 40):
+        found = {r.frame: r.history for r in focus.history(rows, depth).collect()}
+        assert found == {f: [float(g % 7) for g in at[max(i + 1 - depth, 0) : i + 1]] for i, f in enumerate(at)}
+    assert focus.history(rows.filter("frame > 999"), 3).count() == 0
+
+
+def test_focus_labels(spark):
+    rows = spark.createDataFrame([(0, 123.456), (1, 0.00123456), (2, None)], "frame long, metric double")
+    text = lambda method: [r.label for r in focus.labelled(rows, method).orderBy("frame").collect()]
+    assert text(Focus.MEAN_SIGMA) == ["Current mean sigma: 123.46 nm", "Current mean sigma: 0.00 nm", "Current metric: n/a"]
+    assert text(Focus.FFT)[:2] == ["Current FFT metric: 1.235e2", "Current FFT metric: 1.235e-3"]
+    assert text(Focus.ASTIGMATISM)[0] == "Current sigma_x/sigma_y ratio: 123.456"
+
+
 def test_focus_drops_fits_without_width(spark):
     rows = spark.createDataFrame([(0, 2.0, 2.0), (0, 0.0, 0.0)], "frame long, sigma_x double, sigma_y double")
     assert focus.mean_sigma(rows).first().metric == 130.0 and focus.astigmatism(rows).first().metric == 1.0

@@ -34,6 +34,17 @@ def test_tracks_and_precision_over_batches(spark, tmp_path):
     assert abs(got[-1].sigma_px - batch.sigma_px) < 1e-9 and got[-1].n_distances == batch.n
 
 
+def test_focus_history_over_batches(spark, tmp_path):
+    told = [("value", 5.0), ("value", 4.0), ("missing", None), ("value", 3.0), ("reset", None), ("missing", None), ("value", 9.0)]
+    kind = "session string, frame long, kind string, metric double"
+    for frame, (what, metric) in enumerate(told):
+        spark.createDataFrame([("s", frame, what, metric)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+    got = drain(spark, "focus_out", live.focused(stream, 2), "append").orderBy("frame").collect()
+    assert [r.history for r in got] == [[5.0], [5.0, 4.0], [5.0, 4.0], [4.0, 3.0], [], [], [9.0]]
+    assert [r.metric for r in got] == [5.0, 4.0, 4.0, 3.0, None, None, 9.0] and [r.missing for r in got] == [w == "missing" for w, _ in told]
+
+
 def test_append_only_table(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
