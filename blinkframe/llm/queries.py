@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from blinkframe.llm import byte_bpe, chat_format, exact_dedup, html_render, near_dedup, packing, quality_rules, suffix_dedup, toxicity, url_filter
+from blinkframe.llm import byte_bpe, chat_format, exact_dedup, fill_in_middle, html_render, near_dedup, packing, phrases, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 from blinkframe.llm.frames import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -70,6 +72,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rearrange every document, and read it back."""
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return token_counts.count_tokens(docs, BYTE_TOKENIZER).drop("text")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of every language that occur together most."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -81,6 +99,9 @@ QUERIES = {
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_counts": op12_token_counts,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL = {
@@ -111,4 +132,6 @@ ORACLE_SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_fill_in_middle": fill_in_middle.duckdb_sql(),
+    "op13_phrase_collocations": phrases.duckdb_sql(),
 }
