@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,10 @@ LEAST = 100
 KEPT_WITHIN = 100
 TOP = 2000
 #: Hash buckets of words and of pairs; both fixed, whatever the corpus.
-WORD_BITS, PAIR_BITS = 20, 22
+WORD_BITS, PAIR_BITS = 20, 24
 PART = 1 << 12
+#: Distinct fragments that a task gathers before it gives them out.
+HELD = 500_000
 SLICE_BYTES = 4 << 20
 #: Occurrences of a pivot that one group holds at most, about; a word with more has its fragments dealt over several.
 PER_GROUP = 200_000
@@ -96,19 +98,22 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
                 yield lang, _ITEMS.findall(b"\n".join(some) + b"\n")
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: words by language, and its hash buckets as blocks (no language, a block's number, its counts)."""
+def _counts(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
+    """Counts of a task: words by language, and its hash buckets as blocks (no language, a block's number, its counts).
+
+    A pair's bucket counts up to ``least``: sums of such counts reach it exactly if the sums of all do.
+    """
     names = ["lang", "word", "n", "block", "counts"]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
     found: dict[str, Counter] = defaultdict(Counter)
     known: dict[str, Words] = defaultdict(Words)
-    buckets = np.zeros((1 << WORD_BITS) + (1 << PAIR_BITS), np.int64)
+    words, pairs = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, _narrow(least))
 
     def told() -> Iterator[pa.RecordBatch]:
-        for lang, words in found.items():
-            if words:
-                values = [pa.array([lang] * len(words), kinds[0]), pa.array([w.decode() for w in words], kinds[1]), pa.array(list(words.values()), kinds[2])]
-                yield pa.RecordBatch.from_arrays([*values, pa.nulls(len(words), kinds[3]), pa.nulls(len(words), kinds[4])], names)
+        for lang, some in found.items():
+            if some:
+                values = [pa.array([lang] * len(some), kinds[0]), pa.array([w.decode() for w in some], kinds[1]), pa.array(list(some.values()), kinds[2])]
+                yield pa.RecordBatch.from_arrays([*values, pa.nulls(len(some), kinds[3]), pa.nulls(len(some), kinds[4])], names)
         found.clear()
         known.clear()
 
@@ -120,18 +125,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(amounts[1:]) + 1
         listed = list(own.number)
         found[lang].update({listed[i]: n for i, n in zip(at.tolist(), amounts[at].tolist(), strict=True)})
-        np.add.at(buckets, _bucket(hashes[at], WORD_BITS), amounts[at])
+        np.add.at(words, _bucket(hashes[at], WORD_BITS), amounts[at])
         both = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
-        pairs = _bucket(_pairs(hashes[numbers[both]], hashes[numbers[both + 1]]), PAIR_BITS)
-        buckets[1 << WORD_BITS :] += np.bincount(pairs, minlength=1 << PAIR_BITS)
+        places, times = np.unique(_bucket(_pairs(hashes[numbers[both]], hashes[numbers[both + 1]]), PAIR_BITS), return_counts=True)
+        pairs[places] = np.minimum(pairs[places] + times, least)
         if sum(map(len, found.values())) > MOST_WORDS:
             yield from told()
     yield from told()
-    blocks = buckets.reshape(-1, PART)
-    at = np.flatnonzero(blocks.any(1))
-    for some in np.array_split(at, max(1, len(at) // 64)):
-        if len(some):
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:3]), pa.array(some, kinds[3]), pa.array([blocks[i].tobytes() for i in some], kinds[4])], names)
+    for first, table in ((0, words), (len(words) // PART, pairs)):
+        blocks = table.reshape(-1, PART)
+        at = np.flatnonzero(blocks.any(1))
+        for some in (at[i : i + 64] for i in range(0, len(at), 64)):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:3]), pa.array(first + some, kinds[3]), pa.array([blocks[i].tobytes() for i in some], kinds[4])], names)
+
+
+def _narrow(least: int) -> type:
+    """Type of a pair's count, which is ``least`` at most."""
+    return np.uint8 if least < 1 << 8 else np.uint16 if least < 1 << 16 else np.int64
 
 
 def hash_of(lang: str) -> int:
@@ -139,13 +149,17 @@ def hash_of(lang: str) -> int:
     return int(_hashed(pa.array([lang.encode() + b"\0"], pa.binary()))[0] >> np.uint64(1))
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block; blocks come sorted."""
+def _summed(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
+    """One row for each block: counts of words, bits of the pairs that are frequent; blocks come sorted."""
     now, total = None, np.zeros(0)
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+
+    def row() -> pa.RecordBatch:
+        told = total if now < (1 << WORD_BITS) // PART else np.packbits(total >= least, bitorder="little")
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([told.tobytes()], pa.binary())], ["block", "counts"])
+
     for batch in batches:
         for block, counts in zip(batch["block"].to_pylist(), batch["counts"], strict=True):
-            own = np.frombuffer(counts.as_buffer(), np.int64)
+            own = np.frombuffer(counts.as_buffer(), np.int64 if block < (1 << WORD_BITS) // PART else _narrow(least)).astype(np.int64)
             if block == now:
                 total = total + own
             else:
@@ -159,32 +173,30 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Table:
     """The hash table: occurrences by word bucket, and which pair buckets reach the least frequency."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], least: int) -> None:
-        self.words = np.zeros(1 << WORD_BITS, np.int64)
-        pairs = np.zeros(1 << PAIR_BITS, bool)
+    def __init__(self, rows: Iterable[tuple[int, bytes]], least: int) -> None:
+        self.words, self.least = np.zeros(1 << WORD_BITS, np.int64), least
+        self.pairs = np.zeros((1 << PAIR_BITS) // 8, np.uint8)
         for block, counts in rows:
-            own, at = np.frombuffer(counts, np.int64), block * PART
-            if at < len(self.words):
-                self.words[at : at + PART] = own
+            at = block - len(self.words) // PART
+            if at < 0:
+                self.words[block * PART : (block + 1) * PART] = np.frombuffer(counts, np.int64)
             else:
-                pairs[at - len(self.words) : at - len(self.words) + PART] = own >= least
-        self.pairs = np.packbits(pairs, bitorder="little")
-        self.least = least
+                self.pairs[at * PART // 8 : (at + 1) * PART // 8] = np.frombuffer(counts, np.uint8)
 
     def frequent_pairs(self, buckets: np.ndarray) -> np.ndarray:
         return (self.pairs[buckets >> 3] >> (buckets & 7).astype(np.uint8)) & 1 == 1
 
 
-def _cut(numbers: np.ndarray, hashes: np.ndarray, table: Table, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct fragments of a run of items: words (0 where there is none), with the pivot in the middle column, how often, and the pivots' weights."""
-    weight = table.words[_bucket(hashes, WORD_BITS)]
-    weight[0] = 0
-    order = np.empty(len(hashes), np.int64)  # by weight, then by hash; 0 for what can't be frequent
-    order[np.lexsort((hashes, weight))] = np.arange(1, len(hashes) + 1)
+def _cut(numbers: np.ndarray, hashes: np.ndarray, weight: np.ndarray, table: Table, longest: int) -> np.ndarray:
+    """Fragments of a run of items as rows of words, 0 where there is none, the pivot in the middle column.
+
+    Words rank by weight, then by hash, 0 for what can't be frequent. Equal hashes rank alike, so that tasks that know other
+    words agree.
+    """
     same = np.lexsort((hashes, weight))
     tied = np.append(False, (weight[same][1:] == weight[same][:-1]) & (hashes[same][1:] == hashes[same][:-1]))
-    if tied.any():  # equal hashes rank alike, so that tasks that know other words agree
-        order[same] = np.maximum.accumulate(np.where(tied, 0, np.arange(1, len(hashes) + 1)))
+    order = np.empty(len(hashes), np.int64)
+    order[same] = np.maximum.accumulate(np.where(tied, 0, np.arange(1, len(hashes) + 1)))
     order[weight < table.least] = 0
     reach = longest - 1
     inner = np.concatenate([np.zeros(reach, np.int64), numbers, np.zeros(reach, np.int64)])
@@ -193,46 +205,64 @@ def _cut(numbers: np.ndarray, hashes: np.ndarray, table: Table, longest: int) ->
     link = (rank[:-1] > 0) & (rank[1:] > 0)
     at = np.flatnonzero(link)
     link[at] = table.frequent_pairs(_bucket(_pairs(hashes[inner[at]], hashes[inner[at + 1]]), PAIR_BITS))
-    here = np.flatnonzero(link[:-1] | link[1:]) + 1 if len(link) else at
-    here = here[rank[here] > 0]
-    rows = np.zeros((len(here), 2 * reach + 1), np.int64)
+    here = np.flatnonzero(link[:-1] | link[1:]) + 1
+    rows = np.zeros((len(here), 2 * reach + 1), np.int32)
     rows[:, reach] = inner[here]
-    for step, first in ((-1, -1), (1, 0)):
+    for step in (-1, 1):
         some = np.arange(len(here))
         for far in range(1, longest):
-            place = here[some] + step * far
-            own = rank[here[some]]
-            fits = link[place if step < 0 else place - 1] & (rank[place] > own if first < 0 else rank[place] >= own)
-            some = some[fits]
+            place, own = here[some] + step * far, rank[here[some]]
+            some = some[link[place - (step > 0)] & (rank[place] > own if step < 0 else rank[place] >= own)]
             rows[some, reach + step * far] = inner[here[some] + step * far]
-    rows = rows[(rows[:, reach - 1] > 0) | (rows[:, reach + 1] > 0)]
-    if not len(rows):
-        return rows, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows = np.ascontiguousarray(rows.astype(np.int32))
-    _, first, times = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_index=True, return_counts=True)
-    return rows[first], times, weight[rows[first, reach]]
+    return rows[(rows[:, reach - 1] > 0) | (rows[:, reach + 1] > 0)]
+
+
+def _distinct(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows once each, and the sums of their times."""
+    rows = np.ascontiguousarray(rows)
+    _, first, group = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return rows[first], np.bincount(group, times, len(first)).astype(np.int64)
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], table: Table, longest: int) -> Iterator[pa.RecordBatch]:
-    """(lang, pivot, salt, fragment, at, n): distinct fragments of a slice with the pivot's place in them."""
+    """(lang, pivot, salt, fragment, at, n): distinct fragments with the pivot's place in them, as many as a task gathers."""
     known: dict[str, Words] = defaultdict(Words)
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    reach = longest - 1
+
+    def told(lang: str) -> Iterator[pa.RecordBatch]:
+        rows, times = held.pop(lang)
+        own = known[lang]
+        weights = table.words[_bucket(own.hashes[rows[:, reach]] + np.uint64(hash_of(lang)), WORD_BITS)]
+        groups = weights // PER_GROUP + 1
+        mixed = _mixed((own.hashes[rows] * np.arange(1, rows.shape[1] + 1, dtype=np.uint64)).sum(1)) % groups.astype(np.uint64)
+        salt = np.where(groups > 1, mixed.astype(np.int64) + 1, 0)
+        words = pa.array(list(own.number), pa.binary()).cast(pa.string())
+        bounds = np.append(0, np.cumsum((rows > 0).sum(1)))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.take(pa.array(rows[rows > 0]))), " ")
+        columns = [pa.array([lang] * len(rows), pa.string()), words.take(pa.array(rows[:, reach])), pa.array(salt), texts, pa.array((rows[:, :reach] > 0).sum(1)), pa.array(times)]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "pivot", "salt", "fragment", "at", "n"])
+
     for lang, items in _sliced(batches):
         own = known[lang]
         numbers = own.numbers(items)
-        rows, times, weights = _cut(numbers, own.hashes + np.uint64(hash_of(lang)), table, longest)
+        hashes = own.hashes + np.uint64(hash_of(lang))
+        weight = table.words[_bucket(hashes, WORD_BITS)]
+        weight[0] = 0
+        rows = _cut(numbers, hashes, weight, table, longest)
         if len(rows):
-            words = pa.array(list(own.number), pa.binary()).cast(pa.string())
-            reach = longest - 1
-            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((rows > 0).sum(1))), pa.int32()), words.take(pa.array(rows[rows > 0]))), " ")
-            groups = np.maximum(1, weights // PER_GROUP + 1)
-            salt = (_mixed((rows.astype(np.uint64) * np.arange(1, rows.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(1)) % groups.astype(np.uint64)).astype(np.int64)
-            salt = np.where(groups > 1, salt + 1, 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(rows), pa.string()), words.take(pa.array(rows[:, reach])), pa.array(salt, pa.int64()), texts, pa.array((rows[:, :reach] > 0).sum(1), pa.int64()), pa.array(times, pa.int64())],
-                ["lang", "pivot", "salt", "fragment", "at", "n"],
-            )
+            rows, times = _distinct(rows, np.ones(len(rows)))
+            if lang in held:
+                rows, times = _distinct(np.concatenate([held[lang][0], rows]), np.concatenate([held[lang][1], times]))
+            held[lang] = rows, times
+            if len(rows) > HELD:
+                yield from told(lang)
         if len(own.number) > MOST_WORDS:
+            if lang in held:
+                yield from told(lang)
             del known[lang]
+    for lang in list(held):
+        yield from told(lang)
 
 
 def _mined(batches: Iterator[pa.RecordBatch], least: int, longest: int) -> Iterator[pa.RecordBatch]:
@@ -265,12 +295,12 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) ->
     count as often as they stand there.
     """
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    counted = checkpoint(own.mapInArrow(_counts, "lang string, word string, n long, block int, counts binary"))
+    counted = checkpoint(own.mapInArrow(lambda b: _counts(b, least), "lang string, word string, n long, block int, counts binary"))
     words = counted.filter("block is null").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     blocks = counted.filter("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block")
-    # A fixed number of blocks, whatever the corpus: 20 bits of words and 22 of pairs make 40 MB.
-    table = Table([(r.block, bytes(r.counts)) for r in blocks.mapInArrow(_summed, "block int, counts binary").toLocalIterator()], least)
-    told = docs.sparkSession.sparkContext.broadcast(table)
+    summed = blocks.mapInArrow(lambda b: _summed(b, least), "block int, counts binary")
+    # A fixed number of blocks, whatever the corpus: counts of 2 ** 20 buckets of words and bits of 2 ** 24 of pairs make 10 MB.
+    told = docs.sparkSession.sparkContext.broadcast(Table(((r.block, bytes(r.counts)) for r in summed.toLocalIterator()), least))
     fragments = own.mapInArrow(lambda b: _fragments(b, told.value, longest), "lang string, pivot string, salt long, fragment string, at long, n long")
     dealt = fragments.repartition("lang", "pivot", "salt").sortWithinPartitions("lang", "pivot", "salt")
     mined = dealt.mapInArrow(lambda b: _mined(b, least, longest), "lang string, phrase string, n long")

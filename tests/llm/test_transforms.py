@@ -183,9 +183,9 @@ def test_hot_pivots_are_dealt_out(monkeypatch):
     rng = random.Random(8)
     texts = texts_of_few_words(rng, 120)
     batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array(["en"] * len(some), pa.string()), pa.array(some, pa.string())], ["lang", "text"]) for some in (texts[:50], texts[50:])])
-    counted = [b for b in phrases._counts(batches()) if b["block"].null_count == 0]
+    counted = [b for b in phrases._counts(batches(), 1) if b["block"].null_count == 0]
     sorted_blocks = pa.Table.from_batches(counted).select(["block", "counts"]).sort_by("block").to_batches()
-    told = [r for b in phrases._summed(iter(sorted_blocks)) for r in zip(b["block"].to_pylist(), b["counts"].to_pylist(), strict=True)]
+    told = [r for b in phrases._summed(iter(sorted_blocks), 1) for r in zip(b["block"].to_pylist(), b["counts"].to_pylist(), strict=True)]
     made = pa.Table.from_batches(list(phrases._fragments(batches(), phrases.Table(told, 1), 5))).sort_by([("lang", "ascending"), ("pivot", "ascending"), ("salt", "ascending")])
     assert len(set(made["salt"].to_pylist())) > 5
     sums = Counter()
