@@ -64,21 +64,30 @@ def dbscan(events: DataFrame, eps: float, min_events: int) -> DataFrame:
 
 
 def measured(members: DataFrame) -> DataFrame:
-    """Measures of each cluster: counts, centroid, box, covariance eigenvalues and isotropy."""
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    """Measures of each cluster: counts, centroid, box, covariance eigenvalues and isotropy.
+
+    Pixels are whole numbers, so sums of them and of their products are exact in any order: n squared times a covariance is
+    a whole number, and equal clusters have equal measures however their rows were dealt.
+    """
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
     out = members.groupBy("frame", "cluster_id").agg(
         F.count("*").alias("n_events"), F.count_if("polarity").alias("n_positive"),
-        F.avg(x).alias("centroid_x"), F.avg(y).alias("centroid_y"),
         F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
-        F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("vxy"),
+        F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
     )
     n = F.col("n_events")
-    root = F.sqrt(F.pow((F.col("vx") - F.col("vy")) / 2, 2) + F.pow("vxy", 2))
-    out = out.withColumns({"n_negative": n - F.col("n_positive"), "lambda_1": (F.col("vx") + F.col("vy")) / 2 + root, "lambda_2": (F.col("vx") + F.col("vy")) / 2 - root})
-    return out.withColumns({
-        "polarity_balance": (F.col("n_positive") - F.col("n_negative")) / n,
-        "isotropy": F.when(F.col("lambda_1") <= 1e-9, 1.0).otherwise(F.greatest(F.col("lambda_2"), F.lit(0.0)) / F.col("lambda_1")),
-    }).drop("vx", "vy", "vxy")
+    spread = lambda a, b, ab: (n * F.col(ab) - F.col(a) * F.col(b)).cast("double")
+    out = out.withColumns({"vx": spread("sx", "sx", "sxx"), "vy": spread("sy", "sy", "syy"), "vxy": spread("sx", "sy", "sxy")})
+    across = F.col("vx") - F.col("vy")
+    out = out.withColumn("root", F.sqrt(across * across + 4 * F.col("vxy") * F.col("vxy")))
+    twice = 2 * (n * n).cast("double")
+    large, small = F.col("vx") + F.col("vy") + F.col("root"), F.col("vx") + F.col("vy") - F.col("root")
+    return out.select(
+        "frame", "cluster_id", "n_events", "n_positive", (F.col("sx") / n).alias("centroid_x"), (F.col("sy") / n).alias("centroid_y"), "x_min", "x_max", "y_min", "y_max",
+        (n - F.col("n_positive")).alias("n_negative"), (large / twice).alias("lambda_1"), (small / twice).alias("lambda_2"),
+        ((2 * F.col("n_positive") - n) / n).alias("polarity_balance"),
+        F.when(large / twice <= 1e-9, 1.0).otherwise(F.greatest(small, F.lit(0.0)) / large).alias("isotropy"),
+    )
 
 
 def histogram(members: DataFrame) -> DataFrame:

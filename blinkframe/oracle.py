@@ -81,15 +81,20 @@ def dbscan(eps: float, least: int) -> str:
     mem AS (SELECT e.*, m.root AS cluster_id FROM ev e JOIN px USING (frame, x, y) JOIN marked m ON m.s = px.s)"""
 
 
+#: Sums of whole numbers are exact in any order; ``vx`` to ``vxy`` are covariances times n squared.
 MEASURES = """
     cl0 AS (
-      SELECT frame, cluster_id, count(*) AS n_events, count(*) FILTER (polarity) AS n_positive, avg(x) AS centroid_x, avg(y) AS centroid_y,
-             min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS vxy
+      SELECT frame, cluster_id, count(*) AS n_events, count(*) FILTER (polarity) AS n_positive, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max,
+             sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * x)::BIGINT AS sxx, sum(y * y)::BIGINT AS syy, sum(x * y)::BIGINT AS sxy
       FROM mem GROUP BY ALL
     ), cl1 AS (
-      SELECT *, n_events - n_positive AS n_negative, (2 * n_positive - n_events) / n_events AS polarity_balance,
-             (vx + vy) / 2 + sqrt(((vx - vy) / 2) ** 2 + vxy ** 2) AS lambda_1, (vx + vy) / 2 - sqrt(((vx - vy) / 2) ** 2 + vxy ** 2) AS lambda_2 FROM cl0
-    ), cl AS (SELECT *, CASE WHEN lambda_1 <= 1e-9 THEN 1.0 ELSE greatest(lambda_2, 0.0) / lambda_1 END AS isotropy FROM cl1)"""
+      SELECT *, n_events - n_positive AS n_negative, (2 * n_positive - n_events) / n_events AS polarity_balance, sx / n_events AS centroid_x, sy / n_events AS centroid_y,
+             (n_events * sxx - sx * sx)::DOUBLE AS vx, (n_events * syy - sy * sy)::DOUBLE AS vy, (n_events * sxy - sx * sy)::DOUBLE AS vxy FROM cl0
+    ), cl2 AS (SELECT *, sqrt((vx - vy) * (vx - vy) + 4 * vxy * vxy) AS root, 2 * (n_events * n_events)::DOUBLE AS twice FROM cl1
+    ), cl AS (
+      SELECT *, (vx + vy + root) / twice AS lambda_1, (vx + vy - root) / twice AS lambda_2,
+             CASE WHEN (vx + vy + root) / twice <= 1e-9 THEN 1.0 ELSE greatest(vx + vy - root, 0.0) / (vx + vy + root) END AS isotropy FROM cl2
+    )"""
 
 HIST = "hist AS (SELECT frame, cluster_id, x, y, count(*) FILTER (polarity) AS n_pos, count(*) FILTER (NOT polarity) AS n_neg, count(*) AS n FROM mem GROUP BY ALL)"
 
