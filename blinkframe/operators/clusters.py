@@ -10,27 +10,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blinkframe.config import CandidateSettings, Finding
+from blinkframe.functions.components import components
 from blinkframe.operators.images import analysis_image, spots
 from blinkframe.operators.rangejoin import within
 from blinkframe.sources.events import FRAME_US, HEIGHT, WIDTH, with_polarity
+from blinkframe.sources.shared import checkpoint
 
 
-def _labels(x: np.ndarray, y: np.ndarray, count: np.ndarray, first: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Root of each pixel's cluster, -1 for noise: the least event number among the cluster's core pixels."""
+#: Pixels a side of the tiles that frames of larger sensors are cut into.
+TILE = 512
+
+
+def _near(x: np.ndarray, y: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of pixels within ``eps`` of each other, each with itself too."""
     reach = math.floor(eps)
-    key = y.astype(np.int64) << 32 | x
+    key = y.astype(np.int64) << 32 | (x + (1 << 30))
     order = np.argsort(key)
     sorted_key = key[order]
     pairs = []
     for dy in range(-reach, reach + 1):
         for dx in range(-reach, reach + 1):
             if dx * dx + dy * dy <= eps * eps:
-                want = ((y + dy).astype(np.int64) << 32) + (x + dx)
+                want = ((y + dy).astype(np.int64) << 32) | (x + dx + (1 << 30))
                 at = np.minimum(np.searchsorted(sorted_key, want), len(key) - 1)
                 hit = np.flatnonzero(sorted_key[at] == want)
                 pairs.append(np.stack([hit, order[at[hit]]]))
     a, b = np.concatenate(pairs, 1)
-    core = np.bincount(a, count[b], len(x)) >= least
+    return a, b
+
+
+def _roots(first: np.ndarray, core: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least event number among the core pixels that hang together with each core pixel; the largest number for others."""
     far = np.iinfo(np.int64).max
     root = np.where(core, first, far)
     linked = core[a] & core[b]
@@ -39,28 +49,65 @@ def _labels(x: np.ndarray, y: np.ndarray, count: np.ndarray, first: np.ndarray,
         new = root.copy()
         np.minimum.at(new, u, root[v])
         if (new == root).all():
-            break
+            return root
         root = new
-    border = ~core[a] & core[b]
-    np.minimum.at(root, a[border], root[b[border]])
-    return np.where(root == far, -1, root)
 
 
-def dbscan(events: DataFrame, eps: float, min_events: int) -> DataFrame:
+def dbscan(events: DataFrame, eps: float, min_events: int, tile: int | None = None) -> DataFrame:
     """Events of clusters with their ``cluster_id``, the least event_seq of the cluster's core; noise is dropped.
 
     Events of a pixel share their fate, so a frame's task holds its pixels, not its events. A pixel is core if at least
-    ``min_events`` events lie within ``eps``; a border pixel goes to the cluster with the least root.
+    ``min_events`` events lie within ``eps``; a border pixel goes to the cluster with the least root. With ``tile`` a frame
+    is cut into squares of so many pixels a side, each a task's group of its own; clusters are the same for any size.
     """
     eps, min_events = max(eps, 1.0), max(min_events, 1)
     pixels = events.groupBy("frame", "x", "y").agg(F.count("*").alias("n"), F.min("event_seq").alias("first"))
+    labels = _whole(pixels, eps, min_events) if tile is None else _tiled(pixels, eps, min_events, tile)
+    return events.join(labels, ["frame", "x", "y"])
+
+
+def _whole(pixels: DataFrame, eps: float, least: int) -> DataFrame:
+    """Labels of pixels (frame, x, y, cluster_id), a frame at a time."""
 
     def label(rows: pd.DataFrame) -> pd.DataFrame:
-        root = _labels(rows["x"].to_numpy(np.int64), rows["y"].to_numpy(np.int64), rows["n"].to_numpy(), rows["first"].to_numpy(np.int64), eps, min_events)
-        return rows[["frame", "x", "y"]].assign(cluster_id=root)[root >= 0]
+        a, b = _near(rows["x"].to_numpy(np.int64), rows["y"].to_numpy(np.int64), eps)
+        core = np.bincount(a, rows["n"].to_numpy()[b], len(rows)) >= least
+        root = _roots(rows["first"].to_numpy(np.int64), core, a, b)
+        border = ~core[a] & core[b]
+        np.minimum.at(root, a[border], root[b[border]])
+        return rows[["frame", "x", "y"]].assign(cluster_id=root)[root < np.iinfo(np.int64).max]
 
-    labels = pixels.groupBy("frame").applyInPandas(label, "frame long, x int, y int, cluster_id long")
-    return events.join(labels, ["frame", "x", "y"])
+    return pixels.groupBy("frame").applyInPandas(label, "frame long, x int, y int, cluster_id long")
+
+
+def _tiled(pixels: DataFrame, eps: float, least: int, tile: int) -> DataFrame:
+    """The same by tiles. A tile gets the pixels within twice ``eps`` around it, so that it knows the core pixels within ``eps``.
+
+    Clusters of a tile have a root of their own; a core pixel near an edge is known to several tiles and links its roots.
+    Components of these links, rows for pixels along the edges alone, give the roots of whole clusters.
+    """
+    reach = math.floor(eps)
+    wide = 2 * reach
+    spread = lambda c: F.expr(f"sequence(cast(floor(({c} - {wide}) / {tile}) as int), cast(floor(({c} + {wide}) / {tile}) as int))")
+    dealt = pixels.withColumn("tx", F.explode(spread("x"))).withColumn("ty", F.explode(spread("y")))
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, first = (rows[c].to_numpy(np.int64) for c in ("x", "y", "first"))
+        left, top = int(rows["tx"].iloc[0]) * tile, int(rows["ty"].iloc[0]) * tile
+        edge = np.minimum.reduce([x - left, left + tile - 1 - x, y - top, top + tile - 1 - y])  # below 0 outside of the tile
+        a, b = _near(x, y, eps)
+        core = (np.bincount(a, rows["n"].to_numpy()[b], len(rows)) >= least) & (edge >= -reach)
+        root = _roots(first, core, a, b)
+        border = ~core[a] & core[b] & (edge[a] >= 0)
+        at = np.append(np.flatnonzero(core), a[border])
+        made = pd.DataFrame({"frame": rows["frame"].iloc[0], "x": x[at], "y": y[at], "first": first[at], "core": core[at], "own": edge[at] >= 0, "edge": edge[at] < reach, "root": np.append(root[core], root[b[border]])})
+        return made.drop_duplicates()
+
+    schema = "frame long, x int, y int, first long, core boolean, own boolean, edge boolean, root long"
+    told = checkpoint(dealt.groupBy("frame", "tx", "ty").applyInPandas(label, schema))
+    links = told.filter("core and edge").select("frame", F.col("first").alias("u"), F.col("root").alias("v"))
+    joined = components(links, ["frame"]).select("frame", F.col("root").alias("whole"), F.col("id").alias("root"))
+    return told.filter("own").join(joined, ["frame", "root"], "left").groupBy("frame", "x", "y").agg(F.min(F.coalesce("whole", "root")).alias("cluster_id"))
 
 
 def measured(members: DataFrame) -> DataFrame:
@@ -127,10 +174,11 @@ def largest(members: DataFrame, most: int) -> DataFrame:
 def candidates(events: DataFrame, settings: CandidateSettings, frame_us: int = FRAME_US, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
     """Members of candidate clusters by the method that is set."""
     chosen = with_polarity(events, settings.polarity)
+    tile = TILE if max(width, height) > TILE else None
     if settings.finding_method is Finding.FRAME_BASED:
         members = around_spots(chosen, settings, frame_us, width, height)
     elif settings.finding_method is Finding.EIGENFEATURE:
-        members = compact(dbscan(chosen, settings.epsilon_px, max(settings.min_events - 2, 2)), settings.max_spatial_extent_px, settings.min_isotropy)
+        members = compact(dbscan(chosen, settings.epsilon_px, max(settings.min_events - 2, 2), tile), settings.max_spatial_extent_px, settings.min_isotropy)
     else:
-        members = dbscan(chosen, settings.epsilon_px, settings.min_events)
+        members = dbscan(chosen, settings.epsilon_px, settings.min_events, tile)
     return largest(members, settings.max_candidates)

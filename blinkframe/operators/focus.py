@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,9 @@ def astigmatism(rows: DataFrame, low_nm: float = 100.0, high_nm: float = 190.0,
     return kept.groupBy("frame").agg(F.avg(F.col("sigma_x") / F.col("sigma_y")).alias("metric"))
 
 
-def history(metrics: DataFrame, depth: int = 120) -> DataFrame:
-    """Metrics kept at each frame: the last ``depth``, oldest first."""
-    return rolling(metrics, "frame", depth, lambda last: {"history": F.collect_list("metric").over(last(depth))})
+def history(metrics: DataFrame, depth: int = 120, by: Sequence[str] = ()) -> DataFrame:
+    """Metrics kept at each frame: the last ``depth``, oldest first; columns of ``by``, such as an epoch, are apart."""
+    return rolling(metrics, "frame", depth, lambda last: {"history": F.collect_list("metric").over(last(depth))}, by)
 
 
 def _moved(now: Column, before: Column, method: Focus) -> Column:
@@ -36,7 +38,7 @@ def _moved(now: Column, before: Column, method: Focus) -> Column:
     return F.when(now - before < -by, "down").when(now - before > by, "up").otherwise("flat")
 
 
-def quality(metrics: DataFrame, method: Focus, depth: int = 120) -> DataFrame:
+def quality(metrics: DataFrame, method: Focus, depth: int = 120, by: Sequence[str] = ()) -> DataFrame:
     """Add quality: by deviation from 1, or by place within the span of the history once it has four values."""
     m = F.col("metric")
     if method is Focus.ASTIGMATISM:
@@ -49,17 +51,17 @@ def quality(metrics: DataFrame, method: Focus, depth: int = 120) -> DataFrame:
         graded = F.when(place >= 0.66, "Good").when(place >= 0.33, "Fair").otherwise("Poor")
         return {"quality": F.when(n < 4, "Collecting").otherwise(graded)}
 
-    return rolling(metrics, "frame", depth, told)
+    return rolling(metrics, "frame", depth, told, by)
 
 
-def trend(metrics: DataFrame, method: Focus, depth: int = 120) -> DataFrame:
+def trend(metrics: DataFrame, method: Focus, depth: int = 120, by: Sequence[str] = ()) -> DataFrame:
     """Add trend: the last three metrics against the rest of the history, flat below six."""
 
     def told(last) -> dict[str, Column]:
         now, before = F.avg("metric").over(last(3)), F.avg("metric").over(last(depth, 3))
         return {"trend": F.when(F.count("metric").over(last(depth)) < 6, "flat").otherwise(_moved(now, before, method))}
 
-    return rolling(metrics, "frame", max(depth, 3), told)
+    return rolling(metrics, "frame", max(depth, 3), told, by)
 
 
 def labelled(metrics: DataFrame, method: Focus) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,21 +45,22 @@ def timed(rows: DataFrame, events: DataFrame | None, radius: float, frame_us: in
 def standard(rows: DataFrame) -> DataFrame:
     """Cluster fits as standard localizations: no amplitude, no background, the residual as error."""
     zero = F.lit(0.0)
-    return rows.select("frame", "cluster_id", "x", "y", "sigma_x", "sigma_y", zero.alias("amplitude"), zero.alias("background"), "timestamp_us", F.col("residual").alias("fit_error"))
+    kept = [c for c in ("session", "epoch") if c in rows.columns]
+    return rows.select(*kept, "frame", "cluster_id", "x", "y", "sigma_x", "sigma_y", zero.alias("amplitude"), zero.alias("background"), "timestamp_us", F.col("residual").alias("fit_error"))
 
 
-def accumulated(rows: DataFrame, order: list[str], nm: float = 65.0) -> DataFrame:
-    """Table in nanometres: id, frame, x_nm, y_nm, sigma_nm, intensity, offset, uncertainty_xy_nm, timestamp_us.
+def accumulated(rows: DataFrame, order: list[str], nm: float = 65.0, by: Sequence[str] = ()) -> DataFrame:
+    """Table in nanometres: columns of ``by``, id, frame, x_nm, y_nm, sigma_nm, intensity, offset, uncertainty_xy_nm, timestamp_us.
 
-    Ids run from 0 in ``order`` over the whole table without one task numbering it: each frame counts its rows, frames
+    Ids run from 0 in ``order`` over the whole table, or each group of ``by`` (an epoch, as a reset starts anew), without one task numbering it: each frame counts its rows, frames
     are offset by the running sum of those counts.
     """
-    counts = rows.groupBy("frame").agg(F.count("*").alias("n"))
-    before = running(counts, "frame", until="n").select("frame", (F.col("until") - F.col("n")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("frame").orderBy(*order))
-    out = rows.withColumn("nth", nth).join(before, "frame")
+    counts = rows.groupBy(*by, "frame").agg(F.count("*").alias("n"))
+    before = running(counts, "frame", by, until="n").select(*by, "frame", (F.col("until") - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(*by, "frame").orderBy(*order))
+    out = rows.withColumn("nth", nth).join(before, [*by, "frame"])
     return out.select(
-        (F.col("before") + F.col("nth") - 1).alias("id"), "frame", (F.col("x") * nm).alias("x_nm"), (F.col("y") * nm).alias("y_nm"),
+        *by, (F.col("before") + F.col("nth") - 1).alias("id"), "frame", (F.col("x") * nm).alias("x_nm"), (F.col("y") * nm).alias("y_nm"),
         ((F.col("sigma_x") + F.col("sigma_y")) / 2 * nm).alias("sigma_nm"), F.col("amplitude").alias("intensity"), F.col("background").alias("offset"),
         (uncertainty_px() * nm).alias("uncertainty_xy_nm"), "timestamp_us",
     )

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blinkframe.config import PostprocSettings
-from blinkframe.functions.numeric import at_most, fraction
-from blinkframe.functions.ordered import running
+from blinkframe.functions.numeric import at_most, finite, fraction
+from blinkframe.functions.ordered import rolling, running
 from blinkframe.sources.shared import checkpoint
 
 MAX_SHIFT = 8
@@ -70,6 +71,75 @@ def window_reference(points: DataFrame, frames: int) -> DataFrame:
     return points.withColumn("frame", F.explode(F.sequence(F.col("frame") + 1, F.col("frame") + frames)))
 
 
+def window_shifts(points: DataFrame, frames: int, most: int = MAX_SHIFT, by: Sequence[str] = ()) -> DataFrame:
+    """Shift of each frame against the ``frames`` frames before it: as :func:`shifts` with :func:`window_reference`, without its rows.
+
+    Points are counted by pixel first. Frames are dealt by blocks of the window's length and pixels by cells, so that a
+    pixel's count goes to two blocks as a reference and to nine cells as a moving one. A group slides through its block: the
+    reference grid of its cell gains the newest frame's counts and loses the oldest's, and every moving pixel adds the grid
+    around it to the scores of its frame. Scores of a frame's cells are then summed. Columns of ``by``, such as a segment,
+    are apart.
+    """
+    keys, cell, size = list(by), 2 * most + 3, 2 * most + 3
+    counts = rasterised(points, [*keys, "frame"]).withColumns({"cx": F.expr(f"floor(x / {cell})"), "cy": F.expr(f"floor(y / {cell})"), "block": F.expr(f"floor(frame / {frames})")})
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    fixed = counts.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1))).withColumn("moving", F.lit(False))
+    moving = counts.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy"), "moving": F.lit(True)}).drop("dx", "dy")
+
+    def scored(part: pd.DataFrame) -> pd.DataFrame:
+        own = part.sort_values("frame", kind="stable")
+        is_moving = own["moving"].to_numpy()
+        ref, mov = own[~is_moving], own[is_moving]
+        x0, y0 = int(own["cx"].iloc[0]) * cell, int(own["cy"].iloc[0]) * cell
+        at, fx, fy, fn = ref["frame"].to_numpy(), ref["x"].to_numpy() - x0, ref["y"].to_numpy() - y0, ref["n"].to_numpy()
+        grid = np.zeros((cell, cell), np.int64)
+        oldest = newest = 0
+        out = []
+        for frame, rows in mov.groupby("frame", sort=True):
+            until, since = np.searchsorted(at, frame), np.searchsorted(at, frame - frames)
+            np.add.at(grid, (fy[newest:until], fx[newest:until]), fn[newest:until])
+            np.subtract.at(grid, (fy[oldest:since], fx[oldest:since]), fn[oldest:since])
+            oldest, newest = since, until
+            if since == until:
+                continue
+            score = np.zeros((size, size), np.int64)
+            for x, y, n in rows[["x", "y", "n"]].itertuples(index=False):
+                # Moving pixel p meets reference pixel p + s, s from -(most + 1) to most + 1.
+                left, top = x - x0 - most - 1, y - y0 - most - 1
+                a, b, c, d = max(left, 0), min(left + size, cell), max(top, 0), min(top + size, cell)
+                if a < b and c < d:
+                    score[c - top : d - top, a - left : b - left] += n * grid[c:d, a:b]
+            if score.any():
+                out.append((*(part[k].iloc[0] for k in keys), frame, score.ravel().tolist()))
+        return pd.DataFrame(out, columns=[*keys, "frame", "score"])
+
+    def told(part: pd.DataFrame) -> pd.DataFrame:
+        score = np.sum([np.asarray(v) for v in part["score"] if v is not None], axis=0).reshape(size, size) if part["score"].notna().any() else np.zeros((size, size))
+        x, y, overlap = _refined(score, most) if part["known"].any() else (0.0, 0.0, 0)
+        return pd.DataFrame([(*(part[k].iloc[0] for k in keys), part["frame"].iloc[0], x, y, overlap)], columns=[*keys, "frame", "shift_x", "shift_y", "overlap"])
+
+    named = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in points.select(*keys).schema)
+    both = fixed.unionByName(moving)
+    scores = both.groupBy(*keys, "block", "cx", "cy").applyInPandas(scored, f"{named}frame long, score array<long>").withColumn("known", F.lit(False))
+    # A frame without a point in its window has no shift; one whose points meet none in reach has the first of all.
+    each = rolling(points.select(*keys, "frame").distinct(), "frame", 2, lambda last: {"previous": F.max("frame").over(last(2, 1))}, keys)
+    each = each.select(*keys, "frame", F.lit(None).cast("array<long>").alias("score"), F.coalesce(F.col("previous") >= F.col("frame") - frames, F.lit(False)).alias("known"))
+    return scores.unionByName(each).groupBy(*keys, "frame").applyInPandas(told, f"{named}frame long, shift_x double, shift_y double, overlap long")
+
+
+def _refined(score: np.ndarray, most: int) -> tuple[float, float, int]:
+    """First best whole shift of a square of scores, its rim left out, refined by parabolas; and its score."""
+    inner = score[1:-1, 1:-1]
+    y, x = np.unravel_index(int(inner.argmax()), inner.shape)
+
+    def vertex(a: float, b: float, c: float) -> float:
+        den = a - 2 * b + c
+        return 0.0 if abs(den) < 1e-9 else float(np.clip(0.5 * (a - c) / den, -0.5, 0.5))
+
+    v = score[y : y + 3, x : x + 3]
+    return float(x - most + vertex(v[1, 0], v[1, 1], v[1, 2])), float(y - most + vertex(v[0, 1], v[1, 1], v[2, 1])), int(inner[y, x])
+
+
 def moved(rows: DataFrame, found: DataFrame, physical: bool = False) -> DataFrame:
     """Apply shifts: subtracted, or added where ``physical`` (the shift points from the drifted frame to its reference)."""
     sign = 1 if physical else -1
@@ -77,29 +147,40 @@ def moved(rows: DataFrame, found: DataFrame, physical: bool = False) -> DataFram
     return out.withColumns({"x": F.col("x") + sign * F.coalesce("shift_x", F.lit(0.0)), "y": F.col("y") + sign * F.coalesce("shift_y", F.lit(0.0))}).drop("shift_x", "shift_y")
 
 
-def neighbour_distances(rows: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Distance of each localization to the nearest other of its frame; one alone has none.
+def neighbour_distances(rows: DataFrame, key: str = "cluster_id", by: Sequence[str] = ("frame",)) -> DataFrame:
+    """Distance of each localization to the nearest other of its frame (the columns of ``by``, in general); one alone has none.
 
-    Points are compared with those of nearby cells first; only what has no neighbour there meets its whole frame.
+    Search goes by growing rings: what has no neighbour within one cell's width meets cells four times as wide in the next
+    round. Points left over in a round are farther apart than the cells of the round before, so that only a bounded number of
+    them can meet any point: rows grow with the points, and rounds with the logarithm of the widest gap. Positions that
+    aren't finite have no distance and are nobody's neighbour.
     """
-    cell = 8.0
+    keys, cell = list(by), 8.0
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    own = rows.select("frame", key, "x", "y")
-    far = own.select("frame", F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
-    spread = far.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
-    spread = spread.withColumns({"cx": F.col("dx") + F.floor(F.col("ox") / cell), "cy": F.col("dy") + F.floor(F.col("oy") / cell)}).drop("dx", "dy")
-    close = own.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)}).join(spread, ["frame", "cx", "cy"]).filter(F.col(key) != F.col("other")).groupBy("frame", key).agg(F.min(d).alias("distance")).filter(F.col("distance") <= cell)
-    rest = own.join(close, ["frame", key], "left_anti").join(far, "frame").filter(F.col(key) != F.col("other")).groupBy("frame", key).agg(F.min(d).alias("distance"))
-    return close.unionByName(rest)
-
-
-def precision(distances: DataFrame, nm: float = 65.0) -> DataFrame:
-    """Rayleigh sigma of all distances up to and including each frame: frame, n, sigma_px, sigma_nm."""
-    frames = distances.groupBy("frame").agg(F.sum(F.col("distance") * F.col("distance")).alias("d2"), F.count("*").alias("k"))
-    out = running(frames, "frame", n="k", total="d2")
+    own = rows.filter(finite(F.col("x")) & finite(F.col("y"))).select(*keys, key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    company = own.groupBy(*keys).agg((F.min(key) != F.max(key)).alias("company")).filter("company").drop("company")
+    own = checkpoint(own.join(company, keys, "left_semi"))
+    far = own.select(*keys, F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
+    left, found = own, []
+    while True:
+        at = lambda c: F.floor(F.col(c) / cell)
+        wide = left.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"cx": at("x") + F.col("dx"), "cy": at("y") + F.col("dy")}).drop("dx", "dy")
+        met = wide.join(far.withColumns({"cx": at("ox"), "cy": at("oy")}), [*keys, "cx", "cy"]).filter(F.col(key) != F.col("other"))
+        close = checkpoint(met.groupBy(*keys, key).agg(F.min(d).alias("distance")).filter(F.col("distance") <= cell))
+        found.append(close)
+        left = checkpoint(left.join(close, [*keys, key], "left_anti"))
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, found)
+        cell *= 4
+
+
+def precision(distances: DataFrame, nm: float = 65.0, by: Sequence[str] = ()) -> DataFrame:
+    """Rayleigh sigma of all distances up to and including each frame: frame, n, sigma_px, sigma_nm; columns of ``by`` are apart."""
+    frames = distances.groupBy(*by, "frame").agg(F.sum(F.col("distance") * F.col("distance")).alias("d2"), F.count("*").alias("k"))
+    out = running(frames, "frame", by, n="k", total="d2")
     sigma = F.sqrt(F.col("total") / (2 * F.col("n")))
-    return out.select("frame", "n", sigma.alias("sigma_px"), (sigma * nm).alias("sigma_nm"))
+    return out.select(*by, "frame", "n", sigma.alias("sigma_px"), (sigma * nm).alias("sigma_nm"))
 
 
 def recent_distances(distances: DataFrame, key: str = "cluster_id", most: int = 32) -> DataFrame:
@@ -218,15 +299,7 @@ def best_shift(reference: np.ndarray, moving: np.ndarray) -> tuple[float, float]
         dx, dy = ref[:, 0] - x, ref[:, 1] - y
         near = (np.abs(dx) <= size) & (np.abs(dy) <= size)
         np.add.at(grid, ((dy[near] + size).astype(int), (dx[near] + size).astype(int)), n * rn[near])
-    inner = grid[1:-1, 1:-1]
-    y, x = np.unravel_index(int(inner.argmax()), inner.shape)
-
-    def vertex(a: float, b: float, c: float) -> float:
-        den = a - 2 * b + c
-        return 0.0 if abs(den) < 1e-9 else float(np.clip(0.5 * (a - c) / den, -0.5, 0.5))
-
-    v = grid[y : y + 3, x : x + 3]
-    return x - MAX_SHIFT + vertex(v[1, 0], v[1, 1], v[1, 2]), y - MAX_SHIFT + vertex(v[0, 1], v[1, 1], v[2, 1])
+    return _refined(grid, MAX_SHIFT)[:2]
 
 
 def drift_fold(rows: DataFrame, window: int = 50, session: str = "session", order: str = "cluster_id", physical: bool = False) -> DataFrame:

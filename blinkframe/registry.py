@@ -163,6 +163,11 @@ def _(spark, sf):
     return clusters.dbscan(events.scattered(spark, sf), SCATTERED["eps"], SCATTERED["least"]).select("frame", "event_seq", "cluster_id")
 
 
+@register("dbscan_tiles", O.query(O.EV, _SCAT, "SELECT frame, event_seq, cluster_id FROM mem", recursive=True))
+def _(spark, sf):
+    return clusters.dbscan(events.scattered(spark, sf), SCATTERED["eps"], SCATTERED["least"], tile=16).select("frame", "event_seq", "cluster_id")
+
+
 @register("cluster_summary", O.query(O.EV, _SCAT, O.MEASURES, "SELECT frame, cluster_id, n_events, n_positive, n_negative, round(centroid_x, 6) AS centroid_x, round(centroid_y, 6) AS centroid_y, x_min, x_max, y_min, y_max, round(polarity_balance, 6) AS polarity_balance, round(lambda_1, 6) + 0.0 AS lambda_1 FROM cl", recursive=True))
 def _(spark, sf):
     found = clusters.measured(clusters.dbscan(events.scattered(spark, sf), SCATTERED["eps"], SCATTERED["least"]))
@@ -295,14 +300,14 @@ def _(spark, sf):
 @register("drift_shift", O.query(*_LOC, O.drift(DRIFT_WINDOW), "SELECT frame, round(shift_x, 5) AS shift_x, round(shift_y, 5) AS shift_y, overlap FROM shifts", recursive=True))
 def _(spark, sf):
     points = localizations(spark, sf).select("frame", "x", "y")
-    return rounded(postproc.shifts(postproc.window_reference(points, DRIFT_WINDOW), points), 5)
+    return rounded(postproc.window_shifts(points, DRIFT_WINDOW), 5)
 
 
 @register("drift_apply", O.query(*_LOC, O.drift(DRIFT_WINDOW), "SELECT frame, cluster_id, round(x - shift_x, 4) AS x, round(y - shift_y, 4) AS y FROM loc JOIN shifts USING (frame)", recursive=True))
 def _(spark, sf):
     own = localizations(spark, sf)
     points = own.select("frame", "x", "y")
-    return rounded(postproc.moved(own, postproc.shifts(postproc.window_reference(points, DRIFT_WINDOW), points)).select("frame", "cluster_id", "x", "y"), 4)
+    return rounded(postproc.moved(own, postproc.window_shifts(points, DRIFT_WINDOW)).select("frame", "cluster_id", "x", "y"), 4)
 
 
 @register("drift_feedback", O.query(*_LOC, O.feedback(50), "SELECT 'all' AS session, loc.frame, cluster_id, round(x - shift_x, 4) AS x, round(y - shift_y, 4) AS y, round(shift_x, 4) AS shift_x, round(shift_y, 4) AS shift_y FROM loc JOIN fold ON fold.frame = loc.frame", recursive=True))
