@@ -177,6 +177,8 @@ def neighbour_distances(rows: DataFrame, key: str = "cluster_id", by: Sequence[s
 
 def precision(distances: DataFrame, nm: float = 65.0, by: Sequence[str] = ()) -> DataFrame:
     """Rayleigh sigma of all distances up to and including each frame: frame, n, sigma_px, sigma_nm; columns of ``by`` are apart."""
+    if "frame" in by:
+        raise ValueError("frames are in order, they aren't groups")
     frames = distances.groupBy(*by, "frame").agg(F.sum(F.col("distance") * F.col("distance")).alias("d2"), F.count("*").alias("k"))
     out = running(frames, "frame", by, n="k", total="d2")
     sigma = F.sqrt(F.col("total") / (2 * F.col("n")))

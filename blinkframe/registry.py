@@ -14,7 +14,7 @@ from blinkframe import oracle as O  # noqa: N812
 from blinkframe.config import CandidateSettings, Finding, Fit, FittingSettings, Focus, LocalizationSettings, Polarity, PostprocSettings
 from blinkframe.operators import clusters, fitters, focus, images, localize, postproc
 from blinkframe.operators.rangejoin import within
-from blinkframe.sources import events
+from blinkframe.sources import calendar, events
 from blinkframe.sources.shared import checkpoint
 
 SCATTERED = {"eps": 2.0, "least": 4}
@@ -348,6 +348,61 @@ def _(spark, sf):
     return postproc.on_time(QUERIES["tracks"](spark, sf))
 
 
+# Resets and missing payloads.
+
+
+def known_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Localizations of one session, and its calendar: payloads that are missing or empty, resets, a stage switched off and on."""
+    rows = localizations(spark, sf_dir).withColumn("session", F.lit("all")).filter("frame % 4 not in (1, 2)")
+    frames = events.frames(events.emitters(spark, sf_dir)).select(F.lit("all").alias("session"), "frame")
+    told = lambda when, nth, action: frames.filter(when).select("session", "frame", F.lit(nth).cast("long").alias("nth"), F.lit(action).alias("action"))
+    controls = told("frame % 5 = 3", 0, calendar.RESET).unionByName(told("frame % 9 = 6", 0, calendar.DISABLE)).unionByName(told("frame % 9 = 7", 1, calendar.ENABLE))
+    return rows, calendar.calendar(frames.filter("frame % 4 <> 2"), rows, controls)
+
+
+_CALENDAR = """
+    all_frames AS (SELECT unnest(range(min(frame), max(frame) + 1)) AS frame FROM ev),
+    told AS (SELECT frame FROM all_frames WHERE frame % 4 <> 2 OR frame % 5 = 3 OR frame % 9 IN (6, 7)),
+    kinds AS (
+      SELECT frame, CASE WHEN frame % 4 = 2 THEN 0 WHEN frame % 4 <> 1 AND frame IN (SELECT frame FROM loc) THEN 2 ELSE 1 END AS kind,
+             (frame % 5 = 3)::INT + (frame % 9 = 6)::INT AS resets, CASE frame % 9 WHEN 6 THEN true WHEN 7 THEN false END AS off
+      FROM all_frames WHERE frame BETWEEN (SELECT min(frame) FROM told) AND (SELECT max(frame) FROM told)
+    ), epochs AS (SELECT *, sum(resets) OVER (ORDER BY frame) AS epoch, coalesce(last_value(off IGNORE NULLS) OVER (ORDER BY frame), false) AS is_off FROM kinds),
+    cal AS (
+      SELECT frame, CASE WHEN is_off THEN 'off' WHEN kind = 2 THEN 'filled' WHEN kind = 1 THEN 'empty' ELSE 'missing' END AS presence, epoch::BIGINT AS epoch,
+             CASE WHEN kind > 0 AND NOT is_off THEN count(*) FILTER (kind > 0 AND NOT is_off) OVER (PARTITION BY epoch ORDER BY frame) ELSE 0 END AS step FROM epochs
+    ), stepped AS (SELECT loc.*, epoch, step FROM loc JOIN cal USING (frame) WHERE step > 0 AND loc.frame % 4 NOT IN (1, 2))"""
+
+
+@register("reset_epochs", O.query(*_LOC, _CALENDAR, "SELECT 'all' AS session, frame, presence, epoch, step FROM cal", recursive=True))
+def _(spark, sf):
+    return known_frames(spark, sf)[1].withColumn("step", F.coalesce("step", F.lit(0)))
+
+
+@register("epoch_table", O.query(*_LOC, _CALENDAR, "SELECT epoch, frame, cluster_id, row_number() OVER (PARTITION BY epoch ORDER BY frame, cluster_id) - 1 AS id, round(x * 65.0, 2) AS x_nm FROM stepped", recursive=True))
+def _(spark, sf):
+    rows, known = known_frames(spark, sf)
+    table = localize.accumulated(localize.standard(calendar.stepped(rows, known)).withColumn("timestamp_us", F.col("cluster_id")), ["cluster_id"], by=["session", "epoch"])
+    return table.select("epoch", "frame", F.col("timestamp_us").alias("cluster_id"), "id", F.round("x_nm", 2).alias("x_nm"))
+
+
+@register("epoch_tracks", O.query(*_LOC, _CALENDAR, O.TRACKS.replace("SELECT row_number() OVER (ORDER BY frame, cluster_id) AS i, frame, x, y FROM loc", "SELECT row_number() OVER (ORDER BY epoch, step, cluster_id) AS i, epoch * 1000000000 + step AS frame, x, y FROM stepped"), "SELECT length, count(*) AS n FROM tracks GROUP BY length", recursive=True))
+def _(spark, sf):
+    rows, known = known_frames(spark, sf)
+    lengths = postproc.track_lengths(calendar.in_steps(calendar.stepped(rows, known)))
+    return lengths.groupBy("length").agg(F.count("*").alias("n"))
+
+
+@register("epoch_precision", O.query(*_LOC, O.NEIGHBOURS, _CALENDAR, """
+    s AS (SELECT epoch, step, sum(distance ** 2) AS d2, count(*) AS k FROM nn JOIN stepped USING (frame, cluster_id) GROUP BY ALL)""",
+    "SELECT epoch, step, (sum(k) OVER w)::BIGINT AS n, round(sqrt(sum(d2) OVER w / (2 * sum(k) OVER w)), 5) AS sigma_px FROM s WINDOW w AS (PARTITION BY epoch ORDER BY step)", recursive=True))
+def _(spark, sf):
+    rows, known = known_frames(spark, sf)
+    own = calendar.in_steps(calendar.stepped(rows, known))
+    found = postproc.precision(postproc.neighbour_distances(own, by=["session", "frame"]), by=["session"])
+    return found.select(F.substring_index("session", "/", -1).cast("long").alias("epoch"), F.col("frame").alias("step"), "n", F.round("sigma_px", 5).alias("sigma_px"))
+
+
 # Accumulated table and views.
 
 _ACC = """acc AS (
