@@ -31,7 +31,7 @@ def calendar(payloads: DataFrame, rows: DataFrame, controls: DataFrame) -> DataF
     brought = told.filter("kind >= 0 and frame is not null").groupBy("session", "frame").agg(F.max("kind").alias("kind"))
     known = told.filter("frame is not null").groupBy("session").agg(F.min("frame").alias("low"), F.max("frame").alias("high"))
     block = 4096
-    blocks = known.select("session", "low", "high", F.explode(F.expr(f"sequence(low div {block}, high div {block})")).alias("block"))
+    blocks = known.select("session", "low", "high", F.explode(F.expr(f"sequence(floor(low / {block}), floor(high / {block}))")).alias("block"))
     frames = blocks.select("session", F.explode(F.expr(f"sequence(greatest(low, block * {block}), least(high, block * {block} + {block - 1}))")).alias("frame"))
 
     order = F.struct(F.col("nth"), F.col("action"))
