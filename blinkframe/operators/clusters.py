@@ -13,7 +13,7 @@ from blinkframe.config import CandidateSettings, Finding
 from blinkframe.functions.components import components
 from blinkframe.operators.images import analysis_image, spots
 from blinkframe.operators.rangejoin import within
-from blinkframe.sources.events import FRAME_US, HEIGHT, WIDTH, with_polarity
+from blinkframe.sources.events import with_polarity
 from blinkframe.sources.shared import checkpoint
 
 
@@ -155,9 +155,9 @@ def compact(members: DataFrame, extent: float, isotropy: float) -> DataFrame:
     return members.join(kept.select("frame", "cluster_id"), ["frame", "cluster_id"])
 
 
-def around_spots(events: DataFrame, settings: CandidateSettings, frame_us: int = FRAME_US, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def around_spots(events: DataFrame, settings: CandidateSettings, frame_us: int, width: int, height: int) -> DataFrame:
     """Events around each spot; clusters may overlap. ``cluster_id`` is the spot's rank."""
-    found = spots(analysis_image(events, False, frame_us, width, height), settings.threshold_factor, settings.max_candidates, width, height)
+    found = spots(analysis_image(events, False, frame_us, width, height), settings.threshold_factor, settings.max_candidates, width=width, height=height)
     centres = found.select("frame", "x", "y", F.col("rank").cast("long").alias("cluster_id"))
     near = within(events, centres, float(settings.fit_radius_px)).withColumnRenamed("r_cluster_id", "cluster_id")
     enough = near.groupBy("frame", "cluster_id").count().filter(F.col("count") >= settings.min_events)
@@ -171,7 +171,7 @@ def largest(members: DataFrame, most: int) -> DataFrame:
     return members.join(kept.select("frame", "cluster_id"), ["frame", "cluster_id"])
 
 
-def candidates(events: DataFrame, settings: CandidateSettings, frame_us: int = FRAME_US, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def candidates(events: DataFrame, settings: CandidateSettings, frame_us: int, width: int, height: int) -> DataFrame:
     """Members of candidate clusters by the method that is set."""
     chosen = with_polarity(events, settings.polarity)
     tile = TILE if max(width, height) > TILE else None

@@ -243,7 +243,7 @@ def timed(fits: DataFrame, members: DataFrame, measures: DataFrame) -> DataFrame
     return located.join(times, keys).withColumn("timestamp_us", F.round(F.coalesce("near", "every")).cast("long")).drop("near", "every", "radius", "x_min", "x_max", "y_min", "y_max")
 
 
-def window_fits(image: DataFrame, spots: DataFrame, radius: int = 4, sigma: float = 1.6, width: int = 128, height: int = 96) -> DataFrame:
+def window_fits(image: DataFrame, spots: DataFrame, radius: int = 4, sigma: float = 1.6, *, width: int, height: int) -> DataFrame:
     """Gaussian fits of the image around each spot's centre of mass; spots whose window leaves the image are dropped."""
     cx, cy = F.round("com_x"), F.round("com_y")
     inside = spots.filter((cx - radius >= 0) & (cy - radius >= 0) & (cx + radius < width) & (cy + radius < height)).select("frame", "rank", "com_x", "com_y")

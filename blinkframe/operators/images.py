@@ -13,25 +13,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blinkframe.sources.events import FRAME_US, HEIGHT, WIDTH, inside
+from blinkframe.sources.events import COUNTS, FRAME, RAW, inside
 
 #: B3 spline taps.
 SPLINE = np.array([1, 4, 6, 4, 1]) / 16
 MAX_SPOTS = 256
 
 
-def analysis_image(events: DataFrame, signed: bool, frame_us: int = FRAME_US, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def analysis_image(events: DataFrame, signed: bool, frame_us: int, width: int, height: int) -> DataFrame:
     """Time-weighted image: an event weighs the microseconds since its frame began, one at least."""
     weight = F.greatest(F.col("timestamp_us") - F.col("frame") * frame_us, F.lit(1)).cast("double")
     value = F.when(F.col("polarity"), weight).otherwise(-weight) if signed else weight
     return inside(events, width, height).groupBy("frame", "x", "y").agg(F.sum(value).alias("value"))
 
 
-def counted_image(events: DataFrame, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def counted_image(events: DataFrame, width: int, height: int) -> DataFrame:
     """Preview image: events by pixel."""
     return inside(events, width, height).groupBy("frame", "x", "y").agg(F.count("*").cast("double").alias("value"))
 
 
+def sourced_image(first: DataFrame, second: DataFrame, preview: DataFrame, sources: DataFrame, signed: bool, frame_us: int, width: int, height: int) -> DataFrame:
+    """Image of every frame from its source, as :func:`source_of` tells it: weighted events, or the preview's counts (frame, x, y, n)."""
+    of = lambda rows, name: rows.join(sources.filter(F.col("source") == name).select("frame"), "frame", "left_semi")
+    weighted = analysis_image(of(first, RAW).unionByName(of(second, FRAME).select(*first.columns)), signed, frame_us, width, height)
+    counts = inside(of(preview, COUNTS), width, height).groupBy("frame", "x", "y").agg(F.sum("n").cast("double").alias("value"))
+    return weighted.unionByName(counts)
+
+
 def smooth(image: np.ndarray, step: int) -> np.ndarray:
     """Spline smoothing along rows, then columns; taps stand ``step`` pixels apart and the border is repeated."""
     reach = 2 * step
@@ -76,7 +84,7 @@ def dense(rows: pd.DataFrame, width: int, height: int) -> np.ndarray:
     return image
 
 
-def by_frame(image: DataFrame, work: Callable[[np.ndarray], pd.DataFrame], schema: str, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def by_frame(image: DataFrame, work: Callable[[np.ndarray], pd.DataFrame], schema: str, width: int, height: int) -> DataFrame:
     """Run ``work`` on the dense image of every frame."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +95,7 @@ def by_frame(image: DataFrame, work: Callable[[np.ndarray], pd.DataFrame], schem
     return image.groupBy("frame").applyInPandas(run, f"frame long, {schema}")
 
 
-def wavelet_planes(image: DataFrame, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def wavelet_planes(image: DataFrame, width: int, height: int) -> DataFrame:
     """Both wavelet planes at every pixel: frame, x, y, f1, f2."""
 
     def work(dense_image: np.ndarray) -> pd.DataFrame:
@@ -98,12 +106,12 @@ def wavelet_planes(image: DataFrame, width: int = WIDTH, height: int = HEIGHT) -
     return by_frame(image, work, "x int, y int, f1 double, f2 double", width, height)
 
 
-def plane_sigma(image: DataFrame, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def plane_sigma(image: DataFrame, width: int, height: int) -> DataFrame:
     """Standard deviation of the first plane over all pixels of each frame."""
     return by_frame(image, lambda i: pd.DataFrame({"sigma": [planes(i)[0].std()]}), "sigma double", width, height)
 
 
-def spots(image: DataFrame, factor: float = 1.5, most: int = MAX_SPOTS, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def spots(image: DataFrame, factor: float = 1.5, most: int = MAX_SPOTS, *, width: int, height: int) -> DataFrame:
     """Local maxima of the thresholded second plane, brightest first: frame, rank, x, y, value, com_x, com_y."""
 
     def work(dense_image: np.ndarray) -> pd.DataFrame:
@@ -126,7 +134,7 @@ def above_threshold(image: DataFrame, threshold: float, most: int = 256) -> Data
     return image.filter(F.col("value") >= threshold).withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth")
 
 
-def downsampled(image: DataFrame, most: int = 192, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def downsampled(image: DataFrame, most: int = 192, *, width: int, height: int) -> DataFrame:
     """Block means of at most ``most`` blocks a side; the real number of pixels counts at the edges. Empty blocks aren't listed."""
     sx, sy = max(-(-width // most), 1), max(-(-height // most), 1)
     blocks = image.groupBy("frame", F.expr(f"x div {sx}").cast("int").alias("bx"), F.expr(f"y div {sy}").cast("int").alias("by")).agg(F.sum("value").alias("total"))
@@ -153,10 +161,10 @@ def ring_power(image: np.ndarray) -> float | None:
     return float(power[ring].mean()) if ring.any() else None
 
 
-def spectral_focus(image: DataFrame, most: int = 192, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def spectral_focus(image: DataFrame, most: int = 192, *, width: int, height: int) -> DataFrame:
     """Spectral focus metric of each frame that has one: frame, metric."""
     sx, sy = max(-(-width // most), 1), max(-(-height // most), 1)
-    blocks = downsampled(image, most, width, height).select("frame", F.col("bx").alias("x"), F.col("by").alias("y"), "value")
+    blocks = downsampled(image, most, width=width, height=height).select("frame", F.col("bx").alias("x"), F.col("by").alias("y"), "value")
 
     def work(dense_image: np.ndarray) -> pd.DataFrame:
         metric = ring_power(dense_image)

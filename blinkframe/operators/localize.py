@@ -11,7 +11,6 @@ from blinkframe.config import LocalizationSettings
 from blinkframe.functions.numeric import finite
 from blinkframe.functions.ordered import running
 from blinkframe.operators.rangejoin import within
-from blinkframe.sources.events import FRAME_US
 
 
 def uncertainty_px(amplitude: str = "amplitude"):
@@ -29,7 +28,7 @@ def credible(rows: DataFrame, settings: LocalizationSettings, nm: float | None =
     return kept.filter((uncertainty_px() * nm <= settings.max_xy_uncertainty_nm) & finite(F.col("fit_error")))
 
 
-def timed(rows: DataFrame, events: DataFrame | None, radius: float, frame_us: int = FRAME_US) -> DataFrame:
+def timed(rows: DataFrame, events: DataFrame | None, radius: float, frame_us: int) -> DataFrame:
     """Add timestamp_us: weighted mean of the frame's events within ``radius``; the middle of the window if there are none."""
     middle = F.col("frame") * frame_us + F.lit(frame_us // 2)
     if events is None:
@@ -74,9 +73,13 @@ def rescaled(table: DataFrame, old_nm: float, new_nm: float) -> DataFrame:
     return table.withColumns({c: F.col(c) * scale for c in ("x_nm", "y_nm", "sigma_nm", "uncertainty_xy_nm")})
 
 
-def newest(table: DataFrame, most: int) -> DataFrame:
-    """The last ``most`` rows by id."""
-    return table.orderBy(F.desc("id")).limit(most)
+def newest(table: DataFrame, most: int, by: Sequence[str] = ()) -> DataFrame:
+    """The last ``most`` rows by id, of each group of ``by`` if there are any."""
+    if not by:
+        return table.orderBy(F.desc("id")).limit(most)
+    # Ids run from 0 in each group: what is within reach of the last one stays, without sorting a group.
+    last = table.groupBy(*by).agg(F.max("id").alias("_last"))
+    return table.join(last, list(by)).filter(F.col("id") > F.col("_last") - most).drop("_last")
 
 
 def density(table: DataFrame, bin_nm: float) -> DataFrame:

@@ -28,6 +28,9 @@ class Stage:
     settings: Settings
     build: Build
     enabled: bool = True
+    #: Results that are used if they are there; a stage waits for them as for those it needs.
+    optional: tuple[str, ...] = ()
+    description: str = ""
     version: str = "1.0.0"
 
     def put(self, key: str, value) -> Stage:
@@ -56,13 +59,34 @@ def _processed(have: dict[str, DataFrame], s: PostprocSettings, g: GlobalSetting
     kept = postproc.passing(have["fits"], s)
     if not s.drift_correction_enabled:
         return kept
-    # A run is one session; its frames stream by, with the window alone held.
+    # The frames of a session stream by, with the window alone held; rows without a session are one.
+    if "session" in kept.columns:
+        return postproc.drift_fold(kept, s.drift_window_frames)
     return postproc.drift_fold(kept.withColumn("session", F.lit("run")), s.drift_window_frames).drop("session")
 
 
+def _by(rows: DataFrame) -> list[str]:
+    """Columns that keep sessions and epochs apart, where rows have them."""
+    return [c for c in ("session", "epoch") if c in rows.columns]
+
+
+def _evaluated(have: dict[str, DataFrame], s: PostprocSettings, g: GlobalSettings) -> DataFrame:
+    """Precision up to each frame, from nearest neighbours."""
+    rows = have.get("postproc", have["fits"])
+    by = _by(rows)
+    return postproc.precision(postproc.neighbour_distances(rows, by=[*by, "frame"]), g.nm(s.nm_per_pixel), by)
+
+
+def _on_time(have: dict[str, DataFrame], s: PostprocSettings, g: GlobalSettings) -> DataFrame:
+    """Tracks by length, of each session or of the run."""
+    rows = have.get("postproc", have["fits"])
+    return postproc.on_time(postproc.track_lengths(rows if "session" in rows.columns else rows.withColumn("session", F.lit("run"))))
+
+
 def _table(have: dict[str, DataFrame], s: ReconstructionSettings, g: GlobalSettings) -> DataFrame:
     rows = localize.standard(have.get("postproc", have["fits"]))
-    return localize.newest(localize.accumulated(rows, ["cluster_id"], g.nm(s.nm_per_pixel)), s.max_localizations)
+    by = _by(rows)
+    return localize.newest(localize.accumulated(rows, ["cluster_id"], g.nm(s.nm_per_pixel), by), s.max_localizations, by)
 
 
 def _focused(have: dict[str, DataFrame], s: FocusSettings, g: GlobalSettings) -> DataFrame:
@@ -76,13 +100,16 @@ def _focused(have: dict[str, DataFrame], s: FocusSettings, g: GlobalSettings) ->
 
 
 STAGES = [
-    Stage("threshold", "Bright pixels", "frames", (), ThresholdSettings(threshold=2), lambda have, s, g: images.above_threshold(_counted(have, g), s.threshold)),
-    Stage("localization", "Image localization", "events", (), LocalizationSettings(), _localized),
-    Stage("candidates", "Event clusters", "events", (), CandidateSettings(), lambda have, s, g: clusters.candidates(have["events"], s, g.frame_us, g.sensor_width, g.sensor_height)),
-    Stage("fits", "Cluster fits", "derived", ("candidates",), FittingSettings(), _fitted),
-    Stage("postproc", "Limits and drift", "derived", ("fits",), PostprocSettings(), _processed),
-    Stage("accumulated", "Accumulated table", "derived", ("fits",), ReconstructionSettings(), _table),
-    Stage("focus", "Focus metric", "derived", ("fits",), FocusSettings(), _focused),
+    Stage("threshold", "Bright pixels", "frames", (), ThresholdSettings(threshold=2), lambda have, s, g: images.above_threshold(_counted(have, g), s.threshold), description="Pixels with at least so many events in a frame."),
+    Stage("localization", "Image localization", "events", (), LocalizationSettings(), _localized, description="Spots of time-weighted images, found by wavelets and fitted."),
+    Stage("candidates", "Event clusters", "events", (), CandidateSettings(), lambda have, s, g: clusters.candidates(have["events"], s, g.frame_us, g.sensor_width, g.sensor_height), description="Clusters of events that may be molecules."),
+    Stage("fits", "Cluster fits", "derived", ("candidates",), FittingSettings(), _fitted, description="Positions, widths and times of clusters."),
+    Stage("postproc", "Limits and drift", "derived", ("fits",), PostprocSettings(), _processed, description="Fits within limits, corrected for drift."),
+    Stage("precision", "Precision", "derived", ("fits",), PostprocSettings(), _evaluated, optional=("postproc",), description="Running precision from nearest neighbours."),
+    Stage("point_spread", "Point spread", "derived", ("fits",), PostprocSettings(), lambda have, s, g: postproc.spread_patch(have.get("postproc", have["fits"])), optional=("postproc",), description="Mean patch of all localizations."),
+    Stage("on_time", "On-time", "derived", ("fits",), PostprocSettings(), _on_time, optional=("postproc",), description="Lengths of tracks from frame to frame."),
+    Stage("accumulated", "Accumulated table", "derived", ("fits",), ReconstructionSettings(), _table, optional=("postproc",), description="All localizations in nanometres, the newest up to a limit."),
+    Stage("focus", "Focus metric", "derived", ("fits",), FocusSettings(), _focused, optional=("postproc",), description="Focus by width, ratio of widths or spectrum, with quality and trend."),
 ]
 
 
@@ -109,7 +136,7 @@ def run(events: DataFrame, stages: list[Stage] = STAGES, known: GlobalSettings |
     done = Run({"events": events})
     waiting = sorted((s for s in stages if s.enabled), key=lambda s: PHASES.index(s.reads))
     while waiting:
-        ready = [s for s in waiting if all(n in done.results or n not in {w.name for w in waiting} for n in s.after)]
+        ready = [s for s in waiting if all(n in done.results or n not in {w.name for w in waiting} for n in (*s.after, *s.optional))]
         if not ready:
             raise ValueError("stages wait for each other: " + ", ".join(s.name for s in waiting))
         for stage in ready:

@@ -17,6 +17,9 @@ from blinkframe.operators.rangejoin import within
 from blinkframe.sources import calendar, events
 from blinkframe.sources.shared import checkpoint
 
+#: Geometry of the fixtures.
+SENSOR = {"width": events.WIDTH, "height": events.HEIGHT}
+FRAME_US = events.FRAME_US
 SCATTERED = {"eps": 2.0, "least": 4}
 EMITTERS = {"eps": 2.0, "least": 5}
 DRIFT_WINDOW = 3
@@ -80,7 +83,7 @@ def _(spark, sf):
 
 @register("frame_windows", O.query(O.EV, f"SELECT f AS frame, f * {O.F_US} AS window_start_us, (f + 1) * {O.F_US} AS window_end_us FROM (SELECT unnest(range(min(frame), max(frame) + 1)) AS f FROM ev)"))
 def _(spark, sf):
-    return events.frames(events.scattered(spark, sf))
+    return events.frames(events.scattered(spark, sf), frame_us=FRAME_US)
 
 
 @register("history_range", O.query(O.EV, "SELECT count(DISTINCT frame) AS frame_count, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS event_count, min(timestamp_us) AS oldest_timestamp_us FROM ev WHERE timestamp_us >= 400000000 AND timestamp_us < 1500000000"))
@@ -91,7 +94,31 @@ def _(spark, sf):
 @register("source_fallback", O.query(O.EV, "SELECT frame, count(*) AS n FROM ev WHERE (frame % 2 = 0 AND polarity) OR (frame % 2 = 1 AND NOT polarity) GROUP BY frame"))
 def _(spark, sf):
     own = events.scattered(spark, sf)
-    return events.preferred(own.filter("frame % 2 = 0 and polarity"), own.filter("not polarity"), events.frames(own)).groupBy("frame").agg(F.count("*").alias("n"))
+    return events.preferred(own.filter("frame % 2 = 0 and polarity"), own.filter("not polarity"), events.frames(own, frame_us=FRAME_US)).groupBy("frame").agg(F.count("*").alias("n"))
+
+
+@register("source_warnings", O.query(O.EV, "all_frames AS (SELECT unnest(range(min(frame), max(frame) + 1)) AS frame FROM ev)", """
+    sources AS (
+      SELECT frame, CASE WHEN frame % 5 IN (0, 4) AND frame IN (SELECT frame FROM ev) THEN 'raw' WHEN frame % 5 = 3 AND frame IN (SELECT frame FROM ev WHERE NOT polarity) THEN 'frame'
+                         WHEN frame % 5 = 1 AND frame IN (SELECT frame FROM ev) THEN 'counts' ELSE 'none' END AS source FROM all_frames)""", """
+    SELECT frame, 'warning' AS severity, 'localization' AS stage,
+           CASE source WHEN 'counts' THEN 'Raw events are missing for this frame; preview counts are used.' ELSE 'This frame has neither events nor preview counts.' END AS message
+    FROM sources WHERE source IN ('counts', 'none')"""))
+def _(spark, sf):
+    return events.source_warnings(sources(spark, sf)[3], "localization")
+
+
+@register("sourced_image", O.query(O.EV, "src AS (SELECT * FROM ev WHERE frame % 5 IN (0, 3, 4) AND (frame % 5 <> 3 OR NOT polarity))", O.image(True).replace("img AS", "weighted AS").replace("FROM ev", "FROM src"), "SELECT * FROM weighted UNION ALL SELECT frame, x, y, count(*)::DOUBLE FROM ev WHERE frame % 5 = 1 GROUP BY ALL"))
+def _(spark, sf):
+    return images.sourced_image(*sources(spark, sf), True, FRAME_US, **SENSOR)
+
+
+def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Raw events without those of some frames, frame events of one of them, preview counts of another, and every frame's source."""
+    own = events.scattered(spark, sf_dir)
+    raw, second = own.filter("frame % 5 in (0, 4)"), own.filter("frame % 5 = 3 and not polarity")
+    preview = own.filter("frame % 5 not in (2, 3)").groupBy("frame", "x", "y").agg(F.count("*").alias("n"))
+    return raw, second, preview, events.source_of(raw, second, preview, events.frames(own, frame_us=FRAME_US))
 
 
 # Images.
@@ -99,54 +126,54 @@ def _(spark, sf):
 
 @register("analysis_image_signed", O.query(O.EV, O.image(True), "SELECT * FROM img"))
 def _(spark, sf):
-    return images.analysis_image(events.scattered(spark, sf), True)
+    return images.analysis_image(events.scattered(spark, sf), True, frame_us=FRAME_US, **SENSOR)
 
 
 @register("analysis_image_unsigned", O.query(O.EV, O.image(False), "SELECT * FROM img"))
 def _(spark, sf):
-    return images.analysis_image(events.scattered(spark, sf), False)
+    return images.analysis_image(events.scattered(spark, sf), False, frame_us=FRAME_US, **SENSOR)
 
 
 @register("counted_image", O.query(O.EV, "SELECT frame, x, y, count(*)::DOUBLE AS value FROM ev GROUP BY ALL"))
 def _(spark, sf):
-    return images.counted_image(events.scattered(spark, sf))
+    return images.counted_image(events.scattered(spark, sf), **SENSOR)
 
 
 @register("wavelet_planes", O.query(O.EV, O.image(False), O.WAVELET, "SELECT frame, x::INT AS x, y::INT AS y, round(f1, 3) AS f1, round(f2, 3) AS f2 FROM planes"))
 def _(spark, sf):
-    return rounded(images.wavelet_planes(images.analysis_image(events.scattered(spark, sf), False)), 3)
+    return rounded(images.wavelet_planes(images.analysis_image(events.scattered(spark, sf), False, frame_us=FRAME_US, **SENSOR), **SENSOR), 3)
 
 
 @register("wavelet_f1_sigma", O.query(O.EV, O.image(True), O.WAVELET, "SELECT frame, round(stddev_pop(f1), 3) AS sigma FROM planes GROUP BY frame"))
 def _(spark, sf):
-    return rounded(images.plane_sigma(images.analysis_image(events.scattered(spark, sf), True)), 3)
+    return rounded(images.plane_sigma(images.analysis_image(events.scattered(spark, sf), True, frame_us=FRAME_US, **SENSOR), **SENSOR), 3)
 
 
 @register("local_maxima", O.query(O.EV, O.image(False), O.spots(most=100_000), "SELECT frame, x::INT AS x, y::INT AS y, round(value, 3) AS value FROM spots"))
 def _(spark, sf):
-    found = images.spots(images.analysis_image(events.scattered(spark, sf), False), most=100_000)
+    found = images.spots(images.analysis_image(events.scattered(spark, sf), False, frame_us=FRAME_US, **SENSOR), most=100_000, **SENSOR)
     return rounded(found.select("frame", "x", "y", "value"), 3)
 
 
 @register("spot_top_k", O.query(O.EV, O.image(True), O.spots(most=20), "SELECT frame, rank::INT AS rank, x::INT AS x, y::INT AS y, round(value, 3) AS value, round(com_x, 6) AS com_x, round(com_y, 6) AS com_y FROM spots"))
 def _(spark, sf):
-    found = images.spots(images.analysis_image(events.scattered(spark, sf), True), most=20)
+    found = images.spots(images.analysis_image(events.scattered(spark, sf), True, frame_us=FRAME_US, **SENSOR), most=20, **SENSOR)
     return found.withColumns({"value": F.round("value", 3), "com_x": F.round("com_x", 6), "com_y": F.round("com_y", 6)})
 
 
 @register("threshold_pixels", O.query(O.EV, "px AS (SELECT frame, x, y, count(*)::DOUBLE AS value FROM ev GROUP BY ALL)", "SELECT frame, x, y, value FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY y, x) AS nth FROM px WHERE value >= 2) WHERE nth <= 256"))
 def _(spark, sf):
-    return images.above_threshold(images.counted_image(events.scattered(spark, sf)), 2)
+    return images.above_threshold(images.counted_image(events.scattered(spark, sf), **SENSOR), 2)
 
 
 @register("downsample", O.query(O.EV, "b AS (SELECT frame, x // 6 AS bx, y // 5 AS b_y, count(*) AS n FROM ev GROUP BY ALL)", "SELECT frame, bx, b_y AS \"by\", round(n / ((least((bx + 1) * 6, 128) - bx * 6) * (least((b_y + 1) * 5, 96) - b_y * 5)), 6) AS value FROM b"))
 def _(spark, sf):
-    return rounded(images.downsampled(images.counted_image(events.scattered(spark, sf)), 22))
+    return rounded(images.downsampled(images.counted_image(events.scattered(spark, sf), **SENSOR), 22, **SENSOR))
 
 
 @register("focus_fft", O.query(O.EV, O.SPECTRUM, "SELECT frame, round(avg(re * re + im * im), 4) AS metric FROM ring JOIN varied USING (frame) WHERE radius BETWEEN 0.25 AND 0.9 GROUP BY frame"))
 def _(spark, sf):
-    return rounded(images.spectral_focus(images.counted_image(events.scattered(spark, sf))), 4)
+    return rounded(images.spectral_focus(images.counted_image(events.scattered(spark, sf), **SENSOR), **SENSOR), 4)
 
 
 # Clusters.
@@ -193,7 +220,7 @@ def _(spark, sf):
 @register("frame_clusters", O.query(O.EM, O.image(False), O.spots(most=64), "SELECT frame, cluster_id, count(*) AS n, min(event_seq) AS first FROM (SELECT e.frame, s.rank AS cluster_id, e.event_seq FROM spots s JOIN ev e ON e.frame = s.frame AND (e.x - s.x) ** 2 + (e.y - s.y) ** 2 <= 16) GROUP BY ALL HAVING count(*) >= 5"))
 def _(spark, sf):
     settings = CandidateSettings(finding_method=Finding.FRAME_BASED, max_candidates=64)
-    return clusters.around_spots(events.emitters(spark, sf), settings).groupBy("frame", "cluster_id").agg(F.count("*").alias("n"), F.min("event_seq").alias("first"))
+    return clusters.around_spots(events.emitters(spark, sf), settings, frame_us=FRAME_US, **SENSOR).groupBy("frame", "cluster_id").agg(F.count("*").alias("n"), F.min("event_seq").alias("first"))
 
 
 @register("top_candidates", O.query(O.EV, _SCAT, "c AS (SELECT frame, cluster_id, count(*) AS n FROM mem GROUP BY ALL)", "SELECT frame, cluster_id, n FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n DESC, cluster_id) AS k FROM c) WHERE k <= 10", recursive=True))
@@ -238,10 +265,10 @@ def _(spark, sf):
 def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Localizations of the emitters' images, by the default settings."""
     own = events.emitters(spark, sf_dir)
-    image = images.analysis_image(own, True)
+    image = images.analysis_image(own, True, frame_us=FRAME_US, **SENSOR)
     settings = LocalizationSettings()
-    found = fitters.window_fits(image, images.spots(image, settings.threshold_factor), settings.fit_radius_px, settings.initial_sigma_px)
-    return localize.timed(localize.credible(found, settings), own, float(settings.fit_radius_px))
+    found = fitters.window_fits(image, images.spots(image, settings.threshold_factor, **SENSOR), settings.fit_radius_px, settings.initial_sigma_px, **SENSOR)
+    return localize.timed(localize.credible(found, settings), own, float(settings.fit_radius_px), frame_us=FRAME_US)
 
 
 _ROI_SET = LocalizationSettings()
@@ -285,7 +312,7 @@ def _(spark, sf):
     FROM all_frames f""", recursive=True))
 def _(spark, sf):
     own, found = events.emitters(spark, sf), members(spark, sf)
-    return localize.frame_status(events.frames(own), own, found, None, localizations(spark, sf))
+    return localize.frame_status(events.frames(own, frame_us=FRAME_US), own, found, None, localizations(spark, sf))
 
 
 # Post-processing.
@@ -354,7 +381,7 @@ def _(spark, sf):
 def known_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Localizations of one session, and its calendar: payloads that are missing or empty, resets, a stage switched off and on."""
     rows = localizations(spark, sf_dir).withColumn("session", F.lit("all")).filter("frame % 4 not in (1, 2)")
-    frames = events.frames(events.emitters(spark, sf_dir)).select(F.lit("all").alias("session"), "frame")
+    frames = events.frames(events.emitters(spark, sf_dir), frame_us=FRAME_US).select(F.lit("all").alias("session"), "frame")
     told = lambda when, nth, action: frames.filter(when).select("session", "frame", F.lit(nth).cast("long").alias("nth"), F.lit(action).alias("action"))
     controls = told("frame % 5 = 3", 0, calendar.RESET).unionByName(told("frame % 9 = 6", 0, calendar.DISABLE)).unionByName(told("frame % 9 = 7", 1, calendar.ENABLE))
     return rows, calendar.calendar(frames.filter("frame % 4 <> 2"), rows, controls)

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from blinkframe.config import Polarity
 
+#: Sensor of the fixtures, for queries and tests alone.
 WIDTH, HEIGHT = 128, 96
 #: Frame length of the fixtures, microseconds of compressed time.
 FRAME_US = 259_200_000
 EPOCH_US = 1_704_067_200_000_000
 POSITIVE = ("click", "purchase", "view")
+#: Frames that one task lists.
+BLOCK = 65_536
+RAW, FRAME, COUNTS, NONE = "raw", "frame", "counts", "none"
 
 
 def _time(ts: str) -> Column:
@@ -57,7 +61,8 @@ def with_polarity(events: DataFrame, which: Polarity) -> DataFrame:
     return events.filter("not polarity") if which is Polarity.NEGATIVE else events
 
 
-def inside(events: DataFrame, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+def inside(events: DataFrame, width: int, height: int) -> DataFrame:
+    """Events on the sensor; null positions are nowhere."""
     return events.filter((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
 
 
@@ -67,10 +72,28 @@ def preferred(first: DataFrame, second: DataFrame, frames: DataFrame) -> DataFra
     return first.join(frames.select("frame"), "frame", "left_semi").unionByName(second.join(have, "frame", "left_anti").join(frames.select("frame"), "frame", "left_semi"))
 
 
-def frames(events: DataFrame, frame_us: int = FRAME_US) -> DataFrame:
-    """Every frame from the first to the last, empty ones too, with its half-open window."""
+def frames(events: DataFrame, frame_us: int) -> DataFrame:
+    """Every frame from the first to the last, empty ones too, with its half-open window.
+
+    Blocks of frames are listed first and dealt out, so that no task makes all frames of a long record.
+    """
     span = events.agg(F.min("frame").alias("low"), F.max("frame").alias("high")).filter("low is not null")
-    return span.select(F.explode(F.sequence("low", "high")).alias("frame")).select("frame", (F.col("frame") * frame_us).alias("window_start_us"), ((F.col("frame") + 1) * frame_us).alias("window_end_us"))
+    blocks = span.select("low", "high", F.explode(F.expr(f"sequence(floor(low / {BLOCK}), floor(high / {BLOCK}))")).alias("block")).repartition("block")
+    listed = blocks.select(F.explode(F.expr(f"sequence(greatest(low, block * {BLOCK}), least(high, block * {BLOCK} + {BLOCK - 1}))")).alias("frame"))
+    return listed.select("frame", (F.col("frame") * frame_us).alias("window_start_us"), ((F.col("frame") + 1) * frame_us).alias("window_end_us"))
+
+
+def source_of(first: DataFrame, second: DataFrame, preview: DataFrame, frames: DataFrame) -> DataFrame:
+    """frame, source of every frame: its raw events if there are any, else the frame's own, else preview counts, else none."""
+    has = lambda rows, name: rows.groupBy("frame").agg(F.lit(True).alias(name))
+    out = frames.select("frame").join(has(first, "_raw"), "frame", "left").join(has(second, "_own"), "frame", "left").join(has(preview, "_counts"), "frame", "left")
+    return out.select("frame", F.when(F.col("_raw"), RAW).when(F.col("_own"), FRAME).when(F.col("_counts"), COUNTS).otherwise(NONE).alias("source"))
+
+
+def source_warnings(sources: DataFrame, stage: str) -> DataFrame:
+    """frame, severity, stage, message of every frame that has no events in either source; what a run finds in its data."""
+    told = F.when(F.col("source") == COUNTS, "Raw events are missing for this frame; preview counts are used.").otherwise("This frame has neither events nor preview counts.")
+    return sources.filter(F.col("source").isin(COUNTS, NONE)).select("frame", F.lit("warning").alias("severity"), F.lit(stage).alias("stage"), told.alias("message"))
 
 
 def history(events: DataFrame, start_us: int, end_us: int) -> DataFrame:

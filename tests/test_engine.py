@@ -14,6 +14,9 @@ from blinkframe.operators.rangejoin import within
 from blinkframe.plans import stages
 from blinkframe.sources import events
 
+SENSOR = {"width": events.WIDTH, "height": events.HEIGHT}
+FRAME_US = events.FRAME_US
+
 CD = "frame long, event_seq long, x int, y int, timestamp_us long, polarity boolean"
 ONE = [(10, 10), (10, 11), (11, 10), (11, 11), (9, 10), (10, 9), (9, 9), (11, 9), (9, 11), (12, 10)]
 TWO = ONE[:5] + [(40, 40), (41, 40), (40, 41), (41, 41), (42, 40)]
@@ -103,8 +106,8 @@ def test_smoothing_repeats_the_border():
 
 def test_downsample(spark):
     image = spark.createDataFrame([(0, 6, 5, 200.0), (0, 16, 16, 8.0)], "frame long, x int, y int, value double")
-    assert [(r.bx, r.by, r.value) for r in images.downsampled(image.filter("x < 16"), 8, 16, 16).collect()] == [(3, 2, 50.0)]
-    assert images.downsampled(image.filter("x = 16"), 9, 17, 17).first().value == 8.0  # one pixel at the edge
+    assert [(r.bx, r.by, r.value) for r in images.downsampled(image.filter("x < 16"), 8, width=16, height=16).collect()] == [(3, 2, 50.0)]
+    assert images.downsampled(image.filter("x = 16"), 9, width=17, height=17).first().value == 8.0  # one pixel at the edge
 
 
 def test_spectral_focus_is_the_naive_transform():
@@ -162,7 +165,7 @@ def test_window_fit(spark):
     grid = [(0, x, y, 3 + 120 * math.exp(-0.5 * ((x - 10.3) ** 2 + (y - 9.7) ** 2) / 1.6**2)) for x in range(21) for y in range(21)]
     image = spark.createDataFrame(grid, "frame long, x int, y int, value double")
     spots = spark.createDataFrame([(0, 1, 10.0, 10.0), (0, 2, 2.0, 10.0)], "frame long, rank int, com_x double, com_y double")
-    rows = fitters.window_fits(image, spots, 4, 1.6, 21, 21).collect()
+    rows = fitters.window_fits(image, spots, 4, 1.6, width=21, height=21).collect()
     assert [r.rank for r in rows] == [1]  # the other window leaves the image
     assert abs(rows[0].x - 10.3) < 0.2 and abs(rows[0].sigma_x - 1.6) < 0.25
 
@@ -370,7 +373,7 @@ def test_sources(spark):
     assert [r.polarity for r in events.converted(raw).orderBy("timestamp_us").collect()] == [False, True]
     cd = stream(spark, [(1, 1)], 2).unionByName(stream(spark, [(2, 2)], 5))
     assert [r.frame for r in events.frames(cd, 10).orderBy("frame").collect()] == [2, 3, 4, 5]
-    assert events.frames(cd.filter("frame > 9")).count() == 0
+    assert events.frames(cd.filter("frame > 9"), frame_us=FRAME_US).count() == 0
 
 
 def test_times(spark):
@@ -427,7 +430,7 @@ def test_empty_frames_have_status(spark):
     own = stream(spark, ONE).unionByName(stream(spark, [(1, 1)], 2))
     members = clusters.dbscan(own, 1.5, 5)
     fits = fitters.fit_clusters(clusters.histogram(members), Fit.MEAN_XY)
-    rows = localize.frame_status(events.frames(own), own, members, None, fits).orderBy("frame").collect()
+    rows = localize.frame_status(events.frames(own, frame_us=FRAME_US), own, members, None, fits).orderBy("frame").collect()
     assert [(r.n_events, r.n_candidates, r.n_accepted, r.n_rejected) for r in rows] == [(10, 1, 1, 0), (0, 0, 0, 0), (1, 0, 0, 0)]
 
 

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blinkframe.operators import localize, postproc
-from blinkframe.sources import calendar
+from blinkframe.operators import clusters, images, localize, postproc
+from blinkframe.plans import stages
+from blinkframe.sources import calendar, events
 from blinkframe.streaming import session
 
 POINTS = "session string, frame long, cluster_id long, x double, y double, sigma_x double, sigma_y double"
@@ -160,3 +161,38 @@ def test_shift_of_the_same_points_is_zero(spark):
     spots = [(rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(40)]
     rows = spark.createDataFrame([(f, x, y) for f in range(4) for x, y in spots], "frame long, x double, y double").withColumn("session", F.lit("a"))
     assert {(r.shift_x, r.shift_y) for r in postproc.window_shifts(rows, 2, by=["session"]).collect()} == {(0.0, 0.0)}
+
+
+def test_frame_without_events_is_imaged_from_counts(spark):
+    kind = "frame long, event_seq long, x int, y int, timestamp_us long, polarity boolean"
+    raw = spark.createDataFrame([(0, 0, 1, 1, 5, True)], kind)
+    own = spark.createDataFrame([(0, 1, 2, 2, 7, True), (1, 2, 3, 3, 17, False)], kind)
+    preview = spark.createDataFrame([(0, 9, 9, 4), (2, 5, 6, 3), (2, 99, 6, 3)], "frame long, x int, y int, n long")
+    frames = spark.range(4).withColumnRenamed("id", "frame")
+    told = events.source_of(raw, own, preview, frames)
+    assert {r.frame: r.source for r in told.collect()} == {0: "raw", 1: "frame", 2: "counts", 3: "none"}
+    image = images.sourced_image(raw, own, preview, told, True, 10, 20, 20)
+    assert {(r.frame, r.x, r.y, r.value) for r in image.collect()} == {(0, 1, 1, 5.0), (1, 3, 3, -7.0), (2, 5, 6, 3.0)}
+    assert [(r.frame, r.severity) for r in events.source_warnings(told, "localization").orderBy("frame").collect()] == [(2, "warning"), (3, "warning")]
+
+
+def test_stages_wait_for_optional_results(spark):
+    """The table takes corrected fits whatever the order of the list."""
+    fits = stages.Stage("fits", "", "derived", (), stages.PostprocSettings(), lambda have, s, g: have["events"])
+    corrected = stages.Stage("postproc", "", "derived", ("fits",), stages.PostprocSettings(), lambda have, s, g: have["fits"].withColumn("x", F.lit(100.0)))
+    table = next(s for s in stages.STAGES if s.name == "accumulated")
+    rows = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 1, 0, 1.0), ("b", 0, 0, 1.0)], "session string, frame long, cluster_id long, x double")
+    rows = rows.withColumns({c: F.lit(1.0) for c in ("y", "sigma_x", "sigma_y", "residual")}).withColumn("timestamp_us", F.lit(0))
+    done = stages.run(rows, [table, corrected, fits])
+    assert {(r.session, r.id, r.x_nm) for r in done.results["accumulated"].collect()} == {("a", 0, 6500.0), ("a", 1, 6500.0), ("b", 0, 6500.0)}
+    assert {(r.session, r.id) for r in localize.newest(done.results["accumulated"], 1, ["session"]).collect()} == {("a", 1), ("b", 0)}
+    assert {(r.x_nm) for r in stages.run(rows, [table, fits]).results["accumulated"].collect()} == {65.0}
+
+
+@pytest.mark.parametrize("tile", [1, 7, 100])
+def test_tiles_change_no_cluster(spark, tile):
+    rng = random.Random(2)
+    rows = [(f, i + 1000 * f, rng.randrange(-5, 40), rng.randrange(0, 40)) for f in range(2) for i in range(260)]
+    own = spark.createDataFrame(rows, "frame long, event_seq long, x int, y int")
+    told = lambda df: sorted(map(tuple, df.select("frame", "event_seq", "cluster_id").collect()))
+    assert told(clusters.dbscan(own, 2.0, 4, tile)) == told(clusters.dbscan(own, 2.0, 4))
