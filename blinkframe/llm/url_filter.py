@@ -102,10 +102,12 @@ def rule_index(spark: SparkSession, targets: DataFrame, rules: list[Rule] | Data
     """Rules with the token that fewest rows of ``targets`` (target) have: token, name, action, pattern, domain."""
     own = rules if isinstance(rules, DataFrame) else spark.createDataFrame([tuple(r) for r in rules], "name string, action string, pattern string, tokens array<string>, domain boolean")
     small = F.broadcast if _few(rules) else (lambda x: x)
-    listed = own.select("name", F.explode_outer("tokens").alias("token")).withColumn("token", F.coalesce("token", F.lit("")))
+    # A rule is told by all its fields: names may be null, or those of several rules.
+    own = own.withColumn("number", F.sha2(F.to_json(F.struct("name", "action", "pattern", "tokens", "domain")), 256))
+    listed = own.select("number", F.explode_outer("tokens").alias("token")).withColumn("token", F.coalesce("token", F.lit("")))
     seen = targets.select(F.explode(_tokens(F.col("target"))).alias("token")).join(small(listed.select("token").distinct()), "token", "left_semi").groupBy("token").count()
-    rarest = listed.join(seen, "token", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "token")).alias("best"))
-    return own.join(rarest, "name").select(F.col("best.token").alias("token"), "name", "action", "pattern", "domain")
+    rarest = listed.join(seen, "token", "left").groupBy("number").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "token")).alias("best"))
+    return own.join(rarest, "number").select(F.col("best.token").alias("token"), "name", "action", "pattern", "domain")
 
 
 def _few(rules: list[Rule] | DataFrame) -> bool:
@@ -120,7 +122,7 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, key: str = "page_id",
     """
     spark = pages.sparkSession
     parsed = parse(pages.select(F.col(f"`{key}`").alias(key), F.col(f"`{url}`").alias("url"))).select(key, "host", "path")
-    targets = parsed.select("host", "path").distinct().withColumn("target", F.concat("host", "path"))
+    targets = parsed.select("host", "path").filter("host <> '' or path <> ''").distinct().withColumn("target", F.concat("host", "path"))
     index = rule_index(spark, targets, rules)
     if _few(rules):
         index = F.broadcast(index)
@@ -128,7 +130,11 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, key: str = "page_id",
     hits = fetched.withColumn("tried", F.when(F.col("domain"), F.col("target")).otherwise(F.translate("target", UPPER, LOWER))).filter(F.expr("tried rlike pattern"))
     longest = F.max(F.when(F.col("domain"), F.struct(F.length("name"), "name", "action"))).alias("best")
     found = hits.groupBy("host", "path").agg(longest, F.bool_or(~F.col("domain") & (F.col("action") == "block")).alias("blocked"))
-    out = parsed.join(found, ["host", "path"], "left")
+    # URLs without host and path are all alike: they have no target to meet, and go wherever their key's hash says.
+    known = F.expr("host <> '' or path <> ''")
+    found = found.select(F.col("host").alias("own"), "path", F.lit(True).alias("known"), "best", "blocked")
+    dealt = parsed.withColumns({"known": known, "own": F.when(known, F.col("host")).otherwise(F.xxhash64(key).cast("string"))})
+    out = dealt.join(found, ["own", "path", "known"], "left")
     verdict = F.coalesce("best.action", F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select(key, "host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"))
 

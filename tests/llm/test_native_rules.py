@@ -1,5 +1,8 @@
 """Quality rules and URL rules on small fixtures, and against their DuckDB SQL."""
 
+import random
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +95,33 @@ def test_rules_from_a_table_and_capitals_in_paths(spark):
     rules = spark.createDataFrame([tuple(r) for r in queries.URL_RULES], "name string, action string, pattern string, tokens array<string>, domain boolean")
     df = spark.createDataFrame([(1, "http://x.org/en/Viagra"), (2, "http://x.org/EN/fine"), (3, "http://x.org/fr/1")], "page_id long, url string")
     assert rows_of(url_filter.judge(df, rules), ["page_id", "rule", "verdict"]) == [(1, None, "block"), (2, None, "allow"), (3, "org/fr/", "allow")]
+
+
+def test_rules_of_one_name(spark):
+    rules = [url_filter.pattern_rule("gambling", r"\bcasino\b"), url_filter.pattern_rule("gambling", r"\bpoker\b"), url_filter.pattern_rule(None, r"\bslots\b"), url_filter.pattern_rule(None, r"\bdice\b")]
+    urls = ["http://a.b/poker", "http://a.b/casino", "http://casino.b/", "http://a.b/slots", "http://a.b/DICE", "http://a.b/pokers", None, "none"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(pages, rules).orderBy("page_id").collect()] == ["block"] * 5 + ["allow"] * 3
+
+
+def test_a_thousand_rules_against_all_of_them(spark):
+    """Random rules, many of one name, each run against every URL in plain Python."""
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("red", "blue", "shop", "news", "x") for b in range(40)]
+    hosts = [f"{rng.choice(words)}.{rng.choice(words)}.{rng.choice(['com', 'net', 'org'])}" for _ in range(60)]
+    rules = [domain_rule(f"{rng.choice(hosts)}/{rng.choice(words)}/", rng.choice(["allow", "block"])) for _ in range(300)]
+    rules = list({r.name: r for r in rules}.values())
+    rules += [url_filter.pattern_rule(f"g{n % 50}", rng.choice([r"\b{}\b", r"^[^/]*\b{}[.]", r"/{}s?/", r"(?:{}|zzz)-"]).format(rng.choice(words))) for n in range(700)]
+    urls = [f"http://{rng.choice(hosts).upper() if n % 7 == 0 else rng.choice(hosts)}/{rng.choice(words)}/{rng.choice(words)}{rng.choice(['', '/', '-', 's/', '?q'])}" for n in range(400)] + [None, "x"] * 5
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()}
+    for n, url in enumerate(urls):
+        if not url or "://" not in url:
+            assert got[n] == (None, "allow")
+            continue
+        host, path = re.match(r"[^:]*://([^/?#]*)([^?#]*)", url).groups()
+        target = host.lower() + path
+        own = [r for r in rules if r.domain and re.search(r.pattern, target)]
+        best = max(own, key=lambda r: (len(r.name), r.name), default=None)
+        blocked = any(not r.domain and re.search(r.pattern, target.lower()) for r in rules)
+        assert got[n] == ((best.name, best.action) if best else (None, "block" if blocked else "allow")), url
