@@ -3,14 +3,18 @@
 A page is scanned once. A stack of open elements is the tree as far as it is needed: tags that HTML implies are closed or
 opened on the way, and hidden elements keep their text off the output. Blocks keep their distance, list items their marks
 and depth, and the cells of a table are padded to columns; cells of a row that holds paragraphs or lists follow each other
-as blocks. Time and output are linear in the page: of each name, the open elements are known by position, a cell is padded
-to at most PADDED characters and spans at most SPANS columns and rows.
+as blocks. Output is linear in the page and all text is in it. Spans hold as far as HTML lets them; they are intervals, and
+only columns with text are written. What padding and empty cells may add to a table is ROOM times its own characters and
+cells: columns are padded from the left as long as that lasts, and a table whose empty cells alone would take more is
+written without them. Tables of usual shape are far below either bound.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +43,19 @@ _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDES = re.compile(r"display\s*:\s*none", re.I)
 _SIGHT = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
-PADDED, SPANS = 40, 32
+#: The widest spans that HTML knows, in columns and rows.
+WIDEST, TALLEST = 1000, 65_534
+ROOM = 8
+
+
+_WHOLE = re.compile(r"-?[0-9]{1,9}")
+_DIGITS = re.compile(r"[ \t\n\r\f]*\+?0*([0-9]+)")
+
+
+def _span(value: str, most: int) -> int | None:
+    """The whole number that an attribute starts with, ``most`` at most; None without one."""
+    found = _DIGITS.match(value)
+    return None if found is None else most if len(found[1]) > 6 else min(int(found[1]), most)
 
 
 def _tokens(page: str) -> Iterator[tuple]:
@@ -150,59 +166,145 @@ class _Lines:
         return self.lines
 
 
+class _Taken:
+    """Columns that cells of rows above still take: blocks without a gap between them, and when each cell gives its own back."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []  # heap of (last row, start, end)
+        self.under: list[tuple[int, int, int]] = []  # cells, or parts of them, below others that end before they do
+
+    def free_from(self, column: int) -> int:
+        """The first free column from this one on."""
+        at = bisect_right(self.starts, column) - 1
+        return self.ends[at] if at >= 0 and self.ends[at] > column else column
+
+    def add(self, start: int, end: int, last: int) -> None:
+        """Take columns up to a row; what is taken already waits below."""
+        at = start
+        while at < end:
+            free = self.free_from(at)
+            if free > at:
+                self.under.append((at, min(free, end), last))
+                at = free
+                continue
+            nth = bisect_left(self.starts, at)
+            stop = min(end, self.starts[nth]) if nth < len(self.starts) else end
+            self._put(at, stop)
+            heapq.heappush(self.until, (last, at, stop))
+            at = stop
+
+    def _put(self, start: int, end: int) -> None:
+        nth = bisect_left(self.starts, start)
+        if nth and self.ends[nth - 1] == start:
+            nth -= 1
+            start = self.starts[nth]
+            del self.starts[nth], self.ends[nth]
+        if nth < len(self.starts) and self.starts[nth] == end:
+            end = self.ends[nth]
+            del self.starts[nth], self.ends[nth]
+        self.starts.insert(nth, start)
+        self.ends.insert(nth, end)
+
+    def row(self, number: int) -> None:
+        """Give back what ended above this row."""
+        while self.until and self.until[0][0] < number:
+            _, start, end = heapq.heappop(self.until)
+            nth = bisect_right(self.starts, start) - 1
+            first, last = self.starts[nth], self.ends[nth]
+            del self.starts[nth], self.ends[nth]
+            for a, b in ((end, last), (first, start)):
+                if a < b:
+                    self.starts.insert(nth, a)
+                    self.ends.insert(nth, b)
+            waiting, self.under = self.under, []
+            for a, b, until in waiting:
+                if until < number:
+                    continue
+                if a < end and start < b:
+                    self.under += [(x, y, until) for x, y in ((a, start), (end, b)) if x < y]
+                    self.add(max(a, start), min(b, end), until)
+                else:
+                    self.under.append((a, b, until))
+
+
 class _Table:
     def __init__(self) -> None:
-        self.rows: list[list[str]] = []
+        self.rows: list[list[tuple[int, str]]] = []  # (column, text) of cells with text
         self.blocks: dict[int, list[list[str]]] = {}  # cells of rows that hold blocks, by row
-        self.below: dict[int, int] = {}  # rows that a cell above still takes, by column
+        self.taken = _Taken()
+        self.column = self.cells = 0
         self.caption = ""
 
     def row(self) -> None:
-        if self.rows:
-            for column in [c for c in self.below if c >= len(self.rows[-1])]:
-                self._used(column)
         self.rows.append([])
-
-    def _used(self, column: int) -> None:
-        self.below[column] -= 1
-        if not self.below[column]:
-            del self.below[column]
+        self.column = 0
+        self.taken.row(len(self.rows) - 1)
 
     def cell(self, lines: list[str], columns: int, rows: int, structured: bool) -> None:
         if not self.rows:
             self.row()
-        row = self.rows[-1]
-        while len(row) in self.below:
-            self._used(len(row))
-            row.append("")
-        at = len(row)
-        row.append(" ".join(filter(None, (line.strip() for line in lines))))
-        row.extend([""] * (columns - 1))
+        row, nth = self.rows[-1], len(self.rows) - 1
+        at = self.taken.free_from(self.column)
+        self.column, self.cells = at + columns, self.cells + 1
+        text = " ".join(filter(None, (line.strip() for line in lines)))
         if rows > 1:
-            self.below |= {c: rows - 1 for c in range(at, at + columns)}
-        nth = len(self.rows) - 1
+            self.taken.add(at, at + columns, nth + rows - 1)
         if structured and len(lines) > 1 and nth not in self.blocks:
-            self.blocks[nth] = [[c] for c in row[:at] if c]
+            self.blocks[nth] = [[c] for _, c in row]
         if nth in self.blocks and any(lines):
             self.blocks[nth].append(lines)
+        if text:
+            row.append((at, text))
 
     def done(self) -> list[str]:
         """Lines of the table; an empty one asks for a blank line."""
-        plain = [row for n, row in enumerate(self.rows) if any(row) and n not in self.blocks]
-        widths = [0] * max(map(len, plain), default=0)
-        for row in plain:
-            for i, c in enumerate(row):
-                widths[i] = max(widths[i], len(c))
+        plain = [row for n, row in enumerate(self.rows) if row and n not in self.blocks]
+        place = {c: i for i, c in enumerate(sorted({c for row in plain for c, _ in row}))}
+        room = ROOM * (self.cells + sum(len(c) for row in plain for _, c in row))
+        empty = sum(place[row[-1][0]] + 1 - len(row) for row in plain)
+        widths = self._widths(plain, place, room) if empty <= room else None
         out = [self.caption] if self.caption else []
         for n, row in enumerate(self.rows):
             if n in self.blocks:
                 for lines in self.blocks[n]:
                     out += ["", *lines, ""]
-            elif any(row):
-                last = max(i for i, c in enumerate(row) if c)
-                out.append(" | ".join(c.ljust(min(w, PADDED)) for c, w in zip(row[: last + 1], widths, strict=False) if w).rstrip())
+            elif row and widths is None:
+                out.append(" | ".join(c for _, c in row))
+            elif row:
+                cells = [""] * (place[row[-1][0]] + 1)
+                for column, text in row:
+                    cells[place[column]] = text
+                out.append(" | ".join(c.ljust(w) for c, w in zip(cells, widths, strict=False)).rstrip())
         return out
 
+    def _widths(self, plain: list[list[tuple[int, str]]], place: dict[int, int], room: int) -> list[int]:
+        """Width of each column: that of its widest text, while there is room for what this adds to other cells."""
+        lengths: list[list[int]] = [[] for _ in place]
+        reach = [0] * (len(place) + 1)  # rows that end at a column
+        for row in plain:
+            reach[place[row[-1][0]]] += 1
+            for column, text in row:
+                lengths[place[column]].append(len(text))
+        widths, rows = [], len(plain)
+        for i, own in enumerate(lengths):
+            own.sort()
+            # The last cell of a row isn't padded; counting it all the same only spends room.
+            width, empty = own[-1], rows - len(own)
+            if width * rows - sum(own) > room:
+                width, spent, below = 0, 0, empty
+                for length in own:  # raise the width from one length to the next as far as it goes
+                    step = min(length - width, (room - spent) // below if below else length - width)
+                    width, spent = width + step, spent + step * below
+                    if width < length:
+                        break
+                    below += 1
+            room -= sum(width - n for n in own if n < width) + width * empty
+            widths.append(width)
+            rows -= reach[i]
+        return widths
+
 
 class Page:
     """Visible text of one page."""
@@ -282,22 +384,25 @@ class Page:
             self.tables[-1].row()
             return None
         if name in ("td", "th", "caption") and self.tables:
-            columns, rows = (min(int(n[:4]), SPANS) if re.fullmatch("[0-9]*[1-9][0-9]*", n) else 1 for n in (attributes.get(a, "1").strip() for a in ("colspan", "rowspan")))
+            columns, rows = _span(attributes.get("colspan", ""), WIDEST) or 1, _span(attributes.get("rowspan", ""), TALLEST)
             self.out.append(_Lines())
-            return ("cell", name, max(columns, 1), max(rows, 1), self.lists, self.kept)
+            return ("cell", name, columns, TALLEST if rows == 0 else rows or 1, self.lists, self.kept)
         if name in BLOCK:
             nested = name in ("ul", "ol", "menu", "dir") and bool(self.lists)
             out.end_line(name in SPACED and not nested)
         if name in ("ul", "ol", "menu", "dir"):
             first = attributes.get("start", "1")
-            self.lists.append([name == "ol", int(first) if re.fullmatch(r"-?[0-9]{1,9}", first) else 1])
+            # Counting down without a start would need the items to come: such a list counts up.
+            self.lists.append([name == "ol", int(first) if _WHOLE.fullmatch(first) else 1, -1 if "reversed" in attributes and "start" in attributes else 1])
             return "list"
         if name == "li":
             depth = max(len(self.lists) - 1, 0)
-            numbered, number = self.lists[-1] if self.lists else (False, 0)
+            if self.lists and _WHOLE.fullmatch(attributes.get("value", "")):
+                self.lists[-1][1] = int(attributes["value"])
+            numbered, number, step = self.lists[-1] if self.lists else (False, 0, 1)
             mark = f"{number}. " if numbered else "- "
             if self.lists:
-                self.lists[-1][1] += 1
+                self.lists[-1][1] += step
             undo = ("li", out.prefix)
             out.prefix = "  " * depth + mark
             out.drop()

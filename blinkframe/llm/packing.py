@@ -46,7 +46,8 @@ class WordEncoder:
 
     The tokenizer's pattern never joins across white space, so a text's ids are those of its words in order.
     Words of Latin-1 texts are cut and merged here, each distinct part once; words of any other text go to
-    the tokenizer itself. Strings that look like special tokens are ordinary text.
+    the tokenizer itself. Added tokens of the file are taken out of a text first, as the tokenizer does it, and
+    have their ids. Of a file that normalizes or cuts in any other way, the tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS) -> None:
@@ -54,9 +55,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
+        self.parts, self.words = WordCache(self._merged, limit), WordCache(self._split, limit)
+        self.known = known_kind(told)
+        if not self.known:
+            return
+        self.added = {t["content"]: (t["id"],) for t in told["added_tokens"]}
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
         model, (pattern, *_) = told["model"], told["pre_tokenizer"]["pretokenizers"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.parts_of = regex.compile(pattern["pattern"]["Regex"]).findall
@@ -68,8 +74,6 @@ class WordEncoder:
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + end] for c in letters], np.int64)
-        self.parts = WordCache(self._merged, limit)
-        self.words = WordCache(self._split, limit)
 
     def _symbols(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         found = self.inner[data]
@@ -81,12 +85,14 @@ class WordEncoder:
         return {data[d]: ids for d, ids in merge_all(list(data), self._symbols, self.merges).items()}
 
     def _split(self, words: set) -> dict:
-        """Ids of words: lower-case text of Latin letters, or else the bytes of any word."""
+        """Ids of words: lower-case text of Latin letters, or else the bytes of any word, or an added token's id in a tuple."""
         found: dict = {}
         whole, ended, others = [], [], {}
         for word in words:
             if word.__class__ is bytes:
                 found[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            elif word.__class__ is tuple:
+                found[word] = np.array(word, "<u4").tobytes()
             elif word.isalpha():
                 whole.append(word)
             elif word[-1] in ENDS and word[:-1].isalpha():
@@ -102,15 +108,27 @@ class WordEncoder:
             found[word] = b"".join([ids[p] for p in parts])
         return found
 
+    def _listed(self, text: str) -> list:
+        """Words of a text in order, with the added tokens between them."""
+        if not any(token in text for token in self.added):
+            return text.encode().split() if BEYOND(text) else text.lower().split()
+        found: list = []
+        for nth, part in enumerate(self.apart(text)):
+            found += [self.added[part]] if nth % 2 else part.encode().split() if BEYOND(part) else part.lower().split()
+        return found
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text (little-endian, 32 bits), texts worked off in groups of bounded length."""
+        if not self.known:
+            yield from (np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes() for text in texts)
+            return
         at = 0
         while at < len(texts):
             group, size = [], 0
             while at < len(texts) and (not group or size + len(texts[at] or "") <= CHARS_AT_ONCE):
                 text = texts[at] or ""
                 size += len(text)
-                group.append(text.encode().split() if BEYOND(text) else text.lower().split())
+                group.append(self._listed(text))
                 at += 1
             ids = self.words.holding(set().union(*group)).__getitem__
             for words in group:
@@ -122,6 +140,19 @@ class WordEncoder:
         self.words.clear(KEPT_WORDS)
 
 
+def known_kind(told: dict) -> bool:
+    """Whether a tokenizer file lowers, drops white space, cuts and ends words in the one way that is worked off here."""
+    normal = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    cut = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+    letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    model, flags = told["model"], ("lstrip", "rstrip", "single_word", "normalized")
+    return (
+        told["normalizer"] == normal and told["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [cut, letters]} and model["type"] == "BPE"
+        and bool(model["end_of_word_suffix"]) and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and not any(t[f] for t in told["added_tokens"] for f in flags)
+    )
+
+
 def byte_letters() -> list[str]:
     """The printable letter that byte-level vocabularies write for each byte."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}

@@ -67,10 +67,24 @@ def test_round_trip_and_columns(spark, library):
 @given(text=st.text(alphabet=LETTERS + "<|endoftext|>ABC", max_size=60))
 def test_word_ids_as_the_library(text):
     library = Tokenizer.from_file(queries.WORD_TOKENIZER)
-    library.encode_special_tokens = True
     assert np.frombuffer(next(packing.word_encoder(queries.WORD_TOKENIZER).encode([text])), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "in<|startoftext|>side", "It's<|endoftext|>'s", "<|endoftext|><|startoftext|> 日本 é\x85x<|endoftext|>", "<|EndOfText|> <|endoftext |>", "A <|startoftext|>\n B<|endoftext"]
+
+
+@pytest.mark.parametrize("text", [*SPECIAL, " ".join(SPECIAL * 50)])
+def test_added_tokens_as_the_library(text):
+    library = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    assert np.frombuffer(next(packing.word_encoder(queries.WORD_TOKENIZER).encode([text])), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_encode_whole_texts():
+    own, library = packing.word_encoder(queries.BYTE_TOKENIZER), Tokenizer.from_file(queries.BYTE_TOKENIZER)
+    assert not own.known
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode(["The Cat  sat", None])] == [library.encode("The Cat  sat").ids, []]
+
+
 def test_packing(spark):
     df = spark.createDataFrame([(i, "word " * (i * 37 % 5000)) for i in range(120)] + [(200, None), (201, ""), (5, "twice"), (5, "twice")], "doc_id long, text string").withColumn("offset", F.lit(1))
     rows = packing.pack_documents(df, queries.WORD_TOKENIZER).collect()
@@ -241,6 +255,13 @@ def test_chat_rows(spark):
         ("<svg><title>no</title><text>label</text></svg><math><mi>x</mi><annotation>no</annotation></math>", "labelx"),
         ("<table><tr><td><h1>Title</h1><p>one<p>two<ul><li>a<li>b</ul><td>side<tr><td>x<td>y</table>", "Title\n\none\n\ntwo\n\n- a\n- b\n\nside\n\nx | y"),
         ("<table><tr><td>a<br>b<td>c</table>", "a b | c"),
+        ("<table><tr><td>" + "w" * 60 + "<td>z<tr><td>a<td>b</table>", "w" * 60 + " | z\na" + " " * 59 + " | b"),
+        ("<table><tr><td colspan=40>a<td>b<tr><td>c" + "<td>" * 39 + "<td>d</table>", "a | b\nc | d"),
+        ("<table><tr><td rowspan=40>a<td>b" + "<tr><td>c" * 39 + "<tr><td>d<td>e</table>", "a | b\n" + "  | c\n" * 39 + "d | e"),
+        ("<table><tr><td rowspan=0>a<td>b" + "<tr><td>c" * 50 + "</table>", "a | b\n" + "\n".join(["  | c"] * 50)),
+        ("<table><tr><td rowspan=3>a<td rowspan=2>b<td>c<tr><td colspan=9>d<tr><td>e<td>f</table>", "a | b | c\n  |   | d\n  | e | f"),
+        ("<table><tr><td>a<td rowspan=2>b<td>c<tr><td colspan=3 rowspan=3>d<tr><td>e<tr><td>f<tr><td>g</table>", "a | b | c\nd\n  |   |   | e\n  |   |   | f\ng"),
+        ("<ol><li value=9>a<li>b</ol><ol reversed start=3><li>x<li>y</ol>", "9. a\n10. b\n\n3. x\n2. y"),
     ],
 )
 def test_html(page, text):
@@ -259,8 +280,12 @@ def test_html_is_linear_in_time_and_output():
         "<table><tr><td>" + "w" * 100_000 + "<td>z" + "<tr><td>a<td>b" * 300 + "</table>",
         "<table>" + "<tr><td colspan=1000>a<td>b" * 1000 + "</table>",
         "<table><tr>" + "<td rowspan=9999>a" * 1000 + "<tr><td>x" * 1000 + "</table>",
+        "<table>" + "".join(f"<tr><td colspan={n}><td>a" for n in range(1000)) * 5 + "</table>",
+        "<table><tr>" + "".join(f"<td rowspan={n}>a" for n in range(20_000, 1, -1)) + "<tr><td>x" * 20_000 + "</table>",
     ):
-        assert len(html_render.Page().render(page)) < 60 * len(page)
+        text = html_render.Page().render(page)
+        assert len(text) < 20 * len(page)
+        assert text.count("a") + text.count("x") + text.count("b") + text.count("z") + text.count("w") == len(re.sub("<[^>]*>", "", page))
 
 
 @settings(max_examples=300, deadline=None)
