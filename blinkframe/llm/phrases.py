@@ -30,8 +30,9 @@ TOP = 2000
 #: Hash buckets of words and of pairs; both fixed, whatever the corpus.
 WORD_BITS, PAIR_BITS = 20, 24
 PART = 1 << 12
-#: Distinct fragments that a task gathers before it gives them out.
+#: Distinct fragments that a task gathers before it gives them out, and how many of a pivot go into one row at most.
 HELD = 500_000
+ROW = 4096
 SLICE_BYTES = 4 << 20
 #: Occurrences of a pivot that one group holds at most, about; a word with more has its fragments dealt over several.
 PER_GROUP = 200_000
@@ -225,7 +226,7 @@ def _distinct(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], table: Table, longest: int) -> Iterator[pa.RecordBatch]:
-    """(lang, pivot, salt, fragment, at, n): distinct fragments with the pivot's place in them, as many as a task gathers."""
+    """(lang, pivot, salt, fragments, at, n): lists of distinct fragments, the pivot's place in them and how often each, as many as a task gathers."""
     known: dict[str, Words] = defaultdict(Words)
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     reach = longest - 1
@@ -237,11 +238,18 @@ def _fragments(batches: Iterator[pa.RecordBatch], table: Table, longest: int) ->
         groups = weights // PER_GROUP + 1
         mixed = _mixed((own.hashes[rows] * np.arange(1, rows.shape[1] + 1, dtype=np.uint64)).sum(1)) % groups.astype(np.uint64)
         salt = np.where(groups > 1, mixed.astype(np.int64) + 1, 0)
+        order = np.lexsort((salt, rows[:, reach]))
+        rows, times, salt = rows[order], times[order], salt[order]
         words = pa.array(list(own.number), pa.binary()).cast(pa.string())
         bounds = np.append(0, np.cumsum((rows > 0).sum(1)))
         texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.take(pa.array(rows[rows > 0]))), " ")
-        columns = [pa.array([lang] * len(rows), pa.string()), words.take(pa.array(rows[:, reach])), pa.array(salt), texts, pa.array((rows[:, :reach] > 0).sum(1)), pa.array(times)]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "pivot", "salt", "fragment", "at", "n"])
+        key = rows[:, reach].astype(np.int64) * (int(salt.max()) + 1) + salt
+        first = np.unique(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), np.arange(0, len(rows), ROW)))
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)), pa.int32()), values)
+        at, n = pa.array((rows[:, :reach] > 0).sum(1), pa.int32()), pa.array(times)
+        columns = [pa.array([lang] * len(first), pa.string()), words.take(pa.array(rows[first, reach])), pa.array(salt[first]), listed(texts), listed(at), listed(n)]
+        for some in range(0, len(first), 10_000):
+            yield pa.RecordBatch.from_arrays(columns, FRAGMENTS).slice(some, 10_000)
 
     for lang, items in _sliced(batches):
         own = known[lang]
@@ -265,6 +273,9 @@ def _fragments(batches: Iterator[pa.RecordBatch], table: Table, longest: int) ->
         yield from told(lang)
 
 
+FRAGMENTS = ["lang", "pivot", "salt", "fragments", "at", "n"]
+
+
 def _mined(batches: Iterator[pa.RecordBatch], least: int, longest: int) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, n) of each pivot's phrases; groups come sorted. A pivot that was dealt out gives all its sums, others the frequent ones."""
     now, counts = None, Counter()
@@ -274,16 +285,17 @@ def _mined(batches: Iterator[pa.RecordBatch], least: int, longest: int) -> Itera
         return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(kept), pa.string()), pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["lang", "phrase", "n"])
 
     for batch in batches:
-        columns = [batch[c].to_pylist() for c in ("lang", "pivot", "salt", "fragment", "at", "n")]
-        for lang, pivot, salt, fragment, at, n in zip(*columns, strict=True):
+        for row in range(len(batch)):
+            lang, pivot, salt, *lists = (batch[c][row].as_py() for c in FRAGMENTS)
             if (lang, pivot, salt) != now:
                 if now is not None:
                     yield told()
                 now, counts = (lang, pivot, salt), Counter()
-            words = fragment.split(" ")
-            for start in range(max(0, at - longest + 1), at + 1):
-                for end in range(max(at + 1, start + 2), min(len(words), start + longest) + 1):
-                    counts[" ".join(words[start:end])] += n
+            for fragment, at, n in zip(*lists, strict=True):
+                words = fragment.split(" ")
+                for start in range(max(0, at - longest + 1), at + 1):
+                    for end in range(max(at + 1, start + 2), min(len(words), start + longest) + 1):
+                        counts[" ".join(words[start:end])] += n
     if now is not None:
         yield told()
 
@@ -301,7 +313,7 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) ->
     summed = blocks.mapInArrow(lambda b: _summed(b, least), "block int, counts binary")
     # A fixed number of blocks, whatever the corpus: counts of 2 ** 20 buckets of words and bits of 2 ** 24 of pairs make 10 MB.
     told = docs.sparkSession.sparkContext.broadcast(Table(((r.block, bytes(r.counts)) for r in summed.toLocalIterator()), least))
-    fragments = own.mapInArrow(lambda b: _fragments(b, told.value, longest), "lang string, pivot string, salt long, fragment string, at long, n long")
+    fragments = own.mapInArrow(lambda b: _fragments(b, told.value, longest), "lang string, pivot string, salt long, fragments array<string>, at array<int>, n array<long>")
     dealt = fragments.repartition("lang", "pivot", "salt").sortWithinPartitions("lang", "pivot", "salt")
     mined = dealt.mapInArrow(lambda b: _mined(b, least, longest), "lang string, phrase string, n long")
     phrases = mined.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
