@@ -11,10 +11,18 @@ written without them. Tables of usual shape are far below either bound.
 
 from __future__ import annotations
 
+import heapq
+import heapq
+import heapq
+import heapq
 import heapq
 import html
 import re
 from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,6 +60,46 @@ _WHOLE = re.compile(r"-?[0-9]{1,9}")
 _DIGITS = re.compile(r"[ \t\n\r\f]*\+?0*([0-9]+)")
 
 
+def _span(value: str, most: int) -> int | None:
+    """The whole number that an attribute starts with, ``most`` at most; None without one."""
+    found = _DIGITS.match(value)
+    return None if found is None else most if len(found[1]) > 6 else min(int(found[1]), most)
+
+
+_WHOLE = re.compile(r"-?[0-9]{1,9}")
+_DIGITS = re.compile(r"[ \t\n\r\f]*\+?0*([0-9]+)")
+
+
+def _span(value: str, most: int) -> int | None:
+    """The whole number that an attribute starts with, ``most`` at most; None without one."""
+    found = _DIGITS.match(value)
+    return None if found is None else most if len(found[1]) > 6 else min(int(found[1]), most)
+
+
+_WHOLE = re.compile(r"-?[0-9]{1,9}")
+_DIGITS = re.compile(r"[ \t\n\r\f]*\+?0*([0-9]+)")
+
+
+def _span(value: str, most: int) -> int | None:
+    """The whole number that an attribute starts with, ``most`` at most; None without one."""
+    found = _DIGITS.match(value)
+    return None if found is None else most if len(found[1]) > 6 else min(int(found[1]), most)
+
+
+_WHOLE = re.compile(r"-?[0-9]{1,9}")
+_DIGITS = re.compile(r"[ \t\n\r\f]*\+?0*([0-9]+)")
+
+
+def _span(value: str, most: int) -> int | None:
+    """The whole number that an attribute starts with, ``most`` at most; None without one."""
+    found = _DIGITS.match(value)
+    return None if found is None else most if len(found[1]) > 6 else min(int(found[1]), most)
+
+
+_WHOLE = re.compile(r"-?[0-9]{1,9}")
+_DIGITS = re.compile(r"[ \t\n\r\f]*\+?0*([0-9]+)")
+
+
 def _span(value: str, most: int) -> int | None:
     """The whole number that an attribute starts with, ``most`` at most; None without one."""
     found = _DIGITS.match(value)
@@ -229,6 +277,258 @@ class _Taken:
                     self.under.append((a, b, until))
 
 
+class _Taken:
+    """Columns that cells of rows above still take: blocks without a gap between them, and when each cell gives its own back."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []  # heap of (last row, start, end)
+        self.under: list[tuple[int, int, int]] = []  # cells, or parts of them, below others that end before they do
+
+    def free_from(self, column: int) -> int:
+        """The first free column from this one on."""
+        at = bisect_right(self.starts, column) - 1
+        return self.ends[at] if at >= 0 and self.ends[at] > column else column
+
+    def add(self, start: int, end: int, last: int) -> None:
+        """Take columns up to a row; what is taken already waits below."""
+        at = start
+        while at < end:
+            free = self.free_from(at)
+            if free > at:
+                self.under.append((at, min(free, end), last))
+                at = free
+                continue
+            nth = bisect_left(self.starts, at)
+            stop = min(end, self.starts[nth]) if nth < len(self.starts) else end
+            self._put(at, stop)
+            heapq.heappush(self.until, (last, at, stop))
+            at = stop
+
+    def _put(self, start: int, end: int) -> None:
+        nth = bisect_left(self.starts, start)
+        if nth and self.ends[nth - 1] == start:
+            nth -= 1
+            start = self.starts[nth]
+            del self.starts[nth], self.ends[nth]
+        if nth < len(self.starts) and self.starts[nth] == end:
+            end = self.ends[nth]
+            del self.starts[nth], self.ends[nth]
+        self.starts.insert(nth, start)
+        self.ends.insert(nth, end)
+
+    def row(self, number: int) -> None:
+        """Give back what ended above this row."""
+        while self.until and self.until[0][0] < number:
+            _, start, end = heapq.heappop(self.until)
+            nth = bisect_right(self.starts, start) - 1
+            first, last = self.starts[nth], self.ends[nth]
+            del self.starts[nth], self.ends[nth]
+            for a, b in ((end, last), (first, start)):
+                if a < b:
+                    self.starts.insert(nth, a)
+                    self.ends.insert(nth, b)
+            waiting, self.under = self.under, []
+            for a, b, until in waiting:
+                if until < number:
+                    continue
+                if a < end and start < b:
+                    self.under += [(x, y, until) for x, y in ((a, start), (end, b)) if x < y]
+                    self.add(max(a, start), min(b, end), until)
+                else:
+                    self.under.append((a, b, until))
+
+
+class _Taken:
+    """Columns that cells of rows above still take: blocks without a gap between them, and when each cell gives its own back."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []  # heap of (last row, start, end)
+        self.under: list[tuple[int, int, int]] = []  # cells, or parts of them, below others that end before they do
+
+    def free_from(self, column: int) -> int:
+        """The first free column from this one on."""
+        at = bisect_right(self.starts, column) - 1
+        return self.ends[at] if at >= 0 and self.ends[at] > column else column
+
+    def add(self, start: int, end: int, last: int) -> None:
+        """Take columns up to a row; what is taken already waits below."""
+        at = start
+        while at < end:
+            free = self.free_from(at)
+            if free > at:
+                self.under.append((at, min(free, end), last))
+                at = free
+                continue
+            nth = bisect_left(self.starts, at)
+            stop = min(end, self.starts[nth]) if nth < len(self.starts) else end
+            self._put(at, stop)
+            heapq.heappush(self.until, (last, at, stop))
+            at = stop
+
+    def _put(self, start: int, end: int) -> None:
+        nth = bisect_left(self.starts, start)
+        if nth and self.ends[nth - 1] == start:
+            nth -= 1
+            start = self.starts[nth]
+            del self.starts[nth], self.ends[nth]
+        if nth < len(self.starts) and self.starts[nth] == end:
+            end = self.ends[nth]
+            del self.starts[nth], self.ends[nth]
+        self.starts.insert(nth, start)
+        self.ends.insert(nth, end)
+
+    def row(self, number: int) -> None:
+        """Give back what ended above this row."""
+        while self.until and self.until[0][0] < number:
+            _, start, end = heapq.heappop(self.until)
+            nth = bisect_right(self.starts, start) - 1
+            first, last = self.starts[nth], self.ends[nth]
+            del self.starts[nth], self.ends[nth]
+            for a, b in ((end, last), (first, start)):
+                if a < b:
+                    self.starts.insert(nth, a)
+                    self.ends.insert(nth, b)
+            waiting, self.under = self.under, []
+            for a, b, until in waiting:
+                if until < number:
+                    continue
+                if a < end and start < b:
+                    self.under += [(x, y, until) for x, y in ((a, start), (end, b)) if x < y]
+                    self.add(max(a, start), min(b, end), until)
+                else:
+                    self.under.append((a, b, until))
+
+
+class _Taken:
+    """Columns that cells of rows above still take: blocks without a gap between them, and when each cell gives its own back."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []  # heap of (last row, start, end)
+        self.under: list[tuple[int, int, int]] = []  # cells, or parts of them, below others that end before they do
+
+    def free_from(self, column: int) -> int:
+        """The first free column from this one on."""
+        at = bisect_right(self.starts, column) - 1
+        return self.ends[at] if at >= 0 and self.ends[at] > column else column
+
+    def add(self, start: int, end: int, last: int) -> None:
+        """Take columns up to a row; what is taken already waits below."""
+        at = start
+        while at < end:
+            free = self.free_from(at)
+            if free > at:
+                self.under.append((at, min(free, end), last))
+                at = free
+                continue
+            nth = bisect_left(self.starts, at)
+            stop = min(end, self.starts[nth]) if nth < len(self.starts) else end
+            self._put(at, stop)
+            heapq.heappush(self.until, (last, at, stop))
+            at = stop
+
+    def _put(self, start: int, end: int) -> None:
+        nth = bisect_left(self.starts, start)
+        if nth and self.ends[nth - 1] == start:
+            nth -= 1
+            start = self.starts[nth]
+            del self.starts[nth], self.ends[nth]
+        if nth < len(self.starts) and self.starts[nth] == end:
+            end = self.ends[nth]
+            del self.starts[nth], self.ends[nth]
+        self.starts.insert(nth, start)
+        self.ends.insert(nth, end)
+
+    def row(self, number: int) -> None:
+        """Give back what ended above this row."""
+        while self.until and self.until[0][0] < number:
+            _, start, end = heapq.heappop(self.until)
+            nth = bisect_right(self.starts, start) - 1
+            first, last = self.starts[nth], self.ends[nth]
+            del self.starts[nth], self.ends[nth]
+            for a, b in ((end, last), (first, start)):
+                if a < b:
+                    self.starts.insert(nth, a)
+                    self.ends.insert(nth, b)
+            waiting, self.under = self.under, []
+            for a, b, until in waiting:
+                if until < number:
+                    continue
+                if a < end and start < b:
+                    self.under += [(x, y, until) for x, y in ((a, start), (end, b)) if x < y]
+                    self.add(max(a, start), min(b, end), until)
+                else:
+                    self.under.append((a, b, until))
+
+
+class _Taken:
+    """Columns that cells of rows above still take: blocks without a gap between them, and when each cell gives its own back."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []  # heap of (last row, start, end)
+        self.under: list[tuple[int, int, int]] = []  # cells, or parts of them, below others that end before they do
+
+    def free_from(self, column: int) -> int:
+        """The first free column from this one on."""
+        at = bisect_right(self.starts, column) - 1
+        return self.ends[at] if at >= 0 and self.ends[at] > column else column
+
+    def add(self, start: int, end: int, last: int) -> None:
+        """Take columns up to a row; what is taken already waits below."""
+        at = start
+        while at < end:
+            free = self.free_from(at)
+            if free > at:
+                self.under.append((at, min(free, end), last))
+                at = free
+                continue
+            nth = bisect_left(self.starts, at)
+            stop = min(end, self.starts[nth]) if nth < len(self.starts) else end
+            self._put(at, stop)
+            heapq.heappush(self.until, (last, at, stop))
+            at = stop
+
+    def _put(self, start: int, end: int) -> None:
+        nth = bisect_left(self.starts, start)
+        if nth and self.ends[nth - 1] == start:
+            nth -= 1
+            start = self.starts[nth]
+            del self.starts[nth], self.ends[nth]
+        if nth < len(self.starts) and self.starts[nth] == end:
+            end = self.ends[nth]
+            del self.starts[nth], self.ends[nth]
+        self.starts.insert(nth, start)
+        self.ends.insert(nth, end)
+
+    def row(self, number: int) -> None:
+        """Give back what ended above this row."""
+        while self.until and self.until[0][0] < number:
+            _, start, end = heapq.heappop(self.until)
+            nth = bisect_right(self.starts, start) - 1
+            first, last = self.starts[nth], self.ends[nth]
+            del self.starts[nth], self.ends[nth]
+            for a, b in ((end, last), (first, start)):
+                if a < b:
+                    self.starts.insert(nth, a)
+                    self.ends.insert(nth, b)
+            waiting, self.under = self.under, []
+            for a, b, until in waiting:
+                if until < number:
+                    continue
+                if a < end and start < b:
+                    self.under += [(x, y, until) for x, y in ((a, start), (end, b)) if x < y]
+                    self.add(max(a, start), min(b, end), until)
+                else:
+                    self.under.append((a, b, until))
+
+
 class _Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, str]]] = []  # (column, text) of cells with text

@@ -30,7 +30,8 @@ LENGTH = 4096
 OPEN_BINS = 1024
 PIECES_A_TASK = 100_000
 PIECES_A_GROUP = 8192
-CACHED_WORDS = 250_000
+#: Words a worker keeps, and parts of words.
+CACHED_WORDS, CACHED_PARTS = 500_000, 250_000
 KEPT_WORDS = 50_000
 ENDS = frozenset(".,;:!?")
 #: Characters that need the tokenizer itself: beyond Latin-1, or white space to Python alone.
@@ -57,7 +58,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
-        self.parts, self.words = WordCache(self._merged, limit), WordCache(self._split, limit)
+        self.parts, self.words = WordCache(self._merged, min(limit, CACHED_PARTS)), WordCache(self._split, limit)
         self.known = known_kind(told)
         if not self.known:
             return
