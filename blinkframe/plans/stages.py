@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from blinkframe.config import CandidateSettings, FittingSettings, FocusSettings, GlobalSettings, LocalizationSettings, PostprocSettings, ReconstructionSettings, Settings, ThresholdSettings
 from blinkframe.operators import clusters, fitters, focus, images, localize, postproc
+from blinkframe.sources import published
 
 PHASES = ("frames", "events", "derived")
 Build = Callable[[dict[str, DataFrame], Settings, GlobalSettings], DataFrame]
@@ -124,11 +125,19 @@ class Run:
     def diagnostics(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.said, "severity string, stage string, message string")
 
-    def publish(self, prefix: str = "") -> None:
-        """Offer every result as a temporary view; a later run replaces it and counts one generation on."""
+    def publish(self, prefix: str = "", folder: str | None = None) -> None:
+        """Offer every result as a temporary view; a later run replaces it and counts one generation on.
+
+        With a folder, results are written there and views read them: a result whose content is that of the run before, in
+        this session or another, keeps its generation. Events are read, not published.
+        """
         for name, rows in self.results.items():
-            rows.createOrReplaceTempView(prefix + name)
-            self.generation[name] = self.generation.get(name, 0) + 1
+            if folder is None:
+                rows.createOrReplaceTempView(prefix + name)
+                self.generation[name] = self.generation.get(name, 0) + 1
+            elif name != "events":
+                self.generation[name] = published.publish(rows, f"{folder}/{name}")
+                published.read(rows.sparkSession, f"{folder}/{name}", self.generation[name]).createOrReplaceTempView(prefix + name)
 
 
 def run(events: DataFrame, stages: list[Stage] = STAGES, known: GlobalSettings | None = None) -> Run:

@@ -5,7 +5,9 @@ Doubles are rounded on both sides: sums run in any order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ from blinkframe import oracle as O  # noqa: N812
 from blinkframe.config import CandidateSettings, Finding, Fit, FittingSettings, Focus, LocalizationSettings, Polarity, PostprocSettings
 from blinkframe.operators import clusters, fitters, focus, images, localize, postproc
 from blinkframe.operators.rangejoin import within
-from blinkframe.sources import calendar, events
-from blinkframe.sources.shared import checkpoint
+from blinkframe.sources import calendar, events, published
+from blinkframe.sources.retained import History
+from blinkframe.sources.shared import checkpoint, shared_folder
 
 #: Geometry of the fixtures.
 SENSOR = {"width": events.WIDTH, "height": events.HEIGHT}
@@ -91,6 +94,36 @@ def _(spark, sf):
     return events.history_range(events.scattered(spark, sf), 400_000_000, 1_500_000_000)
 
 
+@register("retained_history", O.query(O.EV, "SELECT count(DISTINCT frame) AS frame_count, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS event_count, min(timestamp_us) AS oldest_timestamp_us, count(DISTINCT timestamp_us // 100000000) AS n_blocks FROM ev WHERE timestamp_us >= 600000000 AND timestamp_us < 1500000000"))
+def _(spark, sf):
+    """Two deliveries, the second of them twice; blocks that end before 650 s are gone, whatever the range asks for."""
+    own, kept = events.scattered(spark, sf), History(f"{shared_folder(spark)}/history-{uuid.uuid4().hex}", 100_000_000)
+    kept.add(own.filter("event_seq % 2 = 0"), "even")
+    for _ in range(2):
+        kept.add(own.filter("event_seq % 2 = 1"), "odd")
+    kept.expire(spark, 650_000_000)
+    found = kept.read(spark, 400_000_000, 1_500_000_000)
+    return events.history_range(found, 400_000_000, 1_500_000_000, F.countDistinct("block").alias("n_blocks"))
+
+
+@register("published_generations", O.query(O.EV, """counts AS (
+      SELECT 1 AS run, frame, count(*) AS n FROM ev GROUP BY frame UNION ALL SELECT 2, frame, count(*) FROM ev GROUP BY frame
+      UNION ALL SELECT 3, frame, count(*) FROM ev WHERE polarity GROUP BY frame UNION ALL SELECT 4, frame, count(*) FROM ev WHERE polarity GROUP BY frame)""",
+    "tables AS (SELECT run, list([frame, n] ORDER BY frame) AS content, count(*) AS n_rows, sum(n)::BIGINT AS n_events FROM counts GROUP BY run)",
+    "told AS (SELECT *, lag(content) OVER (ORDER BY run) IS DISTINCT FROM content AS changed FROM tables)",
+    "SELECT run, sum(changed::INT) OVER (ORDER BY run)::BIGINT AS generation, n_rows, n_events FROM told"))
+def _(spark, sf):
+    """Counts by frame of four runs, the second with the rows of the first and the fourth with those of the third in other partitions."""
+    folder, out = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}", []
+    own = events.scattered(spark, sf)
+    for run, rows in enumerate((own, own, own.filter("polarity"), own.filter("polarity")), 1):
+        counts = rows.groupBy("frame").agg(F.count("*").alias("n"))
+        generation = published.publish(counts if run % 2 else counts.repartition(7), folder)
+        seen = published.read(spark, folder, generation).agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_events"))
+        out.append(seen.select(F.lit(run).alias("run"), F.lit(generation).cast("long").alias("generation"), "n_rows", "n_events"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @register("source_fallback", O.query(O.EV, "SELECT frame, count(*) AS n FROM ev WHERE (frame % 2 = 0 AND polarity) OR (frame % 2 = 1 AND NOT polarity) GROUP BY frame"))
 def _(spark, sf):
     own = events.scattered(spark, sf)

@@ -101,9 +101,9 @@ def history(events: DataFrame, start_us: int, end_us: int) -> DataFrame:
     return events.filter((F.col("timestamp_us") >= start_us) & (F.col("timestamp_us") < end_us))
 
 
-def history_range(events: DataFrame, start_us: int, end_us: int) -> DataFrame:
-    """One row: frame_count, first and last frame, event count and oldest timestamp of a time range."""
+def history_range(events: DataFrame, start_us: int, end_us: int, *more: Column) -> DataFrame:
+    """One row: frame_count, first and last frame, event count and oldest timestamp of a time range, and ``more`` aggregates."""
     return history(events, start_us, end_us).agg(
         F.countDistinct("frame").alias("frame_count"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"),
-        F.count("*").alias("event_count"), F.min("timestamp_us").alias("oldest_timestamp_us"),
+        F.count("*").alias("event_count"), F.min("timestamp_us").alias("oldest_timestamp_us"), *more,
     )

@@ -22,3 +22,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def _located(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder of any file system that Spark reads, in order; none if there is no such folder."""
+    system, found = _located(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(found)) if system.exists(found) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder with all below it; nothing happens if there is none."""
+    system, found = _located(spark, path)
+    system.delete(found, True)
