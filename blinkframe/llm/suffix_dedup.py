@@ -31,6 +31,12 @@ from blinkframe.llm.frames import slices, text_bytes
 LENGTH = 50
 SLICE_BYTES = 1 << 18
 RUNS_AT_ONCE = 40_000
+#: Bytes of text for each part that anchors and spans are dealt to, so that a task's memory doesn't grow with the corpus.
+PART_BYTES = 1 << 27
+#: Bytes of runs that are copied at once; their positions take eight times as much.
+COPIED_BYTES = 1 << 20
+#: Copies of one text are dealt by digest and one of so many salts when they look for the first of them.
+SALTS = 64
 #: Texts that share an anchor beyond which its windows are dealt one by one, by all their bytes.
 HOT_TEXTS = 10_000
 HOT = np.uint64(1 << 63)
@@ -88,6 +94,21 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     return row[starts], windows[starts], counts, value
 
 
+def _parts(bounds: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Rows from a to b and the bytes of them to look at: texts by slices, and a longer one in parts.
+
+    Parts overlap by a byte less than a window has, so each window lies in one part. What a window names is told from its own
+    bytes, so a run that is cut there is two runs of one anchor, whose windows are compared like those of any other.
+    """
+    for a, b in slices(bounds, SLICE_BYTES):
+        low, high = int(bounds[a]), int(bounds[b])
+        if high - low < SLICE_BYTES + length:
+            yield a, b, low, high
+        else:
+            for at in range(low, high - length + 1, SLICE_BYTES):
+                yield a, b, at, min(at + SLICE_BYTES + length - 1, high)
+
+
 def _codes(anchors: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Destination of an anchor, and what tells it from others there."""
     return (anchors % np.uint64(parts)).astype(np.int64), (anchors >> np.uint64(32)).astype(np.uint32)
@@ -112,8 +133,8 @@ def _packed_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int)
         chosen = np.zeros(len(ids), bool)
         chosen[list(first.values())] = True
         found = []
-        for a, b in slices(bounds, SLICE_BYTES):
-            row, _, _, anchors = runs(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], length)
+        for a, b, low, high in _parts(bounds, length):
+            row, _, _, anchors = runs(data[low:high], np.clip(bounds[a : b + 1], low, high) - low, length)
             keep = chosen[a + row]
             found.append((a + row[keep], anchors[keep]))
         row, anchors = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -210,6 +231,24 @@ def _window_keys(piece: np.ndarray, start: np.ndarray, length: int) -> np.ndarra
     return value
 
 
+def _among(values: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted pool."""
+    if not len(pool):
+        return np.zeros(len(values), bool)
+    return pool[np.minimum(np.searchsorted(pool, values), len(pool) - 1)] == values
+
+
+def _copied(piece: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bytes of all runs one behind the other, some at a time."""
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    out = np.empty(ends[-1], np.uint8)
+    cuts = np.unique(np.r_[0, np.searchsorted(begins, np.arange(0, ends[-1], COPIED_BYTES)), len(sizes)])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        out[begins[a] : ends[b - 1]] = piece[np.repeat(start[a:b] - begins[a:b], sizes[a:b]) + np.arange(begins[a], ends[b - 1])]
+    return out
+
+
 def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Runs of windows whose anchor other texts have too.
 
@@ -220,19 +259,22 @@ def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
         data, bounds = text_bytes(batch["text"])
         ids, uids, codes = batch["doc_id"].to_numpy(), batch["uid"].to_numpy(), batch["rows"]
         found: list[tuple] = []
-        for a, b in slices(bounds, SLICE_BYTES):
-            base = bounds[a]
-            piece = data[base : bounds[b]]
-            row, start, count, anchors = runs(piece, bounds[a : b + 1] - base, length)
+        text, plain, marked = -1, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for a, b, low, high in _parts(bounds, length):
+            piece = data[low:high]
+            row, start, count, anchors = runs(piece, np.clip(bounds[a : b + 1], low, high) - low, length)
             part, rest = _codes(anchors, parts)
             code = rest.astype(np.uint64) * np.uint64(parts) + part.astype(np.uint64)
             edges = np.searchsorted(row, np.arange(b - a + 1))
             keep, hot = np.zeros(len(row), bool), np.zeros(len(row), bool)
             for r in range(b - a):
-                own = np.frombuffer(codes[a + r].as_py(), np.uint64)
+                if text != a + r:
+                    text, own = a + r, np.sort(np.frombuffer(codes[a + r].as_py(), np.uint64))
+                    plain, marked = np.split(own, [np.searchsorted(own, HOT)])
+                    marked = marked & ~HOT
                 some = slice(edges[r], edges[r + 1])
-                keep[some] = np.isin(code[some], own & ~HOT)
-                hot[some] = np.isin(code[some], own[own >= HOT] & ~HOT)
+                hot[some] = _among(code[some], marked)
+                keep[some] = hot[some] | _among(code[some], plain)
             row, start, count, anchors, hot = row[keep], start[keep], count[keep], anchors[keep], hot[keep]
             if not len(row):
                 continue
@@ -243,9 +285,7 @@ def _shared_runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
                 row, start, anchors, hot, first = (np.repeat(v, times) for v in (row, start, anchors, hot, np.cumsum(times) - times))
                 start = start + np.arange(len(start)) - first
                 anchors[hot] = _window_keys(piece, start[hot], length)
-            ends = np.cumsum(sizes)
-            gathered = piece[np.repeat(start - (ends - sizes), sizes) + np.arange(ends[-1])]
-            found.append((anchors.view(np.int64), a + row, start - (bounds[a + row] - base), sizes, _binary(gathered, ends - sizes)))
+            found.append((anchors.view(np.int64), a + row, start + low - bounds[a + row], sizes, _binary(_copied(piece, start, sizes), np.cumsum(sizes) - sizes)))
             if sum(len(f[4]) for f in found) >= RUNS_AT_ONCE:
                 yield from _sent(found, ids, uids, parts)
                 found = []
@@ -432,13 +472,15 @@ def _with_spans(docs: DataFrame, key: str, text: str, length: int, hot_texts: in
     """doc_id, text, payload, first_id (least id of equal texts) and lost (spans) of every row."""
     if length < 16:
         raise ValueError("windows of 16 bytes or more")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), payload.alias("payload"))
     known = known.withColumn("uid", F.xxhash64("doc_id", "text"))
-    plain = known.select("doc_id", "uid", "text")
-    digests = plain.select("doc_id", "uid", F.unhex(F.sha2("text", 256)).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    status = digests.join(firsts, "digest").select("uid", F.col("doc_id").alias("of"), "first_id").distinct()
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    # Copies of one text meet by salts: a salt's first, then the first of all, which goes back to each salt that is there.
+    digests = known.select("doc_id", "uid", F.unhex(F.sha2("text", 256)).alias("digest"), F.pmod("uid", F.lit(SALTS)).alias("salt")).distinct()
+    salted = digests.groupBy("digest", "salt").agg(F.min("doc_id").alias("first_id"))
+    firsts = salted.groupBy("digest").agg(F.min("first_id").alias("first_id"), F.collect_list("salt").alias("salts"))
+    status = digests.join(firsts.select("digest", "first_id", F.explode("salts").alias("salt")), ["digest", "salt"]).select("uid", F.col("doc_id").alias("of"), "first_id")
 
     # All joins with texts deal the same columns by uid, so that the texts are shuffled once.
     texts = known.select("doc_id", "uid", "text", "payload")

@@ -96,6 +96,67 @@ def test_streamed_in_small_chunks(monkeypatch):
     assert lost(10**6) == lost(7) == lost(1)
 
 
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_long_texts_in_parts(spark, monkeypatch, hot):
+    """Texts much longer than a slice, cut in the middle of shared passages, and many copies of one."""
+    rng = random.Random(11)
+    passages = ["".join(rng.choice("abcde ") for _ in range(rng.randint(60, 400))) for _ in range(8)]
+    long = ["".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choice("fghij ") for _ in range(80)) for _ in range(30)) for _ in range(4)]
+    rows = [(i, text) for i, text in enumerate([*long, long[0][:3000], long[1], long[1], "z" * 3000, "yy" * 900 + "z" * 120])]
+    texts = [text.encode() for _, text in rows]
+    bounds = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    for most in (1, 37, 256, 5000):
+        monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", most)
+        seen = [low + i for a, b, low, high in suffix_dedup._parts(bounds, 50) for t in range(a, b) for i in range(max(bounds[t], low) - low, min(bounds[t + 1], high) - low - 49)]
+        assert seen == [i for t in range(len(texts)) for i in range(bounds[t], bounds[t + 1] - 49)]
+    whole = suffix_dedup.runs(data, bounds, 50)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 256)
+    cut = [(a + r, low + s, n, h) for a, b, low, high in suffix_dedup._parts(bounds, 50) for r, s, n, h in zip(*suffix_dedup.runs(data[low:high], np.clip(bounds[a : b + 1], low, high) - low, 50), strict=True)]
+    named = lambda found: {s + i: h for _, s, n, h in found for i in range(n)}
+    assert named(cut) == named(zip(*whole, strict=True))
+    # Workers import the module anew: the parts of a batch are taken here, with both kinds of anchors.
+    import pyarrow as pa
+
+    part, rest = suffix_dedup._codes(whole[3], 5)
+    code = rest.astype(np.uint64) * np.uint64(5) + part.astype(np.uint64)
+    own = [np.unique(code[whole[0] == t]) for t in range(len(texts))]
+    marks = suffix_dedup.HOT if hot == 1 else np.uint64(0)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(100, 100 + len(texts))), pa.array([t.decode() for t in texts]), pa.array([(o | marks).tobytes() for o in own])], ["doc_id", "uid", "text", "rows"])
+
+    def sent(most):
+        monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", most)
+        monkeypatch.setattr(suffix_dedup, "COPIED_BYTES", most)
+        runs = pa.Table.from_batches(list(suffix_dedup._shared_runs(iter([batch]), 50, 5)))
+        plain = runs.filter(pa.compute.is_null(runs["uids"]))
+        ordered = plain.sort_by([("anchor", "ascending"), ("doc_id", "ascending")]).to_batches() + runs.filter(pa.compute.is_valid(runs["uids"])).to_batches()
+        gone = {t: np.zeros(len(x) + 1, bool) for t, x in enumerate(texts)}
+        for spans in suffix_dedup._unpacked(suffix_dedup._sorted_runs(iter(ordered), 50, 5), 3):
+            for r in spans.to_pylist():
+                for doc, x, y in np.frombuffer(r["rows"], np.int64).reshape(-1, 3):
+                    gone[doc][x:y] = True
+        return {t: g[:-1].tobytes() for t, g in gone.items()}
+
+    want = {}
+    first = {}
+    for t, x in enumerate(texts):
+        want[t] = np.zeros(len(x) + 1, bool)
+        for i in range(len(x) - 49):
+            if first.setdefault(x[i : i + 50], t) < t:
+                want[t][i : i + 50] = True
+    want = {t: g[:-1].tobytes() for t, g in want.items()}
+    assert sent(1 << 18) == want
+    assert sent(300) == want
+
+
+def test_many_copies_and_parts_by_size(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "SALTS", 3)
+    passage = "a passage of far more than fifty bytes that all of the copies share, word by word "
+    rows = [(i, passage * 2) for i in range(40)] + [(7, passage * 2)] * 5 + [(50 + i, f"own {i} " + passage) for i in range(10)] + [(None, passage * 2)]
+    assert digests(spark, rows, 50) == brute(rows, 50)
+
+
 def whole_characters(rows, length):
     """Texts without every character that loses a byte."""
     first = {}
