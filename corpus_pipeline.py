@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from blinkframe.llm import exact_dedup, near_dedup, packing, quality_rules, suffix_dedup
 from blinkframe.llm.frames import shared_folder, table
 from blinkframe.llm.queries import WORD_TOKENIZER
+from blinkframe.sources.shared import remove
 
 #: Bytes of a passage that must repeat in another document to be cut; 50 words of running text have more.
 PASSAGE_BYTES = 150
@@ -36,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id has too are cut out of texts; n_chars follows."""
     kept = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what each but the last returns is written in the shared folder and read again."""
+    """All stages over the documents table; what each but the last returns is written in the shared folder and read again.
+
+    A stage's table goes once the next one is written; the last of them stays, as the result is read from it. An empty
+    table gives no rows. Null and repeated ids, null texts and columns of any name pass through the stages.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     *stages, (_, last) = STAGES
     for number, (_, stage) in enumerate(stages):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        remove(spark, f"{folder}/{number - 1}")
     return last(spark, docs, sf_dir)
