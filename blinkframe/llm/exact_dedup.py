@@ -174,7 +174,7 @@ def _combined(batch: pa.RecordBatch, normalize: Callable[[str], str] | None) ->
 
 def _dealt(docs: DataFrame, key: str, text: str, normalize: Callable[[str], str] | None, payload) -> DataFrame:
     """Records of every batch, dealt by hash."""
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("content"), payload.alias("payload"))
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("content"), payload.alias("payload"))
     kinds = rows.schema
     schema = T.StructType([
         T.StructField("hash", T.LongType()),
@@ -259,7 +259,7 @@ def exact_groups(
     groups = _dealt(docs, key, text, normalize, F.lit(0)).mapInArrow(work, schema)
     # The ids of one large group leave the task that found it before they become rows.
     members = groups.hint("rebalance").select("keep_id", "group_size", "holds", "text_sha256", F.posexplode("ids").alias("nth", key))
-    return members.select(key, "keep_id", "group_size", (F.col("holds") & (F.col("nth") == 0)).alias("kept"), "text_sha256")
+    return members.select(f"`{key}`", "keep_id", "group_size", (F.col("holds") & (F.col("nth") == 0)).alias("kept"), "text_sha256")
 
 
 def exact_dedup(

@@ -57,6 +57,45 @@ def test_whole_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+CLASHES = ["uid", "payload", "digest", "salt", "first_id", "lost", "rows", "ids", "hash", "content", "kept", "n_words", "band", "rep", "start", "a.b"]
+
+
+def test_run_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [prose(rng, 120) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (4, prose(rng, 120)), (None, texts[5]), (None, prose(rng, 120)), (None, None), (20, None), (21, ""), (22, texts[6] + " " + texts[7])]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(n).alias(c) for n, c in enumerate(CLASHES)])
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, FOLDER)
+        assert seen.columns == docs.columns, name
+        seen = seen.cache()
+        assert all(r[c] == n for r in seen.collect() for n, c in enumerate(CLASHES))
+    found = sorted(r.doc_id for r in seen.collect() if r.doc_id is not None)
+    # Equal texts keep the largest id, a null one is the least; a repeated row is one of two equal texts.
+    assert set(range(12)) <= set(found) and found.count(3) == 1 and found.count(4) == 2
+    assert sum(r.doc_id is None for r in seen.collect()) == 1
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({(r.doc_id or -1) for r in packed}) == sorted({(-1 if r.doc_id is None else r.doc_id or -1) for r in seen.collect()})
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{FOLDER}/documents.parquet").filter(F.lit(False)).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_only_the_last_stage_table_stays(spark):
+    from blinkframe.sources.shared import children, shared_folder
+
+    folder = shared_folder(spark)
+    before = set(children(spark, folder))
+    corpus_pipeline.run(spark, FOLDER).count()
+    (made,) = [f for f in set(children(spark, folder)) - before if f.startswith("corpus-")]
+    assert children(spark, f"{folder}/{made}") == [str(len(corpus_pipeline.STAGES) - 2)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
