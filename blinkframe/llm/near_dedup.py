@@ -2,8 +2,9 @@
 
 1. Every text gets MinHash samples in bands, an odd sketch of them (a parity bitmap: each sample flips one bit) and a
    fingerprint of its whole shingle set. Texts with one set are one class; only a representative goes on.
-2. A bucket is all representatives that share a band. Each member is compared with the bucket's first member: links for a
-   group of copies grow with its size, not with its square. A first member travels once to every thousand or so others.
+2. A bucket is all representatives that share a band; of buckets with the same members one goes on. Each member is
+   compared with the bucket's first member: links for a group of copies grow with its size, not with its square. A first
+   member travels once to every thousand or so others.
 3. Pairs whose sketches differ in more bits than a pair at the threshold plausibly would are dropped: the population
    count of their XOR estimates high similarities closely. The others are confirmed on complete shingle sets.
 4. Members of one bucket that are still in different components meet block by block, each pair of blocks a group of its
@@ -34,6 +35,8 @@ from blinkframe.llm.shingles import mixed, shingle_sets
 
 BANDS = 40
 ROWS = 4
+#: A band's number is in the low bits of its key.
+PLACES = 64
 SIMILARITY = 80
 #: Shingles of a block, each member counted as MEMBER more: at most 2,048 members and 16 MB of sets, a longer text alone.
 BLOCK = 1 << 21
@@ -102,6 +105,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (rows, BANDS)).copy()
             for r in range(ROWS):
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + samples[:, r::ROWS])
+            key = key & ~np.uint64(PLACES - 1) | np.arange(BANDS, dtype=np.uint64)
             sketch = COARSE.sketches(samples)
             some = counts > 0
             yield pa.RecordBatch.from_arrays(
@@ -114,31 +118,31 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _with_first(pairs: DataFrame, own: DataFrame, payload: list[str], compare: Callable) -> DataFrame:
-    """Pairs (u, v) that ``compare`` accepts, from rows (u, v, n); ``own`` has the payload of each doc_id.
+    """Rows (u, v, n) that ``compare`` accepts; ``own`` has the payload of each doc_id.
 
     The v of one u are dealt into about n / FOLLOWERS groups; u's payload is sent to each group once, ahead of theirs.
     compare(batch, at, first) tells of rows ``at`` of a batch whether they go with row ``first`` of it.
     """
-    pairs = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / FOLLOWERS)).alias("part"))
-    keys = ["u", "part", "side"]
-    first = pairs.select("u", "part").distinct().join(own, F.col("u") == F.col("doc_id")).select("u", "part", F.lit(0).alias("side"), "doc_id", *payload)
-    rest = pairs.join(own, F.col("v") == F.col("doc_id")).select("u", "part", F.lit(1).alias("side"), "doc_id", *payload)
-    rows = first.unionByName(rest).repartition("u", "part").sortWithinPartitions(*keys)
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / FOLLOWERS)))
+    first = F.struct(F.lit(0).alias("side"), F.col("u").alias("doc_id"), F.lit(0).cast("long").alias("n"))
+    rest = F.struct(F.lit(1).alias("side"), F.col("v").alias("doc_id"), F.col("n").cast("long").alias("n"))
+    told = pairs.select("u", "part", F.explode(F.array(first, rest)).alias("row")).select("u", "part", "row.*").distinct()
+    rows = told.join(own, "doc_id").select("u", "part", "side", "doc_id", "n", *payload).repartition("u", "part").sortWithinPartitions("u", "part", "side")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: pa.RecordBatch | None = None
         for batch in batches:
             if last is not None:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            side, u, doc = (batch[n].to_numpy() for n in ("side", "u", "doc_id"))
+            side, u, doc, size = (batch[n].to_numpy() for n in ("side", "u", "doc_id", "n"))
             lead = np.maximum.accumulate(np.where(side == 0, np.arange(len(side)), 0))
             at = np.flatnonzero(side == 1)
             hit = at[compare(batch, at, lead[at])] if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(u[hit]), pa.array(doc[hit])], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u[hit]), pa.array(doc[hit]), pa.array(size[hit])], ["u", "v", "n"])
             if len(lead):
                 last = batch.slice(int(lead[-1]), 1)
 
-    return rows.mapInArrow(work, "u long, v long")
+    return rows.mapInArrow(work, "u long, v long, n long")
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -146,7 +150,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of (u, v, n) whose sketches and set sizes allow the similarity, with n."""
+    """Rows (u, v, n) whose sketches and set sizes allow the similarity."""
     most = COARSE.farthest(percent / 100)
 
     def compare(batch: pa.RecordBatch, at: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -168,7 +172,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of (u, v, n) with 100 * intersection >= percent * union of their complete shingle sets."""
+    """Links (u, v) of rows (u, v, n) with 100 * intersection >= percent * union of their complete shingle sets."""
 
     def compare(batch: pa.RecordBatch, at: np.ndarray, first: np.ndarray) -> np.ndarray:
         sets = batch["shingles"]
@@ -181,7 +185,7 @@ def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             hit.append(100 * common >= percent * (len(own) + len(other) - common))
         return np.array(hit, bool)
 
-    return _with_first(pairs, known.select("doc_id", "shingles"), ["shingles"], compare)
+    return _with_first(pairs, known.select("doc_id", "shingles"), ["shingles"], compare).select("u", "v")
 
 
 def _complete(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -199,33 +203,50 @@ def _complete(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(work, "doc_id long, shingles binary, fine array<long>")
 
 
-def _mixed_up(buckets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: band, doc_id, component, n_shingles."""
-    named = buckets.join(labels, buckets["doc_id"] == labels["id"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    return checkpoint(named.join(several, "band").join(reps.select("doc_id", "n_shingles"), "doc_id").select("band", "doc_id", "component", "n_shingles"))
+def _buckets(reps: DataFrame) -> DataFrame:
+    """Members of bands that several share: band, first (their least), doc_id, n_shingles, n (their number).
+
+    Near copies share many bands, so that many buckets have the same members. Of these the one of the first band stays; it
+    is the first that any two of its members share, too.
+    """
+    own = F.shiftleft("n_shingles", 24).bitwiseOR(F.col("set_a").bitwiseAND(0xFFFFFF)).alias("own")  # tells texts of one id apart
+    dealt = reps.select("doc_id", own, F.explode("bands").alias("band"))
+    several = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+    dealt = checkpoint(dealt.join(several, "band").select("band", "first", "doc_id", "own", "n"))
+    marks = {f"mark_{k}": F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", "own", F.lit(k)), 32)) for k in range(3)}  # sums of 32 bits don't pass 64
+    told = dealt.groupBy("band").agg(F.first("n").alias("n"), F.first("first").alias("first"), *[m.alias(k) for k, m in marks.items()])
+    kept = told.groupBy("n", "first", *marks).agg(F.min_by("band", F.col("band").bitwiseAND(PLACES - 1)).alias("band")).select("band")
+    return checkpoint(dealt.join(kept, "band").select("band", "first", "doc_id", F.shiftrightunsigned("own", 24).alias("n_shingles"), "n"))
+
+
+def _mixed_up(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: band, doc_id, component, n_shingles, size (their bucket's, in what BLOCK counts)."""
+    named = buckets.join(labels, buckets["doc_id"] == labels["id"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles")
+    several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.col("n_shingles") + MEMBER).alias("size")).filter("low < high")
+    return checkpoint(named.join(several, "band").select("band", "doc_id", "component", "n_shingles", "size"))
 
 
 def _largest(named: DataFrame) -> int:
-    """Size of the largest bucket, in what BLOCK counts."""
-    return named.groupBy("band").agg(F.sum(F.col("n_shingles") + MEMBER).alias("n")).agg(F.max("n")).first()[0] or 0
+    """Size of the largest bucket."""
+    return named.agg(F.max("size")).first()[0] or 0
 
 
 def _stars(named: DataFrame, nth: int) -> DataFrame:
     """Pairs (u, v, n) of one member of each bucket of several blocks and all its n members of other components."""
     order = F.struct(F.xxhash64("doc_id", F.lit(nth)), F.col("doc_id").alias("hub"), F.col("component").alias("own"))
-    size = F.sum(F.col("n_shingles") + MEMBER)
-    hubs = named.groupBy("band").agg(F.count("*").alias("n"), size.alias("size"), F.min(order).alias("least")).filter(F.col("size") > BLOCK)
+    hubs = named.filter(F.col("size") > BLOCK).groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("least"))
     pairs = named.join(hubs.select("band", "n", "least.hub", "least.own"), "band").filter("component <> own")
     return pairs.groupBy(F.col("hub").alias("u"), F.col("doc_id").alias("v")).agg(F.max("n").alias("n"))
 
 
-def _meetings(named: DataFrame, percent: int, same: bool) -> DataFrame:
+def _meetings(named: DataFrame, percent: int, same: bool, one: bool = False) -> DataFrame:
     """Members of each pair of blocks (band, i, j) whose sizes allow the similarity, those of i with side 0, of j with 1.
 
     A bucket's members stand by size, those of equal size by hash, and are cut into blocks of about BLOCK. ``same``
-    gives each block with itself (side 0 alone), else each pair of different blocks.
+    gives each block with itself (side 0 alone), else each pair of different blocks. ``one`` tells that no bucket needs cutting.
     """
+    if one and same:
+        return named.select("band", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "doc_id", "component")
     weight = F.col("n_shingles") + MEMBER
     sizes = named.groupBy("band", "n_shingles").agg(F.count("*").alias("n"))
     before = F.sum(F.col("n") * weight).over(Window.partitionBy("band").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1))  # a row for each size
@@ -394,12 +415,12 @@ def _spanning(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return _by_meeting(rows, meet, "u long, v long")
 
 
-def _across(named: DataFrame, reps: DataFrame, known: DataFrame, percent: int, same: bool) -> DataFrame:
+def _across(named: DataFrame, reps: DataFrame, known: DataFrame, percent: int, same: bool, one: bool = False) -> DataFrame:
     """Links (u, v) that join the components within buckets: at most a row for each member and pair of blocks.
 
     Blocks meet themselves (``same``) or others; every pair of blocks is a group of its own.
     """
-    return _spanning(checkpoint(_plausible(_meetings(named, percent, same), reps, known, percent)), known, percent)
+    return _spanning(checkpoint(_plausible(_meetings(named, percent, same, one), reps, known, percent)), known, percent)
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = SIMILARITY) -> DataFrame:
@@ -416,21 +437,18 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = full.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", *same).join(classes, same, "left")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same]).dropDuplicates(["doc_id", *same])
-    reps = checkpoint(reps.select("doc_id", "n_shingles", "bands", "sketch"))
+    reps = checkpoint(reps.select("doc_id", "n_shingles", "set_a", "bands", "sketch"))
 
-    buckets = reps.select("doc_id", F.explode("bands").alias("band"))
-    several = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-    buckets = checkpoint(buckets.join(several, "band").select("band", "first", "doc_id", "n"))
+    buckets = _buckets(reps)
     known = checkpoint(_complete(docs, buckets.select("doc_id").distinct(), size))
     stars = buckets.filter("first < doc_id").groupBy(F.col("first").alias("u"), F.col("doc_id").alias("v")).agg(F.max("n").alias("n"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = _near(pairs, reps, percent)
-        return checkpoint(_confirmed(near.join(pairs, ["u", "v"]), known, percent))
+        return checkpoint(_confirmed(_near(pairs, reps, percent), known, percent))
 
     links = confirmed(checkpoint(stars))
     labels = components(links)
-    named = _mixed_up(buckets, reps, labels)
+    named = _mixed_up(buckets, labels)
     largest = _largest(named)
     for nth in itertools.count():  # saves comparisons of large buckets; links are the same without it
         if largest <= BLOCK:
@@ -441,14 +459,14 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         if some:
             links = checkpoint(links.union(found))
             labels = components(links)
-            named = _mixed_up(buckets, reps, labels)
+            named = _mixed_up(buckets, labels)
             largest = _largest(named)
         if some * 20 < more.count() or not some:
             break
-    links = checkpoint(links.union(_across(named, reps, known, percent, True)))
+    links = checkpoint(links.union(_across(named, reps, known, percent, True, largest <= BLOCK)))
     labels = components(links)
     if largest > BLOCK:
-        named = _mixed_up(buckets, reps, labels)
+        named = _mixed_up(buckets, labels)
         labels = components(links.union(_across(named, reps, known, percent, False)))
     # Members of a class are linked by their equal sets.
     labels = labels.withColumnRenamed("id", "rep")

@@ -144,3 +144,45 @@ def test_components_of_a_path_and_a_star(spark):
     links = spark.createDataFrame(path + star, "u long, v long")
     got = dict(components(links).collect())
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+
+
+def test_buckets_of_equal_members_are_one(spark):
+    """Near copies share many bands: of buckets with the same texts only the first goes on, and every link is still found."""
+    rng = random.Random(8)
+    rows = []
+    for group in range(40):
+        base = [f"g{group}w{i}" for i in range(100)]
+        for copy in range(3):
+            words = list(base)
+            words[rng.randrange(100)] = f"x{group}y{copy}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(1, rows[60][1] + " more"), (2, rows[60][1] + " less")]  # other texts of ids that have one
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = near_dedup.signatures(docs, 4).select("doc_id", "n_shingles", "set_a", "bands", "sketch")
+    sets, known = {}, {}
+    for r in reps.collect():
+        for place, band in enumerate(r.bands):
+            assert band % near_dedup.PLACES == place
+            sets.setdefault(band, set()).add((r.doc_id, r.n_shingles, r.set_a & 0xFFFFFF))
+    for band, own in sets.items():
+        if len(own) > 1:
+            known[frozenset(own)] = min(known.get(frozenset(own), near_dedup.PLACES), band % near_dedup.PLACES)
+    got = {}
+    for r in near_dedup._buckets(reps).collect():
+        got.setdefault(r.band, []).append(r)
+        assert r.n == len(sets[r.band]) and r.first == min(d for d, *_ in sets[r.band])
+    assert sorted(band % near_dedup.PLACES for band in got) == sorted(known.values())
+    assert {frozenset(sets[band]) for band in got} == set(known) and all(len(got[band]) == len(sets[band]) for band in got)
+    assert 2 * len(got) < sum(len(own) > 1 for own in sets.values())
+    assert found(spark, rows, 4, 80) == brute(rows, 4, 80)
+
+
+def test_finished_components_take_no_round(spark, monkeypatch):
+    """Stars are final: they are told by one look, without another round of joins."""
+    made, plain = [], components.__globals__["_small"]
+    monkeypatch.setitem(components.__globals__, "_small", lambda links: made.append(1) or plain(links))
+    stars = [(9, 1), (8, 1), (7, 2), (2, 6), (2, 2)]
+    got = {tuple(r) for r in components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {(1, 1), (8, 1), (9, 1), (2, 2), (6, 2), (7, 2)} and not made
+    got = {tuple(r) for r in components(spark.createDataFrame([*stars, (9, 7)], "u long, v long")).collect()}
+    assert got == {(i, 1) for i in (1, 2, 6, 7, 8, 9)} and made
